@@ -260,7 +260,7 @@ def _covered_by_counts(groups: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, max_group: int = 20_000) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining
+    """One row per input row: doc_id, text_hash (xxhash64 of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining
     bytes; null where nothing was removed) with spans (what was removed, [start, end) in bytes)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     src = src.withColumn("cls", F.xxhash64("text")).withColumn("kid", F.coalesce("doc_id", F.lit(-1).cast("long")))
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = F.col("copies") > 1
     return joined.select(
         "doc_id",
+        F.col("cls").alias("text_hash"),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce(F.size("merged"), F.lit(0))).cast("long").alias("n_spans"),

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casemill.llm.op01_packing import op1_best_fit_packing
 from casemill.llm.op05_langid import op5_language_id
+from casemill.llm.op06_suffix import op6_suffix_array_dedup
 from casemill.llm.op08_minhash import op8_minhash_near_dedup
 from casemill.llm.op10_mixing import op10_temperature_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
 }

@@ -1,25 +1,81 @@
-"""A corpus pipeline: each stage works on the documents that its predecessor kept."""
+"""A corpus pipeline: language ID, near and exact deduplication, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a
+table with the columns of ``documents`` (the last returns packed pieces). Null ids and texts are carried
+by each operator as its module defines; a document without text is rejected by the first stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from casemill.llm import op01_packing, op05_langid, op06_suffix, op08_minhash, op10_mixing
 from casemill.llm.common import cut, table
-from casemill.llm.op08_minhash import near_duplicates
+
+#: Share of a text's n-grams that its language must contain.
+LEAST_KNOWN = 0.3
+#: How often the smallest sources may be read.
+MAX_REPETITION = 2.0
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    del spark, sf_dir
+    filters = op05_langid.train(docs)
+    found = op05_langid.identify(docs, filters)
+    return found.filter((F.col("lang_pred") != op05_langid.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (5-word shingles, Jaccard of at least 0.8)."""
     del spark, sf_dir
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id").distinct()
+    kept = op08_minhash.near_duplicates(docs, width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
 
 
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 200-byte strings leave the texts; what is left empty goes."""
+    del spark, sf_dir
+    cuts = op06_suffix.remove_repeats(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
+    names = docs.columns
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, cols = b.column("_kept"), {c: b.column(c) for c in names}
+            text = [t if (k := x.as_py()) is None else k.decode("utf-8", "ignore") for t, x in zip(cols["text"].to_pylist(), kept, strict=True)]
+            size = [n if x.as_py() is None else len(t) for t, x, n in zip(text, kept, cols["n_chars"].to_pylist(), strict=True)]
+            cols |= {"text": pa.array(text, pa.string()), "n_chars": pa.array(size, cols["n_chars"].type)}
+            yield pa.RecordBatch.from_arrays([*cols.values()], names=names).filter(pa.array([t is None or bool(t.strip()) for t in text], pa.bool_()))
+
+    return keyed.join(cuts, ["_id", "_hash"], "left").select(*names, "_kept").mapInArrow(rewrite, docs.schema)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources again up to the limit of repetition."""
+    del spark, sf_dir
+    return op10_mixing.mix(docs, max_repetition=MAX_REPETITION).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequences."""
+    del spark, sf_dir
+    return op01_packing.pack_documents(docs)
+
+
 STAGES = [
-    ("near_dedup", drop_near_duplicates),
+    ("language_id", keep_known_languages),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("temperature_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the language model nor the signatures; the stages are tested one by one.
+#: SQL can express neither tokenisation nor the language model: the stages are tested one by one.
 ORACLE_SQL = None
 
 
