@@ -31,7 +31,7 @@ ROWS = 1 << 16
 LABELLERS = ("symbols", "capitals", "echoes", "variety", "bare signs", "word length", "tails", "density")
 GOOD, BAD, NONE = 1, 0, 2
 #: Highest rate of bad votes on good texts.
-FALSE_ALARM = 0.003
+FALSE_ALARM = 0.001
 #: A-Z to A, a-z and non-ASCII bytes to a, digits to 0.
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
