@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import cut, table
+from casemill.llm.common import cut, small_batches, table
 
 ROWS = 1 << 16
 LABELLERS = ("symbols", "capitals", "echoes", "variety", "bare signs", "word length", "tails", "density")
@@ -78,7 +78,7 @@ def pattern(text: bytes | None) -> int:
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
     """Posterior of good by pattern, accuracies (labeller x class x vote), and the share of good."""
     keys = sorted(counts)
-    v = np.array([[k // 3**i % 3 for i in range(len(LABELLERS))] for k in keys]).reshape(-1, len(LABELLERS))
+    v = np.array([[k // 3**i % 3 for i in range(len(LABELLERS))] for k in keys], int).reshape(-1, len(LABELLERS))
     n = np.array([counts[k] for k in keys], float)
     # start: texts with no bad vote are good; no vote says nothing, here and later
     p = np.where((v == BAD).any(1), 0.05, 0.95)
@@ -135,6 +135,7 @@ def fit_scorer(texts: list[bytes], y: np.ndarray, rounds: int = 12, rate: float
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6000) -> DataFrame:
     """One row per input row: doc_id, n_good, n_bad, posterior, score, kept (score of at least 0.5)."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +150,9 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sample = src.filter(place < min(1.0, max_docs / max(1, n))).filter(F.length("text") > 0)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        if t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
             t = t.take(pa.array(np.argsort(t.column("doc_id").to_numpy(), kind="stable")))
             texts = t.column("text").to_pylist()
             w = fit_scorer(texts, np.array([posterior.get(pattern(x), prior) for x in texts]))
