@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bound the Arrow batches of this session: texts may be long, and a batch is held by the JVM and by
+    the Python worker, with what is made of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
 def bucket_of(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null id: bucket of the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import U64, bucket_of, cut, table
+from casemill.llm.common import U64, bucket_of, cut, small_batches, table
 
 SINGLE, SUFFIX = 47, 48
 CLASSES = SINGLE + SUFFIX + 1
@@ -293,6 +293,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: n
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: learn from nine tenths of the documents, score all."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     held_out = bucket_of("doc_id", 10) == 0
     own = docs.filter(~held_out).select("text", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).alias("round"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import U64, bucket_of, mix64, table
+from casemill.llm.common import U64, bucket_of, mix64, small_batches, table
 
 UNKNOWN = "und"
 CELLS = 1 << 21
@@ -94,7 +94,7 @@ class Filters:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, min_share: float = 0.002) -> Filters:
     """Learn the filters. Collected are the languages with their numbers of documents (64 languages at
     most) and the table of cells in blocks, whose size is fixed."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     languages = sorted(n)
@@ -135,13 +135,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     for r in held.mapInArrow(probes, "block int, at int, k int").groupBy("block").applyInArrow(blocks, "block int, cells binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], kind)
     fill = np.array([((out >> kind.type(k)) & kind.type(1)).mean() for k in range(len(languages))])
-    del spark
     return Filters(languages, out, fill**PROBES)
 
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (the best rate over the sum of the two best) and known (the best rate)."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(filters)
     names = docs.columns
 

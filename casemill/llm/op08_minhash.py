@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import U64, cut, mix64, table
+from casemill.llm.common import U64, cut, mix64, small_batches, table
 from casemill.llm.components import components
 
 UNIVERSE = 1 << 20
@@ -188,6 +188,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Shuffled are band keys (``bands`` longs a document), links, and the texts of documents that share
     a band with another text; never pairs of a bucket. Groups of equal sets meet as one representative.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sk = cut(sketches(src, width, bands, rows))
     usable = sk.filter("n_shingles > 0 and doc_id is not null")
