@@ -5,7 +5,9 @@ the corpus. Each window of that length has an anchor: the place of its least has
 Equal windows have equal anchors, so that
 
 1. one pass over the texts emits the anchors of all windows (about one place in 90 bytes);
-2. anchors whose hash occurs at another place too are candidates; only their documents are read again;
+2. anchors whose hash occurs at another place too are candidates. They go into a bit table of fixed size
+   (``2**filter_bits`` bits, broadcast) that lets a second scan of the texts emit the contexts of candidates
+   alone, without moving any text; what the table admits wrongly finds no partner and is dropped;
 3. suffixes that start at candidate anchors are grouped by the anchor's hash. A group gets a suffix array
    (suffixes sorted by what follows the anchor, with common-prefix lengths) and the same for what precedes
    it, read backwards. A stack scan of the common-prefix lengths walks the interval tree; in each interval
@@ -16,8 +18,9 @@ Every window is compared through its own anchor, hence the union of the repeats
 bytes is exactly the set of bytes covered by repeated windows. Contexts reach ``length`` bytes from the
 anchor; longer repeats are the union of their anchors' pieces. Equal contexts are one suffix with a count,
 and exact copies of a document are represented by one of them, so that hot passages shrink before the
-shuffle; anchors that keep more than ``max_group`` different contexts are settled by window hashes and
-counts instead of in one task.
+shuffle. Anchors that keep more than ``max_group`` different contexts are not settled in one task: their suffix
+arrays, one for what follows and one for what precedes, are sorted over many tasks, the common-prefix lengths
+with neighbours bound what a context can share, and the few windows within those bounds are counted by hash.
 
 Defined results: null texts are empty; matches never cross documents and may overlap; rows with equal
 text are copies of each other (if long enough, removed whole), also when their ids are equal; texts shorter
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import U64, cut, mix64, table
+from casemill.llm.common import U64, cut, mix64, small_batches, table
 
 GRAM = 24
 CHUNK = 1 << 20
@@ -191,22 +194,63 @@ def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, cls long, n_bytes long, sha string, h array<long>, p array<long>")
 
 
-def _contexts(cand: DataFrame, length: int) -> DataFrame:
-    """cand(kid, cls, text, at array) -> kid, cls, h, p, d (digest of the context), l, r."""
+class _Filter:
+    """Membership of 64-bit keys in a bit table of fixed size: never denies a member, may admit others."""
+
+    def __init__(self, keys: DataFrame, col: str, bits: int):
+        self.bits = bits
+        place = lambda k: F.shiftrightunsigned(F.col(col), k).bitwiseAND(F.lit((1 << bits) - 1))
+        at = keys.select(F.explode(F.array(*[place(k) for k in (0, 19, 38)])).alias("at"))
+        words = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        t = words.toArrow()  # at most one row for each word of the table
+        self.table = np.zeros(1 << (bits - 6), U64)
+        self.table[t.column("w").to_numpy()] = t.column("b").to_numpy().view(U64)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.admits(np.array([key], np.int64))[0])
+
+    def admits(self, keys: np.ndarray) -> np.ndarray:
+        k, out = keys.view(U64), np.ones(len(keys), bool)
+        for shift in (0, 19, 38):
+            at = (k >> U64(shift)) & U64((1 << self.bits) - 1)
+            out &= (self.table[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+        return out
+
+
+def _contexts(src: DataFrame, length: int, wanted) -> DataFrame:
+    """src(kid, cls, text) -> kid, cls, h, p, d (digest of the context), n, l, r for the anchors that the
+    broadcast filter admits. Within a batch l, r and the count n stand with a context's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for kid, cls, text, at in zip(b.column("kid").to_pylist(), b.column("cls").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            first: dict[tuple[int, int], int] = {}
+            for kid, cls, text in zip(b.column("kid").to_pylist(), b.column("cls").to_pylist(), b.column("text"), strict=True):
                 t = text.as_py()
-                for x in at:
-                    p = x["p"]
+                hs, ps = anchors(t, length)
+                keep = wanted.value.admits(hs)
+                for h, p in zip(hs[keep].tolist(), ps[keep].tolist(), strict=True):
                     l, r = t[max(0, p - length + GRAM) : p], t[p : p + length]
-                    for c, v in zip(cols, (kid, cls, x["h"], p, xxhash.xxh3_64_intdigest(r, seed=xxhash.xxh3_64_intdigest(l)) - (1 << 63), l, r), strict=True):
+                    d = xxhash.xxh3_64_intdigest(r, seed=xxhash.xxh3_64_intdigest(l)) - (1 << 63)
+                    at = first.setdefault((h, d), len(cols[0]))
+                    new = at == len(cols[0])
+                    for c, v in zip(cols, (kid, cls, h, p, d, int(new), l if new else None, r if new else None), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], names=["kid", "cls", "h", "p", "d", "l", "r"])
+                    if not new:
+                        cols[5][at] += 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), *(pa.array(c, pa.binary()) for c in cols[6:])], names=["kid", "cls", "h", "p", "d", "n", "l", "r"])
 
-    return cand.mapInArrow(run, "kid long, cls long, h long, p long, d long, l binary, r binary")
+    return src.mapInArrow(run, "kid long, cls long, h long, p long, d long, n long, l binary, r binary")
+
+
+def _admitted(src: DataFrame, wanted) -> DataFrame:
+    """Rows whose key k the broadcast filter admits, before their texts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.admits(b.column("k").to_numpy()))).select(["kid", "cls", "text"])
+
+    return src.mapInArrow(run, "kid long, cls long, text binary")
 
 
 def _covered(groups: DataFrame, length: int, rows: int = 30_000) -> DataFrame:
@@ -239,51 +283,99 @@ def _covered(groups: DataFrame, length: int, rows: int = 30_000) -> DataFrame:
     return groups.mapInArrow(run, "h long, d long, before long, after long")
 
 
+def _shared(groups: DataFrame, col: str, back: bool, out: str) -> DataFrame:
+    """groups(h, d, col) -> h, d, out: an upper bound of what a context shares with any other of its group
+    on one side, from a suffix array over many tasks.
+
+    Contexts are range-partitioned and sorted by group and bytes; the longest common prefix with any other is
+    one with a neighbour. Rows at the edge of a partition, whose neighbour is elsewhere, keep their length.
+    """
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("d"), pa.array([x.as_py()[::-1] if back else x.as_py() for x in b.column(col)], pa.binary())], names=["h", "d", "k"])
+
+    def common(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+        return int(x.argmax()) if x.any() else n
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None  # h, d, k, bound so far
+        for b in batches:
+            rows: list[list] = []
+            for h, d, k in zip(*(b.column(c).to_pylist() for c in ("h", "d", "k")), strict=True):
+                if last is None:
+                    bound = len(k)
+                else:
+                    bound = common(last[2], k) if last[0] == h else 0
+                    last[3] = max(last[3], bound)
+                    rows.append(last)
+                last = [h, d, k, bound]
+            if rows:
+                yield batch(rows)
+        if last is not None:
+            last[3] = len(last[2])
+            yield batch([last])
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 3)], names=["h", "d", out])
+
+    keyed = groups.select("h", "d", col).mapInArrow(turned, "h long, d long, k binary")
+    return keyed.repartitionByRange("h", "k", "d").sortWithinPartitions("h", "k", "d").mapInArrow(scan, f"h long, d long, {out} long")
+
+
 def _covered_by_counts(groups: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: every window by its 128-bit hash, counted with
-    map-side sums, so that no group meets in one task."""
+    """The same for anchors with very many contexts, so that no group meets in one task: windows within what
+    a context shares on both sides go by their 128-bit hashes, counted with map-side sums."""
+    bounded = groups.join(_shared(groups, "l", True, "sl"), ["h", "d"]).join(_shared(groups, "r", False, "sr"), ["h", "d"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for h, d, n, l, r in zip(*(b.column(c).to_pylist() for c in ("h", "d", "n", "l", "r")), strict=True):
+            for h, d, n, l, r, sl, sr in zip(*(b.column(c).to_pylist() for c in ("h", "d", "n", "l", "r", "sl", "sr")), strict=True):
                 t = l + r
-                for s in range(len(t) - length + 1):
+                for o in range(max(0, length - sr), min(len(l), sl) + 1):
+                    s = len(l) - o
+                    if s + length > len(t):
+                        continue
                     x = xxhash.xxh3_128_intdigest(t[s : s + length])
-                    for c, v in zip(cols, (h, d, n, len(l) - s, (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63)), strict=True):
+                    for c, v in zip(cols, (h, d, n, o, (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "d", "n", "o", "w1", "w2"])
 
-    w = groups.mapInArrow(windows, "h long, d long, n long, o long, w1 long, w2 long")
-    often = w.groupBy("w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1")
-    return w.join(often, ["w1", "w2"], "left_semi").groupBy("h", "d").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("after"))
+    w = bounded.select("h", "d", "n", "l", "r", "sl", "sr").mapInArrow(windows, "h long, d long, n long, o long, w1 long, w2 long")
+    often = w.groupBy("h", "o", "w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1")
+    found = w.join(often, ["h", "o", "w1", "w2"], "left_semi").groupBy("h", "d").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("after"))
+    whole = groups.filter((F.col("n") > 1) & (F.length("l") + F.length("r") >= length)).select("h", "d", F.length("l").cast("long").alias("before"), F.length("r").cast("long").alias("after"))
+    return found.unionByName(whole)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, max_group: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, max_group: int = 20_000, filter_bits: int = 26) -> DataFrame:
     """One row per input row: doc_id, text_hash (xxhash64 of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining
     bytes; null where nothing was removed) with spans (what was removed, [start, end) in bytes)."""
+    spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     src = src.withColumn("cls", F.xxhash64("text")).withColumn("kid", F.coalesce("doc_id", F.lit(-1).cast("long")))
     seen = cut(_anchor_rows(src.select("doc_id", "cls", "text"), length)).withColumn("kid", F.coalesce("doc_id", F.lit(-1).cast("long")))
     classes = seen.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies"), F.min("kid").alias("rep")).filter("copies > 1")
     info = seen.select("doc_id", "kid", "cls", "n_bytes", "sha").join(classes, "sha", "left")
-    # anchors of one member of each class
-    extra = info.filter("copies > 1 and kid <> rep").select("kid", "cls")
-    own = seen.select("kid", "cls", F.explode(F.arrays_zip("h", "p")).alias("x")).select("kid", "cls", "x.h", "x.p")
-    other = own.select("h", F.xxhash64("cls", "p").alias("x")).groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("h")
-    cand = own.join(other, "h", "left_semi").join(extra, ["kid", "cls"], "left_anti").groupBy("kid", "cls").agg(F.collect_list(F.struct("h", "p")).alias("at"))
-    texts = cut(src.select("kid", "cls", "text").join(cand, ["kid", "cls"]))
-    ctx = cut(_contexts(texts, length))
-    groups = ctx.groupBy("h", "d").agg(F.count("*").alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
-    sizes = ctx.select("h", "d").distinct().groupBy("h").count().filter(F.col("count") > max_group).select("h")
-    sizes = cut(sizes)
-    if sizes.isEmpty():
-        done = _covered(groups.repartition("h").sortWithinPartitions("h"), length)
+    anchor = seen.select("cls", F.explode(F.arrays_zip("h", "p")).alias("x")).select("x.h", F.xxhash64("cls", "x.p").alias("x"))
+    often = anchor.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("h")
+    wanted = spark.sparkContext.broadcast(_Filter(often, "h", filter_bits))
+    ctx = cut(_contexts(src.select("kid", "cls", "text"), length, wanted))
+    groups = ctx.filter("l is not null").select("h", "d", "n", "l", "r").repartition("h").groupBy("h", "d").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
+    large = cut(ctx.filter("l is not null").groupBy("h").count().filter(F.col("count") > max_group).select("h"))
+    if large.isEmpty():
+        done = _covered(groups.sortWithinPartitions("h"), length)
     else:
         groups = cut(groups)
-        done = _covered(groups.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h"), length)
-        done = done.union(_covered_by_counts(groups.join(sizes, "h", "left_semi"), length))
-    spans = ctx.select("kid", "cls", "h", "p", "d").join(done, ["h", "d"]).groupBy("kid", "cls").agg(F.collect_list(F.struct((F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("after")).alias("e"))).alias("spans"))
+        done = _covered(groups.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h"), length)
+        done = done.union(_covered_by_counts(groups.join(large, "h", "left_semi"), length))
+    spans = cut(ctx.select("kid", "cls", "h", "p", "d").join(done, ["h", "d"]).groupBy("kid", "cls").agg(F.collect_list(F.struct((F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("after")).alias("e"))).alias("spans")))
+    changing = _Filter(spans.select(F.xxhash64("kid", "cls").alias("k")), "k", filter_bits - 3)
+    admitted = _admitted(src.select("kid", "cls", "text", F.xxhash64("kid", "cls").alias("k")), spark.sparkContext.broadcast(changing))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +393,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             kinds = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column("kid"), b.column("cls"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["kid", "cls", "removed", "rest_sha", "kept", "merged"])
 
-    changed = texts.select("kid", "cls", "text").join(spans, ["kid", "cls"]).mapInArrow(remove, "kid long, cls long, removed long, rest_sha string, kept binary, merged array<struct<start:bigint,end:bigint>>").dropDuplicates(["kid", "cls"])
+    changed = admitted.join(spans, ["kid", "cls"]).mapInArrow(remove, "kid long, cls long, removed long, rest_sha string, kept binary, merged array<struct<start:bigint,end:bigint>>").dropDuplicates(["kid", "cls"])
     joined = info.join(changed, ["kid", "cls"], "left")
     whole = F.col("copies") > 1
     return joined.select(
