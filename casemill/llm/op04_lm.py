@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm.common import U64, bucket_of, cut, small_batches, table
 
-SINGLE, SUFFIX = 47, 48
+SINGLE, SUFFIX = 23, 24
 CLASSES = SINGLE + SUFFIX + 1
 END_CLASS = CLASSES - 1
 BUCKETS = 4096
@@ -40,7 +41,8 @@ FREQUENT = 3e-6
 ADD = 0.1
 #: Hash that stands for the end token among words (which never contain white space).
 END = xxhash.xxh3_64_intdigest(b" end ")
-BATCH = 4096
+#: Tokens scored and trained on at once.
+BATCH, STEP = 4096, 12_288
 
 
 def suffix_class(word: bytes) -> int:
@@ -69,79 +71,113 @@ class Vocabulary:
         return np.where(self.h[at] == h, at, -1)
 
 
-def tokens(text: bytes | None, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, index among frequent words, class) of a text's words and its end."""
-    words = text.lower().split() if text else []
-    h = np.empty(len(words) + 1, U64)
-    h[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
-    h[-1] = END
-    at = vocabulary.look_up(h)
-    cls = vocabulary.cls[at] if len(vocabulary.h) else np.zeros(len(h), np.int64)
-    for i in np.flatnonzero(at[:-1] < 0).tolist():
-        cls[i] = suffix_class(words[i])
-    cls[-1] = END_CLASS
-    return h, at, cls
+class Codes(dict):
+    """What scoring needs to know of a word, as one number met words are looked up for: place among the
+    frequent words (from 1; 0: not frequent), hash bucket, class. When full, only new words are worked out."""
 
+    LIMIT = 250_000
 
-def history(h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def tokens(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, place or -1, bucket, class) of a text's words and its end."""
+        v = self.vocabulary
+        words = text.lower().split() if text else []
+        code = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        off = np.flatnonzero(code < 0)
+        if len(off):
+            new = [words[i] for i in off.tolist()]
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), U64, len(new))
+            at = v.look_up(h)
+            cls = np.fromiter(map(suffix_class, new), np.int64, len(new))
+            if len(v.h):
+                cls = np.where(at >= 0, v.cls[at], cls)
+            code[off] = (at + 1) << 20 | _bucket(h) << 7 | cls
+            if len(self) < self.LIMIT:
+                self.update(zip(new, code[off].tolist(), strict=True))
+        end = np.array([END], U64)
+        code = np.append(code, (v.look_up(end) + 1) << 20 | _bucket(end) << 7 | END_CLASS)
+        return words, (code >> 20) - 1, (code >> 7) & (BUCKETS - 1), code & 127
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """Hash buckets of words; 0 stands for what is before a text."""
+    return (h >> U64(24)).astype(np.int64) % (BUCKETS - 1) + 1
+
+
+def history(word: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token's features; ``ends`` marks the last token of each text."""
-    word = (h >> U64(24)).astype(np.int64) % (BUCKETS - 1) + 1
-    out = np.zeros((FEATURES, len(h)), np.int64)
-    gone = np.zeros(len(h), bool)
-    back_cls = []
+    out = np.zeros((FEATURES, len(word)), np.int64)
+    starts = np.concatenate([[True], ends])[:-1]
+    gone = np.zeros(len(word), bool)
+    back = []
     for k in range(3):
-        shifted = np.zeros(len(h), np.int64)
-        shifted[k + 1 :] = word[: -k - 1]
-        gone[k:] |= np.concatenate([[True], ends])[: len(h) - k] if k == 0 else np.concatenate([[True], ends])[: len(h) - k]
-        out[k] = np.where(gone, 0, shifted)
+        gone[k:] |= starts[: len(word) - k] if k else starts
+        out[k, k + 1 :] = word[: -k - 1]
+        out[k][gone] = 0
         if k < 2:
-            c = np.full(len(h), CLASSES, np.int64)
+            c = np.full(len(word), CLASSES, np.int64)
             c[k + 1 :] = cls[: -k - 1]
-            back_cls.append(np.where(gone, CLASSES, c))
-    out[3] = (back_cls[0] * 7919 + back_cls[1]) * 2654435761 % BUCKETS
+            c[gone] = CLASSES
+            back.append(c)
+    out[3] = (back[0] * 7919 + back[1]) * 2654435761 % BUCKETS
     return out + (np.arange(FEATURES) * BUCKETS)[:, None]
 
 
-def class_log_probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | history) for each token."""
+def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits of all classes, less the greatest of each token."""
     z = w[rows[0]]
     for k in range(1, FEATURES):
         z += w[rows[k]]
     z += bias
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def class_log_probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | history) of each token's own class."""
+    z = _logits(w, bias, rows)
+    own = z[np.arange(len(cls)), cls]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def gradient_steps(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
-    """Adagrad on batches of tokens, in place."""
-    for s in range(0, len(cls), BATCH):
-        r, c = rows[:, s : s + BATCH], cls[s : s + BATCH]
-        g = np.exp(class_log_probabilities(w, bias, r))
+    """Adagrad on steps of many tokens, in place; each step touches a row of weights once."""
+    for s in range(0, len(cls), STEP):
+        r, c = rows[:, s : s + STEP], cls[s : s + STEP]
+        g = _logits(w, bias, r)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(c)), c] -= 1
         for k in range(FEATURES):
             order = np.argsort(r[k], kind="stable")
             ids = r[k][order]
             start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             total, u = np.add.reduceat(g[order], start, axis=0), ids[start]
-            seen[u] += total * total
-            w[u] -= rate * total / np.sqrt(seen[u])
+            scale = seen[u]
+            scale += total * total
+            seen[u] = scale
+            total *= rate
+            total /= np.sqrt(scale, out=scale)
+            w[u] -= total
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, size: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], codes: Codes, size: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(feature rows, classes) of about ``size`` tokens at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
-        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        return history(h, c, c == END_CLASS), c
+        word, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        return history(word, c, c == END_CLASS), c
 
     n = 0
     for b in batches:
         for t in b.column("text"):
-            h, _, c = tokens(t.as_py(), vocabulary)
-            held.append((h, c))
-            n += len(h)
+            _, _, word, c = codes.tokens(t.as_py())
+            held.append((word, c))
+            n += len(c)
             if n >= size:
                 yield joined()
                 held, n = [], 0
@@ -193,7 +229,7 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], c[order], cls[order], int(total["n"]), int(total["v"]), sums, kinds)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.12, tasks: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.2, tasks: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """texts(text, round) -> weights and class biases after ``rounds`` rounds of averaged gradient steps.
 
     Each task returns one table of weights of fixed size (half precision, by block of rows); at most
@@ -213,7 +249,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: fl
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own, n = held.value.copy(), 0
             seen = np.full_like(own, 1.0)
-            for rows, cls in _text_batches(batches, known.value):
+            for rows, cls in _text_batches(batches, Codes(known.value)):
                 gradient_steps(own, seen, bias, rows, cls, rate)
                 n += len(cls)
             if n:
@@ -245,6 +281,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w, bias = held.value
+        codes = Codes(v)
         log_word = np.where(v.cls < SINGLE, 0.0, np.log10((v.c + ADD) / class_norm[v.cls])) if len(v.h) else np.zeros(0)
         log_word[v.cls == END_CLASS] = 0
         log_base = np.log10((v.c + ADD) / base_norm)
@@ -252,15 +289,16 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: n
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             for text in b.column("text"):
-                h, at, cls = tokens(text.as_py(), v)
-                rows = history(h, cls, cls == END_CLASS)
+                words, at, word, cls = codes.tokens(text.as_py())
+                rows = history(word, cls, cls == END_CLASS)
                 score = 0.0
-                for s in range(0, len(h), BATCH):
-                    c = cls[s : s + BATCH]
-                    score += float(class_log_probabilities(w, bias, rows[:, s : s + BATCH])[np.arange(len(c)), c].sum(dtype=np.float64)) / ln10
+                for s in range(0, len(cls), BATCH):
+                    score += float(class_log_probabilities(w, bias, rows[:, s : s + BATCH], cls[s : s + BATCH]).sum(dtype=np.float64)) / ln10
                 hit = at[at >= 0]
-                rare, first, times = np.unique(h[at < 0], return_index=True, return_counts=True)
-                for o, x in zip(out, (len(h), len(hit), float(log_base[hit].sum()), score + float(log_word[hit].sum()), rare.view(np.int64), times, cls[at < 0][first]), strict=True):
+                off = np.flatnonzero(at < 0)
+                h = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) if i < len(words) else END for i in off.tolist()), U64, len(off))
+                rare, first, times = np.unique(h, return_index=True, return_counts=True)
+                for o, x in zip(out, (len(cls), len(hit), float(log_base[hit].sum()), score + float(log_word[hit].sum()), rare.view(np.int64), times, cls[off][first]), strict=True):
                     o.append(x)
             at = np.zeros(b.num_rows + 1, np.int32)
             np.cumsum([len(x) for x in out[4]], out=at[1:])

@@ -245,8 +245,9 @@ def test_language_model(docs, rows):
         want[i, len(x), sum(c[y] > 0 for y in x), n, round(sum(math.log10((c[y] + 0.1) / (n + 0.1 * (v + 1))) for y in x), 6)] += 1
     assert got == want
     # the model is a distribution over classes, and over words and one unknown word within each class
-    rows_, cls = next(lm._text_batches(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array([b"the of and"])], names=["text"])]), vocabulary))
-    assert np.allclose(np.exp(lm.class_log_probabilities(w, bias, rows_)).sum(1), 1, atol=1e-4)
+    rows_, cls = next(lm._text_batches(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array([b"the of and"])], names=["text"])]), lm.Codes(vocabulary)))
+    each = [np.exp(lm.class_log_probabilities(w, bias, rows_, np.full(len(cls), k))) for k in range(lm.CLASSES)]
+    assert np.allclose(np.sum(each, 0), 1, atol=1e-4)
 
 
 def test_language_id(docs, empty):
