@@ -211,3 +211,50 @@ def answer_text(results: DataFrame) -> DataFrame:
     """One sentence per label."""
     s = F.when(F.col("label") == "entailed", F.concat(F.lit("Yes: "), "symbol", F.lit(" holds."))).when(F.col("label") == "contradicted", F.concat(F.lit("No: "), "symbol", F.lit(" does not hold."))).when(F.col("label") == "inconsistent", "The case contradicts itself.").otherwise(F.concat(F.lit("Open: "), "symbol", F.lit(" cannot be decided.")))
     return results.select("q_id", s.alias("answer"))
+
+
+def propagate(closure: DataFrame, ground: DataFrame, with_unknown: bool = False) -> DataFrame:
+    """E5: ground(case_id, symbol, args) with the label of each atom; undecided ones on request only."""
+    held = closure.filter("value is null").groupBy("case_id", "symbol", "args").agg(F.bool_or("polarity").alias("p"), F.bool_or(~F.col("polarity")).alias("n"))
+    x = ground.distinct().join(held, ["case_id", "symbol", "args"], "left")
+    label = F.when(F.col("p") & F.col("n"), "inconsistent").when(F.col("p"), "true").when(F.col("n"), "false").otherwise("unknown")
+    out = x.select("case_id", "symbol", F.array_join("args", ",").alias("args"), label.alias("label"))
+    return out if with_unknown else out.filter("label <> 'unknown'")
+
+
+def relevance(reach: DataFrame, facts: DataFrame) -> DataFrame:
+    """reach(target, node) as of a closure over symbols: the facts of each relevant symbol, counted."""
+    n = facts.groupBy("symbol").agg(F.count("*").alias("n_facts"), F.count_distinct("case_id").alias("n_cases"))
+    return reach.select("target", F.col("node").alias("symbol")).distinct().join(n, "symbol", "left").select("target", "symbol", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
+
+
+def explain(closure: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each query the rules that concluded it, or that it was stated, and the round."""
+    src = F.coalesce(F.concat(F.lit("rule "), F.col("rule").cast("string")), F.lit("fact"))
+    known = closure.filter("value is null").select("case_id", "symbol", "args", "polarity", src.alias("source"), "round")
+    x = queries.join(known, ["case_id", "symbol", "args"], "left")
+    return x.groupBy("q_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"), F.min("round").alias("round"))
+
+
+def unify_results(routing: DataFrame, cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row per query: inconsistent wins, then unsupported intents, then errors and missing answers.
+
+    routing(q_id, case_id, intent, supported), cases(case_id, status), answers(q_id, label, error).
+    """
+    x = routing.join(cases.select("case_id", F.col("status").alias("case_status")), "case_id", "left").join(answers.select("q_id", "label", "error"), "q_id", "left")
+    status = F.when(F.col("case_status") == "unsat", "inconsistent").when(~F.col("supported"), "unsupported").when(F.col("error").isNotNull() | F.col("label").isNull(), "error").otherwise("ok")
+    return x.select("q_id", "intent", status.alias("status"), F.when(status == "ok", F.col("label")).alias("label"), F.when(status != "ok", F.coalesce("error", status)).alias("warning"))
+
+
+def bind_period(queries: DataFrame, periods: DataFrame) -> DataFrame:
+    """queries(q_id, entity, q_text) get the period after the year their text follows.
+
+    periods(entity, period); the anchor is the year after "following"; without its successor among the
+    entity's periods the anchor stays, with a warning.
+    """
+    anchor = F.regexp_extract(F.lower("q_text"), r"(?:following|after|volgend op)\s+((?:19|20)[0-9]{2})", 1).try_cast("int")
+    q = queries.withColumn("anchor", anchor).withColumn("next", F.col("anchor") + 1)
+    p = periods.select(F.col("entity"), F.col("period").alias("next"), F.lit(True).alias("known")).distinct()
+    x = q.join(p, ["entity", "next"], "left")
+    warning = F.when(F.col("anchor").isNull(), "no_anchor").when(F.col("known").isNull(), "no_successor")
+    return x.select("q_id", "anchor", F.when(F.col("known"), F.col("next")).otherwise(F.col("anchor")).alias("period"), warning.alias("warning"))

@@ -111,3 +111,11 @@ def quarantine_rules(rules: DataFrame, violations: DataFrame) -> DataFrame:
     """Every rule with the first code against it, or valid."""
     first = violations.groupBy("set_id", "rule").agg(F.min("code").alias("code"))
     return rules.select("set_id", "rule").join(first, ["set_id", "rule"], "left").withColumn("status", F.when(F.col("code").isNull(), "valid").otherwise("quarantined"))
+
+
+def coerce_literals(compares: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Literals in the sort of the function they are compared with, where nothing is lost."""
+    s = symbols.select("set_id", F.col("name").alias("func"), "returns")
+    whole = F.col("literal") == F.floor("literal")
+    text = F.when((F.col("returns") == "Int") & whole, F.col("literal").cast("long").cast("string")).when(F.col("returns") == "Real", F.format_string("%.1f", "literal"))
+    return compares.join(s, ["set_id", "func"], "left").select("set_id", "rule", "func", text.alias("coerced"), (text.isNull()).alias("lossy"))

@@ -258,3 +258,23 @@ def dedupe_models(df: DataFrame, line: str = "line", pos: str = "pos") -> DataFr
     name = F.trim(F.regexp_replace(F.col(line), "#.*$", ""))
     out = df.select(name.alias("model"), F.col(pos).alias("pos")).filter("model <> ''").groupBy("model").agg(F.min("pos").alias("first_pos"))
     return out.withColumn("safe_name", F.regexp_replace("model", "[^A-Za-z0-9_.-]+", "_"))
+
+
+def build_cells(runs: DataFrame, scores: DataFrame, calls: DataFrame) -> DataFrame:
+    """one row per run and strategy: counts of its scores, its calls, tokens and whether it is scored.
+
+    runs(run_id, strategy), scores(run_id, strategy, outcome), calls(run_id, strategy, prompt_tokens, ...).
+    """
+    keys = ["run_id", "strategy"]
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    s = scores.groupBy(*keys).agg(F.count("*").alias("total"), n("correct").alias("correct_decisive"), n("incorrect").alias("incorrect_decisive"), n("inconclusive").alias("inconclusive"))
+    u = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("total_tokens"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+    x = runs.select(*keys).distinct().join(s, keys, "left").join(u, keys, "left")
+    category = F.when(F.col("total").isNull(), "evaluation_no_score").when(F.col("n_errors") > 0, "completed_with_errors").otherwise("completed")
+    return x.withColumns({"scored": F.col("total").isNotNull(), "failure_category": category, "n_calls": F.coalesce("n_calls", F.lit(0)), "total_tokens": F.coalesce("total_tokens", F.lit(0))}).drop("n_errors")
+
+
+def review_table(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """answers beside the gold text with a status for reading by hand. results(id, answer), gold(id, gold)."""
+    status = F.when(F.coalesce(F.trim("answer"), F.lit("")) == "", "no_answer").when(F.col("gold").isNull(), "no_gold").otherwise("to_review")
+    return results.join(gold, "id", "left").withColumn("status", status)

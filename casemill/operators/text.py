@@ -174,3 +174,27 @@ def lexical_match(hints: DataFrame, symbols: DataFrame) -> DataFrame:
     score = x.join(y, "w").groupBy("hint_id", "name", "nh", "ns").agg(F.count("*").alias("shared")).withColumn("score", F.round(2 * F.col("shared") / (F.col("nh") + F.col("ns")), 6))
     rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("score"), "name"))
     return score.withColumn("rank", rank).filter("rank = 1").select("hint_id", "name", "score")
+
+
+def scope_text(cited: DataFrame, retrieved: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The scope of each question: cited chunks, else retrieved ones, else the whole text, with lengths.
+
+    cited and retrieved(q_id, chunk_id), chunks(law_id, chunk_id, start, text), questions(q_id, law_id).
+    """
+    pick = cited.select("q_id", "chunk_id", F.lit("cited").alias("mode")).distinct()
+    more = retrieved.select("q_id", "chunk_id").distinct().join(pick.select("q_id").distinct(), "q_id", "left_anti").withColumn("mode", F.lit("retrieved"))
+    some = pick.unionByName(more)
+    rest = questions.join(some.select("q_id").distinct(), "q_id", "left_anti").join(chunks.select("law_id", "chunk_id"), "law_id").select("q_id", "chunk_id", F.lit("full").alias("mode"))
+    own = some.unionByName(rest).join(questions.select("q_id", "law_id"), "q_id").join(chunks, ["law_id", "chunk_id"])
+    return own.groupBy("q_id", "mode").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("scoped_length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n").alias("scoped_text"))
+
+
+def evidence_overlap(claims: DataFrame, cases: DataFrame, on: str = "doc_id") -> DataFrame:
+    """Claims without a quote: tokens shared with the case (two are enough), and the first sentence that
+    holds two of them. claims(doc_id, claim), cases(doc_id, text)."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0))
+    c = claims.select(on, words("claim").alias("cw"))
+    s = cases.select(on, F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence")).withColumn("sw", words("sentence"))
+    x = c.join(s, on).withColumn("both", F.array_intersect("cw", "sw"))
+    per = x.groupBy(on).agg(F.size(F.array_distinct(F.flatten(F.collect_list("both")))).alias("n_shared"), F.min(F.when(F.size("both") >= 2, F.col("pos"))).alias("first_sentence"))
+    return per.withColumn("supported", F.col("n_shared") >= 2)

@@ -248,6 +248,36 @@ def e21_answer_text(spark, d):
     return E.answer_text(e2_entail_boolean(spark, d))
 
 
+def c19_bind_period(spark, d):
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 5 == 0, "Which year applies?").otherwise(F.concat(F.lit("What applies in the year following "), F.col("c_custkey") % 7 + 1992, F.lit("?"))).alias("q_text"))
+    return E.bind_period(q, table(spark, d, "fx_years"))
+
+
+def d14_coerce_literals(spark, d):
+    return D.coerce_literals(D.rule_compares(_rules(spark, d)), _symbols(spark, d))
+
+
+def e5_propagate(spark, d):
+    g = C.typed_domains(_facts(spark, d), _schema(spark, d)).filter("type = 'Order'").select("case_id", F.explode(F.array(F.lit("open"), F.lit("big_order"))).alias("symbol"), F.array("entity").alias("args"))
+    return E.propagate(_closure(spark, d), g)
+
+
+def e10_relevance(spark, d):
+    edges = D.dependency_edges(D.rule_atoms(table(spark, d, "fx_rules"))).select(F.col("defined").alias("src"), F.col("used").alias("dst"))
+    targets = table(spark, d, "fx_symbols").filter("kind = 'derived'").select(F.col("name").alias("target"))
+    return E.relevance(D.closure(edges, targets), _facts(spark, d))
+
+
+def e11_explain(spark, d):
+    return E.explain(_closure(spark, d), _queries(spark, d))
+
+
+def e22_unify_results(spark, d):
+    answers = e2_entail_boolean(spark, d).withColumn("error", F.when(F.col("case_id") % 11 == 0, "timeout"))
+    routing = answers.select("q_id", "case_id", F.lit("deduction").alias("intent"), (F.col("case_id") % 7 != 0).alias("supported"))
+    return E.unify_results(routing, E.consistency(_closure(spark, d)), answers)
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "cde" and k[1:2].isdigit()}
 del settle
 
@@ -328,5 +358,17 @@ SQL = {
     "e18_credence": f"""SELECT q_id, label, CASE label WHEN 'entailed' THEN 1.0 WHEN 'contradicted' THEN 0.0 ELSE 0.7 END AS p_yes, CASE WHEN status <> 'ok' THEN 0 WHEN label = 'unknown' THEN 40 ELSE 100 END AS verdict_strength_pct, CASE label WHEN 'entailed' THEN 100 WHEN 'contradicted' THEN 0 ELSE 70 END AS credence_yes_pct, label = 'unknown' AS symbolic_inconclusive FROM (SELECT *, {_LAB} AS label FROM fx_answers)""",
     "e19_criteria_count": f"SELECT entity, period, n_exceeded, n_exceeded <= 1 AS class_holds FROM ({_YEARS})",
     "e20_consecutive_effect": f"""WITH y AS (SELECT entity, period FROM ({_YEARS}) WHERE n_exceeded > 1) SELECT b.entity, b.period + 1 AS effect_period FROM y a JOIN y b ON a.entity = b.entity AND b.period = a.period + 1""",
+    "c19_bind_period": """WITH q AS (SELECT c_custkey AS q_id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 7 + 1992 AS INT) END AS anchor FROM customer)
+ SELECT q_id, anchor, CASE WHEN y.entity IS NOT NULL THEN anchor + 1 ELSE anchor END AS period, CASE WHEN anchor IS NULL THEN 'no_anchor' WHEN y.entity IS NULL THEN 'no_successor' END AS warning FROM q LEFT JOIN fx_years y ON y.entity = q_id AND y.period = anchor + 1""",
+    "d14_coerce_literals": f"SELECT set_id, 0 AS rule, 'total_price' AS func, '250000' AS coerced, false AS lossy FROM {_SETS}",
+    "e5_propagate": f"""SELECT o_custkey AS case_id, 'open' AS symbol, concat('o', o_orderkey) AS args, CASE WHEN o_orderstatus <> 'F' THEN 'true' WHEN o_orderkey % 97 = 0 THEN 'inconsistent' ELSE 'false' END AS label FROM orders
+ UNION ALL SELECT o_custkey, 'big_order', concat('o', o_orderkey), 'true' FROM orders WHERE {_BIG}""",
+    "e10_relevance": f"""WITH r AS (SELECT * FROM (VALUES ('is_priority_customer', 'is_priority_customer'), ('is_priority_customer', 'placed_by'), ('is_priority_customer', 'big_order'), ('is_priority_customer', 'urgent'),
+ ('right_to_discount', 'right_to_discount'), ('right_to_discount', 'placed_by'), ('right_to_discount', 'is_priority_customer'), ('right_to_discount', 'open'), ('right_to_discount', 'big_order'), ('right_to_discount', 'urgent')) t(target, symbol)),
+ n AS (SELECT symbol, count(*) AS n_facts, count(DISTINCT case_id) AS n_cases FROM ({_F}) GROUP BY symbol) SELECT target, r.symbol, coalesce(n_facts, 0) AS n_facts, coalesce(n_cases, 0) AS n_cases FROM r LEFT JOIN n ON r.symbol = n.symbol""",
+    "e11_explain": f"""SELECT q_id, CASE WHEN label THEN CASE WHEN symbol = 'is_priority_customer' THEN 'rule 1' ELSE 'rule 2' END ELSE '' END AS sources, CASE WHEN label THEN CASE WHEN symbol = 'is_priority_customer' THEN 2 ELSE 3 END END AS round FROM (
+ SELECT concat('p', c_custkey) AS q_id, 'is_priority_customer' AS symbol, c_custkey IN ({_PRI}) AS label FROM customer UNION ALL SELECT concat('d', c_custkey), 'right_to_discount', c_custkey IN ({_DIS}) FROM customer)""",
+    "e22_unify_results": f"""WITH s AS (SELECT *, CASE WHEN label = 'inconsistent' THEN 'inconsistent' WHEN case_id % 7 = 0 THEN 'unsupported' WHEN case_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM ({_E2}))
+ SELECT q_id, 'deduction' AS intent, status, CASE WHEN status = 'ok' THEN label END AS label, CASE WHEN status <> 'ok' THEN CASE WHEN case_id % 11 = 0 THEN 'timeout' ELSE status END END AS warning FROM s""",
     "e21_answer_text": f"SELECT q_id, CASE label WHEN 'entailed' THEN concat('Yes: ', symbol, ' holds.') WHEN 'inconsistent' THEN 'The case contradicts itself.' ELSE concat('Open: ', symbol, ' cannot be decided.') END AS answer FROM ({_E2})",
 }

@@ -152,11 +152,27 @@ def f25_dedupe_models(spark, d):
     return S.dedupe_models(table(spark, d, "supplier").select(line.alias("line"), F.col("s_suppkey").alias("pos")))
 
 
-QUERIES = {f.__name__: f for f in (f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
+def f12_build_cells(spark, d):
+    runs = table(spark, d, "fx_calls").select("run_id", "strategy")
+    scores = _outcomes(spark, d).select(F.concat(F.lit("run_"), F.lpad((F.col("q_id") % 37).cast("string"), 3, "0")).alias("run_id"), F.concat(F.lit("strategy_"), F.col("q_id") % 4).alias("strategy"), "outcome")
+    return S.build_cells(runs, scores, table(spark, d, "fx_calls"))
+
+
+def f23_review_table(spark, d):
+    results = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.col("source")).alias("answer"))
+    gold = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("gold"))
+    return S.review_table(results, gold)
+
+
+QUERIES = {f.__name__: f for f in (f12_build_cells, f23_review_table, f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
 
 _SAID = "upper(trim(said, chr(32) || chr(9) || chr(10) || chr(13)))"
 
 SQL = {
+    "f12_build_cells": f"""WITH r AS (SELECT DISTINCT run_id, strategy FROM fx_calls), s AS (SELECT concat('run_', lpad(CAST(q_id % 37 AS VARCHAR), 3, '0')) AS run_id, concat('strategy_', q_id % 4) AS strategy, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct_decisive, count(*) FILTER (outcome = 'incorrect') AS incorrect_decisive, count(*) FILTER (outcome = 'inconclusive') AS inconclusive FROM ({_OUTCOME}) GROUP BY 1, 2),
+ u AS (SELECT run_id, strategy, count(*) AS n_calls, CAST(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens, count(error) AS n_errors FROM fx_calls GROUP BY 1, 2)
+ SELECT r.run_id, r.strategy, total, correct_decisive, incorrect_decisive, inconclusive, n_calls, total_tokens, total IS NOT NULL AS scored, CASE WHEN total IS NULL THEN 'evaluation_no_score' WHEN n_errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS failure_category FROM r LEFT JOIN s ON r.run_id = s.run_id AND r.strategy = s.strategy LEFT JOIN u ON r.run_id = u.run_id AND r.strategy = u.strategy""",
+    "f23_review_table": """SELECT d.doc_id AS id, CASE WHEN d.doc_id % 6 = 0 THEN ' ' ELSE source END AS answer, CAST(quality AS VARCHAR) AS gold, CASE WHEN d.doc_id % 6 = 0 THEN 'no_answer' WHEN quality IS NULL THEN 'no_gold' ELSE 'to_review' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "f1_normalize_label": f"SELECT doc_id, {_NORM} AS label FROM ({_WORDS})",
     "f2_parse_answer": f"""WITH c AS (SELECT conv_id, max(turn) AS turn, min(text) AS text FROM conversations GROUP BY conv_id),
  s AS (SELECT conv_id, CASE turn % 4 WHEN 0 THEN text || ' Final answer: true.' WHEN 1 THEN ' unknown ' WHEN 2 THEN 'I say FALSE' ELSE text END AS said FROM c),

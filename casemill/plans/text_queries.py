@@ -120,7 +120,15 @@ def b25_lexical_match(spark, d):
     return T.lexical_match(hints, names)
 
 
-QUERIES = {f.__name__: f for f in (b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match)}
+def b8_scope_text(spark, d):
+    return T.scope_text(_cited(spark, d), b7_keyword_topk(spark, d), T.chunk_documents(table(spark, d, "fx_laws")), table(spark, d, "fx_questions"))
+
+
+def b17_evidence_overlap(spark, d):
+    return T.evidence_overlap(_docs(spark, d).select("doc_id", F.substring("text", 50, 60).alias("claim")), _docs(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (b8_scope_text, b17_evidence_overlap, b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match)}
 
 _PARSED = """CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN regexp_extract(t, '([.,])[0-9]*$', 1) = ',' THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
  WHEN contains(t, ',') THEN CASE WHEN regexp_matches(t, '^[0-9]+(,[0-9]{3})+$') THEN replace(t, ',', '') ELSE replace(t, ',', '.') END
