@@ -15,9 +15,12 @@ the majority says; an empty table returns no rows. Columns besides id and text a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,10 @@ FALSE_ALARM = 0.001
 #: A-Z to A, a-z and non-ASCII bytes to a, digits to 0.
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
+_BARE = re.compile(rb"(?<!\S)[!-/:-@\[-`{-~]+(?!\S)")
+_TAIL = re.compile(rb"\S[^aA0\s]{2}(?!\S)")
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+
 
 def _vote(x: float, good: float, bad: float) -> int:
     """good if x is on the good side of ``good``, bad beyond ``bad``, else nothing."""
@@ -49,24 +56,22 @@ def votes(text: bytes) -> list[int]:
     n = len(words)
     if not n:
         return [BAD] * len(LABELLERS)
-    shape = np.frombuffer(text.translate(_SHAPE), np.uint8)
-    letters = max(1, int((shape == 97).sum() + (shape == 65).sum()))
-    upper = int((shape == 65).sum())
-    plain = int(np.isin(shape, np.frombuffer(b"aA0 \t\n\r\x0b\x0c", np.uint8)).sum())
-    shapes = [w.translate(_SHAPE) for w in words]
-    bare = sum(not w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in words)
-    tails = sum(len(s) > 2 and s[-1] not in b"aA0" and s[-2] not in b"aA0" for s in shapes)
-    echoes = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    long_enough = len(text) > 200
+    size = len(text)
+    shape = text.translate(_SHAPE)
+    upper, lower = shape.count(b"A"), shape.count(b"a")
+    signs = len(shape.translate(None, b"aA0 \t\n\r\x0b\x0c"))
+    bare = len(_BARE.findall(text))
+    tails = len(_TAIL.findall(shape))
+    echoes = sum(map(eq, words, islice(words, 1, None)))
     return [
-        _vote(1 - plain / len(shape), 0.06, 0.12) if len(text) >= 60 else NONE,
-        _vote(upper / letters, 0.15, 0.4) if len(text) >= 60 else NONE,
+        _vote(signs / size, 0.06, 0.12) if size >= 60 else NONE,
+        _vote(upper / max(1, upper + lower), 0.15, 0.4) if size >= 60 else NONE,
         _vote(echoes / n, 0.03, 0.12),
         _vote(len(set(words)) / n, 0.35, 0.15) if 30 <= n <= 3000 else NONE,
         _vote(bare / n, 0.02, 0.1),
-        _vote(len(text) / n - 1, 9, 14),
+        _vote(size / n - 1, 9, 14),
         _vote(tails / n, 0.03, 0.1),
-        _vote(len(zlib.compress(text, 1)) / len(text), 0.32, 0.2) if long_enough else NONE,
+        _vote(len(zlib.compress(text, 1)) / size, 0.32, 0.2) if size > 200 else NONE,
     ]
 
 
@@ -101,20 +106,31 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple
     return dict(zip(keys, p.tolist(), strict=True)), told, prior
 
 
+class _Rows(dict):
+    """Row of a word's shape, runs of more than two equal signs folded to two."""
+
+    def __missing__(self, shape: bytes) -> int:
+        row = xxhash.xxh3_64_intdigest(_RUN.sub(rb"\1\1", shape[:64])) >> 48
+        if len(self) < 100_000:
+            self[shape] = row
+        return row
+
+
+_rows = _Rows()
+
+
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and values of a text's hashed shapes: shares of its words, with repeats of the word before apart."""
+    """Rows and values of a text's hashed shapes (square roots of their shares), and of repeats of the word before."""
     words = text.split() if text else ()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    seen: Counter[bytes] = Counter()
-    before = b""
-    for w in words:
-        s = w.translate(_SHAPE)
-        s = bytes(c for i, c in enumerate(s) if i < 1 or c != s[i - 1] or (i < 2 or c != s[i - 2])) if len(s) < 64 else s[:2] + b"~" + s[-2:]
-        seen[b"=" if w == before else s] += 1
-        before = w
-    rows = np.fromiter((xxhash.xxh3_64_intdigest(s) >> 48 for s in seen), np.int64, len(seen))
-    return rows, np.sqrt(np.fromiter(seen.values(), float, len(seen)) / len(words))
+    seen: Counter[int] = Counter()
+    for shape, c in Counter(text.translate(_SHAPE).split()).items():
+        seen[_rows[shape]] += c
+    if echoes := sum(map(eq, words, islice(words, 1, None))):
+        seen[_rows[b"\x01echo"]] += echoes
+    n = len(seen)
+    return np.fromiter(seen, np.int64, n), np.sqrt(np.fromiter(seen.values(), float, n) / len(words))
 
 
 def fit_scorer(texts: list[bytes], y: np.ndarray, rounds: int = 12, rate: float = 0.5) -> np.ndarray:
