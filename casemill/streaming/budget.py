@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_usage(stream: DataFrame, *, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Calls per window and run; records later than ``late`` are dropped (append mode)."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "run_id").agg(F.count("*").alias("n_calls")).select(F.col("w.start").alias("start"), "run_id", "n_calls")
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "run_id").agg(F.count("*").alias("n_calls")).select(F.col("w.start").alias("start"), "run_id", "n_calls")
 
 
 def running_usage(stream: DataFrame, limit: int) -> DataFrame:
