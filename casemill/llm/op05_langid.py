@@ -11,7 +11,7 @@ texts; an n-gram belongs to a language if at least ``min_share`` of its document
 hold it, which bounds a language's n-grams whatever the input. Nothing but the text is read when
 predicting.
 
-Defined results: ``und`` with score 0 if a text is null, has no letter or no language was learned, or if
+Defined results: ``und`` with score 0 if a text is null, has no letter or no language was learned; score 0 if
 no language contains any of its n-grams; ties go to the language that comes first by name; documents
 without a language are not learned from; repeated rows are learned and predicted as often as they occur.
 """
@@ -151,13 +151,13 @@ def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> Da
             pred, score, known = [], [], []
             for text in b.column(text_col).cast(pa.string()):
                 g = grams(text.as_py())
-                t = f.rates(g) if len(g) and f.languages else np.zeros(1)
-                best = int(t.argmax())
-                if t[best] <= 0:
+                if not len(g) or not f.languages:
                     pred.append(UNKNOWN), score.append(0.0), known.append(0.0)
                     continue
-                second = float(np.partition(t, -2)[-2]) if len(t) > 1 else 0.0
-                pred.append(f.languages[best]), score.append(float(t[best]) / (float(t[best]) + second)), known.append(float(t[best]))
+                t = f.rates(g)
+                best = int(t.argmax())
+                top, second = float(t[best]), float(np.partition(t, -2)[-2]) if len(t) > 1 else 0.0
+                pred.append(f.languages[best]), score.append(top / (top + second) if top else 0.0), known.append(top)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*names, "lang_pred", "score", "known"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
