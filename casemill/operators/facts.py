@@ -155,3 +155,19 @@ def undeclared_symbols(usages: DataFrame, symbols: DataFrame, limit: int = 20) -
     names = usages.select("set_id", "symbol").distinct().join(symbols.select("set_id", F.col("name").alias("symbol")), ["set_id", "symbol"], "left_anti")
     w = Window.partitionBy("set_id")
     return names.withColumn("n_undeclared", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("symbol"))).filter(F.col("r") <= limit).drop("r")
+
+
+def suggest_replacements(rejected: DataFrame, symbols: DataFrame, k: int = 12, least: float = 0.04) -> DataFrame:
+    """For rejected(set_id, name) the observable symbols(set_id, name) of the set ranked by 2.5 times the Jaccard
+    similarity of the names' tokens; scores below ``least`` and all but the first k are left out."""
+    from casemill.functions.text import symbol_tokens
+
+    tokens = lambda c: F.array_distinct(symbol_tokens(F.col(c)))
+    r = rejected.select("set_id", F.col("name").alias("rejected"), tokens("name").alias("t")).distinct()
+    s = symbols.select("set_id", F.col("name").alias("suggested"), tokens("name").alias("u")).distinct()
+    a = r.select("set_id", "rejected", F.size("t").alias("nt"), F.explode("t").alias("w"))
+    b = s.select("set_id", "suggested", F.size("u").alias("nu"), F.explode("u").alias("w"))
+    both = a.join(b, ["set_id", "w"]).groupBy("set_id", "rejected", "suggested", "nt", "nu").agg(F.count("*").alias("n"))
+    score = F.round(2.5 * F.col("n") / (F.col("nt") + F.col("nu") - F.col("n")), 6)
+    rank = F.row_number().over(Window.partitionBy("set_id", "rejected").orderBy(F.desc("score"), "suggested"))
+    return both.withColumn("score", score).filter((F.col("score") >= least) & (F.col("rejected") != F.col("suggested"))).withColumn("rank", rank).filter(F.col("rank") <= k).select("set_id", "rejected", "rank", "suggested", "score")

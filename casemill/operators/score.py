@@ -278,3 +278,17 @@ def review_table(results: DataFrame, gold: DataFrame) -> DataFrame:
     """answers beside the gold text with a status for reading by hand. results(id, answer), gold(id, gold)."""
     status = F.when(F.coalesce(F.trim("answer"), F.lit("")) == "", "no_answer").when(F.col("gold").isNull(), "no_gold").otherwise("to_review")
     return results.join(gold, "id", "left").withColumn("status", status)
+
+
+def missing_score_reason(cells: DataFrame) -> DataFrame:
+    """why a finished cell has no score, first reason that fits.
+
+    cells(n_questions, n_results, has_score, n_errors, log): n_results is null without a results file.
+    """
+    log = F.lower(F.coalesce("log", F.lit("")))
+    out = F.when(F.coalesce("n_questions", F.lit(0)) == 0, "no_questions_found").when((F.col("n_results") > 0) & ~F.col("has_score"), "scoring_skipped").when(F.col("n_errors") > 0, "question_pipeline_error_before_score")
+    for phrase, reason in (("translation failed", "translation_failed"), ("case extraction failed", "case_extraction_failed"), ("law file not found", "law_file_not_found")):
+        out = out.when(log.contains(phrase), reason)
+    out = out.when(log.contains("wrote:") & log.contains("score.json"), "score_file_missing_after_reported_write")
+    out = out.when(log.contains("json ir compilation failed") | log.contains("law compilation failed"), "law_compilation_failed")
+    return cells.withColumn("reason", out.when(F.col("n_results").isNull(), "main_exited_before_scoring").otherwise("unknown"))

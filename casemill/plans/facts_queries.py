@@ -248,6 +248,11 @@ def e21_answer_text(spark, d):
     return E.answer_text(e2_entail_boolean(spark, d))
 
 
+def c13_suggest_replacements(spark, d):
+    p = table(spark, d, "part").select((F.col("p_partkey") % 20).alias("set_id"), F.regexp_replace("p_name", " ", "_").alias("name"), "p_partkey")
+    return C.suggest_replacements(p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 3 <> 0"), 4)
+
+
 def c19_bind_period(spark, d):
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("q_id"), F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 5 == 0, "Which year applies?").otherwise(F.concat(F.lit("What applies in the year following "), F.col("c_custkey") % 7 + 1992, F.lit("?"))).alias("q_text"))
     return E.bind_period(q, table(spark, d, "fx_years"))
@@ -358,6 +363,10 @@ SQL = {
     "e18_credence": f"""SELECT q_id, label, CASE label WHEN 'entailed' THEN 1.0 WHEN 'contradicted' THEN 0.0 ELSE 0.7 END AS p_yes, CASE WHEN status <> 'ok' THEN 0 WHEN label = 'unknown' THEN 40 ELSE 100 END AS verdict_strength_pct, CASE label WHEN 'entailed' THEN 100 WHEN 'contradicted' THEN 0 ELSE 70 END AS credence_yes_pct, label = 'unknown' AS symbolic_inconclusive FROM (SELECT *, {_LAB} AS label FROM fx_answers)""",
     "e19_criteria_count": f"SELECT entity, period, n_exceeded, n_exceeded <= 1 AS class_holds FROM ({_YEARS})",
     "e20_consecutive_effect": f"""WITH y AS (SELECT entity, period FROM ({_YEARS}) WHERE n_exceeded > 1) SELECT b.entity, b.period + 1 AS effect_period FROM y a JOIN y b ON a.entity = b.entity AND b.period = a.period + 1""",
+    "c13_suggest_replacements": """WITH p AS (SELECT DISTINCT p_partkey % 20 AS set_id, p_partkey % 3 = 0 AS bad, replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
+ j AS (SELECT a.set_id, a.name AS rejected, b.name AS suggested, len(list_intersect(a.t, b.t)) AS n, len(a.t) + len(b.t) AS m FROM p a JOIN p b ON a.set_id = b.set_id AND a.bad AND NOT b.bad AND a.name <> b.name),
+ s AS (SELECT *, round(2.5 * n / (m - n), 6) AS score FROM j WHERE n > 0)
+ SELECT set_id, rejected, rank, suggested, score FROM (SELECT *, row_number() OVER (PARTITION BY set_id, rejected ORDER BY score DESC, suggested) AS rank FROM s WHERE score >= 0.04) WHERE rank <= 4""",
     "c19_bind_period": """WITH q AS (SELECT c_custkey AS q_id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 7 + 1992 AS INT) END AS anchor FROM customer)
  SELECT q_id, anchor, CASE WHEN y.entity IS NOT NULL THEN anchor + 1 ELSE anchor END AS period, CASE WHEN anchor IS NULL THEN 'no_anchor' WHEN y.entity IS NULL THEN 'no_successor' END AS warning FROM q LEFT JOIN fx_years y ON y.entity = q_id AND y.period = anchor + 1""",
     "d14_coerce_literals": f"SELECT set_id, 0 AS rule, 'total_price' AS func, '250000' AS coerced, false AS lossy FROM {_SETS}",

@@ -164,11 +164,20 @@ def f23_review_table(spark, d):
     return S.review_table(results, gold)
 
 
-QUERIES = {f.__name__: f for f in (f12_build_cells, f23_review_table, f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
+def f11_missing_score_reason(spark, d):
+    k = F.col("page_id")
+    log = F.when(k % 5 == 0, "Translation failed").when(k % 5 == 1, "wrote: out/score.json").when(k % 5 == 2, "Law compilation failed").otherwise(F.col("url"))
+    cells = table(spark, d, "pages").select("page_id", (k % 4).alias("n_questions"), F.when(k % 3 > 0, k % 3 - 1).alias("n_results"), (k % 2 == 0).alias("has_score"), F.when(k % 11 == 0, 1).otherwise(0).alias("n_errors"), log.alias("log"))
+    return S.missing_score_reason(cells).select("page_id", "reason")
+
+
+QUERIES = {f.__name__: f for f in (f11_missing_score_reason, f12_build_cells, f23_review_table, f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
 
 _SAID = "upper(trim(said, chr(32) || chr(9) || chr(10) || chr(13)))"
 
 SQL = {
+    "f11_missing_score_reason": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'no_questions_found' WHEN page_id % 3 = 2 AND page_id % 2 <> 0 THEN 'scoring_skipped' WHEN page_id % 11 = 0 THEN 'question_pipeline_error_before_score'
+ WHEN page_id % 5 = 0 THEN 'translation_failed' WHEN page_id % 5 = 1 THEN 'score_file_missing_after_reported_write' WHEN page_id % 5 = 2 THEN 'law_compilation_failed' WHEN page_id % 3 = 0 THEN 'main_exited_before_scoring' ELSE 'unknown' END AS reason FROM pages""",
     "f12_build_cells": f"""WITH r AS (SELECT DISTINCT run_id, strategy FROM fx_calls), s AS (SELECT concat('run_', lpad(CAST(q_id % 37 AS VARCHAR), 3, '0')) AS run_id, concat('strategy_', q_id % 4) AS strategy, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct_decisive, count(*) FILTER (outcome = 'incorrect') AS incorrect_decisive, count(*) FILTER (outcome = 'inconclusive') AS inconclusive FROM ({_OUTCOME}) GROUP BY 1, 2),
  u AS (SELECT run_id, strategy, count(*) AS n_calls, CAST(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens, count(error) AS n_errors FROM fx_calls GROUP BY 1, 2)
  SELECT r.run_id, r.strategy, total, correct_decisive, incorrect_decisive, inconclusive, n_calls, total_tokens, total IS NOT NULL AS scored, CASE WHEN total IS NULL THEN 'evaluation_no_score' WHEN n_errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS failure_category FROM r LEFT JOIN s ON r.run_id = s.run_id AND r.strategy = s.strategy LEFT JOIN u ON r.run_id = u.run_id AND r.strategy = u.strategy""",
