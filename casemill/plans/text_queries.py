@@ -128,7 +128,16 @@ def b17_evidence_overlap(spark, d):
     return T.evidence_overlap(_docs(spark, d).select("doc_id", F.substring("text", 50, 60).alias("claim")), _docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (b8_scope_text, b17_evidence_overlap, b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match)}
+def b26_output_category(spark, d):
+    k = F.col("p_partkey")
+    head = F.when(k % 4 == 0, "is_").when(k % 4 == 1, "exceeds_threshold_").when(k % 4 == 2, "right_to_").otherwise("x_")
+    kind = F.when(k % 3 == 0, "derived").when(k % 3 == 1, "helper").otherwise("observable")
+    flag = F.when(k % 10 == 0, True).when(k % 10 == 1, False)
+    category = F.when(k % 7 == 0, "Timing ").when(k % 7 == 1, "status").otherwise("")
+    return table(spark, d, "part").select("p_partkey", C.output_category(F.concat(head, F.regexp_replace("p_name", " ", "_")), kind, flag, category).alias("category"))
+
+
+QUERIES = {f.__name__: f for f in (b26_output_category, b8_scope_text, b17_evidence_overlap, b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match)}
 
 _PARSED = """CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN regexp_extract(t, '([.,])[0-9]*$', 1) = ',' THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
  WHEN contains(t, ',') THEN CASE WHEN regexp_matches(t, '^[0-9]+(,[0-9]{3})+$') THEN replace(t, ',', '') ELSE replace(t, ',', '.') END
@@ -142,6 +151,8 @@ _CIT = """SELECT q_id, concat('1:', q_id % 40 + 1) AS article, CASE q_id % 4 WHE
 _FOLD = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 SQL = {
+    "b26_output_category": """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'effect' WHEN p_partkey % 10 = 1 THEN 'classification' WHEN p_partkey % 7 = 0 THEN 'effect' WHEN p_partkey % 7 = 1 THEN 'classification' WHEN p_partkey % 3 = 1 THEN 'intermediate'
+ WHEN p_partkey % 3 = 0 AND p_partkey % 4 = 1 THEN 'intermediate' WHEN p_partkey % 3 = 0 AND p_partkey % 4 = 2 THEN 'effect' WHEN p_partkey % 4 = 0 THEN 'classification' ELSE 'none' END AS category FROM part""",
     "b2_normalize_article": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('1.', doc_id % 40, CASE WHEN doc_id % 3 = 0 THEN '.5' ELSE '' END) ELSE concat('1:', doc_id % 40, CASE WHEN doc_id % 3 = 0 THEN ':5' ELSE '' END) END AS article FROM documents""",
     "b3_extract_citations": """WITH c AS (SELECT q_id, concat('1:', q_id % 40 + 1) AS article, CASE q_id % 4 WHEN 0 THEN 2 ELSE 1 END AS paragraph, CASE WHEN q_id % 4 = 1 THEN 2 END AS point, CASE q_id % 4 WHEN 1 THEN 0.95 ELSE 0.9 END AS confidence FROM fx_questions WHERE q_id % 4 <> 3
  UNION ALL SELECT q_id, concat('1:', q_id % 40 + 1), NULL, NULL, 0.75 FROM fx_questions WHERE q_id % 4 <> 3 UNION ALL SELECT q_id, concat('1:', q_id % 40 + 1), 1, NULL, 0.88 FROM fx_questions WHERE q_id % 4 = 1),
