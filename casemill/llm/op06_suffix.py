@@ -365,14 +365,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     often = anchor.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("h")
     wanted = spark.sparkContext.broadcast(_Filter(often, "h", filter_bits))
     ctx = cut(_contexts(src.select("kid", "cls", "text"), length, wanted))
-    groups = ctx.filter("l is not null").select("h", "d", "n", "l", "r").repartition("h").groupBy("h", "d").agg(F.sum("n").alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
-    large = cut(ctx.filter("l is not null").groupBy("h").count().filter(F.col("count") > max_group).select("h"))
-    if large.isEmpty():
-        done = _covered(groups.sortWithinPartitions("h"), length)
-    else:
-        groups = cut(groups)
-        done = _covered(groups.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h"), length)
-        done = done.union(_covered_by_counts(groups.join(large, "h", "left_semi"), length))
+    # anchors with very many contexts: at most one in max_group rows, so that Spark sends the table to the
+    # contexts where it is small, and contexts are shuffled once
+    parts = ctx.filter("l is not null").select("h", "d", "n", "l", "r")
+    large = cut(parts.groupBy("h").count().filter(F.col("count") > max_group).select("h"))
+    whole = [F.sum("n").alias("n"), F.max("l").alias("l"), F.max("r").alias("r")]
+    done = _covered(parts.join(large, "h", "left_anti").repartition("h").groupBy("h", "d").agg(*whole).sortWithinPartitions("h"), length)
+    if not large.isEmpty():
+        done = done.union(_covered_by_counts(cut(parts.join(large, "h", "left_semi").groupBy("h", "d").agg(*whole)), length))
     spans = cut(ctx.select("kid", "cls", "h", "p", "d").join(done, ["h", "d"]).groupBy("kid", "cls").agg(F.collect_list(F.struct((F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("after")).alias("e"))).alias("spans")))
     changing = _Filter(spans.select(F.xxhash64("kid", "cls").alias("k")), "k", filter_bits - 3)
     admitted = _admitted(src.select("kid", "cls", "text", F.xxhash64("kid", "cls").alias("k")), spark.sparkContext.broadcast(changing))
@@ -395,16 +395,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     changed = admitted.join(spans, ["kid", "cls"]).mapInArrow(remove, "kid long, cls long, removed long, rest_sha string, kept binary, merged array<struct<start:bigint,end:bigint>>").dropDuplicates(["kid", "cls"])
     joined = info.join(changed, ["kid", "cls"], "left")
-    whole = F.col("copies") > 1
+    copied = F.col("copies") > 1
     return joined.select(
         "doc_id",
         F.col("cls").alias("text_hash"),
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce(F.size("merged"), F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.col("merged")).alias("spans"),
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copied, 1).otherwise(F.coalesce(F.size("merged"), F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copied, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
+        F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(copied, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.col("merged")).alias("spans"),
     )
 
 
