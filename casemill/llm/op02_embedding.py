@@ -1,15 +1,16 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass orders the vectors of a label lexicographically by 62 concatenated random hyperplane hashes and
-compares every vector with a bounded window of neighbours in that order; what the passes verify is united.
-
-* Gathering passes: a vector within half the linking angle of a recent leader joins it, whatever the
-  group's size; a group's radius is kept as a bound on its members' angles. Any two members are linked
-  (triangle inequality on angles), so that a group of a million near copies is one row afterwards and its
-  links are counted, not listed.
-* Linking passes: leaders are compared with the ``window`` leaders that follow. The angle of two leaders and
-  both radii decide: all members linked, none, or members to be compared. The last are compared block by
-  block as matrices.
+"""Embedding near-duplicates by random hyperplane tables whose buckets are compared whole.
+
+* Gathering passes order the vectors of a label by 62 concatenated random hyperplane hashes: a vector within an
+  eighth of the linking angle of a recent leader joins it, whatever the group's size; a group's radius is kept as
+  a bound on its members' angles. Any two members are linked (triangle inequality on angles), so that a group of a
+  million near copies is one row afterwards and its links are counted, not listed.
+* Tables: the leaders of a label and dimension are dealt into buckets by the bits of a table, and all pairs of a
+  bucket are compared, block by block where it is large. Bits and number of tables follow from the number of
+  leaders, so that a pair at the threshold meets in a table with the stated recall, however dense the label is; up to
+  some ten thousand leaders there is one bucket and nothing is missed. A pair counts in the first table it meets
+  in, so that links are summed up where they are found and not listed either.
+* The angle of two leaders and both radii decide: all members linked, none, or members to be compared. The last
+  are compared block by block as matrices.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a
 label, link with nothing; vectors of different dimension never link; every row is a vector of its own, also
@@ -18,6 +19,7 @@ when its id repeats; equal vectors are links like any others; an empty table ret
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import cut, table
+from casemill.llm.common import cut, small_batches, table
 from casemill.llm.components import components
 from casemill.llm.vectors import matrix, numbered
 
 HASHES = 62
 SLACK = 1e-7  # radians, kept from every bound
+#: What sending a vector to one more table costs, in comparisons of two vectors.
+SENDING = 4000
+#: Most bytes of vectors in a block.
+BLOCK_BYTES = 1 << 21
 LEADERS = "rid long, label long, dim int, unit array<double>, radius double, weight long"
 
 
@@ -40,8 +46,8 @@ def hash_keys(unit: np.ndarray, seed: int) -> np.ndarray:
     return ((unit @ planes > 0).astype(np.int64) << np.arange(HASHES - 1, -1, -1, dtype=np.int64)).sum(1)
 
 
-def _keyed(leaders: DataFrame, seeds: list[int]) -> DataFrame:
-    """Each leader once for each pass, with its key."""
+def _keyed(leaders: DataFrame, seed: int) -> DataFrame:
+    """Leaders in the order of a pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,13 +55,12 @@ def _keyed(leaders: DataFrame, seeds: list[int]) -> DataFrame:
             for d in np.unique(dims):
                 own = b.filter(pa.array(dims == d))
                 unit = matrix(own.column("unit"))
-                for s in seeds:
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(unit), s, np.int32)), pa.array(hash_keys(unit, s))], names=[*own.schema.names, "pass", "key"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hash_keys(unit, seed))], names=[*own.schema.names, "key"])
 
-    return leaders.mapInArrow(run, f"{LEADERS}, pass int, key long").repartitionByRange("pass", "label", "dim", "key", "rid").sortWithinPartitions("pass", "label", "dim", "key", "rid")
+    return leaders.mapInArrow(run, f"{LEADERS}, key long").repartitionByRange("label", "dim", "key", "rid").sortWithinPartitions("label", "dim", "key", "rid")
 
 
-def _gather(leaders: DataFrame, seed: int, half: float, window: int) -> DataFrame:
+def _gather(leaders: DataFrame, seed: int, limit: float, window: int) -> DataFrame:
     """One gathering pass: leaders that stay (into null) and those that joined another (into its rid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +80,7 @@ def _gather(leaders: DataFrame, seed: int, half: float, window: int) -> DataFram
                 if rows:
                     angle = np.arccos(np.clip(held[: len(rows)] @ u, -1.0, 1.0))
                     k = int(angle.argmin())
-                    if angle[k] + radius[i] <= half - SLACK:
+                    if angle[k] + radius[i] <= limit - SLACK:
                         rows[k][4] = max(rows[k][4], float(angle[k]) + radius[i])
                         rows[k][5] += weight[i]
                         out.append([rid[i], label[i], dim[i], [], radius[i], weight[i], rows[k][0]])
@@ -97,55 +102,139 @@ def _gather(leaders: DataFrame, seed: int, half: float, window: int) -> DataFram
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["rid", "label", "dim", "unit", "radius", "weight", "into"])
 
-    return _keyed(leaders, [seed]).drop("pass", "key").mapInArrow(run, f"{LEADERS}, into long")
+    return _keyed(leaders, seed).drop("key").mapInArrow(run, f"{LEADERS}, into long")
+
+
+def tables_for(n: int, angle: float, recall: float, sending: float = SENDING) -> tuple[int, int]:
+    """Bits of a bucket and number of tables in which two of ``n`` vectors at ``angle`` meet with probability ``recall``,
+    by the least cost of sending and comparing."""
+
+    def tables(bits: int) -> int:
+        return max(1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - angle / math.pi) ** bits)))) if bits else 1
+
+    bits = min(range(HASHES + 1), key=lambda b: tables(b) * (sending + n / 2**b / 2))
+    return bits, tables(bits)
+
+
+def forest(hit: np.ndarray) -> np.ndarray:
+    """Rows and columns of as many hits as connect what all hits connect."""
+    rows, cols, out = hit.any(1), hit.any(0), []
+    for first in np.flatnonzero(rows):
+        if not rows[first]:
+            continue
+        rows[first], stack = False, [first]
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(hit[i] & cols)
+            cols[found] = False
+            for j in found:
+                more = np.flatnonzero(hit[:, j] & rows)
+                rows[more] = False
+                out.append((i, j))
+                out += [(k, j) for k in more]
+                stack += more.tolist()
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _hashed(leaders: DataFrame, theta: float, recall: float, sending: float) -> DataFrame:
+    """Leaders with their bucket in each table of their label and dimension."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, r = b.column("n").to_pylist(), b.column("r").to_pylist()
+            plan = [tables_for(k, min(theta + 2 * x, math.pi / 2), recall, sending) for k, x in zip(n, r, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("dim"), *(pa.array([p[i] for p in plan], pa.int32()) for i in (0, 1))], names=["label", "dim", "bits", "tables"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = np.stack([b.column(c).to_numpy() for c in ("dim", "bits", "tables")], 1)
+            for dim, bits, tables in np.unique(kind, axis=0).tolist():
+                own = b.filter(pa.array((kind == (dim, bits, tables)).all(1)))
+                unit = matrix(own.column("unit"))
+                keys = np.stack([hash_keys(unit, s) >> (HASHES - bits) for s in range(tables)], 1)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("rid", "label", "dim", "unit", "radius", "weight")), keys], names=["rid", "label", "dim", "unit", "radius", "weight", "keys"])
+
+    plan = leaders.groupBy("label", "dim").agg(F.count("*").alias("n"), F.max("radius").alias("r")).mapInArrow(choose, "label long, dim int, bits int, tables int")
+    return leaders.join(plan, ["label", "dim"]).mapInArrow(run, f"{LEADERS}, keys array<long>")
 
 
-def _near(leaders: DataFrame, seeds: list[int], cosine: float, window: int) -> DataFrame:
-    """Pairs of leaders that may have linked members: a, b, wa, wb, whole (all members are linked)."""
+def _near(leaders: DataFrame, cosine: float, recall: float, sending: float) -> DataFrame:
+    """What the tables find, as rows of three kinds: ``links`` (a leader's linked rows in n), ``edge`` (two leaders all of
+    whose members are linked; enough of them to connect what is linked) and ``part`` (two leaders some of whose
+    members may be linked)."""
     theta = float(np.arccos(cosine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
+        at, held = None, []
         for b in batches:
-            t = pa.Table.from_batches([b])
-            old = tail.num_rows if tail is not None else 0
-            t = pa.concat_tables([tail, t]).combine_chunks() if old else t
-            key = np.stack([t.column(c).to_numpy() for c in ("pass", "label", "dim")], 1)
+            group = np.stack([b.column(c).to_numpy() for c in ("label", "dim", "t", "key", "i", "j")], 1)
             start = 0
-            for end in [*(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), t.num_rows]:
-                if end > old:
-                    yield from compare(t.slice(start, end - start), max(0, old - start))
+            for end in [*(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), b.num_rows]:
+                if start < end:
+                    if at != (now := tuple(group[start].tolist())):
+                        if held:
+                            yield compare(pa.Table.from_batches(held).combine_chunks(), at)
+                        at, held = now, []
+                    held.append(b.slice(start, end - start))
                 start = end
-            tail = t.slice(max(0, t.num_rows - window))
-
-    def compare(t: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
-        """All pairs up to ``window`` apart whose second is not among the first ``old`` rows."""
-        unit = matrix(t.column("unit"))
-        rid, radius, weight = (t.column(c).to_numpy() for c in ("rid", "radius", "weight"))
-        for s in range(old, len(unit), 128):
-            lo, e = max(0, s - window), min(len(unit), s + 128)
-            c = unit[s:e] @ unit[lo:e].T
-            i, j = np.nonzero(c >= np.cos(np.minimum(np.pi, theta + radius[s:e, None] + radius[None, lo:e] + SLACK)))
-            x, y = i + s, j + lo
-            m = (y < x) & (x - y <= window)
-            x, y, c = x[m], y[m], c[i[m], j[m]]
-            point = (radius[x] == 0) & (radius[y] == 0)
-            m = ~point | (c >= cosine)
-            x, y, c, point = x[m], y[m], c[m], point[m]
-            whole = point | (np.arccos(np.clip(c, -1, 1)) + radius[x] + radius[y] <= theta - SLACK)
-            a, z = np.where(rid[x] < rid[y], x, y), np.where(rid[x] < rid[y], y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rid[a], rid[z], weight[a], weight[z], whole)], names=["a", "b", "wa", "wb", "whole"])
-
-    return _keyed(leaders, seeds).mapInArrow(run, "a long, b long, wa long, wb long, whole boolean").distinct()
-
-
-def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, gathering: int = 4, linking: int = 16, window: int = 48, block: int = 256) -> DataFrame:
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks(), at)
+
+    def compare(rows: pa.Table, at: tuple[int, ...]) -> pa.RecordBatch:
+        t, i, j = at[2], at[4], at[5]
+        unit, keys = matrix(rows.column("unit")), matrix(rows.column("keys"))[:, :t]
+        rid, radius, weight, blk = (rows.column(c).to_numpy() for c in ("rid", "radius", "weight", "blk"))
+        x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        hit = np.zeros((len(x), len(y)), bool)
+        part, least = [], math.cos(min(math.pi, theta + radius[x].max(initial=0) + radius[y].max(initial=0) + SLACK))
+        for s in range(0, len(x), 256):
+            own = x[s : s + 256]
+            c = unit[own] @ unit[y].T
+            near = c >= least
+            if i == j:
+                near &= own[:, None] < y[None, :]
+            if not near.any():
+                continue
+            for k in range(t):
+                near &= keys[own, k][:, None] != keys[y, k][None, :]
+            p, q = np.nonzero(near)
+            c, rp, rq = c[p, q], radius[own[p]], radius[y[q]]
+            point = (rp == 0) & (rq == 0)
+            whole = np.where(point, c >= cosine, np.arccos(np.clip(c, -1, 1)) + rp + rq <= theta - SLACK)
+            hit[p[whole] + s, q[whole]] = True
+            some = ~point & ~whole & (c >= np.cos(np.minimum(math.pi, theta + rp + rq + SLACK)))
+            part.append(np.stack([own[p[some]], y[q[some]]], 1))
+        a, b = (g[k] for g, k in zip((x, y), np.nonzero(hit), strict=True))
+        n = np.bincount(a, weight[b], len(rid)) + np.bincount(b, weight[a], len(rid))
+        linked, tree = np.flatnonzero(n), forest(hit)
+        tree = np.stack([x[tree[:, 0]], y[tree[:, 1]]], 1)
+        part = np.concatenate([np.empty((0, 2), np.int64), *part])
+        zero = np.zeros(len(linked), np.int64)
+        ends = [np.concatenate([f(rid[e], axis=1) for e in (tree, part)]) for f in (np.min, np.max)]
+        kinds = ["links"] * len(linked) + ["edge"] * len(tree) + ["part"] * len(part)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(v) for v in (np.concatenate([rid[linked], ends[0]]), np.concatenate([zero, ends[1]]), np.concatenate([n[linked].astype(np.int64), np.zeros(len(ends[0]), np.int64)])))], names=["kind", "a", "b", "n"])
+
+    hashed = cut(_hashed(leaders, theta, recall, sending))
+    bucket = ["label", "dim", "t", "key"]
+    member = hashed.select("rid", "label", "dim", F.posexplode("keys").alias("t", "key"))
+    full = member.groupBy(*bucket).agg(F.count("*").alias("m")).filter("m > 1")
+    n_blocks = F.ceil(F.col("m") / F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / 8 / F.col("dim")))).cast("int")
+    placed = member.join(full, bucket).groupBy("rid").agg(F.collect_list(F.struct("t", "key", n_blocks.alias("blocks"))).alias("at"))
+    sent = hashed.join(placed, "rid").withColumn("at", F.explode("at")).select("rid", "label", "dim", "unit", "radius", "weight", "keys", "at.*").withColumn("blk", F.pmod(F.xxhash64("rid", "t"), "blocks").cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("blocks", "other")
+    pairs = [*bucket, "i", "j"]
+    return sent.repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(run, "kind string, a long, b long, n long")
+
+
+def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, gathering: int = 4, window: int = 48, recall: float = 0.999, sending: float = SENDING, block: int = 256) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    A pass misses a pair that is more than ``window`` places apart in its order; for pairs at the threshold
-    the passes are independent draws. More passes or wider windows raise the recall of dense labels.
+    A pair at the threshold is found with probability ``recall``, a closer one with more; labels of some ten thousand
+    leaders are compared whole.
     """
-    half = float(np.arccos(cosine)) / 2
+    small_batches(df.sparkSession)
+    limit = float(np.arccos(cosine)) / 8
     rows = cut(numbered(df, id_col, vec_col, F.col(label_col).cast("long").alias("label")))
     good = rows.filter("ok and label is not null")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
@@ -153,19 +242,19 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     leaders = unit.withColumn("radius", F.lit(0.0)).withColumn("weight", F.lit(1).cast("long"))
     member = good.select("rid", F.col("rid").alias("lead"))
     for p in range(gathering):
-        passed = cut(_gather(leaders, 100 + p, half, window))
+        passed = cut(_gather(leaders, 100 + p, limit, window))
         leaders = passed.filter("into is null").drop("into")
         moved = passed.filter("into is not null").select(F.col("rid").alias("lead"), "into")
         member = member.join(moved, "lead", "left").select("rid", F.coalesce("into", "lead").alias("lead"))
     member = cut(member)
-    near = cut(_near(leaders, list(range(linking)), cosine, window))
-    sure = near.filter("whole")
-    ends = lambda d: d.select(F.col("a").alias("lead"), F.col("wb").alias("n")).union(d.select("b", "wa"))
-    by_lead = ends(sure).groupBy("lead").agg(F.sum("n").alias("n"))
+    near = cut(_near(leaders, cosine, recall, sending))
+    sure = near.filter("kind = 'edge'").select("a", "b")
+    by_lead = near.filter("kind = 'links'").select(F.col("a").alias("lead"), "n").groupBy("lead").agg(F.sum("n").alias("n"))
 
     # members of groups that reach each other in part are compared in blocks
-    part = near.filter("not whole").select("a", "b", "wa", "wb")
-    size = ends(part).select("lead").distinct().join(leaders.select(F.col("rid").alias("lead"), "weight"), "lead")
+    ends = lambda d: d.select(F.col("a").alias("lead")).union(d.select("b"))
+    part = near.filter("kind = 'part'").select("a", "b")
+    size = ends(part).distinct().join(leaders.select(F.col("rid").alias("lead"), "weight"), "lead")
     inside = member.join(size, "lead").withColumn("blk", F.pmod(F.xxhash64("rid"), F.ceil(F.col("weight") / block)))
     blocks = inside.join(unit.select("rid", "unit"), "rid").groupBy("lead", "blk").agg(F.collect_list(F.struct("rid", "unit")).alias("m"))
     both = part.join(blocks.select(F.col("lead").alias("a"), F.col("m").alias("x")), "a").join(blocks.select(F.col("lead").alias("b"), F.col("m").alias("y")), "b").select("a", "b", "x", "y")
@@ -186,7 +275,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
 
     mixed = cut(both.mapInArrow(compare, "a long, b long, rid long, n long"))
     by_row = mixed.groupBy("rid").agg(F.sum("n").alias("m"))
-    comp = components(sure.select("a", "b").union(mixed.select("a", "b").distinct()))
+    comp = components(sure.union(mixed.select("a", "b").distinct()))
     linked = member.join(comp.withColumnRenamed("node", "lead"), "lead", "left").withColumn("comp", F.coalesce("component", "lead"))
     linked = linked.join(leaders.select(F.col("rid").alias("lead"), "weight"), "lead").join(by_lead, "lead", "left").join(by_row, "rid", "left").join(rows.select("rid", "id"), "rid")
     linked = linked.select("rid", "comp", (F.col("weight") - 1 + F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long").alias("n_links"), "id")
