@@ -8,15 +8,17 @@ query agrees with it in at least one of the m substrings up to floor(r / m) bits
 distance in every index retrieves every code within r. Retrieved codes are checked against r in full and
 reranked by exact inner products of the original vectors.
 
-The rotation and the radius are fitted on a bounded sample (``sample`` rows by a hash of the row); the
-radius is the distance within which the sample's own nearest neighbours lie for a ``recall`` share. All rows are
-indexed. Rows are dealt into blocks of about ``block`` and queries into blocks too: a task meets one block of
+The largest norm is that of all rows. The rotation and the radius are fitted on a bounded sample (``sample`` rows
+by a hash of the row); the radius is the distance within which the sample's own nearest neighbours lie for a
+``recall`` share. A query that finds fewer than k within it, or whose k best lie so near to the radius that others
+may lie beyond (mean and ``SAFE`` deviations of their distances), is searched again at radius 64, which is every
+row. All rows are indexed. Rows are dealt into blocks of about ``block`` and queries into blocks too: a task meets one block of
 each, and returns the best k of each query from its block.
 
 Defined results: vectors that are null, empty, zero, non-finite in a component, or of another than the most
 frequent dimension take no part, neither as queries nor as candidates; every row is a vector of its own,
-also when ids repeat; ties in the score go to the smaller id; a query with fewer candidates than k returns all
-it found; an empty table returns no rows.
+also when ids repeat; ties in the score go to the smaller id; a query returns fewer than k rows only if there are
+fewer candidates, and then all of them; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from casemill.llm.common import cut, table
 from casemill.llm.vectors import matrix, numbered
 
 BITS, PARTS = 64, 8
+#: Deviations by which the distances of a query's k best must stay below the radius.
+SAFE = 3.0
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: distance of any two substrings of 8 bits
 _APART = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
@@ -58,9 +62,9 @@ class Coder:
         return np.packbits((self.lift(x, query) - self.centre) @ self.axes > 0, axis=1)
 
 
-def fit(x: np.ndarray, *, k: int, recall: float, rounds: int = 30, probes: int = 300) -> Coder:
-    """Learn the rotation and the radius from a sample of vectors."""
-    norm = float(np.linalg.norm(x, axis=1).max()) * 1.000001
+def fit(x: np.ndarray, *, norm: float, k: int, recall: float, rounds: int = 30, probes: int = 300) -> Coder:
+    """Learn the rotation and the radius from a sample of vectors; no vector is longer than ``norm``."""
+    norm *= 1.000001
     coder = Coder(norm, np.zeros(x.shape[1] + 1), np.zeros((x.shape[1] + 1, BITS)))
     y = coder.lift(x, False)
     coder.centre = y.mean(0)
@@ -101,7 +105,23 @@ class Block:
         for p in range(1, PARTS):
             found |= self.index[p][code[p]]
         rows = np.flatnonzero(found)
-        rows = rows[_POP[self.codes[rows] ^ code].sum(1, dtype=int) <= self.coder.radius]
+        rows = rows[self.far(rows, code) <= self.coder.radius]
+        return self.best(rows, rid, q, k)
+
+    def far(self, rows: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hamming distances of rows."""
+        return _POP[self.codes[rows] ^ code].sum(1, dtype=int)
+
+    def scan(self, rid: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and scores of the best k of each query among all rows: the search at radius 64."""
+        for s in range(0, len(q), 128):
+            score = q[s : s + 128] @ self.x.T
+            least = np.partition(score, -min(k + 1, len(self.x)), axis=1)[:, -min(k + 1, len(self.x))]
+            least -= 1e-9 * np.abs(score).max(1)
+            for j, row in enumerate(score):
+                yield self.best(np.flatnonzero(row >= least[j]), rid[s + j], q[s + j], k)
+
+    def best(self, rows: np.ndarray, rid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.rid[rows] != rid]
         score = self.x[rows] @ q
         if len(rows) > k:
@@ -122,35 +142,49 @@ def nearest(df: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col:
         return spark.createDataFrame([], empty)
     n = dims["count"]
     rows = rows.filter(F.col("dim") == dims["dim"]).select("rid", "id", "vec")
+    longest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)))).first()[0]
     place = F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     x = matrix(rows.filter(place < min(1.0, sample / n)).select("vec").toArrow().column("vec"))
     if len(x) < 2:
         x = matrix(rows.select("vec").limit(2).toArrow().column("vec"))
-    coder = spark.sparkContext.broadcast(fit(x, k=k, recall=recall))
+    coder = spark.sparkContext.broadcast(fit(x, norm=longest, k=k, recall=recall))
     n_blocks = -(-n // block)
     packed = lambda d, m, name: d.groupBy(F.pmod(F.xxhash64("rid"), F.lit(m)).cast("int").alias(name)).agg(F.collect_list(F.struct("rid", "id", "vec")).alias(name + "_rows"))
     asked = rows.filter(queries)
     b = packed(rows, n_blocks, "b")
-    q = packed(asked, max(1, -(-asked.count() // query_block)), "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("b")[i].as_py() != held:
-                    held, r = batch.column("b")[i].as_py(), batch.column("b_rows")[i].values
-                    index = Block(r.field("rid").to_numpy(), r.field("id").to_numpy(zero_copy_only=False), matrix(r.field("vec")), coder.value)
-                r = batch.column("q_rows")[i].values
-                rid, ids, vec = r.field("rid").to_numpy(), r.field("id").to_numpy(zero_copy_only=False), matrix(r.field("vec"))
-                codes, out = coder.value.codes(vec, True), []
-                for j in range(len(rid)):
-                    at, score = index.search(rid[j], vec[j], codes[j], k)
-                    out.append((np.full(len(at), rid[j]), np.full(len(at), ids[j]), index.ids[at], score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rid", "query_id", "vec_id", "score"])
-
-    found = b.join(q, "b").select("b", "b_rows", "q_rows").mapInArrow(run, "rid long, query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ["rid", "query_id", "vec_id", "score", "far"]
+
+    def search(asked: DataFrame, whole: bool) -> DataFrame:
+        """The k best of each query, with their Hamming distances; ``whole``: among all rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, index = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if batch.column("b")[i].as_py() != held:
+                        held, r = batch.column("b")[i].as_py(), batch.column("b_rows")[i].values
+                        index = Block(r.field("rid").to_numpy(), r.field("id").to_numpy(zero_copy_only=False), matrix(r.field("vec")), coder.value)
+                    r = batch.column("q_rows")[i].values
+                    rid, ids, vec = r.field("rid").to_numpy(), r.field("id").to_numpy(zero_copy_only=False), matrix(r.field("vec"))
+                    codes, out = coder.value.codes(vec, True), []
+                    found = index.scan(rid, vec, k) if whole else (index.search(rid[j], vec[j], codes[j], k) for j in range(len(rid)))
+                    for j, (at, score) in enumerate(found):
+                        out.append((np.full(len(at), rid[j]), np.full(len(at), ids[j]), index.ids[at], score, index.far(at, codes[j])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=columns)
+
+        q = packed(asked, max(1, -(-asked.count() // query_block)), "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        found = b.join(q, "b").select("b", "b_rows", "q_rows").mapInArrow(run, "rid long, query_id long, vec_id long, score double, far long")
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")))
+        return ranked.filter(F.col("rank") <= k)
+
+    radius = coder.value.radius
+    result = search(asked, radius >= BITS)
+    if radius < BITS:
+        first = cut(result)
+        safe = cut(first.groupBy("rid").agg(F.count("*").alias("n"), (F.mean("far") + SAFE * F.stddev_pop("far")).alias("reach")).filter((F.col("n") >= k) & (F.col("reach") <= radius)).select("rid"))
+        again = search(asked.join(safe, "rid", "left_anti").select(asked.columns), True)
+        result = first.join(safe, "rid", "left_semi").select(again.columns).unionByName(again)
+    return result.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
