@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a
 table with the columns of ``documents`` (the last returns packed pieces). Null ids and texts are carried
-by each operator as its module defines; a document without text is rejected by the first stage.
+by each operator as its module defines; near duplicates are found among rows, whatever their ids; a document
+without text is rejected by the first stage.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (5-word shingles, Jaccard of at least 0.8)."""
     del spark, sf_dir
-    kept = op08_minhash.near_duplicates(docs, width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = op08_minhash.near_duplicates(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    # the least id stays; rows without one come last, and the text decides before the place in the table does
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    kept = groups.join(rows.select("_row", order.alias("order")), "_row").groupBy("component_id").agg(F.min_by("_row", "order").alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
