@@ -4,7 +4,8 @@ Eight labellers vote good, bad or nothing on a text from its whole content. How
 given the true class is unknown; expectation maximisation over the counts of vote patterns (at most 3**8 rows)
 estimates it together with the share of good texts (bad votes on good texts are bounded by
 ``FALSE_ALARM``), and gives every pattern a posterior. The posteriors
-are soft labels for a logistic scorer on hashed word shapes (letters, digits and runs folded), fitted in one task
+are soft labels for a logistic scorer on hashed word shapes (letters, digits and runs folded; words over ``LONG``
+bytes also give windows that cover all of their shape, so that texts without white space are read whole), fitted in one task
 on a bounded sample (``max_docs`` documents by a hash of their ids) and applied to every text. No human label is
 used.
 
@@ -35,6 +36,10 @@ LABELLERS = ("symbols", "capitals", "echoes", "variety", "bare signs", "word len
 GOOD, BAD, NONE = 1, 0, 2
 #: Highest rate of bad votes on good texts.
 FALSE_ALARM = 0.001
+#: Words of a text among which repeats are counted; longer texts are dealt into blocks of at most so many.
+SPAN = 3000
+#: Bytes beyond which a word gives windows of its shape too, their width and step.
+LONG, WIDTH, STEP = 64, 8, 4
 #: A-Z to A, a-z and non-ASCII bytes to a, digits to 0.
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -50,6 +55,12 @@ def _vote(x: float, good: float, bad: float) -> int:
     return GOOD if x >= good else BAD if x <= bad else NONE
 
 
+def variety(words: list[bytes]) -> float:
+    """Share of distinct words within consecutive blocks."""
+    step = -(-len(words) // -(-len(words) // SPAN))
+    return sum(len(set(words[i : i + step])) for i in range(0, len(words), step)) / len(words)
+
+
 def votes(text: bytes) -> list[int]:
     """One vote for each labeller."""
     words = text.split()
@@ -67,7 +78,7 @@ def votes(text: bytes) -> list[int]:
         _vote(signs / size, 0.06, 0.12) if size >= 60 else NONE,
         _vote(upper / max(1, upper + lower), 0.15, 0.4) if size >= 60 else NONE,
         _vote(echoes / n, 0.03, 0.12),
-        _vote(len(set(words)) / n, 0.35, 0.15) if 30 <= n <= 3000 else NONE,
+        _vote(variety(words), 0.35, 0.15) if n >= 30 else NONE,
         _vote(bare / n, 0.02, 0.1),
         _vote(size / n - 1, 9, 14),
         _vote(tails / n, 0.03, 0.1),
@@ -110,8 +121,8 @@ class _Rows(dict):
     """Row of a word's shape, runs of more than two equal signs folded to two."""
 
     def __missing__(self, shape: bytes) -> int:
-        row = xxhash.xxh3_64_intdigest(_RUN.sub(rb"\1\1", shape[:64])) >> 48
-        if len(self) < 100_000:
+        row = xxhash.xxh3_64_intdigest(_RUN.sub(rb"\1\1", shape)) >> 48
+        if len(self) < 100_000 and len(shape) <= LONG:
             self[shape] = row
         return row
 
@@ -125,12 +136,19 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.empty(0, np.int64), np.empty(0)
     seen: Counter[int] = Counter()
+    size = len(words)
     for shape, c in Counter(text.translate(_SHAPE).split()).items():
         seen[_rows[shape]] += c
+        if len(shape) > LONG:
+            folded = _RUN.sub(rb"\1\1", shape)
+            starts = range(0, max(1, len(folded) - WIDTH + STEP), STEP)
+            size += c * len(starts)
+            for w, m in Counter(folded[i : i + WIDTH] for i in starts).items():
+                seen[_rows[b"\x02" + w]] += c * m
     if echoes := sum(map(eq, words, islice(words, 1, None))):
         seen[_rows[b"\x01echo"]] += echoes
     n = len(seen)
-    return np.fromiter(seen, np.int64, n), np.sqrt(np.fromiter(seen.values(), float, n) / len(words))
+    return np.fromiter(seen, np.int64, n), np.sqrt(np.fromiter(seen.values(), float, n) / size)
 
 
 def fit_scorer(texts: list[bytes], y: np.ndarray, rounds: int = 12, rate: float = 0.5) -> np.ndarray:
