@@ -1,30 +1,38 @@
 """Exact removal of long repeated substrings with a sampled, partitioned enhanced suffix array.
 
 A repeated string of ``length`` bytes must be found wherever it starts, without sorting every suffix of
-the corpus. Each window of that length has an anchor: the place of its least hashed ``gram``-byte string.
+the corpus. Each window of that length has an anchor: the place of its least hashed ``GRAM``-byte string.
 Equal windows have equal anchors, so that
 
-1. one pass over the texts emits the anchors of all windows (about one place in 90 bytes);
-2. anchors whose hash occurs at another place too are candidates. They go into a bit table of fixed size
-   (``2**filter_bits`` bits, broadcast) that lets a second scan of the texts emit the contexts of candidates
-   alone, without moving any text; what the table admits wrongly finds no partner and is dropped;
-3. suffixes that start at candidate anchors are grouped by the anchor's hash. A group gets a suffix array
-   (suffixes sorted by what follows the anchor, with common-prefix lengths) and the same for what precedes
-   it, read backwards. A stack scan of the common-prefix lengths walks the interval tree; in each interval
-   the suffixes are split where their left contexts part, so that each run of at least two is a repeat with
-   all its occurrences, which neither a byte to the right (interval) nor to the left (run) extends.
+1. one pass over the texts emits the anchors of all windows (about one in 77 bytes), each with a digest of its
+   context: what a window through the anchor can reach. Contexts that a batch holds twice are settled on the spot
+   and leave as one row. The others are shuffled once, by the anchor's hash: a context that occurs at
+   another place is repeated as a whole, an anchor that occurs once is done, and only anchors with different
+   contexts remain, one place for each context;
+2. these places meet their texts in a join, and their contexts are cut;
+3. contexts are grouped by anchor. A group gets a suffix array (suffixes sorted by what follows the anchor,
+   with common-prefix lengths) and the same for what precedes it, read backwards. A stack scan of the
+   common-prefix lengths walks the interval tree; in each interval the suffixes are split where their left
+   contexts part, so that each run of at least two is a repeat with all its occurrences, which neither a
+   byte to the right (interval) nor to the left (run) extends.
 
 Every window is compared through its own anchor, hence the union of the repeats of at least ``length``
 bytes is exactly the set of bytes covered by repeated windows. Contexts reach ``length`` bytes from the
-anchor; longer repeats are the union of their anchors' pieces. Equal contexts are one suffix with a count,
-and exact copies of a document are represented by one of them, so that hot passages shrink before the
-shuffle. Anchors that keep more than ``max_group`` different contexts are not settled in one task: their suffix
-arrays, one for what follows and one for what precedes, are sorted over many tasks, the common-prefix lengths
-with neighbours bound what a context can share, and the few windows within those bounds are counted by hash.
+anchor; longer repeats are the union of their anchors' pieces.
+
+No group needs one task for all its contexts. Anchors that are hot in a sample are salted by the digest, which
+keeps equal contexts together. A group of more than ``max_group`` contexts is cut by prefixes, as a suffix array
+is cut over tasks: windows that start between a and b bytes before the anchor need the same b' = length - b bytes
+behind it and the same a bytes before it, so that the contexts that agree in both form a smaller group with an interval
+tree of its own. Ranges are halved until groups are small; a range of one start is one repeat, which is counted.
+
+Before texts are shuffled, a bit table of at most ``FILTER_BITS`` bits (broadcast) withholds texts that surely have no
+place wanted. Results don't depend on it: where it is full, all texts are shuffled, compressed, and no more than that.
 
 Defined results: null texts are empty; matches never cross documents and may overlap; rows with equal
 text are copies of each other (if long enough, removed whole), also when their ids are equal; texts shorter
-than the window keep all bytes; an empty table returns no rows. Columns besides id and text are not read.
+than the window keep all bytes; an empty table returns no rows. Texts are told apart by 64-bit hashes. All columns of
+the input are carried in one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,14 +44,19 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.llm.common import U64, cut, mix64, small_batches, table
 
-GRAM = 24
+GRAM = 48
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Most bits of the table that withholds texts.
+FILTER_BITS = 26
+#: One text in so many is looked at for hot anchors; those with more than HOT_SHARE of its rows are salted.
+SAMPLE, HOT_SHARE, HOT_ROWS, SALTS = 64, 1e-5, 64, 64
 
 
 @cache
@@ -175,30 +188,80 @@ def covers(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int)
     return before, after
 
 
+def _digest(text: bytes, p: int, length: int) -> int:
+    """64-bit digest of the context of an anchor at p."""
+    return xxhash.xxh3_64_intdigest(text[p : p + length], seed=xxhash.xxh3_64_intdigest(text[max(0, p - length + GRAM) : p])) - (1 << 63)
+
+
 def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
+    """src(cls, text) -> h, d, cls, p, multi: anchors with the digests of their contexts. ``multi`` marks the first of
+    several equal contexts of a batch; the bytes that those cover come as rows with h null, from d to p."""
+    back = length - GRAM
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, hs, ps, at = [], [], [], [], [0]
-            for text in b.column("text"):
-                t = text.as_py()
-                h, p = anchors(t, length)
-                n.append(len(t)), sha.append(hashlib.sha256(t).hexdigest()), hs.append(h), ps.append(p)
-                at.append(at[-1] + len(h))
-            at = pa.array(at, pa.int32())
-            flat = [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (hs, ps)]
+            texts = dict(zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True))
+            found = [(c, t, *anchors(t, length)) for c, t in texts.items() if len(t) >= length]
+            if not found:
+                continue
+            size = [len(h) for _, _, h, _ in found]
+            h, p = (np.concatenate([f[i] for f in found]) for i in (2, 3))
+            cls = np.repeat(np.array([f[0] for f in found], np.int64), size)
+            d = np.fromiter((_digest(t, q, length) for _, t, _, places in found for q in places.tolist()), np.int64, len(h))
+            order = np.lexsort((d, h))
+            same = (h[order][1:] == h[order][:-1]) & (d[order][1:] == d[order][:-1])
+            again, multi = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            again[order[1:][same]] = True
+            multi[order[:-1][same]] = True
+            settled = again | multi
+            s, e, c = p[settled] - back, p[settled] + length, cls[settled]
+            if len(s):  # rows are in the order of texts and places: stretches that touch are joined
+                start = np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] > e[:-1])])
+                end = np.append(np.flatnonzero(start)[1:] - 1, len(s) - 1)
+                s, e, c = np.maximum(s[start], 0), e[end], c[start]
+            own = ~again
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("cls"), pa.array(n, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(at, flat[0]), pa.ListArray.from_arrays(at, flat[1])],
-                names=["doc_id", "cls", "n_bytes", "sha", "h", "p"],
+                [pa.array(np.append(h[own], np.zeros(len(s), np.int64)), mask=np.arange(own.sum() + len(s)) >= own.sum()), *(pa.array(np.append(x, y)) for x, y in ((d[own], s), (cls[own], c), (p[own], e), (multi[own], np.zeros(len(s), bool))))],
+                names=["h", "d", "cls", "p", "multi"],
             )
 
-    return src.mapInArrow(run, "doc_id long, cls long, n_bytes long, sha string, h array<long>, p array<long>")
+    return src.mapInArrow(run, "h long, d long, cls long, p long, multi boolean")
+
+
+def _met(src: DataFrame, length: int, max_group: int) -> DataFrame:
+    """src(cls, text) -> what one shuffle of the anchors tells: stretches s..e of a text that are repeated, and places
+    (h not null) whose contexts must be compared: cls, p, d, alone (the context occurs once), hot (in a large group)."""
+    seen = _anchor_rows(src.filter(F.pmod("cls", F.lit(SAMPLE)) == 0), length).filter("h is not null").groupBy("h").agg(F.count("*").alias("n"))
+    seen = cut(seen)
+    least = max(float(HOT_ROWS), HOT_SHARE * (seen.agg(F.sum("n")).first()[0] or 0))
+    # at most 1 / HOT_SHARE rows
+    hot = seen.filter(F.col("n") >= least).select("h", F.lit(True).alias("salted"))
+    rows = _anchor_rows(src, length).join(F.broadcast(hot), "h", "left")
+    rows = rows.select(F.coalesce("h", "cls").alias("k"), F.when(F.col("salted"), F.pmod("d", F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"), "h", "d", "cls", "p", "multi").repartition("k", "salt")
+    group, equal = Window.partitionBy("k", "salt"), Window.partitionBy("k", "salt", "d")
+    x = F.xxhash64("cls", "p")
+    rows = rows.withColumns({"nth": F.row_number().over(equal.orderBy("cls", "p")), "lo": F.min(x).over(equal), "hi": F.max(x).over(equal), "some": F.max("multi").over(equal)})
+    rows = rows.withColumn("size", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(group))
+    whole, salted = F.col("lo") != F.col("hi"), F.col("salt") >= 0
+    wanted = F.col("h").isNotNull() & (F.col("nth") == 1) & ((F.col("size") > 1) | salted)
+    stretch = F.col("h").isNull() | whole
+    out = rows.filter(stretch | wanted).select(
+        "cls",
+        F.when(F.col("h").isNull(), F.col("d")).when(whole, F.greatest(F.lit(0), F.col("p") - (length - GRAM))).alias("s"),
+        F.when(F.col("h").isNull(), F.col("p")).when(whole, F.col("p") + length).alias("e"),
+        *(F.when(wanted, F.col(c)).alias(c) for c in ("h", "p", "d")),
+        (wanted & ~whole & ~F.col("some")).alias("alone"),
+        ((F.col("size") > max_group) | salted).alias("hot"),
+    )
+    return cut(out)
 
 
 class _Filter:
-    """Membership of 64-bit keys in a bit table of fixed size: never denies a member, may admit others."""
+    """Membership of 64-bit keys in a bit table: never denies a member, may admit others. At most FILTER_BITS bits."""
 
-    def __init__(self, keys: DataFrame, col: str, bits: int):
-        self.bits = bits
+    def __init__(self, keys: DataFrame, col: str):
+        n = keys.count()
+        self.bits = bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
         place = lambda k: F.shiftrightunsigned(F.col(col), k).bitwiseAND(F.lit((1 << bits) - 1))
         at = keys.select(F.explode(F.array(*[place(k) for k in (0, 19, 38)])).alias("at"))
         words = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -206,9 +269,6 @@ class _Filter:
         self.table = np.zeros(1 << (bits - 6), U64)
         self.table[t.column("w").to_numpy()] = t.column("b").to_numpy().view(U64)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.admits(np.array([key], np.int64))[0])
-
     def admits(self, keys: np.ndarray) -> np.ndarray:
         k, out = keys.view(U64), np.ones(len(keys), bool)
         for shift in (0, 19, 38):
@@ -217,54 +277,45 @@ class _Filter:
         return out
 
 
-def _contexts(src: DataFrame, length: int, wanted) -> DataFrame:
-    """src(kid, cls, text) -> kid, cls, h, p, d (digest of the context), n, l, r for the anchors that the
-    broadcast filter admits. Within a batch l, r and the count n stand with a context's first row."""
+def _contexts(src: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """src(cls, text), wanted(cls, p, h, d, alone, hot) -> these with l and r, what stands before and behind the anchor."""
+    places = wanted.groupBy("cls").agg(F.collect_list(F.struct("p", "h", "d", "alone", "hot")).alias("places"))
+    admit = src.sparkSession.sparkContext.broadcast(_Filter(wanted.select("cls").distinct(), "cls"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            first: dict[tuple[int, int], int] = {}
-            for kid, cls, text in zip(b.column("kid").to_pylist(), b.column("cls").to_pylist(), b.column("text"), strict=True):
-                t = text.as_py()
-                hs, ps = anchors(t, length)
-                keep = wanted.value.admits(hs)
-                for h, p in zip(hs[keep].tolist(), ps[keep].tolist(), strict=True):
-                    l, r = t[max(0, p - length + GRAM) : p], t[p : p + length]
-                    d = xxhash.xxh3_64_intdigest(r, seed=xxhash.xxh3_64_intdigest(l)) - (1 << 63)
-                    at = first.setdefault((h, d), len(cols[0]))
-                    new = at == len(cols[0])
-                    for c, v in zip(cols, (kid, cls, h, p, d, int(new), l if new else None, r if new else None), strict=True):
-                        c.append(v)
-                    if not new:
-                        cols[5][at] += 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), *(pa.array(c, pa.binary()) for c in cols[6:])], names=["kid", "cls", "h", "p", "d", "n", "l", "r"])
-
-    return src.mapInArrow(run, "kid long, cls long, h long, p long, d long, n long, l binary, r binary")
-
-
-def _admitted(src: DataFrame, wanted) -> DataFrame:
-    """Rows whose key k the broadcast filter admits, before their texts are shuffled."""
+            b = b.filter(pa.array(admit.value.admits(b.column("cls").to_numpy())))
+            texts = dict(zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array([z.compress(t) for t in texts.values()], pa.binary())], names=["cls", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        names = ("cls", "p", "h", "d", "alone", "hot", "l", "r")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
         for b in batches:
-            yield b.filter(pa.array(wanted.value.admits(b.column("k").to_numpy()))).select(["kid", "cls", "text"])
+            out = []
+            for c, packed, own in zip(b.column("cls").to_pylist(), b.column("z").to_pylist(), b.column("places").to_pylist(), strict=True):
+                t = z.decompress(packed)
+                for x in own:
+                    p = x["p"]
+                    if _digest(t, p, length) == x["d"]:
+                        out.append((c, p, x["h"], x["d"], x["alone"], x["hot"], t[max(0, p - length + GRAM) : p], t[p : p + length]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], names=names)
 
-    return src.mapInArrow(run, "kid long, cls long, text binary")
+    texts = src.mapInArrow(pack, "cls long, z binary").dropDuplicates(["cls"])
+    return texts.join(places, "cls").mapInArrow(run, "cls long, p long, h long, d long, alone boolean, hot boolean, l binary, r binary")
 
 
 def _covered(groups: DataFrame, length: int, rows: int = 30_000) -> DataFrame:
-    """groups(h, d, n, l, r), sorted by h within partitions -> h, d, before, after."""
+    """groups(k, cls, p, alone, l, r), each in one partition and sorted by k there -> cls, s, e: what the interval trees
+    of the groups find repeated around places whose context occurs once."""
 
     def settle(t: pa.Table) -> pa.RecordBatch:
-        h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
-        left, right = t.column("l").to_pylist(), t.column("r").to_pylist()
-        before, after = covers(h, left, right, length)
-        whole = np.array([len(x) + len(y) >= length for x, y in zip(left, right, strict=True)]) & (n > 1)
-        before[whole] = np.fromiter(map(len, left), np.int64, len(left))[whole]
-        after[whole] = np.fromiter(map(len, right), np.int64, len(right))[whole]
-        hit = np.flatnonzero(after > 0)
-        return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(t.column("d").to_numpy()[hit]), pa.array(before[hit]), pa.array(after[hit])], names=["h", "d", "before", "after"])
+        k, p = t.column("k").to_numpy(), t.column("p").to_numpy()
+        before, after = covers(k, t.column("l").to_pylist(), t.column("r").to_pylist(), length)
+        hit = (after > 0) & t.column("alone").to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array(t.column("cls").to_numpy()[hit]), pa.array((p - before)[hit]), pa.array((p + after)[hit])], names=["cls", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -272,142 +323,95 @@ def _covered(groups: DataFrame, length: int, rows: int = 30_000) -> DataFrame:
             held.append(pa.Table.from_batches([b]))
             if sum(x.num_rows for x in held) >= rows:
                 t = pa.concat_tables(held)
-                h = t.column("h").to_numpy()
-                end = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+                k = t.column("k").to_numpy()
+                end = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
                 if end:
                     yield settle(t.slice(0, end))
                 held = [t.slice(end)]
         if held and sum(x.num_rows for x in held):
             yield settle(pa.concat_tables(held))
 
-    return groups.mapInArrow(run, "h long, d long, before long, after long")
-
-
-def _shared(groups: DataFrame, col: str, back: bool, out: str) -> DataFrame:
-    """groups(h, d, col) -> h, d, out: an upper bound of what a context shares with any other of its group
-    on one side, from a suffix array over many tasks.
-
-    Contexts are range-partitioned and sorted by group and bytes; the longest common prefix with any other is
-    one with a neighbour. Rows at the edge of a partition, whose neighbour is elsewhere, keep their length.
-    """
-
-    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("d"), pa.array([x.as_py()[::-1] if back else x.as_py() for x in b.column(col)], pa.binary())], names=["h", "d", "k"])
-
-    def common(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
-        return int(x.argmax()) if x.any() else n
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list | None = None  # h, d, k, bound so far
-        for b in batches:
-            rows: list[list] = []
-            for h, d, k in zip(*(b.column(c).to_pylist() for c in ("h", "d", "k")), strict=True):
-                if last is None:
-                    bound = len(k)
-                else:
-                    bound = common(last[2], k) if last[0] == h else 0
-                    last[3] = max(last[3], bound)
-                    rows.append(last)
-                last = [h, d, k, bound]
-            if rows:
-                yield batch(rows)
-        if last is not None:
-            last[3] = len(last[2])
-            yield batch([last])
-
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 3)], names=["h", "d", out])
-
-    keyed = groups.select("h", "d", col).mapInArrow(turned, "h long, d long, k binary")
-    return keyed.repartitionByRange("h", "k", "d").sortWithinPartitions("h", "k", "d").mapInArrow(scan, f"h long, d long, {out} long")
-
-
-def _covered_by_counts(groups: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts, so that no group meets in one task: windows within what
-    a context shares on both sides go by their 128-bit hashes, counted with map-side sums."""
-    bounded = groups.join(_shared(groups, "l", True, "sl"), ["h", "d"]).join(_shared(groups, "r", False, "sr"), ["h", "d"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for h, d, n, l, r, sl, sr in zip(*(b.column(c).to_pylist() for c in ("h", "d", "n", "l", "r", "sl", "sr")), strict=True):
-                t = l + r
-                for o in range(max(0, length - sr), min(len(l), sl) + 1):
-                    s = len(l) - o
-                    if s + length > len(t):
-                        continue
-                    x = xxhash.xxh3_128_intdigest(t[s : s + length])
-                    for c, v in zip(cols, (h, d, n, o, (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "d", "n", "o", "w1", "w2"])
-
-    w = bounded.select("h", "d", "n", "l", "r", "sl", "sr").mapInArrow(windows, "h long, d long, n long, o long, w1 long, w2 long")
-    often = w.groupBy("h", "o", "w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1")
-    found = w.join(often, ["h", "o", "w1", "w2"], "left_semi").groupBy("h", "d").agg(F.max("o").alias("before"), (F.lit(length) - F.min("o")).alias("after"))
-    whole = groups.filter((F.col("n") > 1) & (F.length("l") + F.length("r") >= length)).select("h", "d", F.length("l").cast("long").alias("before"), F.length("r").cast("long").alias("after"))
-    return found.unionByName(whole)
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, max_group: int = 20_000, filter_bits: int = 26) -> DataFrame:
-    """One row per input row: doc_id, text_hash (xxhash64 of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining
-    bytes; null where nothing was removed) with spans (what was removed, [start, end) in bytes)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    src = src.withColumn("cls", F.xxhash64("text")).withColumn("kid", F.coalesce("doc_id", F.lit(-1).cast("long")))
-    seen = cut(_anchor_rows(src.select("doc_id", "cls", "text"), length)).withColumn("kid", F.coalesce("doc_id", F.lit(-1).cast("long")))
-    classes = seen.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies"), F.min("kid").alias("rep")).filter("copies > 1")
-    info = seen.select("doc_id", "kid", "cls", "n_bytes", "sha").join(classes, "sha", "left")
-    anchor = seen.select("cls", F.explode(F.arrays_zip("h", "p")).alias("x")).select("x.h", F.xxhash64("cls", "x.p").alias("x"))
-    often = anchor.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("h")
-    wanted = spark.sparkContext.broadcast(_Filter(often, "h", filter_bits))
-    ctx = cut(_contexts(src.select("kid", "cls", "text"), length, wanted))
-    # anchors with very many contexts: at most one in max_group rows, so that Spark sends the table to the
-    # contexts where it is small, and contexts are shuffled once
-    parts = ctx.filter("l is not null").select("h", "d", "n", "l", "r")
-    large = cut(parts.groupBy("h").count().filter(F.col("count") > max_group).select("h"))
-    whole = [F.sum("n").alias("n"), F.max("l").alias("l"), F.max("r").alias("r")]
-    done = _covered(parts.join(large, "h", "left_anti").repartition("h").groupBy("h", "d").agg(*whole).sortWithinPartitions("h"), length)
-    if not large.isEmpty():
-        done = done.union(_covered_by_counts(cut(parts.join(large, "h", "left_semi").groupBy("h", "d").agg(*whole)), length))
-    spans = cut(ctx.select("kid", "cls", "h", "p", "d").join(done, ["h", "d"]).groupBy("kid", "cls").agg(F.collect_list(F.struct((F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("after")).alias("e"))).alias("spans")))
-    changing = _Filter(spans.select(F.xxhash64("kid", "cls").alias("k")), "k", filter_bits - 3)
-    admitted = _admitted(src.select("kid", "cls", "text", F.xxhash64("kid", "cls").alias("k")), spark.sparkContext.broadcast(changing))
+    return groups.mapInArrow(run, "cls long, s long, e long")
+
+
+def _split(hot: DataFrame, length: int, max_group: int) -> Iterator[DataFrame]:
+    """hot(h, cls, p, alone, l, r) -> the same as _covered, from groups of at most max_group contexts that agree in a
+    bytes before and length - b bytes behind the anchor, for ranges a..b of starts that are halved until they fit."""
+    level = hot.withColumns({"a": F.lit(0), "b": F.lit(length - GRAM)})
+    columns = ["h", "cls", "p", "alone", "l", "r", "a", "b"]
+    while True:
+        mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))
+        part = level.withColumn("part", F.explode(halves)).select(*columns[:6], "part.*").filter(F.col("a") <= F.col("b"))
+        part = part.filter((F.length("l") >= F.col("a")) & (F.length("r") >= length - F.col("b")))
+        shared = (F.expr("substring(l, length(l) - a + 1, a)"), F.expr(f"substring(r, 1, {length} - b)"))
+        part = part.withColumns({"k": F.xxhash64("h", "a", "b", *shared), "k2": F.xxhash64(*reversed(shared), "h", F.lit(1))})
+        size = part.groupBy("k", "k2").agg(F.count("*").alias("n")).filter("n > 1")
+        part = cut(part.join(size, ["k", "k2"]))
+        yield part.filter("a = b and alone").select("cls", (F.col("p") - F.col("a")).alias("s"), (F.col("p") + length - F.col("a")).alias("e"))
+        small = part.filter((F.col("a") < F.col("b")) & (F.col("n") <= max_group))
+        yield _covered(small.select("k", "cls", "p", "alone", "l", "r").repartition("k").sortWithinPartitions("k"), length)
+        level = part.filter((F.col("a") < F.col("b")) & (F.col("n") > max_group)).select(columns)
+        if level.isEmpty():
+            return
+
+
+def repeated(src: DataFrame, *, length: int = 200, max_group: int = 2000) -> DataFrame:
+    """src(cls, text), a row for each document -> cls, spans: the stretches [s, e) of a text that are repeated (they may
+    overlap and reach over its end)."""
+    copies = src.groupBy("cls").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("e")).filter((F.col("n") > 1) & (F.col("e") >= length))
+    met = _met(src, length, max_group)
+    ctx = cut(_contexts(src, met.filter("h is not null").select("cls", "p", "h", "d", "alone", "hot"), length))
+    small = ctx.filter("not hot").select(F.col("h").alias("k"), "cls", "p", "alone", "l", "r")
+    found = [_covered(small.repartition("k").sortWithinPartitions("k"), length)]
+    hot = ctx.filter("hot")
+    if not hot.isEmpty():
+        found += _split(hot, length, max_group)
+    spans = met.filter("s is not null").select("cls", "s", "e").union(copies.select("cls", F.lit(0).cast("long"), "e"))
+    for f in found:
+        spans = spans.union(f)
+    return cut(spans.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+
+
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, max_group: int = 2000) -> DataFrame:
+    """One row per input row: row (all its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256, and where something
+    was removed kept (the remaining bytes), kept_text (the same as text, without characters cut in two) and spans (what was
+    removed, [start, end) in bytes)."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("cls", F.xxhash64("text"))
+    spans = repeated(rows.select("cls", "text"), length=length, max_group=max_group)
+    held = docs.sparkSession.sparkContext.broadcast(_Filter(spans, "cls"))
+
+    @F.pandas_udf("boolean")
+    def admitted(cls):
+        import pandas as pd
+
+        return pd.Series(held.value.admits(cls.to_numpy()))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for text, found in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
-                t, merged = text.as_py(), []
-                for s, e in sorted((x["s"], x["e"]) for x in found):
+            out = []
+            for t, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                merged: list[dict] = []
+                for s, e in sorted((x["s"], min(x["e"], len(t))) for x in found or ()):
                     if merged and s <= merged[-1]["end"]:
                         merged[-1]["end"] = max(e, merged[-1]["end"])
                     else:
                         merged.append({"start": s, "end": e})
                 kept = b"".join(t[a:z] for a, z in zip([0, *(x["end"] for x in merged)], [*(x["start"] for x in merged), len(t)], strict=True))
-                for c, v in zip(out, (len(t) - len(kept), hashlib.sha256(kept).hexdigest(), kept, merged), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("kid"), b.column("cls"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["kid", "cls", "removed", "rest_sha", "kept", "merged"])
-
-    changed = admitted.join(spans, ["kid", "cls"]).mapInArrow(remove, "kid long, cls long, removed long, rest_sha string, kept binary, merged array<struct<start:bigint,end:bigint>>").dropDuplicates(["kid", "cls"])
-    joined = info.join(changed, ["kid", "cls"], "left")
-    copied = F.col("copies") > 1
-    return joined.select(
-        "doc_id",
-        F.col("cls").alias("text_hash"),
-        "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, 1).otherwise(F.coalesce(F.size("merged"), F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
-        F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(copied, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.col("merged")).alias("spans"),
-    )
+                less = len(merged) > 0
+                out.append((len(t) - len(kept), hashlib.sha256(kept).hexdigest(), kept if less else None, kept.decode("utf-8", "ignore") if less else None, merged if less else None))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(t) for t in b.column("text").to_pylist()], pa.int64()), *(pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True))], names=["row", "n_bytes", "n_removed", "kept_sha256", "kept", "kept_text", "spans"])
+
+    found = rows.withColumn("admitted", admitted("cls"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, kept_sha256 string, kept binary, kept_text string, spans array<struct<start:bigint,end:bigint>>"
+    changed = found.filter("admitted").drop("admitted").join(spans, "cls", "left").select("row", "text", "spans").mapInArrow(remove, schema)
+    same = found.filter("not admitted").select("row", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"), *(F.lit(None).cast(changed.schema[c].dataType).alias(c) for c in ("kept", "kept_text", "spans")))
+    return changed.union(same).withColumn("n_spans", F.coalesce(F.size("spans"), F.lit(0)).cast("long"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: bytes covered by 200-byte strings that start elsewhere too."""
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
