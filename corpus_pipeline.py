@@ -8,9 +8,6 @@ without text is rejected by the first stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 200-byte strings leave the texts; what is left empty goes."""
     del spark, sf_dir
-    cuts = op06_suffix.remove_repeats(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
-    names = docs.columns
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, cols = b.column("_kept"), {c: b.column(c) for c in names}
-            text = [t if (k := x.as_py()) is None else k.decode("utf-8", "ignore") for t, x in zip(cols["text"].to_pylist(), kept, strict=True)]
-            size = [n if x.as_py() is None else len(t) for t, x, n in zip(text, kept, cols["n_chars"].to_pylist(), strict=True)]
-            cols |= {"text": pa.array(text, pa.string()), "n_chars": pa.array(size, cols["n_chars"].type)}
-            yield pa.RecordBatch.from_arrays([*cols.values()], names=names).filter(pa.array([t is None or bool(t.strip()) for t in text], pa.bool_()))
-
-    return keyed.join(cuts, ["_id", "_hash"], "left").select(*names, "_kept").mapInArrow(rewrite, docs.schema)
+    found = op06_suffix.remove_repeats(docs).select("row", "kept_text")
+    text = F.coalesce("kept_text", "row.text")
+    size = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    changed = {"text": text, "n_chars": size}
+    return found.filter(text.isNull() | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")).select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
