@@ -22,9 +22,8 @@ anchor; longer repeats are the union of their anchors' pieces.
 
 No group needs one task for all its contexts. Anchors that are hot in a sample are salted by the digest, which
 keeps equal contexts together. A group of more than ``max_group`` contexts is cut by prefixes, as a suffix array
-is cut over tasks: windows that start between a and b bytes before the anchor need the same b' = length - b bytes
-behind it and the same a bytes before it, so that the contexts that agree in both form a smaller group with an interval
-tree of its own. Ranges are halved until groups are small; a range of one start is one repeat, which is counted.
+is cut over tasks: contexts that agree in what windows of a range of starts need form a smaller group with an interval tree of
+its own, and ranges are halved until groups fit a task.
 
 Before texts are shuffled, a bit table of at most ``FILTER_BITS`` bits (broadcast) withholds texts that surely have no
 place wanted. Results don't depend on it: where it is full, all texts are shuffled, compressed, and no more than that.
@@ -57,6 +56,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 FILTER_BITS = 26
 #: One text in so many is looked at for hot anchors; those with more than HOT_SHARE of its rows are salted.
 SAMPLE, HOT_SHARE, HOT_ROWS, SALTS = 64, 1e-5, 64, 64
+#: Ranges of so many starts are not halved any more.
+NARROW = 16
 
 
 @cache
@@ -154,9 +155,9 @@ def _array(keys: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray
 
 def repeats(keys: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(suffixes, best left extension of each, right extension) of every run of repeats of at least
-    ``length`` bytes in any interval of the groups' common-prefix trees."""
+    ``length`` bytes in any interval of the groups' common-prefix trees; left contexts are read backwards."""
     order, lcp = _array(keys, right, length)
-    left_order, lcs = _array(keys, [x[::-1] for x in left], length)
+    left_order, lcs = _array(keys, left, length)
     rank = np.empty(len(keys), np.int64)
     rank[left_order] = np.arange(len(keys))
     least = _Least(lcs)
@@ -278,7 +279,7 @@ class _Filter:
 
 
 def _contexts(src: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """src(cls, text), wanted(cls, p, h, d, alone, hot) -> these with l and r, what stands before and behind the anchor."""
+    """src(cls, text), wanted(cls, p, h, d, alone, hot) -> these with l, what stands before the anchor, read backwards, and r, what follows."""
     places = wanted.groupBy("cls").agg(F.collect_list(F.struct("p", "h", "d", "alone", "hot")).alias("places"))
     admit = src.sparkSession.sparkContext.broadcast(_Filter(wanted.select("cls").distinct(), "cls"))
 
@@ -300,7 +301,7 @@ def _contexts(src: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for x in own:
                     p = x["p"]
                     if _digest(t, p, length) == x["d"]:
-                        out.append((c, p, x["h"], x["d"], x["alone"], x["hot"], t[max(0, p - length + GRAM) : p], t[p : p + length]))
+                        out.append((c, p, x["h"], x["d"], x["alone"], x["hot"], t[max(0, p - length + GRAM) : p][::-1], t[p : p + length]))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], names=names)
 
     texts = src.mapInArrow(pack, "cls long, z binary").dropDuplicates(["cls"])
@@ -335,28 +336,37 @@ def _covered(groups: DataFrame, length: int, rows: int = 30_000) -> DataFrame:
 
 
 def _split(hot: DataFrame, length: int, max_group: int) -> Iterator[DataFrame]:
-    """hot(h, cls, p, alone, l, r) -> the same as _covered, from groups of at most max_group contexts that agree in a
-    bytes before and length - b bytes behind the anchor, for ranges a..b of starts that are halved until they fit."""
-    level = hot.withColumns({"a": F.lit(0), "b": F.lit(length - GRAM)})
-    columns = ["h", "cls", "p", "alone", "l", "r", "a", "b"]
+    """hot(h, cls, p, alone, l, r) -> the same as _covered for groups of any size.
+
+    Windows that start between a and b bytes before the anchor need the same a bytes before it and the same length - b bytes behind
+    it: contexts that agree in both are a group for this range. Ranges are halved until groups are small or at most
+    ``NARROW`` starts wide; of those every window is counted by its hash.
+    """
+    own = ["h", "cls", "p", "alone", "l", "r"]
+    level = hot.select(*own, F.lit(0).alias("a"), F.lit(length - GRAM).alias("b"))
+    hashes = lambda *ends: {"k": F.xxhash64("h", *ends), "k2": F.xxhash64(*reversed(ends), "h", F.lit(1))}
+    ends = lambda a, b: (F.expr(f"substring(l, 1, {a})"), F.expr(f"substring(r, 1, {length} - {b})"))
     while True:
+        level = level.filter((F.length("l") >= F.col("a")) & (F.length("r") >= length - F.col("b"))).withColumns(hashes(*ends("a", "b"), F.col("a"), F.col("b")))
+        size = cut(level.groupBy("k", "k2").agg(F.count("*").alias("n")).filter("n > 1"))
+        level = cut(level.join(size, ["k", "k2"]))
+        yield _covered(level.filter(F.col("n") <= max_group).select("k", "cls", "p", "alone", "l", "r").repartition("k").sortWithinPartitions("k"), length)
+        large = level.filter(F.col("n") > max_group)
+        width = F.col("b") - F.col("a") + 1
+        windows = large.filter(width <= NARROW).withColumn("o", F.explode(F.sequence("a", "b"))).filter((F.length("l") >= F.col("o")) & (F.length("r") >= length - F.col("o")))
+        windows = windows.withColumns(hashes(*ends("o", "o"), F.col("o"))).select("k", "k2", "cls", "p", "alone", "o")
+        often = cut(windows.groupBy("k", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k", "k2"))
+        found = windows.filter("alone").join(often, ["k", "k2"], "left_semi").groupBy("cls", "p").agg(F.max("o").alias("first"), F.min("o").alias("last"))
+        yield found.select("cls", (F.col("p") - F.col("first")).alias("s"), (F.col("p") + length - F.col("last")).alias("e"))
+        large = large.filter(width > NARROW)
+        if large.isEmpty():
+            return
         mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
         halves = F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))
-        part = level.withColumn("part", F.explode(halves)).select(*columns[:6], "part.*").filter(F.col("a") <= F.col("b"))
-        part = part.filter((F.length("l") >= F.col("a")) & (F.length("r") >= length - F.col("b")))
-        shared = (F.expr("substring(l, length(l) - a + 1, a)"), F.expr(f"substring(r, 1, {length} - b)"))
-        part = part.withColumns({"k": F.xxhash64("h", "a", "b", *shared), "k2": F.xxhash64(*reversed(shared), "h", F.lit(1))})
-        size = part.groupBy("k", "k2").agg(F.count("*").alias("n")).filter("n > 1")
-        part = cut(part.join(size, ["k", "k2"]))
-        yield part.filter("a = b and alone").select("cls", (F.col("p") - F.col("a")).alias("s"), (F.col("p") + length - F.col("a")).alias("e"))
-        small = part.filter((F.col("a") < F.col("b")) & (F.col("n") <= max_group))
-        yield _covered(small.select("k", "cls", "p", "alone", "l", "r").repartition("k").sortWithinPartitions("k"), length)
-        level = part.filter((F.col("a") < F.col("b")) & (F.col("n") > max_group)).select(columns)
-        if level.isEmpty():
-            return
+        level = large.withColumn("part", F.explode(halves)).select(*own, "part.*")
 
 
-def repeated(src: DataFrame, *, length: int = 200, max_group: int = 2000) -> DataFrame:
+def repeated(src: DataFrame, *, length: int = 200, max_group: int = 50_000) -> DataFrame:
     """src(cls, text), a row for each document -> cls, spans: the stretches [s, e) of a text that are repeated (they may
     overlap and reach over its end)."""
     copies = src.groupBy("cls").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("e")).filter((F.col("n") > 1) & (F.col("e") >= length))
@@ -373,7 +383,7 @@ def repeated(src: DataFrame, *, length: int = 200, max_group: int = 2000) -> Dat
     return cut(spans.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
-def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, max_group: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200, max_group: int = 50_000) -> DataFrame:
     """One row per input row: row (all its columns, as a struct), n_bytes, n_removed, n_spans, kept_sha256, and where something
     was removed kept (the remaining bytes), kept_text (the same as text, without characters cut in two) and spans (what was
     removed, [start, end) in bytes)."""

@@ -28,7 +28,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("max_group", "hot"), [(2000, False), (3, False), (2000, True)])
+@pytest.mark.parametrize(("max_group", "hot"), [(2000, False), (25, False), (2000, True)])
 def test_shared_passages_of_all_lengths(spark, monkeypatch, max_group, hot):
     if hot:
         monkeypatch.setattr(suffix, "SAMPLE", 1)
