@@ -27,7 +27,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, component): the smallest node reachable, for nodes with an edge.
 
     Each round is two aggregations and two joins; a hub's rows are pre-aggregated by ``min`` and
@@ -37,11 +37,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     e = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
-    for _ in range(max_rounds):
+    while True:
         e = cut(_small_star(_large_star(e)))
         # a fixpoint is a forest of stars: every node points to one root and no root points on
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == was:
             return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(e.select("b", "b").distinct())
         was = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -237,6 +237,9 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     limit = float(np.arccos(cosine)) / 8
     rows = cut(numbered(df, id_col, vec_col, F.col(label_col).cast("long").alias("label")))
     good = rows.filter("ok and label is not null")
+    # by the largest component first, so that squares neither vanish nor overflow; twice, as a component may be subnormal
+    for _ in range(2):
+        good = good.withColumn("top", F.array_max(F.transform("vec", lambda x: F.abs(x)))).withColumn("vec", F.transform("vec", lambda x: x / F.col("top")))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     unit = good.select("rid", "label", F.size("vec").alias("dim"), "vec", norm.alias("norm")).select("rid", "label", "dim", F.transform("vec", lambda x: x / F.col("norm")).alias("unit"))
     leaders = unit.withColumn("radius", F.lit(0.0)).withColumn("weight", F.lit(1).cast("long"))

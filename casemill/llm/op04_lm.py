@@ -143,6 +143,30 @@ def class_log_probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, c
     return own - np.log(np.exp(z, out=z).sum(1))
 
 
+def log_class(w: np.ndarray, bias: np.ndarray, met: list[tuple]) -> list[float]:
+    """For each text (as met by Codes.tokens) the sum of the natural logs of its classes' probabilities; short texts share batches."""
+    out: list[float] = []
+    held: list[tuple] = []
+
+    def settle() -> None:
+        word, cls = (np.concatenate([m[i] for m in held]) for i in (2, 3))
+        rows = history(word, cls, cls == END_CLASS)
+        p = np.concatenate([class_log_probabilities(w, bias, rows[:, s : s + BATCH], cls[s : s + BATCH]) for s in range(0, len(cls), BATCH)])
+        out.extend(np.add.reduceat(p.astype(np.float64), np.cumsum([0, *(len(m[3]) for m in held)])[:-1]).tolist())
+        held.clear()
+
+    n = 0
+    for m in met:
+        held.append(m)
+        n += len(m[3])
+        if n >= 8 * BATCH:
+            settle()
+            n = 0
+    if held:
+        settle()
+    return out
+
+
 def gradient_steps(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
     """Adagrad on steps of many tokens, in place; each step touches a row of weights once."""
     for s in range(0, len(cls), STEP):
@@ -152,7 +176,7 @@ def gradient_steps(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.n
         g /= g.sum(1, keepdims=True)
         g[np.arange(len(c)), c] -= 1
         for k in range(FEATURES):
-            order = np.argsort(r[k], kind="stable")
+            order = np.argsort((r[k] - k * BUCKETS).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
             ids = r[k][order]
             start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             total, u = np.add.reduceat(g[order], start, axis=0), ids[start]
@@ -288,17 +312,14 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: n
         ln10 = np.log(10)
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
-            for text in b.column("text"):
-                words, at, word, cls = codes.tokens(text.as_py())
-                rows = history(word, cls, cls == END_CLASS)
-                score = 0.0
-                for s in range(0, len(cls), BATCH):
-                    score += float(class_log_probabilities(w, bias, rows[:, s : s + BATCH], cls[s : s + BATCH]).sum(dtype=np.float64)) / ln10
+            met = [codes.tokens(text.as_py()) for text in b.column("text")]
+            score = log_class(w, bias, met)
+            for (words, at, _, cls), own in zip(met, score, strict=True):
                 hit = at[at >= 0]
                 off = np.flatnonzero(at < 0)
                 h = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) if i < len(words) else END for i in off.tolist()), U64, len(off))
                 rare, first, times = np.unique(h, return_index=True, return_counts=True)
-                for o, x in zip(out, (len(cls), len(hit), float(log_base[hit].sum()), score + float(log_word[hit].sum()), rare.view(np.int64), times, cls[off][first]), strict=True):
+                for o, x in zip(out, (len(cls), len(hit), float(log_base[hit].sum()), own / ln10 + float(log_word[hit].sum()), rare.view(np.int64), times, cls[off][first]), strict=True):
                     o.append(x)
             at = np.zeros(b.num_rows + 1, np.int32)
             np.cumsum([len(x) for x in out[4]], out=at[1:])

@@ -7,17 +7,19 @@ corrected for the known rate f of false positives of that language's slice, t =
 the language with the largest t is predicted.
 
 Training takes, for each language, about ``max_docs`` documents chosen by a hash of their ids, whole
-texts; an n-gram belongs to a language if at least ``min_share`` of its documents (two at the least)
-hold it, which bounds a language's n-grams whatever the input. Nothing but the text is read when
+texts; an n-gram belongs to a language if at least ``min_share`` of its documents (two at the least, one in
+languages of up to a hundred documents) hold it, which bounds a language's n-grams whatever the input. Nothing but the text is read when
 predicting.
 
 Defined results: ``und`` with score 0 if a text is null, has no letter or no language was learned; score 0 if
 no language contains any of its n-grams; ties go to the language that comes first by name; documents
-without a language are not learned from; repeated rows are learned and predicted as often as they occur.
+without a language are not learned from; repeated rows are learned and predicted as often as they occur. All columns of
+the input are carried in one struct, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -40,7 +42,7 @@ BLOCK = 1 << 15
 def _folded() -> np.ndarray:
     """Lower-case letter of each code point; 32 for all that are no letters."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x20000):
+    for c in range(0x110000):
         if (x := chr(c)).isalpha():
             out[c] = ord(low) if len(low := x.lower()) == 1 else c
     return out
@@ -70,9 +72,13 @@ def cells(g: np.ndarray, probe: int) -> np.ndarray:
     return ((g >> U64(21 * probe)) & U64(CELLS - 1)).astype(np.int64)
 
 
+#: Bits of each byte.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+
+
 @dataclass
 class Filters:
-    """Languages (bit numbers), the table of cells, and each slice's rate of false positives."""
+    """Languages (bit numbers), the tables of cells, one for every eight languages, and each slice's rate of false positives."""
 
     languages: list[str]
     table: np.ndarray
@@ -80,33 +86,30 @@ class Filters:
 
     def rates(self, g: np.ndarray) -> np.ndarray:
         """Corrected share of a text's n-grams that each language contains."""
-        mask = self.table[cells(g, 0)]
-        for p in range(1, PROBES):
-            mask &= self.table[cells(g, p)]
-        if len(self.languages) <= 8:
-            sets = np.bincount(mask, minlength=256)
-            hits = np.array([sets[(np.arange(256) >> k) & 1 == 1].sum() for k in range(len(self.languages))])
-        else:
-            hits = np.array([int(((mask >> mask.dtype.type(k)) & mask.dtype.type(1)).sum()) for k in range(len(self.languages))])
+        at = [cells(g, p) for p in range(PROBES)]
+        hits = np.zeros(8 * len(self.table), np.int64)
+        for i, row in enumerate(self.table):  # eight languages at a time
+            mask = row[at[0]]
+            for a in at[1:]:
+                mask &= row[a]
+            hits[8 * i : 8 * i + 8] = np.bincount(mask, minlength=256) @ _BITS
+        hits = hits[: len(self.languages)]
         return np.maximum(0.0, (hits / len(g) - self.false_rate) / (1 - self.false_rate))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, min_share: float = 0.002) -> Filters:
-    """Learn the filters. Collected are the languages with their numbers of documents (64 languages at
-    most) and the table of cells in blocks, whose size is fixed."""
+    """Learn the filters. Collected are the languages with their numbers of documents and the table of cells in blocks:
+    2 MB for every eight languages."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     languages = sorted(n)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit the table of cells")
-    kind = np.dtype(np.uint8 if len(languages) <= 8 else U64)
     if not languages:
-        return Filters([], np.zeros(CELLS, kind), np.zeros(0))
-    at = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
-    part = F.create_map(*[F.lit(x) for v in languages for x in (v, min(1.0, max_docs / n[v]))])
+        return Filters([], np.zeros((0, CELLS), np.uint8), np.zeros(0))
+    known = docs.sparkSession.createDataFrame([(v, k, min(1.0, max_docs / n[v])) for k, v in enumerate(languages)], "lang string, k int, part double")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = src.filter(place < part[F.col("lang")]).select("text", at[F.col("lang")].alias("k"))
+    # one row for each language of the sample, which the driver holds anyway
+    sample = src.join(F.broadcast(known), "lang").filter(place < F.col("part")).select("text", "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,13 +120,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 g, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "g", "c"])
 
-    least = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (k, max(2.0, min_share * min(n[v], max_docs)) if n[v] > 50 else 1.0)])
-    held = sample.mapInArrow(count, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c")).filter(F.col("c") >= least[F.col("k")])
+    # one document in a hundred, two at most from a hundred on, or min_share of them if that is more
+    least = docs.sparkSession.createDataFrame([(k, float(max(min(2, math.ceil(n[v] / 100)), min_share * min(n[v], max_docs)))) for k, v in enumerate(languages)], "k int, least double")
+    held = sample.mapInArrow(count, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c")).join(F.broadcast(least), "k").filter("c >= least")
 
     def blocks(key: tuple, t: pa.Table) -> pa.Table:
-        cell = np.zeros(BLOCK, kind)
-        np.bitwise_or.at(cell, t.column("at").to_numpy(), kind.type(1) << t.column("k").to_numpy().astype(kind))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cell.tobytes()], pa.binary())})
+        cell = np.zeros(BLOCK, np.uint8)
+        np.bitwise_or.at(cell, t.column("at").to_numpy(), (1 << t.column("k").to_numpy() % 8).astype(np.uint8))
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([cell.tobytes()], pa.binary())})
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,25 +135,26 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             c = np.concatenate([cells(g, p) for p in range(PROBES)])
             yield pa.RecordBatch.from_arrays([pa.array((c // BLOCK).astype(np.int32)), pa.array((c % BLOCK).astype(np.int32)), pa.array(np.tile(b.column("k").to_numpy(), PROBES))], names=["block", "at", "k"])
 
-    out = np.zeros(CELLS, kind)
-    for r in held.mapInArrow(probes, "block int, at int, k int").groupBy("block").applyInArrow(blocks, "block int, cells binary").collect():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], kind)
-    fill = np.array([((out >> kind.type(k)) & kind.type(1)).mean() for k in range(len(languages))])
+    out = np.zeros((-(-len(languages) // 8), CELLS), np.uint8)
+    probed = held.select("k", "g").mapInArrow(probes, "block int, at int, k int").withColumn("row", F.floor(F.col("k") / 8).cast("int"))
+    for r in probed.groupBy("row", "block").applyInArrow(blocks, "row int, block int, cells binary").toLocalIterator():
+        out[r["row"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], np.uint8)
+    fill = np.array([((out[k // 8] >> (k % 8)) & 1).mean() for k in range(len(languages))])
     return Filters(languages, out, fill**PROBES)
 
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the best rate over the sum of the two best) and known (the best rate)."""
+    """row (all columns of docs, as a struct), lang_pred, score (the best rate over the sum of the two best) and known (the best rate)."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(filters)
-    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
         for b in batches:
             pred, score, known = [], [], []
-            for text in b.column(text_col).cast(pa.string()):
+            for text in b.column("text"):
                 g = grams(text.as_py())
                 if not len(g) or not f.languages:
                     pred.append(UNKNOWN), score.append(0.0), known.append(0.0)
@@ -158,10 +163,9 @@ def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> Da
                 best = int(t.argmax())
                 top, second = float(t[best]), float(np.partition(t, -2)[-2]) if len(t) > 1 else 0.0
                 pred.append(f.languages[best]), score.append(top / (top + second) if top else 0.0), known.append(top)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*names, "lang_pred", "score", "known"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=["row", "lang_pred", "score", "known"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, known double")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +173,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket_of("doc_id", 4) == 2
     filters = train(docs.filter(~held_out))
-    out = identify(docs.select("doc_id", "text"), filters)
+    out = identify(docs.select("doc_id", "text"), filters).select("row.doc_id", "lang_pred", "score", "known")
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "known")

@@ -204,12 +204,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leads = weighed.groupBy("band", "key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("leader"), F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("second"))
     buckets = cut(held.join(leads, ["band", "key"]).select("band", "key", "leader", "second", "doc_id"))
     ids = buckets.select("doc_id").distinct()
-    texts = cut(src.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # an id may hold several texts: each is compared, and a link of one is a link of the id
+    texts = cut(src.filter("doc_id is not null").join(ids, "doc_id", "left_semi").withColumn("x", F.xxhash64("text")).dropDuplicates(["doc_id", "x"]).drop("x"))
 
     star = buckets.select("doc_id", F.explode(F.array("leader", "second")).alias("leader"))
     pairs = star.filter("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     seen = cut(pairs)
-    links = cut(verified(seen, texts, width, percent))
+    links = cut(verified(seen, texts, width, percent).distinct())
     comp = cut(components(links))
     found = cut(_rest(buckets, comp, seen, texts, width, percent, hot))
     comp = components(links.union(found)) if not found.isEmpty() else comp

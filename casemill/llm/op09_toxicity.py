@@ -7,19 +7,22 @@ word responds like a gap. Training is Adagrad on the logistic loss; only the pla
 responses get gradients.
 
 The model is fitted in one task on a bounded sample (``max_docs`` labelled documents of each class by a hash
-of their ids, whole texts). A fifth of it is kept apart for thresholds: the language of a text is guessed from its
-own words by a hashed naive Bayes table learned from the sample, and each language gets the threshold with the best
-F1 there (sampled rows weigh as many as they stand for); languages with few toxic rows use the common one. The score is the
+of their ids, whole texts). Thresholds come from all of it, each third scored by a model of the other two: the language of a
+text is guessed from its own words by a hashed naive Bayes table learned from the sample, and each language with at least
+LEAST_TOXIC toxic rows (so at most 80) gets the threshold with the best F1 (sampled rows weigh as many as they stand for);
+the others use the common one. The score is the
 logistic of the distance to the threshold, so that 0.5 is the decision everywhere.
 
 Defined results: null and empty texts have no words and get the score of a text without responses; documents
 without a label are not learned from; without any labelled row of both classes every score is the share of toxic
 labels (0 without labels); several labels of one id all count; repeated rows are scored as often as they occur.
+All columns of the input are carried in one struct, whatever their names.
 """
 
 from __future__ import annotations
 
 import io
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ ROWS = 1 << 18
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
+#: Parts of the sample whose thresholds come from a model of the others; toxic rows that give a language its own threshold.
+FOLDS, LEAST_TOXIC = 3, 50
 #: Lower-cases A-Z and turns ASCII punctuation to blanks; other bytes stay.
 _FOLD = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -139,25 +144,31 @@ def best_threshold(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 def train(texts: list[bytes], y: np.ndarray, w: np.ndarray, lang: list[str | None]) -> bytes:
     """Fit model, language table and thresholds; returns them packed."""
     docs = [word_rows(t) for t in texts]
-    apart = np.arange(len(docs)) % 5 == 4
-    fit_at, cal_at = np.flatnonzero(~apart), np.flatnonzero(apart)
+    y = y.astype(np.float64)
+    fold, z = np.arange(len(docs)) % FOLDS, np.zeros(len(docs))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own) and len(rest):
+            m = Convolution()
+            m.fit([docs[i] for i in rest], y[rest])
+            z[own] = np.concatenate([m.logits([docs[i]]) for i in own])
     m = Convolution()
-    m.fit([docs[i] for i in fit_at], y[fit_at].astype(np.float64))
-    names = sorted({x for x in lang if x is not None})
+    m.fit(docs, y)
+    toxic = Counter(x for x, t in zip(lang, y, strict=True) if x is not None and t)
+    names = sorted(x for x, c in toxic.items() if c >= LEAST_TOXIC)
     counts = np.full((ROWS, len(names)), 0.05, np.float32)
-    for i in fit_at:
-        if lang[i] is not None:
-            np.add.at(counts[:, names.index(lang[i])], docs[i], 1)
+    for d, x in zip(docs, lang, strict=True):
+        if x in names:
+            np.add.at(counts[:, names.index(x)], d, 1)
     bayes = np.log(counts / counts.sum(0)) if names else np.zeros((ROWS, 1), np.float32)
     bayes -= bayes.mean(1, keepdims=True)
-    z = np.concatenate([m.logits([docs[i]]) for i in cal_at]) if len(cal_at) else np.zeros(0)
-    guess = np.array([int(bayes[docs[i]].sum(0).argmax()) for i in cal_at], int)
-    common = best_threshold(z, y[cal_at], w[cal_at]) if len(z) and y[cal_at].any() else 0.0
+    guess = np.array([int(bayes[d].sum(0).argmax()) for d in docs], int)
+    common = best_threshold(z, y, w) if y.any() else 0.0
     cuts = np.full(max(1, len(names)), common)
     for k in range(len(names)):
         own = guess == k
-        if y[cal_at][own].sum() >= 10:
-            cuts[k] = best_threshold(z[own], y[cal_at][own], w[cal_at][own])
+        if y[own].sum() >= LEAST_TOXIC:
+            cuts[k] = best_threshold(z[own], y[own], w[own])
     out = io.BytesIO()
     np.savez(out, emb=m.emb, out=m.out, b=m.b, bayes=bayes.astype(np.float32), cuts=cuts, **{f"t{i}": t for i, t in enumerate(m.taps)}, **{f"c{i}": c for i, c in enumerate(m.bias)})
     return out.getvalue()
@@ -221,25 +232,24 @@ def fit_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def score(docs: DataFrame, model: bytes | float, *, text_col: str = "text") -> DataFrame:
-    """docs with score (double, 0 to 1)."""
+    """row (all columns of docs, as a struct) and score (double, 0 to 1)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if isinstance(held.value, float) else Scorer(held.value)
         for b in batches:
-            texts = b.column(text_col).cast(pa.binary()).to_pylist()
+            texts = b.column("text").to_pylist()
             s = scorer.scores(texts) if scorer else np.full(len(texts), held.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64())], names=["row", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: learn from labels outside the held-out fifth, score every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_model(docs, labels.filter(bucket_of("doc_id", 5) != 0))
-    out = score(docs.select("doc_id", "text"), model)
+    out = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

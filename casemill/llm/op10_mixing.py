@@ -13,8 +13,8 @@ row needs to know of this is a few numbers for its source, so that the documents
 
 The default budget is the least that reads every document at least once. Defined results: tokens are
 words split at white space; a null or empty text has none and is carried along in whole epochs; null
-sources are one source of their own; rows with equal ids stay together; sources without tokens keep their
-one epoch; an empty table returns no rows.
+sources are one source of their own; rows with equal ids stay together, rows without id go by their text; sources without
+tokens keep their one epoch; an empty table returns no rows. All columns are carried in one struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,20 +81,27 @@ def _hash(*parts: Column | str) -> Column:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repetition: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """docs repeated as the weights ask: all columns, with _epoch (from 0), _block, _tokens and _weight.
+    """docs repeated as the weights ask: row (all columns, as a struct), epoch (from 0), block, block_order and doc_order (an epoch
+    of a source is read by these two), n_tokens and weight.
 
     Collected are one row per source (its tokens) and one per unfinished source (its boundary).
     """
     spark = docs.sparkSession
-    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+", " "))
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    col = lambda c: F.col(f"`{c}`").cast("string")
+    ident = F.when(col(id_col).isNull(), _hash(col(text_col), F.lit(10))).otherwise(_hash(col(id_col)))
     n_blocks = max(1, docs.count() // BLOCK_ROWS)
-    block = F.pmod(_hash(ident, F.lit(11)), F.lit(n_blocks))
-    slim = cut(docs.select(key.alias("key"), block.alias("block"), _hash(ident, F.lit(12)).alias("h"), F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long").alias("tokens")))
-    blocks = cut(slim.groupBy("key", "block").agg(F.sum("tokens").alias("tokens")))
-    sources = blocks.groupBy("key").agg(F.sum("tokens").alias("tokens")).orderBy("key").collect()
-    counts = [r["tokens"] for r in sources]
+    tokens = F.coalesce(F.regexp_count(col(text_col), F.lit(r"\S+")), F.lit(0)).cast("long")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.concat(F.lit("="), col(source_col)), F.lit("")).alias("key"),
+        F.pmod(_hash(ident, F.lit(11)), F.lit(n_blocks)).alias("block"),
+        _hash(ident, F.lit(12)).alias("h"),
+        tokens.alias("n_tokens"),
+    )
+    slim = cut(rows.drop("row"))
+    blocks = cut(slim.groupBy("key", "block").agg(F.sum("n_tokens").alias("n_tokens")))
+    sources = blocks.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("key").collect()
+    counts = [r["n_tokens"] for r in sources]
     if not any(counts):
         a, w = 1.0, [0.0 for _ in counts]
     else:
@@ -103,36 +110,36 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     total = budget or max((t / x for t, x in zip(counts, w, strict=True) if t), default=0.0)
     quota = []
     for r, x in zip(sources, w, strict=True):
-        t = r["tokens"]
+        t = r["n_tokens"]
         epochs = int(total * x / t + 1e-9) if t else 1
         quota.append((r["key"], float(x), epochs, max(0.0, total * x - epochs * t) if t else 0.0))
     quotas = spark.createDataFrame(quota, "key string, weight double, epochs int, rest double")
 
-    # the boundary of the unfinished epoch: blocks in the epoch's order, then the boundary block's documents
-    order = _hash("block", "epochs", F.lit(13))
-    open_ = quotas.filter("rest > 0")
-    ranked = blocks.join(open_, "key").withColumn("o", order)
-    upto = ranked.withColumn("upto", F.sum("tokens").over(Window.partitionBy("key").orderBy("o", "block")))
-    edge = cut(upto.filter("upto > rest").groupBy("key").agg(F.min(F.struct("o", "block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"), "epochs")).alias("e")).select("key", "e.*"))
+    # the boundary of the unfinished epoch: first among 4096 ranges of its order, then among the blocks of one range, then
+    # among the documents of one block, so that no source is sorted in one task
+    ranked = blocks.join(quotas.filter("rest > 0"), "key").withColumn("o", _hash("block", "epochs", F.lit(13))).withColumn("bin", F.shiftright("o", 52))
+    bins = ranked.groupBy("key", "bin").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
+    upto = bins.withColumn("upto", F.sum("t").over(Window.partitionBy("key").orderBy("bin")))
+    edge_bin = upto.filter("upto > rest").groupBy("key").agg(F.min(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("t")).alias("left"))).alias("e")).select("key", "e.*")
+    upto = ranked.join(edge_bin, ["key", "bin"]).withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("key").orderBy("o", "block")))
+    edge = cut(upto.filter("upto > left").groupBy("key").agg(F.min(F.struct("o", "block", (F.col("left") - F.col("upto") + F.col("n_tokens")).alias("room"), "epochs")).alias("e")).select("key", "e.*"))
     inside = slim.join(edge, ["key", "block"]).withColumn("doc_order", _hash("h", "epochs", F.lit(14)))
-    inside = inside.withColumn("sum", F.sum("tokens").over(Window.partitionBy("key").orderBy("doc_order").rangeBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("sum", F.sum("n_tokens").over(Window.partitionBy("key").orderBy("doc_order").rangeBetween(Window.unboundedPreceding, 0)))
     stop = inside.filter("sum > room").groupBy("key").agg(F.min("doc_order").alias("stop"))
     found = {r["key"]: (r["o"], r["block"], r["stop"]) for r in edge.join(stop, "key", "left").collect()}
-    rows = [(k, x, e, rest, *found.get(k, (None, None, None))) for k, x, e, rest in quota]
-    rules = spark.createDataFrame(rows, "_key string, _weight double, epochs int, rest double, o long, edge long, stop long")
-
-    own = docs.withColumns({"_key": key, "_block": block, "_h": _hash(ident, F.lit(12)), "_tokens": F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long")})
-    own = own.join(rules, "_key")
-    here = _hash("_block", "epochs", F.lit(13))
-    before = (here < F.col("o")) | ((here == F.col("o")) & (F.col("_block") < F.col("edge")))
-    within = (F.col("_block") == F.col("edge")) & (F.col("stop").isNull() | (_hash("_h", "epochs", F.lit(14)) < F.col("stop")))
+    rules = spark.createDataFrame([(k, x, e, rest, *found.get(k, (None, None, None))) for k, x, e, rest in quota], "key string, weight double, epochs int, rest double, o long, edge long, stop long")
+
+    own = rows.join(rules, "key")
+    here = _hash("block", "epochs", F.lit(13))
+    before = (here < F.col("o")) | ((here == F.col("o")) & (F.col("block") < F.col("edge")))
+    within = (F.col("block") == F.col("edge")) & (F.col("stop").isNull() | (_hash("h", "epochs", F.lit(14)) < F.col("stop")))
     more = F.when((F.col("rest") > 0) & (F.col("o").isNull() | before | within), 1).otherwise(0)
     times = F.col("epochs") + more
-    out = own.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
-    return out.select(*docs.columns, "_epoch", F.col("_block").cast("int").alias("_block"), "_tokens", "_weight")
+    out = own.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
+    return out.select("row", "epoch", F.col("block").cast("int").alias("block"), _hash("block", "epoch", F.lit(13)).alias("block_order"), _hash("h", "epoch", F.lit(14)).alias("doc_order"), "n_tokens", "weight")
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at least once, small sources up to twice: one row for each reading of a document."""
-    out = mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
-    return out.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"))
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repetition=2.0)
+    return out.select("row.doc_id", "row.source", "epoch", "block", "block_order", "doc_order", "n_tokens", "weight")

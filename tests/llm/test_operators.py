@@ -252,7 +252,7 @@ def test_language_model(docs, rows):
 
 def test_language_id(docs, empty):
     f = lang.train(docs)
-    got = {r.doc_id: r for r in lang.identify(docs.select("doc_id", "text"), f).collect()}
+    got = {r.doc_id: r for r in lang.identify(docs.select("doc_id", "text"), f).select("row.doc_id", "lang_pred", "score", "known").collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0
     assert all(0 <= r.score <= 1 for r in got.values())
     none = lang.train(empty)
@@ -296,7 +296,7 @@ def test_toxicity_learns_words(spark):
     docs = spark.createDataFrame(data, SCHEMA)
     y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = tox.fit_model(docs, y.filter("doc_id % 3 <> 0"))
-    got = {r.doc_id: r.score for r in tox.score(docs.select("doc_id", "text"), model).collect()}
+    got = {r.doc_id: r.score for r in tox.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score").collect()}
     held = [i for i in range(0, 600, 3)]
     assert sum((got[i] >= 0.5) == (i % 5 == 0) for i in held) >= 0.95 * len(held)
     assert 0 <= got[1000] <= 1 and got[1000] == got[1001]
@@ -304,7 +304,7 @@ def test_toxicity_learns_words(spark):
 
 
 def test_mixing(docs, rows, empty):
-    got = mixing.mix(docs, max_repetition=1.5).collect()
+    got = mixing.mix(docs, max_repetition=1.5).select("row.*", "n_tokens", "weight", "epoch").collect()
     n = Counter((r.doc_id, r.text) for r in got)
     assert set(n) == {(i, t) for i, t, _, _ in rows}
     tokens = Counter()
@@ -312,7 +312,7 @@ def test_mixing(docs, rows, empty):
     for i, t, _, s in rows:
         own[s] += len((t or "").encode().split())
     for r in got:
-        tokens[r.source] += r._tokens
+        tokens[r.source] += r.n_tokens
     for s, t in own.items():
         if t:
             assert t <= tokens[s] <= 1.5 * t + 1e-6
