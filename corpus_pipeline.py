@@ -25,7 +25,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     del spark, sf_dir
     filters = op05_langid.train(docs)
     found = op05_langid.identify(docs, filters)
-    return found.filter((F.col("lang_pred") != op05_langid.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != op05_langid.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources again up to the limit of repetition."""
     del spark, sf_dir
-    return op10_mixing.mix(docs, max_repetition=MAX_REPETITION).select(docs.columns)
+    return op10_mixing.mix(docs, max_repetition=MAX_REPETITION).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
