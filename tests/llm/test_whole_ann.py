@@ -42,3 +42,34 @@ def test_longest_rows_outside_the_sample(spark):
 def test_fewer_candidates_than_k(spark):
     x = np.random.default_rng(1).standard_normal((6, 8))
     assert found(spark, x) == {0: best(x, 0)[:5]}
+
+
+def test_probing_retrieves_the_ball():
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64))
+    x = (centres[rng.integers(0, 40, 4000)] + 0.02 * rng.standard_normal((4000, 64)))
+    coder = ann.fit(x, norm=float(np.linalg.norm(x, axis=1).max()), k=20, recall=0.9)
+    for radius in (coder.radius, 15, 31):
+        coder.radius = radius
+        block = ann.Block(np.arange(4000), np.arange(4000), x, coder)
+        codes = coder.codes(x, True)
+        for i in range(0, 4000, 400):
+            ball = np.flatnonzero(ann.distances(block.codes, codes[:, i]) <= radius)
+            if block.index:
+                found = np.unique(np.concatenate([block.probe(p, int(v)) for p, v in enumerate(block.parts(codes[:, i : i + 1])[:, 0])]))
+                assert set(ball) <= set(found)
+    assert block.index
+
+
+def test_ties_and_scores_are_exact(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((50, 64))
+    x = base[rng.integers(0, 50, 600)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 64), (740, [float("nan")] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") % 20 == 0, block=100, query_block=7).collect()
+    score = np.array([[(x[q] * v).sum() for v in x] for q in range(0, 600, 20)])
+    for i, q in enumerate(range(0, 600, 20)):
+        order = sorted((j for j in range(600) if j != q), key=lambda j: (-score[i, j], j))[:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert own == [(k + 1, j, score[i, j]) for k, j in enumerate(order)]
