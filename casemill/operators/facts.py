@@ -78,7 +78,7 @@ def close_world(facts: DataFrame, schema: DataFrame) -> DataFrame:
     """Observable predicates without a fact in a case (closed as empty)."""
     names = schema.filter("kind = 'observable' and returns = 'Bool'").select(F.col("name").alias("symbol"))
     cases = facts.select("case_id").distinct()
-    pairs = cases.withColumn("_1", F.lit(1)).join(F.broadcast(names.withColumn("_1", F.lit(1))), "_1").drop("_1")
+    pairs = cases.withColumn("_1", F.lit(1)).join(names.withColumn("_1", F.lit(1)), "_1").drop("_1")
     return pairs.join(facts.select("case_id", "symbol").distinct(), ["case_id", "symbol"], "left_anti")
 
 
@@ -124,9 +124,9 @@ def ground_atoms(schema: DataFrame, domains: DataFrame, symbol: str, cap: int =
     The product stays inside a case and is cut while it is ranked.
     """
     s = schema.filter(F.col("name") == symbol).select(F.get("args", F.lit(0)).alias("t0"), F.get("args", F.lit(1)).alias("t1"))
-    a = domains.join(F.broadcast(s.select(F.col("t0").alias("type"))), "type").select("case_id", F.col("entity").alias("x"))
+    a = domains.join(s.select(F.col("t0").alias("type")), "type").select("case_id", F.col("entity").alias("x"))
     binary = s.filter("t1 is not null")
-    b = domains.join(F.broadcast(binary.select(F.col("t1").alias("type"))), "type").select("case_id", F.col("entity").alias("y"))
+    b = domains.join(binary.select(F.col("t1").alias("type")), "type").select("case_id", F.col("entity").alias("y"))
     both = a.join(b, "case_id", "left").select("case_id", "x", "y")
     w = Window.partitionBy("case_id")
     ranked = both.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("x", "y")))

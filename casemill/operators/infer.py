@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import count, product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,28 +15,41 @@ from casemill.functions.lineage import settle
 MAX_RULES = 1000
 
 
-def _body(node: dict, negated: bool = False) -> list[dict]:
-    """Conjuncts of an IF tree; raises on what a conjunctive join can't express."""
-    if "and" in node and not negated:
-        return [x for n in node["and"] for x in _body(n)]
+#: Operators read from the other side.
+TURNED = {">": "<", ">=": "<=", "<": ">", "<=": ">=", "=<": ">=", "=": "=", "==": "=", "!=": "!=", "<>": "!=", "~=": "!="}
+
+
+def _bodies(node: dict, negated: bool = False) -> list[list[dict]]:
+    """An IF tree as alternatives of conjuncts; raises on a node that is none of and, or, not, pred, compare."""
+    if "and" in node or "or" in node:
+        parts = [_bodies(n, negated) for n in node.get("and") or node.get("or")]
+        if ("and" in node) != negated:
+            return [sum(choice, []) for choice in product(*parts)]
+        return sum(parts, [])
     if "not" in node:
-        return _body(node["not"], not negated)
-    if "pred" in node or "compare" in node:
-        return [node | {"negated": bool(node.get("negated")) != negated}]
+        return _bodies(node["not"], not negated)
+    if "compare" in node:
+        c = node["compare"]
+        if isinstance(c.get("right"), dict) and not isinstance(c.get("left"), dict):
+            c = {"left": c["right"], "op": TURNED[c["op"]], "right": c["left"]}
+        return [[{"compare": c, "negated": bool(node.get("negated")) != negated}]]
+    if "pred" in node:
+        return [[node | {"negated": bool(node.get("negated")) != negated}]]
     raise ValueError(f"unsupported IF node: {sorted(node)}")
 
 
 def read_rules(rules: DataFrame) -> tuple[list[dict], list[dict]]:
-    """Rules as (head, body) plans, and rows for those with unsupported shapes."""
+    """Rules as (head, body) plans, one for each alternative of an OR, and rows for those that can't be read."""
+    n = rules.count()
+    if n > MAX_RULES:
+        raise ValueError(f"{n} rules, more than {MAX_RULES}")
     good, bad = [], []
-    for r in rules.select("set_id", "rule", "rule_json").orderBy("set_id", "rule").limit(MAX_RULES + 1).collect():
+    for r in rules.select("set_id", "rule", "rule_json").orderBy("set_id", "rule").collect():
         try:
             t = json.loads(r["rule_json"])
-            good.append({"rule": r["rule"], "body": [x for n in t["if"] for x in _body(n)], "head": t["then"]})
+            good += [{"rule": r["rule"], "body": body, "head": t["then"]} for body in _bodies({"and": t["if"]})]
         except (ValueError, KeyError, TypeError) as e:
             bad.append({"set_id": r["set_id"], "rule": r["rule"], "reason": str(e)})
-    if len(good) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     return good, bad
 
 
@@ -74,17 +88,20 @@ def _fire(rule: dict, facts: DataFrame, closed: set[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def apply_rules(facts: DataFrame, rules: DataFrame, closed: set[str] = frozenset(), max_rounds: int = 20) -> DataFrame:
+def apply_rules(facts: DataFrame, rules: DataFrame, closed: set[str] = frozenset()) -> DataFrame:
     """Facts and everything the rules conclude: case_id, symbol, args, polarity, value, rule, round.
 
     Each rule is one join plan on case and variables; a round adds what no earlier one had and is written
     to the shared folder. Rules whose bodies didn't change in the last round are not run again. Negated
-    conjuncts of ``closed`` symbols hold where no fact does; others need a denial, so that rounds only add.
+    conjuncts of ``closed`` symbols hold where no fact does; others need a denial, so that rounds only add and end.
+    Rules that can't be read raise.
     """
-    plans, _ = read_rules(rules)
+    plans, bad = read_rules(rules)
+    if bad:
+        raise ValueError(f"rules that can't be read: {bad[:10]}")
     known = settle(facts.select("case_id", "symbol", "args", "polarity", "value").distinct().withColumns({"rule": F.lit(None).cast("int"), "round": F.lit(0)}))
     fresh: set[str] | None = None
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         live = [r for r in plans if fresh is None or fresh & {n.get("pred") or n["compare"]["left"]["func"] for n in r["body"]}]
         if not live:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Error codes by what a message holds, first that fits; all phrases of a row must occur.
 ERROR_RULES: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
     ("json_parse_error", (("json ir validation failed",), ("parse", "json.loads", "invalid json"))),
+    ("json_parse_error", (("expected",), ("json",), ("parse", "json.loads", "invalid json"))),
     ("json_parse_error", (("openai call failed",), ("json",))),
     ("missing_helper_definition", (("helper predicate",), ("defining rule", "never defined", "no defining rule"))),
     ("missing_helper_definition", (("derived predicate",), ("without a defining rule", "no defining rule"))),
@@ -15,11 +16,19 @@ ERROR_RULES: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
     ("computed_observable_unsafe", (("computed-looking observable", "looks computed/composite"),)),
     ("numeric_threshold_not_in_law_text", (("does not appear in the scoped law text", "do not invent or alter legal thresholds"),)),
     ("missing_threshold_classification_exclusion", (("cannot prove disqualification", "exclusion rule such as"),)),
+    ("unsafe_inverse_negative_legal_output", (("inverse/de morgan negative rules", "negating observable/background prerequisites"),)),
     ("predicate_used_as_function", (("uses predicate",), ("as a function term",))),
+    ("function_used_as_predicate", (("as a bool predicate atom",), ("only under functions",))),
+    ("numeric_threshold_ambiguous", (("numeric_threshold_ambiguous",),)),
     ("suspicious_self_relation", (("suspicious self-relation",),)),
+    ("suspicious_self_relation", (("same variable twice",), ("between-entities",))),
+    ("no_helper_definition_progress", (("no_helper_definition_progress",),)),
+    ("repeated_missing_helper_definition", (("repeated_missing_helper_definition",),)),
+    ("repeated_missing_numeric_helper_definition", (("repeated_missing_numeric_helper_definition",),)),
     ("threshold_cardinality_or_singleton", (("at-most-one", "more-than-one criteria", "simple or over individual"),)),
     ("status_as_type", (("semantically identical to the status", "classification encoded as a primitive type"),)),
-    ("missing_temporal_support_symbol", (("no temporal support relation", "temporal support relation/function"),)),
+    ("missing_legal_effect_output", (("legal-effect or timing language", "no derived legal-output predicate", "no derived legal outputs", "symbol table contains no derived legal outputs"),)),
+    ("missing_temporal_support_symbol", (("no temporal support relation", "temporal support relation/function", "do not count as temporal support"),)),
     ("derived_predicate_not_defined", (("never appear in any rule then",),)),
     ("ungrounded_variable", (("unconstrained consequent variable",),)),
     ("invalid_signature", (("conflicting signatures", "unknown return type", "unknown argument type"),)),
@@ -61,7 +70,7 @@ def estimate_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     Prices meet the distinct model names, not the calls: the containment join has one row per name.
     """
     names = calls.select("model").distinct()
-    price = names.join(F.broadcast(prices), names.model.contains(prices.model_key)).groupBy("model").agg(F.min_by(F.struct("usd_in", "usd_out"), "pos").alias("p"))
+    price = names.join(prices, names.model.contains(prices.model_key)).groupBy("model").agg(F.min_by(F.struct("usd_in", "usd_out"), "pos").alias("p"))
     # dollars per million tokens times tokens are millionths of a dollar: rounded as such
     cost = F.round(F.coalesce(F.col("prompt_tokens") * F.col("p.usd_in"), F.lit(0.0)) + F.coalesce(F.col("completion_tokens") * F.col("p.usd_out"), F.lit(0.0))) / 1e6
     known = F.col("p").isNotNull() & (F.col("prompt_tokens").isNotNull() | F.col("completion_tokens").isNotNull())

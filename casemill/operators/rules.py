@@ -3,40 +3,42 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions.lineage import settle
 
-#: Deepest nesting of and/or/not that is read; deeper nodes come back as kind "too_deep".
-MAX_DEPTH = 6
-
-
-def rule_nodes(rules: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def rule_nodes(rules: DataFrame) -> DataFrame:
     """rules(set_id, rule, rule_json) to leaves: side, path, kind (atom, compare), parts, negated.
 
-    Each level of nesting is one lateral explode; negation is inherited.
+    Each level of nesting is one lateral explode, as long as any rule has a deeper one; negation is inherited. A literal on the
+    left of a compare is read from the right.
     """
     v = rules.select("set_id", "rule", F.try_parse_json("rule_json").alias("v"))
     arr = lambda n, p: F.try_variant_get(n, p, "array<variant>")
     tops = [v.select("set_id", "rule", F.lit(s).alias("side"), F.posexplode(arr("v", f"$.{s}")).alias("p", "node")).select("set_id", "rule", "side", F.col("p").cast("string").alias("path"), "node", F.lit(False).alias("neg"), F.lit(False).alias("in_or")) for s in ("if", "then")]
     level = reduce(DataFrame.unionByName, tops)
     leaves = []
-    for d in range(depth + 1):
+    while True:
         is_inner = arr("node", "$.and").isNotNull() | arr("node", "$.or").isNotNull() | F.try_variant_get("node", "$.not", "variant").isNotNull()
-        leaves.append(level.filter(~is_inner if d < depth else F.lit(True)).withColumn("deep", is_inner))
-        if d < depth:
-            kids = F.coalesce(arr("node", "$.and"), arr("node", "$.or"), F.array(F.try_variant_get("node", "$.not", "variant")))
-            flip = F.try_variant_get("node", "$.not", "variant").isNotNull()
-            level = level.filter(is_inner).select("set_id", "rule", "side", "path", F.posexplode(kids).alias("p", "kid"), (F.col("neg") != flip).alias("neg"), (F.col("in_or") | arr("node", "$.or").isNotNull()).alias("in_or"))
-            level = level.select("set_id", "rule", "side", F.concat_ws(".", "path", F.col("p").cast("string")).alias("path"), F.col("kid").alias("node"), "neg", "in_or")
+        leaves.append(level.filter(~is_inner))
+        kids = F.coalesce(arr("node", "$.and"), arr("node", "$.or"), F.array(F.try_variant_get("node", "$.not", "variant")))
+        flip = F.try_variant_get("node", "$.not", "variant").isNotNull()
+        level = level.filter(is_inner).select("set_id", "rule", "side", "path", F.posexplode(kids).alias("p", "kid"), (F.col("neg") != flip).alias("neg"), (F.col("in_or") | arr("node", "$.or").isNotNull()).alias("in_or"))
+        level = level.select("set_id", "rule", "side", F.concat_ws(".", "path", F.col("p").cast("string")).alias("path"), F.col("kid").alias("node"), "neg", "in_or")
+        if level.isEmpty():
+            break
     n = reduce(DataFrame.unionByName, leaves)
     get = lambda p, t="string": F.try_variant_get("node", p, t)
-    kind = F.when(F.col("deep"), "too_deep").when(get("$.compare", "variant").isNotNull(), "compare").when(get("$.pred").isNotNull(), "atom").otherwise("unreadable")
-    symbol = F.coalesce(get("$.pred"), get("$.compare.left.func"))
-    args = F.coalesce(get("$.args", "array<string>"), get("$.compare.left.args", "array<string>"))
-    return n.select("set_id", "rule", "side", "path", kind.alias("kind"), symbol.alias("symbol"), args.alias("args"), (F.col("neg") != F.coalesce(get("$.negated", "boolean"), F.lit(False))).alias("negated"), get("$.compare.op").alias("op"), get("$.compare.right").alias("literal"), "in_or")
+    turned = get("$.compare.right.func").isNotNull() & get("$.compare.left.func").isNull()
+    op = get("$.compare.op")
+    op = F.when(~turned, op).when(op.startswith(">"), F.concat(F.lit("<"), F.substring(op, 2, 1))).when(op == "=<", ">=").when(op.isin("<", "<="), F.concat(F.lit(">"), F.substring(op, 2, 1))).otherwise(op)
+    kind = F.when(get("$.compare", "variant").isNotNull(), "compare").when(get("$.pred").isNotNull(), "atom").otherwise("unreadable")
+    symbol = F.coalesce(get("$.pred"), get("$.compare.left.func"), get("$.compare.right.func"))
+    args = F.coalesce(get("$.args", "array<string>"), get("$.compare.left.args", "array<string>"), get("$.compare.right.args", "array<string>"))
+    return n.select("set_id", "rule", "side", "path", kind.alias("kind"), symbol.alias("symbol"), args.alias("args"), (F.col("neg") != F.coalesce(get("$.negated", "boolean"), F.lit(False))).alias("negated"), op.alias("op"), F.when(turned, get("$.compare.left")).otherwise(get("$.compare.right")).alias("literal"), "in_or")
 
 
 def rule_atoms(rules: DataFrame) -> DataFrame:
@@ -56,14 +58,14 @@ def dependency_edges(atoms: DataFrame) -> DataFrame:
     return then.join(atoms.filter("side = 'if'").select("set_id", "rule", F.col("symbol").alias("used")), ["set_id", "rule"]).select("set_id", "defined", "used").distinct()
 
 
-def closure(edges: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """D3: edges(src, dst), targets(target) -> (target, node, depth): everything reachable, semi-naive.
 
     Only the nodes found last are joined with the edges again; each round is written to the shared folder.
     """
     known = settle(targets.select("target", F.col("target").alias("node"), F.lit(0).alias("depth")).distinct())
     new = known
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         step = new.join(edges, new.node == edges.src).select("target", F.col("dst").alias("node")).distinct()
         new = settle(step.join(known.select("target", "node"), ["target", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if new.isEmpty():

@@ -157,7 +157,7 @@ def evidence_snippets(cases: DataFrame, symbols: DataFrame, k: int = 5) -> DataF
     s = symbols.select("symbol", F.explode(F.array_distinct(F.filter(symbol_tokens(F.col("symbol")), lambda x: F.length(x) >= 4))).alias("w"))
     sent = cases.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
     words = sent.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[^a-z0-9_]+"))).alias("w"))
-    hit = words.join(F.broadcast(s), "w").select("doc_id", "symbol", "pos", "sentence").distinct()
+    hit = words.join(s, "w").select("doc_id", "symbol", "pos", "sentence").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id", "symbol").orderBy("pos"))
     return hit.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "symbol", "rank", "pos")
 

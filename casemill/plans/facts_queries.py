@@ -116,12 +116,12 @@ def d1_rule_atoms(spark, d):
 def _rules(spark, d):
     """The rule set once for each part, so that the checks run over many sets."""
     r = table(spark, d, "fx_rules").drop("set_id")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("set_id")).withColumn("_1", F.lit(1)).join(F.broadcast(r.withColumn("_1", F.lit(1))), "_1").drop("_1")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("set_id")).withColumn("_1", F.lit(1)).join(r.withColumn("_1", F.lit(1)), "_1").drop("_1")
 
 
 def _symbols(spark, d):
     s = _schema(spark, d).drop("set_id").filter("name <> 'never'")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("set_id")).withColumn("_1", F.lit(1)).join(F.broadcast(s.withColumn("_1", F.lit(1))), "_1").drop("_1").filter("not (set_id % 3 = 0 and name = 'urgent')")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("set_id")).withColumn("_1", F.lit(1)).join(s.withColumn("_1", F.lit(1)), "_1").drop("_1").filter("not (set_id % 3 = 0 and name = 'urgent')")
 
 
 def _atoms(spark, d):

@@ -85,6 +85,17 @@ SELECT * FROM (VALUES
  (1, 1, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"and":[{"pred":"placed_by","args":["o","c"]},{"pred":"big_order","args":["o"]},{"pred":"urgent","args":["o"]}]}],"then":[{"pred":"is_priority_customer","args":["c"]}]}'),
  (1, 2, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"and":[{"pred":"placed_by","args":["o","c"]},{"pred":"is_priority_customer","args":["c"]},{"pred":"open","args":["o"],"negated":true}]}],"then":[{"pred":"right_to_discount","args":["c"]}]}')
 ) AS t(set_id, rule, rule_json)""",
+    "fx_named": """
+SELECT p_partkey % 50 AS set_id, p_partkey,
+ concat(CASE CAST(p_partkey % 13 AS INT) WHEN 0 THEN 'exceeds_limit' WHEN 1 THEN 'has_valid_passport' WHEN 2 THEN 'legal_effect_of' WHEN 3 THEN 'is_member'
+  WHEN 4 THEN 'deceased_owner' WHEN 5 THEN 'surviving_spouse' WHEN 6 THEN 'applies_from_next_year' WHEN 7 THEN 'turnover' WHEN 8 THEN 'right_to_claim'
+  WHEN 9 THEN 'meets_two_criteria' WHEN 10 THEN 'owns' WHEN 11 THEN 'entitled_to_refund' ELSE 'lives_at' END, '_', lower(replace(p_brand, '#', ''))) AS name,
+ CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'observable' WHEN 1 THEN 'helper' WHEN 2 THEN 'derived' WHEN 3 THEN 'observable' WHEN 4 THEN 'background' WHEN 5 THEN 'conclusion' ELSE 'function' END AS kind,
+ CASE WHEN p_partkey % 17 = 0 THEN 'the deceased person' WHEN p_partkey % 19 = 0 THEN 'a residence status' ELSE p_name END AS description,
+ CASE WHEN p_partkey % 23 = 0 THEN true WHEN p_partkey % 29 = 0 THEN false ELSE NULL END AS legal_output,
+ CASE WHEN p_partkey % 31 = 0 THEN 'classification' ELSE NULL END AS category,
+ p_partkey % 11 = 0 AS directly_observable, p_partkey % 37 = 0 AS case_input, p_partkey % 41 = 0 AS asked, p_partkey % 3 = 0 AS stated
+FROM part""",
     "fx_years": """
 SELECT o_custkey AS entity, year(o_orderdate) AS period, sum(o_totalprice) AS turnover,
  count(*) AS n_orders, max(o_totalprice) AS largest

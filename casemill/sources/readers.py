@@ -22,7 +22,7 @@ def read_runs(spark: SparkSession, path: str, ids: list[str] | None = None) -> D
         missing = [r["id"] for r in wanted.join(raw.select("id"), "id", "left_anti").limit(20).collect()]
         if missing:
             raise ValueError(f"unknown run ids: {', '.join(sorted(missing))}")
-        raw = raw.join(F.broadcast(wanted), "id", "left_semi")
+        raw = raw.join(wanted, "id", "left_semi")
     q = raw.select(F.col("id").alias("run_id"), F.col("law.text").alias("law_text"), F.col("law.path").alias("law_path"), F.col("case.text").alias("case_text"), F.explode_outer("questions").alias("q"))
     return q.select("run_id", "law_text", "law_path", "case_text", F.col("q.id").alias("q_id"), F.col("q.text").alias("q_text"), F.col("q.expected").alias("expected"))
 
