@@ -177,23 +177,23 @@ def possible_outputs(ground: DataFrame, closure: DataFrame, n: int = 3) -> DataF
 def antecedent_coverage(queries: DataFrame, atoms: DataFrame, facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per query and rule that concludes it the IF atoms: present, missing, helper_defined, helper_floating.
 
-    An atom is present if the case holds a fact of its symbol that mentions the query's argument where they
-    share a variable, or any fact of the symbol otherwise.
+    An atom is present if the case holds a fact of its symbol, or its denial, that mentions the query's argument where they
+    share a variable, or any of the symbol otherwise; it is satisfied if one of them has the sign that the rule asks for.
     """
     heads = atoms.filter("side = 'then'").select("rule", F.col("symbol").alias("q_symbol"), F.col("args").alias("head_args"))
-    body = atoms.filter("side = 'if'").select("rule", "path", "symbol", F.col("args").alias("atom_args"))
+    body = atoms.filter("side = 'if'").select("rule", "path", "symbol", F.col("args").alias("atom_args"), F.coalesce("negated", F.lit(False)).alias("negated"))
     q = queries.select("q_id", "case_id", F.col("symbol").alias("q_symbol"), F.col("args").alias("q_args"))
     need = q.join(heads, "q_symbol").join(body, "rule")
     at = F.array_position("atom_args", F.get("head_args", F.lit(0)))
     bound = F.when(at > 0, F.get("q_args", F.lit(0)))
     need = need.withColumns({"at": at, "bound": bound})
-    have = facts.filter("value is null").select("case_id", "symbol", F.col("args").alias("f_args")).distinct()
-    hit = need.join(have, ["case_id", "symbol"]).filter(F.col("bound").isNull() | (F.get("f_args", (F.col("at") - 1).cast("int")) == F.col("bound"))).select("q_id", "rule", "path").distinct().withColumn("present", F.lit(True))
+    have = facts.filter("value is null").select("case_id", "symbol", F.col("args").alias("f_args"), "polarity").distinct()
+    hit = need.join(have, ["case_id", "symbol"]).filter(F.col("bound").isNull() | (F.get("f_args", (F.col("at") - 1).cast("int")) == F.col("bound"))).groupBy("q_id", "rule", "path").agg(F.lit(True).alias("present"), F.max(F.col("polarity") != F.col("negated")).alias("satisfied"))
     kinds = symbols.select(F.col("name").alias("symbol"), "kind")
     defined = atoms.filter("side = 'then'").select("symbol").distinct().withColumn("defined", F.lit(True))
     x = need.join(hit, ["q_id", "rule", "path"], "left").join(kinds, "symbol", "left").join(defined, "symbol", "left")
     status = F.when(F.col("present"), "present").when(F.col("defined"), "helper_defined").when(F.col("kind") == "helper", "helper_floating").when(F.col("kind").isNull(), "unknown").otherwise("missing")
-    return x.select("q_id", "rule", "path", "symbol", status.alias("status"))
+    return x.select("q_id", "rule", "path", "symbol", status.alias("status"), F.coalesce("satisfied", F.lit(False)).alias("satisfied"))
 
 
 def downgrade_alternatives(coverage: DataFrame, results: DataFrame) -> DataFrame:

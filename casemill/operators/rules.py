@@ -10,27 +10,35 @@ from pyspark.sql import functions as F
 
 from casemill.functions.lineage import settle
 
-def rule_nodes(rules: DataFrame) -> DataFrame:
-    """rules(set_id, rule, rule_json) to leaves: side, path, kind (atom, compare), parts, negated.
-
-    Each level of nesting is one lateral explode, as long as any rule has a deeper one; negation is inherited. A literal on the
-    left of a compare is read from the right.
-    """
+def _tree(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves and inner nodes of rule trees; each level of nesting is one lateral explode, as long as any rule has a deeper one."""
     v = rules.select("set_id", "rule", F.try_parse_json("rule_json").alias("v"))
     arr = lambda n, p: F.try_variant_get(n, p, "array<variant>")
     tops = [v.select("set_id", "rule", F.lit(s).alias("side"), F.posexplode(arr("v", f"$.{s}")).alias("p", "node")).select("set_id", "rule", "side", F.col("p").cast("string").alias("path"), "node", F.lit(False).alias("neg"), F.lit(False).alias("in_or")) for s in ("if", "then")]
     level = reduce(DataFrame.unionByName, tops)
-    leaves = []
+    leaves, inner = [], []
+    kind = F.when(arr("node", "$.and").isNotNull(), "and").when(arr("node", "$.or").isNotNull(), "or").when(F.try_variant_get("node", "$.not", "variant").isNotNull(), "not")
     while True:
-        is_inner = arr("node", "$.and").isNotNull() | arr("node", "$.or").isNotNull() | F.try_variant_get("node", "$.not", "variant").isNotNull()
-        leaves.append(level.filter(~is_inner))
+        leaves.append(level.filter(kind.isNull()))
         kids = F.coalesce(arr("node", "$.and"), arr("node", "$.or"), F.array(F.try_variant_get("node", "$.not", "variant")))
-        flip = F.try_variant_get("node", "$.not", "variant").isNotNull()
-        level = level.filter(is_inner).select("set_id", "rule", "side", "path", F.posexplode(kids).alias("p", "kid"), (F.col("neg") != flip).alias("neg"), (F.col("in_or") | arr("node", "$.or").isNotNull()).alias("in_or"))
+        here = level.filter(kind.isNotNull()).withColumn("kind", kind)
+        inner.append(here.select("set_id", "rule", "side", "path", "kind", "neg"))
+        level = here.select("set_id", "rule", "side", "path", F.posexplode(kids).alias("p", "kid"), (F.col("neg") != (F.col("kind") == "not")).alias("neg"), (F.col("in_or") | (F.col("kind") == "or")).alias("in_or"))
         level = level.select("set_id", "rule", "side", F.concat_ws(".", "path", F.col("p").cast("string")).alias("path"), F.col("kid").alias("node"), "neg", "in_or")
         if level.isEmpty():
             break
-    n = reduce(DataFrame.unionByName, leaves)
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, inner)
+
+
+def rule_nodes(rules: DataFrame) -> DataFrame:
+    """rules(set_id, rule, rule_json) to leaves: side, path, kind (atom, compare), parts, negated.
+
+    Negation is inherited. A literal on the left of a compare is read from the right.
+    """
+    return _leaf_columns(_tree(rules)[0])
+
+
+def _leaf_columns(n: DataFrame) -> DataFrame:
     get = lambda p, t="string": F.try_variant_get("node", p, t)
     turned = get("$.compare.right.func").isNotNull() & get("$.compare.left.func").isNull()
     op = get("$.compare.op")
@@ -52,6 +60,25 @@ def rule_compares(rules: DataFrame) -> DataFrame:
     return rule_nodes(rules).filter("kind = 'compare'").select("set_id", "rule", "side", "path", F.col("symbol").alias("func"), op.alias("op"), F.col("literal").try_cast("double").alias("literal"))
 
 
+def or_shapes(rules: DataFrame) -> DataFrame:
+    """OR nodes in IFs by what they join: exceeded or within (single compares of that kind only), pairwise (ANDs of two compares
+    and more), other; with their sign and whether a NOT stands right above them."""
+    leaves, inner = _tree(rules)
+    up = F.regexp_replace("path", r"\.?[0-9]+$", "")
+    key = ["set_id", "rule", "parent"]
+    kind = F.when(F.col("op").isin(">", ">="), "exceeded").when(F.col("op").isin("<", "<=", "=<"), "within")
+    single = F.when((F.col("kind") == "compare") & F.col("literal").try_cast("double").isNotNull(), kind)
+    at_leaf = _leaf_columns(leaves).filter("side = 'if'").select("set_id", "rule", up.alias("parent"), F.coalesce(single, F.lit("other")).alias("what"))
+    nodes = inner.filter("side = 'if'").select("set_id", "rule", "path", up.alias("parent"), "kind", "neg")
+    compares = at_leaf.filter("what <> 'other'").groupBy("set_id", "rule", F.col("parent").alias("path")).agg(F.count("*").alias("n_compares"))
+    at_inner = nodes.join(compares, ["set_id", "rule", "path"], "left").select(*key, F.when((F.col("kind") == "and") & (F.col("n_compares") >= 2), "pair").otherwise("other").alias("what"))
+    kids = at_leaf.unionByName(at_inner).groupBy(*key).agg(F.count("*").alias("n_kids"), F.count_distinct("what").alias("n_kinds"), F.min("what").alias("what")).withColumnRenamed("parent", "path")
+    shape = F.when((F.col("n_kinds") > 1) | (F.col("n_kids") < 2), "other").when(F.col("what") == "pair", "pairwise").otherwise(F.col("what"))
+    above = nodes.filter("kind = 'not'").select("set_id", "rule", F.col("path").alias("parent"), F.lit(True).alias("under_not"))
+    x = nodes.filter("kind = 'or'").join(kids, ["set_id", "rule", "path"], "left").join(above, key, "left")
+    return x.select("set_id", "rule", "path", F.coalesce(shape, F.lit("other")).alias("shape"), F.col("neg").alias("negated"), F.coalesce("under_not", F.lit(False)).alias("under_not"))
+
+
 def dependency_edges(atoms: DataFrame) -> DataFrame:
     """Which symbols a defined symbol uses: (set_id, defined, used)."""
     then = atoms.filter("side = 'then'").select("set_id", "rule", F.col("symbol").alias("defined"))

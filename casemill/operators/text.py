@@ -106,14 +106,16 @@ def expand_cross_refs(selected: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, text: str = "q_text") -> DataFrame:
-    """The k chunks of a question's law with most of its words (token equality), longer ones first.
+    """The k chunks of a question's law that hold most of its words, longer ones first, then earlier ones.
 
-    queries(q_id, law_id, q_text), chunks(law_id, chunk_id, text, start).
+    queries(q_id, law_id, q_text, case_text if there is one), chunks(law_id, chunk_id, text, start). A word counts where it is
+    part of a longer one, too. Chunks without any word are left out; ``scope_text`` then takes the whole text.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0))
-    q = queries.select("q_id", "law_id", F.explode(words(text)).alias("w"))
-    c = chunks.select("law_id", "chunk_id", "start", F.length("text").alias("n"), F.explode(words("text")).alias("w"))
-    hits = q.join(c, ["law_id", "w"]).groupBy("q_id", "law_id", "chunk_id", "start", "n").agg(F.count("*").alias("score"))
+    said = F.concat_ws(" ", text, "case_text") if "case_text" in queries.columns else F.col(text)
+    q = queries.select("q_id", "law_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(said, F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0)).alias("words"))
+    c = chunks.select("law_id", "chunk_id", "start", F.length("text").alias("n"), F.lower("text").alias("body"))
+    score = F.size(F.filter("words", lambda w: F.col("body").contains(w))).cast("long")
+    hits = q.join(c, "law_id").select("q_id", "chunk_id", "start", "n", score.alias("score")).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("n"), "start"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "rank", "chunk_id", "score")
 

@@ -139,7 +139,7 @@ def _edges(spark, d):
 
 
 def d3_derivation_closure(spark, d):
-    return D.closure(_edges(spark, d), table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("target")))
+    return D.closure(_edges(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("target")))
 
 
 def d4_floating_helpers(spark, d):
@@ -310,7 +310,8 @@ _YEARS = "SELECT entity, period, CAST(turnover > 200000 AS INT) + CAST(n_orders
 _CITED = f"""SELECT concat('p', c_custkey) AS q_id, c_custkey, 1 AS rule, x.* FROM customer, (VALUES ('0.0', 'placed_by'), ('0.1', 'big_order'), ('0.2', 'urgent')) x(path, symbol)
  UNION ALL SELECT concat('d', c_custkey), c_custkey, 2, x.* FROM customer, (VALUES ('0.0', 'placed_by'), ('0.1', 'is_priority_customer'), ('0.2', 'open')) x(path, symbol)"""
 _COV = f"""SELECT q_id, rule, path, symbol, CASE WHEN symbol IN ('big_order', 'is_priority_customer') THEN 'helper_defined' WHEN symbol = 'urgent' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'missing'
- WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'missing' ELSE 'present' END AS status FROM ({_CITED})"""
+ WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'missing' ELSE 'present' END AS status,
+ CASE WHEN symbol IN ('big_order', 'is_priority_customer') THEN false WHEN symbol = 'urgent' THEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') WHEN symbol = 'open' THEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') ELSE c_custkey IN (SELECT o_custkey FROM orders) END AS satisfied FROM ({_CITED})"""
 
 SQL = {
     "c1_parse_facts": f"""SELECT o_custkey AS case_id, concat('placed_by(o', o_orderkey, ',c', o_custkey, ').') AS line, 'atom' AS form, 'placed_by' AS symbol, concat('o', o_orderkey, ',c', o_custkey) AS args, true AS polarity, NULL AS value, NULL AS reason FROM orders
@@ -339,7 +340,7 @@ SQL = {
  m AS (SELECT * FROM u EXCEPT SELECT * FROM s) SELECT set_id, symbol, n_undeclared FROM (SELECT *, count(*) OVER (PARTITION BY set_id) AS n_undeclared, row_number() OVER (PARTITION BY set_id ORDER BY symbol) AS r FROM m) WHERE r <= 3""",
     "d1_rule_atoms": _ATOMS,
     "d2_rule_compares": f"SELECT set_id, 0 AS rule, 'if' AS side, '0' AS path, 'total_price' AS func, '>' AS op, 250000.0 AS literal FROM {_SETS}",
-    "d3_derivation_closure": """WITH RECURSIVE c AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT target, node // 2, depth + 1 FROM c WHERE node // 2 > 0) SELECT * FROM c""",
+    "d3_derivation_closure": """WITH RECURSIVE c AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT target, node // 2, depth + 1 FROM c WHERE node // 2 > 0) SELECT * FROM c""",
     "d4_floating_helpers": f"SELECT set_id, 'big_order' AS symbol, 1 AS n_rules FROM {_SETS} WHERE set_id % 5 = 0",
     "d5_undefined_derived": f"SELECT set_id, 'is_priority_customer' AS symbol, 1 AS n_rules FROM {_SETS} WHERE set_id % 7 = 0",
     "d6_definition_cycles": "SELECT DISTINCT concat(p_partkey // 10, '-', p_partkey % 10) AS target FROM part WHERE p_partkey % 10 < 3 AND p_partkey // 10 % 2 = 0 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part WHERE p_partkey % 10 < 3 GROUP BY 1 HAVING count(*) = 3)",

@@ -12,13 +12,13 @@ VIEWS = {
     "fx_laws": """
 SELECT doc_id AS law_id, lang,
  concat('Article 1:', CAST(doc_id % 40 + 1 AS STRING), '.', chr(10),
-  '§ 1. ', substr(replace(text, chr(10), ' '), 1, 200), chr(10),
-  '1° ', substr(replace(text, chr(10), ' '), 201, 100), chr(10),
-  '2° ', substr(replace(text, chr(10), ' '), 301, 100), chr(10),
+  '§ 1. ', substr(flat, 1, quarter), chr(10),
+  '1° ', substr(flat, quarter + 1, quarter), chr(10),
+  '2° ', substr(flat, 2 * quarter + 1, quarter), chr(10),
   '§ 2. When not more than one of the criteria in paragraph 1 exceeds ',
   CAST(doc_id % 9 + 1 AS STRING), '50.000 the consequences apply from the following year.', chr(10),
-  'Article 3.', chr(10), substr(replace(text, chr(10), ' '), 401, 200)) AS law_text
-FROM documents""",
+  'Article 3.', chr(10), substr(flat, 3 * quarter + 1)) AS law_text
+FROM (SELECT doc_id, lang, replace(text, chr(10), ' ') AS flat, CAST(floor(length(text) / 4) AS INT) AS quarter FROM documents)""",
     "fx_questions": """
 SELECT doc_id AS q_id, doc_id AS law_id, CASE CAST(doc_id % 4 AS INT)
  WHEN 0 THEN concat('Does article 1:', CAST(doc_id % 40 + 1 AS STRING), ', paragraph 2 apply to Anna?')
@@ -96,6 +96,28 @@ SELECT p_partkey % 50 AS set_id, p_partkey,
  CASE WHEN p_partkey % 31 = 0 THEN 'classification' ELSE NULL END AS category,
  p_partkey % 11 = 0 AS directly_observable, p_partkey % 37 = 0 AS case_input, p_partkey % 41 = 0 AS asked, p_partkey % 3 = 0 AS stated
 FROM part""",
+    "fx_shapes": """
+SELECT p_partkey AS set_id, 0 AS rule, concat('{"if":[', CASE CAST(p_partkey % 7 AS INT)
+ WHEN 0 THEN '{"or":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}}]}'
+ WHEN 1 THEN '{"or":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":"<=","right":900000}},{"compare":{"left":50,"op":">","right":{"func":"staff","args":["x"]}}}]}'
+ WHEN 2 THEN '{"or":[{"and":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}}]},{"and":[{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}},{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"pred":"at_least_two_exceeded","args":["x"]}]}]}'
+ WHEN 3 THEN '{"not":{"or":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}}]}}'
+ WHEN 4 THEN '{"and":[{"pred":"listed","args":["x"]},{"or":[{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}},{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}}]}]}'
+ WHEN 5 THEN '{"or":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"compare":{"left":50,"op":">","right":{"func":"staff","args":["x"]}}}]}'
+ ELSE '{"pred":"at_least_two_exceeded","args":["x"]}' END, '],"then":[{"pred":"is_small","args":["x"]}]}') AS rule_json FROM part
+UNION ALL SELECT p_partkey, 1, concat('{"if":[', CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '{"pred":"at_least_two_exceeded","args":["x"]}' WHEN 1 THEN '{"or":[{"and":[{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}}]},{"and":[{"compare":{"left":{"func":"staff","args":["x"]},"op":">=","right":50}},{"compare":{"left":{"func":"turnover","args":["x"]},"op":">","right":900000}},{"pred":"at_least_two_exceeded","args":["x"]}]}]}' ELSE '{"pred":"listed","args":["x"]}' END,
+ '],"then":[{"pred":"is_small","args":["x"],"negated":true}]}') FROM part WHERE p_partkey % 4 = 0""",
+    "fx_periods": """
+SELECT p_partkey, set_id, concat(CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'prior_' WHEN 1 THEN 'consecutive_' WHEN 2 THEN 'year_following_' WHEN 3 THEN '' ELSE 'next_' END, name, '_', CAST(p_partkey AS STRING)) AS name,
+ kind, description, legal_output, category, case_input
+FROM fx_named""",
+    "fx_limits": """
+SELECT p_partkey AS set_id, CAST(10 AS DOUBLE) AS value FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, CAST(50 AS DOUBLE) FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, CAST(900000 AS DOUBLE) FROM part WHERE p_partkey % 5 < 2
+UNION ALL SELECT p_partkey, CAST(450000 AS DOUBLE) FROM part WHERE p_partkey % 7 < 3
+UNION ALL SELECT p_partkey, CAST(11250000 AS DOUBLE) FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT p_partkey, CAST(3 AS DOUBLE) FROM part""",
     "fx_years": """
 SELECT o_custkey AS entity, year(o_orderdate) AS period, sum(o_totalprice) AS turnover,
  count(*) AS n_orders, max(o_totalprice) AS largest
@@ -117,13 +139,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    used = {t: table(spark, sf_dir, t) for t in (*TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql.replace("{", "{{").replace("}", "}}")), **used) if used else spark.sql(sql)
 
 
 def oracle(sql: str) -> str:
     """DuckDB SQL with the views it uses in front."""
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    named = lambda text: {v for v in VIEWS if re.search(rf"\b{v}\b", text)}
+    direct = named(sql)
+    used = [v for v in VIEWS if v in direct.union(*(named(VIEWS[u]) for u in direct))]
     views = [f"{v} AS ({VIEWS[v]})" for v in used]
     own = re.match(r"\s*WITH (RECURSIVE )?", sql)
     if own:

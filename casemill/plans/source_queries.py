@@ -12,8 +12,8 @@ from casemill.streaming import budget
 
 
 def a2_resolve_law_text(spark, d):
-    runs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise(" ").alias("law_text"), F.concat(F.lit("page_"), F.col("doc_id") % 400).alias("law_path"))
-    laws = table(spark, d, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.substring("url", 1, 60).alias("text"))
+    runs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(" ").alias("law_text"), F.concat(F.lit("page_"), F.col("doc_id") % 400).alias("law_path"))
+    laws = table(spark, d, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.col("html").cast("string").alias("text"))
     return R.resolve_law_text(runs, laws).select("doc_id", "law_text", "law_source")
 
 
@@ -56,8 +56,8 @@ def g7_budget_guard_stream(spark, d):
 QUERIES = {f.__name__: f for f in (a2_resolve_law_text, a4_flatten_json, a5_parse_model_json, a6_call_stages, a9_to_prompt_corpus, a10_message_text, g7_budget_guard_stream)}
 
 SQL = {
-    "a2_resolve_law_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(substr(text, 1, 30)) <> '' THEN substr(text, 1, 30) ELSE substr(url, 1, 60) END AS law_text,
- CASE WHEN doc_id % 3 = 0 AND trim(substr(text, 1, 30)) <> '' THEN 'embedded' WHEN page_id IS NOT NULL THEN 'path' ELSE 'missing' END AS law_source FROM documents LEFT JOIN pages ON page_id = doc_id % 400""",
+    "a2_resolve_law_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN text ELSE html END AS law_text,
+ CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN 'embedded' WHEN page_id IS NOT NULL THEN 'path' ELSE 'missing' END AS law_source FROM documents LEFT JOIN pages ON page_id = doc_id % 400""",
     "a4_flatten_json": """SELECT event_id, k AS path, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
     "a5_parse_model_json": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'reject' ELSE 'good' END AS kind FROM events",
     "a6_call_stages": "SELECT call_index, CASE WHEN stage = 'other' THEN 'unknown' ELSE stage END AS stage FROM fx_calls",

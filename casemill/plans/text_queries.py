@@ -52,8 +52,13 @@ def b6_expand_cross_refs(spark, d):
     return T.expand_cross_refs(selected, chunks)
 
 
+def _asked(spark, d):
+    """Questions with the text of their case."""
+    return table(spark, d, "fx_questions").join(_docs(spark, d).select(F.col("doc_id").alias("q_id"), F.col("text").alias("case_text")), "q_id")
+
+
 def b7_keyword_topk(spark, d):
-    return T.keyword_topk(table(spark, d, "fx_questions"), T.chunk_documents(table(spark, d, "fx_laws")))
+    return T.keyword_topk(_asked(spark, d), T.chunk_documents(table(spark, d, "fx_laws")))
 
 
 def b9_extract_numbers(spark, d):
@@ -116,7 +121,7 @@ def b23_ascii_fold(spark, d):
 
 def b25_lexical_match(spark, d):
     hints = table(spark, d, "part").select(F.col("p_partkey").alias("hint_id"), F.regexp_replace("p_name", " ", "_").alias("hint"))
-    names = table(spark, d, "part").filter("p_partkey % 7 = 0").select(F.regexp_replace("p_name", " ", "_").alias("name"))
+    names = table(spark, d, "part").select(F.regexp_replace("p_name", " ", "_").alias("name"))
     return T.lexical_match(hints, names)
 
 
@@ -180,7 +185,7 @@ SQL = {
  SELECT page_id, CASE WHEN regexp_matches(s, '^[0-9]') THEN 'e_' || s ELSE s END AS entity, CAST(page_id AS VARCHAR) AS value FROM s""",
     "b23_ascii_fold": f"""WITH f AS (SELECT source, text, regexp_replace(translate(text, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS f FROM documents)
  SELECT source, count(*) FILTER (f <> text) AS changed, CAST(sum(length(regexp_replace(f, '[^?]', '', 'g'))) AS BIGINT) AS marks FROM f GROUP BY source""",
-    "b25_lexical_match": """WITH h AS (SELECT p_partkey AS hint_id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part), s AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part WHERE p_partkey % 7 = 0),
+    "b25_lexical_match": """WITH h AS (SELECT p_partkey AS hint_id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part), s AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
  x AS (SELECT hint_id, len(t) AS nh, unnest(t) AS w FROM h), y AS (SELECT name, len(t) AS ns, unnest(t) AS w FROM s),
  c AS (SELECT hint_id, name, round(2 * count(*) / (nh + ns), 6) AS score FROM x JOIN y USING (w) GROUP BY hint_id, name, nh, ns)
  SELECT hint_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY hint_id ORDER BY score DESC, name) AS r FROM c) WHERE r = 1""",
