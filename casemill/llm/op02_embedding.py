@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,6 +228,29 @@ def _near(leaders: DataFrame, cosine: float, recall: float, sending: float) -> D
     return sent.repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(run, "kind string, a long, b long, n long")
 
 
+def _scaled(rows: DataFrame) -> DataFrame:
+    """Usable vectors at length one, others as null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("vec")
+            own, rest = b.filter(b.column("ok")), b.filter(pc.invert(b.column("ok")))
+            if len(own):
+                vec = own.column("vec")
+                size = pc.list_value_length(vec).to_numpy()
+                edges = np.concatenate([[0], np.cumsum(size)])
+                x = vec.flatten().to_numpy(zero_copy_only=False).copy()
+                # by the largest component first, so that squares neither vanish nor overflow; twice, as a component may be subnormal
+                for _ in range(2):
+                    x /= np.repeat(np.maximum.reduceat(np.abs(x), edges[:-1]), size)
+                x /= np.repeat(np.sqrt(np.add.reduceat(x * x, edges[:-1])), size)
+                yield own.set_column(at, "vec", pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x)))
+            if len(rest):
+                yield rest.set_column(at, "vec", pa.nulls(len(rest), pa.list_(pa.float64())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, gathering: int = 4, window: int = 48, recall: float = 0.999, sending: float = SENDING, block: int = 256) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -235,13 +259,9 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     """
     small_batches(df.sparkSession)
     limit = float(np.arccos(cosine)) / 8
-    rows = cut(numbered(df, id_col, vec_col, F.col(label_col).cast("long").alias("label")))
+    rows = cut(_scaled(numbered(df, id_col, vec_col, F.col(label_col).cast("long").alias("label"))))
     good = rows.filter("ok and label is not null")
-    # by the largest component first, so that squares neither vanish nor overflow; twice, as a component may be subnormal
-    for _ in range(2):
-        good = good.withColumn("top", F.array_max(F.transform("vec", lambda x: F.abs(x)))).withColumn("vec", F.transform("vec", lambda x: x / F.col("top")))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    unit = good.select("rid", "label", F.size("vec").alias("dim"), "vec", norm.alias("norm")).select("rid", "label", "dim", F.transform("vec", lambda x: x / F.col("norm")).alias("unit"))
+    unit = good.select("rid", "label", F.size("vec").alias("dim"), F.col("vec").alias("unit"))
     leaders = unit.withColumn("radius", F.lit(0.0)).withColumn("weight", F.lit(1).cast("long"))
     member = good.select("rid", F.col("rid").alias("lead"))
     for p in range(gathering):
