@@ -3,7 +3,7 @@
 P(word | history) = P(class | history) * P(word | class). The most frequent training words are classes of
 their own, every other word belongs to a class by the hash of its last three bytes, and the end of a text is a class.
 P(class | history) is a log-linear model over hashed features: the previous word, the word before it and the
-one before that (skips), and the pair of the two previous classes. P(word | class) comes from all training counts with
+one before that (skips), the pair of the two previous classes and the pair of the two previous words. P(word | class) comes from all training counts with
 0.1 added, and one place for unknown words in each class, so that the model sums to one over known words and unknown
 classes.
 
@@ -27,22 +27,26 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm.common import U64, bucket_of, cut, small_batches, table
 
-SINGLE, SUFFIX = 23, 24
+SINGLE, SUFFIX = 47, 48
 CLASSES = SINGLE + SUFFIX + 1
 END_CLASS = CLASSES - 1
-BUCKETS = 4096
-FEATURES = 4
+BUCKETS, PAIRS = 4096, 16_384
+FEATURES = 5
+#: First row of each feature in the weight table: three words back, pair of classes, pair of words.
+OFFSETS = np.arange(FEATURES) * BUCKETS
+ROWS = (FEATURES - 1) * BUCKETS + PAIRS
 FREQUENT = 3e-6
 ADD = 0.1
 #: Hash that stands for the end token among words (which never contain white space).
 END = xxhash.xxh3_64_intdigest(b" end ")
 #: Tokens scored and trained on at once.
-BATCH, STEP = 4096, 12_288
+BATCH, STEP = 4096, 4096
 
 
 def suffix_class(word: bytes) -> int:
@@ -123,7 +127,8 @@ def history(word: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
             c[gone] = CLASSES
             back.append(c)
     out[3] = (back[0] * 7919 + back[1]) * 2654435761 % BUCKETS
-    return out + (np.arange(FEATURES) * BUCKETS)[:, None]
+    out[4] = ((out[0] * BUCKETS + out[1]) * 2654435761 >> 12) % PAIRS
+    return out + OFFSETS[:, None]
 
 
 def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -176,7 +181,7 @@ def gradient_steps(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.n
         g /= g.sum(1, keepdims=True)
         g[np.arange(len(c)), c] -= 1
         for k in range(FEATURES):
-            order = np.argsort((r[k] - k * BUCKETS).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+            order = np.argsort((r[k] - OFFSETS[k]).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
             ids = r[k][order]
             start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             total, u = np.add.reduceat(g[order], start, axis=0), ids[start]
@@ -253,32 +258,32 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], c[order], cls[order], int(total["n"]), int(total["v"]), sums, kinds)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.2, tasks: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """texts(text, round) -> weights and class biases after ``rounds`` rounds of averaged gradient steps.
 
-    Each task returns one table of weights of fixed size (half precision, by block of rows); at most
-    ``tasks`` tasks train, and blocks are averaged by a group of their own.
+    Each task returns one table of weights of fixed size (half precision, by block of rows). Blocks are averaged
+    by groups of tasks and then by block, so that no group reads the tables of all tasks.
     """
     sc = texts.sparkSession.sparkContext
-    w = np.zeros((FEATURES * BUCKETS, CLASSES), np.float32)
+    w = np.zeros((ROWS, CLASSES), np.float32)
     bias = np.log((vocabulary.class_total + 1) / (vocabulary.total + CLASSES)).astype(np.float32)
     if not vocabulary.total:
         return w, bias
-    blocks = 32
+    blocks, groups = 32, 64
     size = len(w) // blocks
     known = sc.broadcast(vocabulary)
     for k in range(rounds):
         held = sc.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own, n = held.value.copy(), 0
+            own, n, part = held.value.copy(), 0, TaskContext.get().partitionId()
             seen = np.full_like(own, 1.0)
             for rows, cls in _text_batches(batches, Codes(known.value)):
                 gradient_steps(own, seen, bias, rows, cls, rate)
                 n += len(cls)
             if n:
                 own -= held.value
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([n] * blocks, pa.int64()), pa.array([own[i * size : (i + 1) * size].astype(np.float16).tobytes() for i in range(blocks)], pa.binary())], names=["block", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part % groups] * blocks, pa.int32()), pa.array([n] * blocks, pa.int64()), pa.array([own[i * size : (i + 1) * size].astype(np.float16).tobytes() for i in range(blocks)], pa.binary())], names=["block", "part", "n", "w"])
 
         def average(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(size * CLASSES), 0
@@ -286,12 +291,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: fl
                 for m, x in zip(b.column("n").to_pylist(), b.column("w"), strict=True):
                     total += m * np.frombuffer(x.as_py(), np.float16).astype(np.float64)
                     n += m
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["block", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], names=["block", "n", "w"])
 
-        part = texts.filter(F.col("round") == k).select("text").coalesce(tasks)
+        own = texts.filter(F.col("round") == k).select("text").mapInArrow(run, "block int, part int, n long, w binary")
+        near = own.groupBy("block", "part").applyInArrow(average, "block int, n long, w binary")
         step = np.zeros_like(w)
-        for r in part.mapInArrow(run, "block int, n long, w binary").groupBy("block").applyInArrow(average, "block int, w binary").collect():
-            step[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["w"], np.float32).reshape(size, CLASSES)
+        for r in near.groupBy("block").applyInArrow(average, "block int, n long, w binary").collect():
+            step[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["w"], np.float16).reshape(size, CLASSES)
         w = w + step
     return w, bias
 
