@@ -136,6 +136,36 @@ def rule_arity(atoms: DataFrame, symbols: DataFrame) -> DataFrame:
     return x.withColumn("code", code).filter("code is not null").select("set_id", "rule", "path", "symbol", "code")
 
 
+def rule_types(rules: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What is wrong with the leaves of rules(set_id, rule, rule_json), one row per leaf, code and argument.
+
+    undeclared, arity, function_as_predicate, predicate_as_function and unlike_sorts (a number compared with a function of
+    another sort, or a text with a number) have argument -1; unbound (no quantifier names the argument) and sort (its
+    quantifier has another type than declared) name the argument. Numbers are arguments of sort Int or Real.
+    """
+    s = symbols.select("set_id", F.col("name").alias("symbol"), F.col("args").alias("sorts"), "returns")
+    bound = F.try_variant_get(F.try_parse_json("rule_json"), "$.forall", "array<struct<var:string,type:string>>")
+    env = rules.select("set_id", "rule", F.coalesce(bound, F.array().cast("array<struct<var:string,type:string>>")).alias("env"))
+    x = rule_nodes(rules).filter("kind <> 'unreadable'").join(s, ["set_id", "symbol"], "left").join(env, ["set_id", "rule"])
+    numeric = F.col("returns").isin("Int", "Real")
+    whole = (
+        F.when(F.col("returns").isNull(), "undeclared")
+        .when(F.coalesce(F.size("args"), F.lit(0)) != F.size("sorts"), "arity")
+        .when((F.col("kind") == "atom") & (F.col("returns") != "Bool"), "function_as_predicate")
+        .when((F.col("kind") == "compare") & (F.col("returns") == "Bool"), "predicate_as_function")
+        .when((F.col("kind") == "compare") & (F.col("literal").try_cast("double").isNotNull() != numeric), "unlike_sorts")
+    )
+    key = ["set_id", "rule", "side", "path", "symbol"]
+    by_leaf = x.select(*key, F.lit(-1).alias("arg"), whole.alias("code"))
+    a = x.select(*key, "sorts", "env", F.posexplode("args").alias("arg", "name"))
+    declared = F.try_element_at("sorts", F.col("arg") + 1)
+    found = F.try_element_at(F.filter("env", lambda e: e["var"] == F.col("name")), F.lit(1))["type"]
+    number = F.col("name").try_cast("double").isNotNull()
+    own = F.when(number & F.col("name").try_cast("long").isNotNull(), F.when(declared == "Real", "Real").otherwise("Int")).when(number, "Real").otherwise(found)
+    by_arg = a.select(*key, "arg", F.when(own.isNull(), "unbound").when(own != declared, "sort").alias("code"))
+    return by_leaf.unionByName(by_arg).filter("code is not null")
+
+
 def quarantine_rules(rules: DataFrame, violations: DataFrame) -> DataFrame:
     """Every rule with the first code against it, or valid."""
     first = violations.groupBy("set_id", "rule").agg(F.min("code").alias("code"))

@@ -111,9 +111,22 @@ def warning_counts(items: DataFrame, warnings: str = "warnings") -> DataFrame:
 
 
 def classify_log(cells: DataFrame) -> DataFrame:
-    """failure category of cells(exit_code, log), first rule that fits."""
+    """failure category of cells(exit_code, log), first rule that fits.
+
+    Read where the table has them: ok; score (text of the score file, null without one); question_error and
+    symbolic_error (a question's run or the score reports one); budget_guard (the call budget stopped the run).
+    """
+    opt = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in cells.columns else F.lit(other)
     log = F.lower(F.coalesce("log", F.lit("")))
-    out = F.when((F.col("exit_code") == 0) & F.coalesce(F.col("ok"), F.lit(True)), "completed").when((F.col("exit_code") != 0) & (F.trim(log) == ""), "process_error")
+    ended = (F.col("exit_code") == 0) & opt("ok", True)
+    out = F.when(F.lit(False), "")
+    if "score" in cells.columns:
+        score = F.try_parse_json("score")
+        is_object = F.schema_of_variant(score).startswith("OBJECT")
+        total = F.try_variant_get(score, "$.total", "string")
+        out = out.when(ended & F.col("score").isNotNull() & ~F.coalesce(is_object, F.lit(False)), "evaluation_bad_score").when(ended & total.isNull(), "evaluation_no_score")
+    out = out.when(ended & opt("question_error", False), "completed_with_errors").when(ended & opt("symbolic_error", False), "completed_with_symbolic_errors").when(ended, "completed")
+    out = out.when(opt("budget_guard", False), "llm_budget_guard").when((F.col("exit_code") != 0) & (F.trim(log) == ""), "process_error")
     for category, phrase in LOG_PHRASES:
         out = out.when(log.contains(phrase), category)
     out = out.when(log.contains("validation failed") & log.contains("(error)"), "kb_compile_validation").when(F.col("exit_code") != 0, "process_error")

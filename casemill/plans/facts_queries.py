@@ -164,6 +164,15 @@ def d13_rule_arity(spark, d):
     return D.rule_arity(_atoms(spark, d), _symbols(spark, d))
 
 
+def d13_rule_types(spark, d):
+    """Every third set lacks a symbol, every fifth quantifies orders as bills, every seventh compares with a predicate."""
+    r = _rules(spark, d)
+    r = r.withColumn("rule_json", F.when(F.col("set_id") % 5 == 0, F.replace("rule_json", F.lit('"type":"Order"'), F.lit('"type":"Bill"'))).otherwise(F.col("rule_json")))
+    r = r.withColumn("rule_json", F.when((F.col("set_id") % 7 == 0) & (F.col("rule") == 0), F.replace("rule_json", F.lit("total_price"), F.lit("open"))).otherwise(F.col("rule_json")))
+    r = r.withColumn("rule_json", F.when((F.col("set_id") % 11 == 0) & (F.col("rule") == 1), F.replace("rule_json", F.lit('"var":"c"'), F.lit('"var":"k"'))).otherwise(F.col("rule_json")))
+    return D.rule_types(r, _symbols(spark, d))
+
+
 def d19_quarantine_rules(spark, d):
     return D.quarantine_rules(_rules(spark, d), d13_rule_arity(spark, d))
 
@@ -346,6 +355,13 @@ SQL = {
     "d6_definition_cycles": "SELECT DISTINCT concat(p_partkey // 10, '-', p_partkey % 10) AS target FROM part WHERE p_partkey % 10 < 3 AND p_partkey // 10 % 2 = 0 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part WHERE p_partkey % 10 < 3 GROUP BY 1 HAVING count(*) = 3)",
     "d9_threshold_provenance": f"SELECT set_id, 0 AS rule, 250000.0 AS literal FROM {_SETS} WHERE set_id % 4 IN (2, 3)",
     "d13_rule_arity": _ARITY,
+    "d13_rule_types": f"""WITH leaf AS (SELECT * FROM (VALUES (0, 'if', '0', 'total_price', ['o']), (0, 'then', '0', 'big_order', ['o']), (1, 'if', '0.0', 'placed_by', ['o', 'c']), (1, 'if', '0.1', 'big_order', ['o']), (1, 'if', '0.2', 'urgent', ['o']),
+ (1, 'then', '0', 'is_priority_customer', ['c']), (2, 'if', '0.0', 'placed_by', ['o', 'c']), (2, 'if', '0.1', 'is_priority_customer', ['c']), (2, 'if', '0.2', 'open', ['o']), (2, 'then', '0', 'right_to_discount', ['c'])) t(rule, side, path, own, args)),
+ own AS (SELECT set_id, rule, side, path, CASE WHEN own = 'total_price' AND set_id % 7 = 0 THEN 'open' ELSE own END AS symbol, args FROM {_SETS}, leaf),
+ arg AS (SELECT set_id, rule, side, path, symbol, unnest(range(len(args))) AS arg, unnest(args) AS name FROM own)
+ SELECT set_id, rule, side, path, symbol, CAST(-1 AS INT) AS arg, CASE WHEN symbol = 'urgent' THEN 'undeclared' ELSE 'predicate_as_function' END AS code FROM own WHERE (symbol = 'urgent' AND set_id % 3 = 0) OR (symbol = 'open' AND rule = 0)
+ UNION ALL SELECT set_id, rule, side, path, symbol, CAST(arg AS INT), 'sort' FROM arg WHERE name = 'o' AND set_id % 5 = 0 AND NOT (symbol = 'urgent' AND set_id % 3 = 0)
+ UNION ALL SELECT set_id, rule, side, path, symbol, CAST(arg AS INT), 'unbound' FROM arg WHERE name = 'c' AND rule = 1 AND set_id % 11 = 0""",
     "d19_quarantine_rules": f"""SELECT s.set_id, r.rule, CASE WHEN r.rule = 1 AND s.set_id % 3 = 0 THEN 'undeclared' END AS code, CASE WHEN r.rule = 1 AND s.set_id % 3 = 0 THEN 'quarantined' ELSE 'valid' END AS status FROM {_SETS} s, (VALUES (0), (1), (2)) r(rule)""",
     "e1_apply_rules": f"""SELECT o_custkey AS case_id, 'big_order' AS symbol, concat('o', o_orderkey) AS args, true AS polarity, 0 AS rule FROM orders WHERE {_BIG}
  UNION ALL SELECT o_custkey, 'is_priority_customer', concat('c', o_custkey), true, 1 FROM ({_PRI}) UNION ALL SELECT o_custkey, 'right_to_discount', concat('c', o_custkey), true, 2 FROM ({_DIS})""",

@@ -93,7 +93,10 @@ def _logs(spark, d):
 
 
 def f10_classify_log(spark, d):
-    return S.classify_log(_logs(spark, d)).select("page_id", "failure_category")
+    p = F.col("page_id")
+    score = F.when(p % 5 == 0, "[1").when(p % 5 == 1, F.lit(None)).when(p % 5 == 2, '{"correct": 1}').otherwise(F.concat(F.lit('{"total": '), p, F.lit("}")))
+    cells = _logs(spark, d).withColumns({"score": score, "question_error": p % 4 == 0, "symbolic_error": p % 4 == 1, "budget_guard": p % 13 == 0})
+    return S.classify_log(cells).select("page_id", "failure_category")
 
 
 def f13_status_summary(spark, d):
@@ -197,7 +200,8 @@ SQL = {
     "f8_run_score": f"""SELECT model, total, correct, incorrect, inconclusive, correct / total AS accuracy, correct / nullif(correct + incorrect, 0) AS accuracy_decisive FROM (
  SELECT model, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'incorrect') AS incorrect, count(*) FILTER (outcome NOT IN ('correct', 'incorrect')) AS inconclusive FROM ({_OUTCOME}) GROUP BY model)""",
     "f9_warning_counts": """SELECT warning_class, count(*) AS n FROM (SELECT 'other' AS warning_class FROM fx_answers UNION ALL SELECT CASE WHEN certain THEN 'antecedent' ELSE 'observable_target' END FROM fx_answers) GROUP BY warning_class""",
-    "f10_classify_log": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'completed' WHEN page_id % 7 = 0 THEN 'kb_idp_parse' WHEN page_id % 7 = 1 THEN 'case_extraction' WHEN page_id % 7 = 2 THEN 'kb_compile_validation' ELSE 'process_error' END AS failure_category FROM pages""",
+    "f10_classify_log": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 5 = 0 THEN 'evaluation_bad_score' WHEN page_id % 5 < 3 THEN 'evaluation_no_score' WHEN page_id % 4 = 0 THEN 'completed_with_errors' WHEN page_id % 4 = 1 THEN 'completed_with_symbolic_errors' ELSE 'completed' END
+ WHEN page_id % 13 = 0 THEN 'llm_budget_guard' WHEN page_id % 7 = 0 THEN 'kb_idp_parse' WHEN page_id % 7 = 1 THEN 'case_extraction' WHEN page_id % 7 = 2 THEN 'kb_compile_validation' ELSE 'process_error' END AS failure_category FROM pages""",
     "f13_status_summary": """SELECT count(*) AS cells_total, count(*) FILTER (scored) AS scored_cells, count(*) FILTER (NOT scored AND failure_category = 'evaluation_no_score') AS evaluation_no_score_cells,
  count(*) FILTER (NOT scored AND failure_category = 'evaluation_bad_score') AS evaluation_bad_score_cells, count(*) FILTER (NOT scored AND failure_category = 'law_compilation') AS law_compilation_cells,
  count(*) FILTER (NOT scored AND failure_category IN ('case_extraction', 'kb_idp_parse')) AS other_failure_cells,

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.functions.lineage import settle
+
 RUN = "id string, law struct<path:string,text:string>, case struct<text:string>, questions array<struct<id:string,text:string,expected:struct<mode:string,value:string,reason:string>>>"
 CALL = "timestamp timestamp, call_index long, stage string, run_id string, strategy string, provider string, model string, prompt_tokens long, completion_tokens long, total_tokens long, cost_usd double, error string"
 MANIFEST = "runs array<struct<id:string,path:string,law_domain:string,evaluation_group:string,difficulty:string,phenomena:array<string>>>"
@@ -44,18 +46,19 @@ def read_text_runs(spark: SparkSession, path: str) -> DataFrame:
     return q.filter(F.trim("line") != "").select("run_id", "law_text", "case_text", "pos", F.trim("line").alias("q_text"))
 
 
-def flatten_json(df: DataFrame, col: str, key: str, depth: int = 4) -> DataFrame:
-    """A4: every key path of a JSON column with its value, ``depth`` levels; null where it isn't JSON."""
+def flatten_json(df: DataFrame, col: str, key: str) -> DataFrame:
+    """A4: every key path of a JSON column with its value, one level a round until nothing is nested; null where it isn't JSON."""
     level = df.select(key, F.lit("").alias("path"), F.try_parse_json(col).alias("v"))
     leaves = []
-    for d in range(depth):
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    while True:
         level.createOrReplaceTempView("_flatten_level")
         kids = df.sparkSession.sql(f"SELECT {key}, path, pos, key AS k, value AS v FROM _flatten_level, LATERAL variant_explode(v)")
         level = kids.select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.coalesce("k", F.col("pos").cast("string"))).alias("path"), "v")
-        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)") if d < depth - 1 else F.lit(False)
         leaves.append(level.filter(~nested).select(key, "path", F.col("v").cast("string").alias("value")))
-        level = level.filter(nested)
-    return reduce(DataFrame.unionByName, leaves)
+        level = settle(level.filter(nested))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
 
 
 def find_string(flat: DataFrame, key: str, names: list[str]) -> DataFrame:

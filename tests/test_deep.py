@@ -53,3 +53,21 @@ def test_thirty_rounds(spark):
 ])
 def test_error_codes(spark, message, code):
     assert L.normalize_errors(spark.createDataFrame([(message,)], "message string")).first()["error_code"] == code
+
+
+def test_json_of_any_depth(spark):
+    from casemill.sources import readers as R
+
+    deep = "1"
+    for _ in range(9):
+        deep = '{"k": [' + deep + "]}"
+    got = R.flatten_json(spark.createDataFrame([(1, deep), (2, None), (3, "no json")], "id long, j string"), "j", "id").collect()
+    assert [(r.id, r.path, r.value) for r in got] == [(1, ".".join(["k.0"] * 9), "1")]
+
+
+def test_types_of_rules(spark):
+    rule = {"forall": [{"var": "x", "type": "A"}], "if": [{"pred": "f", "args": ["x"]}, {"pred": "p", "args": ["y"]}, {"pred": "r", "args": ["x"]}, {"compare": {"left": {"func": "f", "args": ["x"]}, "op": "=", "right": "word"}}], "then": [{"pred": "p", "args": ["x", "x"]}]}
+    rules = spark.createDataFrame([(1, 0, json.dumps(rule))], "set_id int, rule int, rule_json string")
+    symbols = spark.createDataFrame([(1, "f", ["A"], "Int"), (1, "p", ["A"], "Bool"), (1, "r", ["B"], "Bool")], "set_id int, name string, args array<string>, returns string")
+    got = {(r.side, r.path, r.arg, r.code) for r in D.rule_types(rules, symbols).collect()}
+    assert got == {("if", "0", -1, "function_as_predicate"), ("if", "1", 0, "unbound"), ("if", "2", 0, "sort"), ("if", "3", -1, "unlike_sorts"), ("then", "0", -1, "arity")}
