@@ -19,6 +19,7 @@ token is unknown; repeated rows train and are scored as often as they occur.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -258,10 +259,11 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], c[order], cls[order], int(total["n"]), int(total["v"]), sums, kinds)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: float = 0.2, task_tokens: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """texts(text, round) -> weights and class biases after ``rounds`` rounds of averaged gradient steps.
 
-    Each task returns one table of weights of fixed size (half precision, by block of rows). Blocks are averaged
+    Each task trains on about ``task_tokens`` tokens or more a round and returns one table of weights of fixed size (half
+    precision, by block of rows), so that tasks grow with the input and what they return stays below it. Blocks are averaged
     by groups of tasks and then by block, so that no group reads the tables of all tasks.
     """
     sc = texts.sparkSession.sparkContext
@@ -269,7 +271,9 @@ def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: fl
     bias = np.log((vocabulary.class_total + 1) / (vocabulary.total + CLASSES)).astype(np.float32)
     if not vocabulary.total:
         return w, bias
-    blocks, groups = 32, 64
+    blocks = 32
+    tasks = math.ceil(vocabulary.total / rounds / task_tokens)
+    groups = math.ceil(math.sqrt(tasks))
     size = len(w) // blocks
     known = sc.broadcast(vocabulary)
     for k in range(rounds):
@@ -293,7 +297,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, rate: fl
                     n += m
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], names=["block", "n", "w"])
 
-        own = texts.filter(F.col("round") == k).select("text").mapInArrow(run, "block int, part int, n long, w binary")
+        own = texts.filter(F.col("round") == k).select("text").coalesce(tasks).mapInArrow(run, "block int, part int, n long, w binary")
         near = own.groupBy("block", "part").applyInArrow(average, "block int, n long, w binary")
         step = np.zeros_like(w)
         for r in near.groupBy("block").applyInArrow(average, "block int, n long, w binary").collect():
