@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casemill.llm import sql
 from casemill.llm.op01_packing import op1_best_fit_packing
 from casemill.llm.op02_embedding import op2_embedding_near_dedup
 from casemill.llm.op03_quality import op3_quality_classifier
@@ -16,6 +17,8 @@ from casemill.llm.op07_ann import op7_approximate_nearest_neighbours
 from casemill.llm.op08_minhash import op8_minhash_near_dedup
 from casemill.llm.op09_toxicity import op9_toxicity
 from casemill.llm.op10_mixing import op10_temperature_mixing
+from casemill.llm.op11_runs import op11_periodic_runs
+from casemill.llm.op13_windows import op13_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,9 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_toxicity,
         op10_temperature_mixing,
+        op11_periodic_runs,
+        op13_substring_dedup,
     )
 }
 
-#: Exact comparisons with plain SQL are quadratic or, like tokenisation, models and signatures, not in
-#: SQL's reach on whole tables: these queries are tested against brute force on small fixtures instead.
-ORACLE_SQL: dict[str, str] = {}
+#: Other exact comparisons are quadratic in plain SQL or, like tokenisation, models and signatures, not in SQL's reach
+#: on whole tables: those queries are tested against brute force on small fixtures instead.
+ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": sql.OP11, "op13_substring_dedup": sql.OP13}
