@@ -18,6 +18,7 @@ from casemill.llm.op08_minhash import op8_minhash_near_dedup
 from casemill.llm.op09_toxicity import op9_toxicity
 from casemill.llm.op10_mixing import op10_temperature_mixing
 from casemill.llm.op11_runs import op11_periodic_runs
+from casemill.llm.op12_conversations import op12_conversation_repair
 from casemill.llm.op13_windows import op13_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -34,10 +35,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_temperature_mixing,
         op11_periodic_runs,
+        op12_conversation_repair,
         op13_substring_dedup,
     )
 }
 
 #: Other exact comparisons are quadratic in plain SQL or, like tokenisation, models and signatures, not in SQL's reach
 #: on whole tables: those queries are tested against brute force on small fixtures instead.
-ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": sql.OP11, "op13_substring_dedup": sql.OP13}
+ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": sql.OP11, "op12_conversation_repair": sql.OP12, "op13_substring_dedup": sql.OP13}

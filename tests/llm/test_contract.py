@@ -10,6 +10,9 @@ from casemill.llm.common import table
 from casemill.llm.queries import QUERIES
 
 COLUMNS = {
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op1_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op2_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op4_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
