@@ -1,22 +1,25 @@
 """Exact removal of repeated word windows: Rabin-Karp hashes of all windows, counted by ranges of the hash.
 
-1. A pass over the texts hashes every window of ``width`` words: each word has a random number of 64 bits and one of 32, and a window's
-   hash is a polynomial in them, taken for all windows of a block of texts from one running sum; 80 bits of it are kept.
-   What a block holds twice is told at once, and one place of each of its windows, the first, leaves for the task
-   that counts its range of hashes: ten bytes a window, the places as compressed differences.
+1. A pass over the texts hashes every window of ``width`` words: each word has two random numbers of 64 bits, and a window's
+   hashes are polynomials in them, taken for all windows of a block of texts from one running sum; 80 bits are kept. Of what a block
+   holds twice the first place leaves for the task that counts its range of hashes, with its document's id: eleven bytes
+   a window, as places and ids are compressed differences.
 2. A range is counted by sorting it. Of windows that several blocks hold the first stays (smallest id, then the smallest
-   start); the others are repeats and go back to their documents, as starts.
-3. Documents with repeats meet their texts in a join. Starts merge into maximal intervals of words, which leave the text.
+   start); the others are told to their blocks, as places.
+3. In its block a place is a word of a text again, and windows merge into maximal intervals, which meet their texts in a
+   join and leave them.
 
-Ranges are as many as windows need to fit a task, counted before; hashes spread windows evenly, and a window that a
+There are as many ranges as windows need to fit a task; hashes spread windows evenly, and a window that a
 third of all documents share sends one row a block, not one a document. A bit table of at most 8 MB (as in the
 suffix-array operator) withholds the texts of documents that surely have no repeat; results don't depend on it.
-
-Defined results: words are split at ASCII white space, unchanged; a null text has no words. Documents are ordered by
-id, without an id they come last; rows that share an id but not the text are ordered by a hash of their texts, and
-rows that share both are one document: each of them loses the same words. Two windows are taken for equal if 80 bits of their
-hashes are: among 10^11 windows this is expected to go wrong less than once in a hundred runs. Texts shorter than a window keep all words; an empty table returns
-no rows. The columns named in ``carry`` (all of the input by default) travel in one struct, whatever their names.
+Blocks are named by partition and number: a task that runs again must read its rows in the same order, as those over tables do.
+
+Defined results: words are split at ASCII white space, unchanged; a null text has no words. Rows that share an id are one document:
+a window is a repeat if its words start at a smaller id too, or at a smaller word number in a row with the same id; rows
+without an id are one document that comes last. Rows equal in id and text lose the same words. Two windows are taken for equal
+if 80 bits of their hashes are: among 10^10 windows this goes wrong once in ten thousand runs. Texts shorter than a window keep all
+words; an empty table returns no rows. The columns named in ``carry`` (all of the input by default) travel in one struct,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +41,32 @@ from casemill.llm.op06_suffix import _Filter, _powers
 
 #: Words in a block that is hashed together, and bytes of text whose windows make up a range (a window is two bytes of text at
 #: least, and about six in most languages).
-BLOCK, RANGE = 1_500_000, 16_000_000
+BLOCK, RANGE = 1_200_000, 12_000_000
+#: Words whose numbers a task keeps at hand.
+KNOWN = 100_000
 LAST = (1 << 63) - 1
 CHUNK = 1 << 20
 
 
-def _numbers(words: list[bytes], seen: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+class _Numbers:
     """Two random numbers for each word."""
-    for w in set(words):
-        if w not in seen:
-            h = xxhash.xxh3_128_intdigest(w)
-            seen[w] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-    pairs = np.fromiter((x for w in words for x in seen[w]), U64, 2 * len(words)).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.table = np.empty((0, 2), U64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.place) > KNOWN:
+            self.__init__()
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), U64).reshape(-1, 2)
+            if len(self.place) > len(self.table):
+                self.table = np.concatenate([self.table[: len(self.place) - len(new)], own, np.zeros((len(self.place), 2), U64)])
+            else:
+                self.table[len(self.place) - len(new) : len(self.place)] = own
+        return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
 def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -64,139 +81,175 @@ def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed differences."""
-    return zstandard.compress(np.diff(x.astype(np.int64), prepend=0).tobytes(), 1)
+    """Whole numbers as compressed differences, all their first bytes first."""
+    return zstandard.compress(np.ascontiguousarray(np.diff(x.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(b), np.int64))
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
-def _repeats(hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows with equal hashes: which stand behind the first place by (doc, start), and which are equal to one
-    before them in hash and place; doc numbers are in the documents' order."""
+def _repeats(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with equal hashes: the rows that stand behind the first place by (ids, start), and those that share the first one's place."""
     order = np.argsort(hi, kind="stable")
-    same = hi[order][1:] == hi[order][:-1]
+    same = hi[order]
+    same = same[1:] == same[:-1]
     some = np.zeros(len(hi), bool)
     some[order[1:][same]] = True
     some[order[:-1][same]] = True
     rows = np.flatnonzero(some)
-    rows = rows[np.lexsort((start[rows], doc[rows], lo[rows], hi[rows]))]
+    del order, same, some
+    if not len(rows):
+        return rows, rows
+    rows = rows[np.lexsort((start[rows], ids[rows], lo[rows], hi[rows]))]
     a, b = rows[:-1], rows[1:]
-    equal = (hi[a] == hi[b]) & (lo[a] == lo[b])
-    head = np.concatenate([[True], ~equal])[: len(rows)]
-    first = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))] if len(rows) else rows
-    later = (doc[rows] != doc[first]) | (start[rows] != start[first])
-    behind, again = np.zeros(len(hi), bool), np.zeros(len(hi), bool)
-    behind[rows[later]] = True
-    again[rows[~later & ~head]] = True
-    return behind, again
+    head = np.concatenate([[True], (hi[a] != hi[b]) | (lo[a] != lo[b])])
+    first = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
+    later = (ids[rows] != ids[first]) | (start[rows] != start[first])
+    return rows[later], rows[~later & ~head]
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+#: What leaves a block: for a range, hashes (hi, lo), places among the block's windows, and ids and first places of their rows; and once for
+#: a block digests, ids and first places of all rows, with the places that the block itself finds repeated.
+SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("hi", pa.binary()), ("lo", pa.binary()), ("digests", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("bases", pa.binary())])
+TOLD = pa.schema([f for f in SENT if f.name not in ("range", "hi", "lo")])
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _spark(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary'})[f.type]}" for f in schema)
 
 
 def _blocks(src: DataFrame, width: int, ranges: int) -> DataFrame:
-    """src(doc, digest, text) -> rows of two kinds. doc null: hashes (h, lo), local document and start of a block's windows
-    in the range, with the documents' doc and digest. doc not null: starts of one document's windows that the block holds before."""
+    """src(doc, digest, text) -> SENT."""
 
-    def settle(held: list[tuple[int, int, list[bytes]]], seen: dict) -> Iterator[pa.RecordBatch]:
+    def settle(block: int, held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[:2])
-        if len(seen) > 200_000:
-            seen.clear()
-        hi, lo, size = [], [], []
-        for _, _, words in held:
-            a, b = _numbers(words, seen)
-            hi.append(window_hashes(a, width))
-            lo.append((window_hashes(b, width) >> U64(48)).astype(np.uint16))
-            size.append(len(hi[-1]))
         ids, digests = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])])
-        number = np.cumsum(new) - 1  # rows that share id and text are one document
-        hi, lo, doc = np.concatenate(hi), np.concatenate(lo), np.repeat(number, size)
-        start = np.arange(len(hi)) - np.repeat(np.cumsum(size) - size, size)
-        ids, digests = ids[new], digests[new]
-        behind, again = _repeats(hi, lo, doc, start)
-        keep = ~(behind | again)
-        at = (hi >> U64(32)).astype(np.int64) * ranges >> 32
-        kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
-        names = ("range", "doc", "digest", "h", "lo", "local", "start", "docs", "digests")
-        out = []
-        own = np.flatnonzero(behind)
-        for k in np.split(own, np.flatnonzero(np.diff(doc[own])) + 1) if len(own) else ():
-            d = int(ids[doc[k[0]]])
-            out.append((d % ranges, d, int(digests[doc[k[0]]]), None, None, None, _pack(start[k]), None, None))
+        size = np.array([len(x[2]) - width + 1 for x in held], np.int64)
+        bases = np.cumsum(size) - size
+        hi = np.concatenate([window_hashes(x[2][:, 0], width) for x in held])
+        lo = np.concatenate([(window_hashes(x[2][:, 1], width) >> U64(48)).astype(np.uint16) for x in held])
+        row = np.repeat(np.arange(len(held), dtype=np.int32), size)
+        start = np.arange(len(hi)) - bases[row]
+        behind, again = _repeats(hi, lo, ids[row], start)
+        keep = np.ones(len(hi), bool)
+        keep[behind] = keep[again] = False
+        del start
+        at = ((hi >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
         order = np.flatnonzero(keep)
         order = order[np.argsort(at[order], kind="stable")]
+        out = [(block % ranges, block, None, None, digests.tobytes(), _pack(np.sort(behind)), _pack(ids), _pack(bases))]
         for k in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else ():
-            used, local = np.unique(doc[k], return_inverse=True)
-            out.append((int(at[k[0]]), None, None, hi[k].tobytes(), lo[k].tobytes(), _pack(local), _pack(start[k]), _pack(ids[used]), digests[used].tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+            own = np.unique(row[k])
+            out.append((int(at[k[0]]), block, hi[k].tobytes(), lo[k].tobytes(), None, _pack(k), _pack(ids[own]), _pack(bases[own])))
+        for c in range(0, len(out), 64):
+            yield _batch(SENT, out[c : c + 64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, {}
+        held, n, block, numbers = [], 0, TaskContext.get().partitionId() << 32, _Numbers()
         for b in batches:
-            for doc, digest, text in zip(*(b.column(c).to_pylist() for c in ("doc", "digest", "text")), strict=True):
-                words = text.split()
+            for doc, digest, text in zip(*(b.column(c) for c in ("doc", "digest", "text")), strict=True):
+                words = text.as_py().split()
                 if len(words) < width:
                     continue
                 if held and n + len(words) > BLOCK:
-                    yield from settle(held, seen)
-                    held, n = [], 0
-                held.append((doc, digest, words))
+                    yield from settle(block, held)
+                    held, n, block = [], 0, block + 1
+                held.append((doc.as_py(), digest.as_py(), numbers(words)))
                 n += len(words)
         if held:
-            yield from settle(held, seen)
-
-    return src.mapInArrow(run, "range int, doc long, digest long, h binary, lo binary, local binary, start binary, docs binary, digests binary")
-
-
-def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
-    """Blocks -> doc, digest, start, n: places of windows that stand behind the first; n starts, or packed differences where n is 0."""
-
-    def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        hi = np.concatenate([np.frombuffer(r["h"], U64) for r in rows])
-        lo = np.concatenate([np.frombuffer(r["lo"], np.uint16) for r in rows])
-        start = np.concatenate([_unpack(r["start"]) for r in rows])
-        ids, digests = [_unpack(r["docs"]) for r in rows], [np.frombuffer(r["digests"], np.int64) for r in rows]
-        base = np.cumsum([0, *map(len, ids)])
-        doc = np.concatenate([_unpack(r["local"]) + b for r, b in zip(rows, base[:-1], strict=True)])
-        ids, digests = np.concatenate(ids), np.concatenate(digests)
-        order = np.lexsort((digests, ids))
-        new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (digests[order][1:] != digests[order][:-1])])
-        number = np.empty(len(ids), np.int64)
-        number[order] = np.cumsum(new) - 1
-        doc = number[doc]
-        ids, digests = ids[order][new], digests[order][new]
-        behind = np.flatnonzero(_repeats(hi, lo, doc, start)[0])
-        behind = behind[np.lexsort((start[behind], doc[behind]))]
-        parts = np.split(behind, np.flatnonzero(np.diff(doc[behind])) + 1) if len(behind) else []
-        for c in range(0, len(parts), 10_000):
-            some = parts[c : c + 10_000]
-            d = np.array([doc[k[0]] for k in some], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(digests[d]), pa.array([_pack(start[k]) if len(k) > 8 else start[k].astype(np.int32).tobytes() for k in some], pa.binary()), pa.array([len(k) if len(k) <= 8 else 0 for k in some], pa.int32())], names=["doc", "digest", "start", "n"])
+            yield from settle(block, held)
+
+    return src.mapInArrow(run, _spark(SENT))
+
+
+def _counted(sent: DataFrame, ranges: int) -> DataFrame:
+    """SENT -> TOLD: what blocks have sent of themselves, and for each the places that a range finds repeated."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hi = np.concatenate([np.frombuffer(r[1], U64) for r in rows])
+        lo = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
+        ids, start, n = [], [], [len(r[2]) // 2 for r in rows]
+        for _, _, _, at, doc, base in rows:
+            at, doc, base = _unpack(at), _unpack(doc), _unpack(base)
+            row = np.searchsorted(base, at, "right") - 1
+            ids.append(doc[row])
+            start.append((at - base[row]).astype(np.int32))
+        behind = np.sort(_repeats(hi, lo, np.concatenate(ids), np.concatenate(start))[0])
+        ends = np.cumsum(n)
+        of = np.searchsorted(ends, behind, "right")
+        out = []
+        for k in np.split(np.arange(len(behind)), np.flatnonzero(np.diff(of)) + 1) if len(behind) else ():
+            r = rows[of[k[0]]]
+            out.append((r[0], None, _pack(_unpack(r[3])[behind[k] - (ends[of[k[0]]] - n[of[k[0]]])]), None, None))
+        if out:
+            yield _batch(TOLD, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held, last = [], None
         for b in batches:
-            own = b.filter(pa.compute.is_valid(b.column("doc")))
+            own = b.filter(pa.compute.is_valid(b.column("digests")))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("doc"), own.column("digest"), own.column("start"), pa.array(np.zeros(own.num_rows, np.int32))], names=["doc", "digest", "start", "n"])
-            for r in b.filter(pa.compute.is_null(b.column("doc"))).to_pylist():
-                if held and held[0]["range"] != r["range"]:
+                yield own.select(TOLD.names)
+            b = b.filter(pa.compute.is_null(b.column("digests")))
+            for k, *r in zip(*(b.column(c).to_pylist() for c in ("range", "block", "hi", "lo", "at", "ids", "bases")), strict=True):
+                if held and k != last:
                     yield from settle(held)
                     held = []
-                held.append(r)
+                held.append(tuple(r))
+                last = k
         if held:
             yield from settle(held)
 
-    return blocks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, "doc long, digest long, start binary, n int")
+    return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, _spark(TOLD))
+
+
+def _intervals(told: DataFrame, width: int) -> DataFrame:
+    """TOLD -> doc, digest, spans: maximal intervals of words that repeated windows cover, for each row that has some."""
+
+    def settle(digests: bytes, ids: bytes, bases: bytes, at: list[bytes]) -> Iterator[pa.RecordBatch]:
+        digest, doc, base = np.frombuffer(digests, np.int64), _unpack(ids), _unpack(bases)
+        place = np.sort(np.concatenate([_unpack(x) for x in at]))
+        if not len(place):
+            return
+        row = np.searchsorted(base, place, "right") - 1
+        start = place - base[row]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(row) > 0) | (np.diff(start) > width)]))
+        last = np.append(first[1:], len(place)) - 1
+        groups = np.flatnonzero(np.concatenate([[True], np.diff(row[first]) > 0]))
+        spans = pa.ListArray.from_arrays(pa.array(np.append(groups, len(first)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start[first]), pa.array(start[last] + width)], ["start", "end"]))
+        own = row[first][groups]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(digest[own]), spans.cast(SPANS)], names=["doc", "digest", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, at = None, None, []
+        for b in batches:
+            for k, digests, place, ids, bases in zip(*(b.column(c).to_pylist() for c in TOLD.names), strict=True):
+                if own and k != block:
+                    yield from settle(*own, at)
+                    own, at = None, []
+                block = k
+                own = own or (digests, ids, bases)  # the row with digests comes first
+                at.append(place)
+        if own:
+            yield from settle(*own, at)
+
+    return told.repartition("block").sortWithinPartitions("block", F.col("digests").isNull()).mapInArrow(run, "doc long, digest long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def repeated_windows(src: DataFrame, *, width: int) -> DataFrame:
-    """src(doc, digest, text) -> doc, digest, parts: starts of the windows whose words start earlier too, in parts (start, n): n = 0: packed."""
+    """src(doc, digest, text) -> doc, digest, spans: words [start, end) that windows cover whose words start earlier too (rows equal in
+    doc and digest bring theirs together, so that spans may come twice)."""
     n = src.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = max(src.sparkSession.sparkContext.defaultParallelism, -(-n // RANGE))
-    found = _counted(_blocks(src, width, ranges), ranges)
-    return cut(found.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "n")).alias("parts")))
+    found = _intervals(_counted(_blocks(src, width, ranges), ranges), width)
+    return cut(found.groupBy("doc", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def remove_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: list[str] | None = None) -> DataFrame:
@@ -214,8 +267,6 @@ def remove_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         return pd.Series(held.value.admits(key.to_numpy()))
 
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -226,27 +277,23 @@ def remove_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            parts = b.column("parts").to_pylist() if "parts" in b.schema.names else [None] * b.num_rows
-            packed = "parts" in b.schema.names
-            for t, found in zip(b.column("text").to_pylist(), parts, strict=True):
+            packed = "spans" in b.schema.names
+            marks = b.column("spans").to_pylist() if packed else [None] * b.num_rows
+            for t, found in zip(b.column("text").to_pylist(), marks, strict=True):
                 words = (z.decompress(t) if packed else t).split()
-                spans: list[dict] = []
                 keep = np.ones(len(words), bool)
-                if found:
-                    starts = np.sort(np.concatenate([np.frombuffer(p["start"], np.int32).astype(np.int64) if p["n"] else _unpack(p["start"]) for p in found]))
-                    first = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + width]))
-                    for a, e in zip(starts[first].tolist(), (starts[np.append(first[1:], len(starts)) - 1] + width).tolist(), strict=True):
-                        spans.append({"start": a, "end": e})
-                        keep[a:e] = False
+                spans = sorted({(x["start"], x["end"]) for x in found or ()})
+                for a, e in spans:
+                    keep[a:e] = False
                 kept = b" ".join([words[i] for i in np.flatnonzero(keep)] if spans else words)
-                out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if spans else None, spans or None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), span_type)
+                out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if spans else None, [{"start": a, "end": e} for a, e in spans] or None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), SPANS)
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True))], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:bigint,end:bigint>>"
     found = rows.withColumn("admitted", admitted(F.xxhash64("doc", "digest")))
     texts = found.filter("admitted").select("row", "doc", "digest", "text").mapInArrow(pack, rows.select("row", "doc", "digest", "text").schema)
-    changed = texts.join(marks.drop("key"), ["doc", "digest"], "left").select("row", "text", "parts").mapInArrow(remove, schema)
+    changed = texts.join(marks.drop("key"), ["doc", "digest"], "left").select("row", "text", "spans").mapInArrow(remove, schema)
     return changed.union(found.filter("not admitted").select("row", "text").mapInArrow(remove, schema))
 
 

@@ -51,10 +51,10 @@ def test_equal_ids_nulls_and_foreign_columns(spark):
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
     one, two, three = text(), text(), text()
     rows = [(1, one), (1, one), (1, two), (None, two), (None, three), (5, three), (6, one + " " + one)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("row", "doc", "digest", "parts", "key", "n_words")}).repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("row", "doc", "digest", "spans", "key", "n_words")}).repartition(3)
     got = W.remove_windows(docs)
     assert got.select("row.*").columns == docs.columns
-    assert {(r.row.doc_id, r.row.text, r.n_removed, r.row.parts) for r in got.collect()} == {(1, one, 0, 7), (1, two, 0, 7), (None, two, 50, 7), (None, three, 50, 7), (5, three, 0, 7), (6, one + " " + one, 100, 7)}
+    assert {(r.row.doc_id, r.row.text, r.n_removed, r.row.spans) for r in got.collect()} == {(1, one, 0, 7), (1, two, 0, 7), (None, two, 50, 7), (None, three, 50, 7), (5, three, 0, 7), (6, one + " " + one, 100, 7)}
     assert got.filter("row.doc_id = 1").count() == 3
     assert W.remove_windows(docs.limit(0)).count() == 0
 
