@@ -41,7 +41,7 @@ from casemill.llm.op06_suffix import _Filter, _powers
 
 #: Words in a block that is hashed together, and bytes of text whose windows make up a range (a window is two bytes of text at
 #: least, and about six in most languages).
-BLOCK, RANGE = 1_200_000, 12_000_000
+BLOCK, RANGE = 800_000, 12_000_000
 #: Words whose numbers a task keeps at hand.
 KNOWN = 100_000
 LAST = (1 << 63) - 1
