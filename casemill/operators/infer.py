@@ -2,124 +2,128 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterable
 from functools import reduce
-from itertools import count, product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.lineage import settle
-
-#: Most rules in a set; sets are read on the driver to build one join plan for each rule.
-MAX_RULES = 1000
-
-
-#: Operators read from the other side.
-TURNED = {">": "<", ">=": "<=", "<": ">", "<=": ">=", "=<": ">=", "=": "=", "==": "=", "!=": "!=", "<>": "!=", "~=": "!="}
-
-
-def _bodies(node: dict, negated: bool = False) -> list[list[dict]]:
-    """An IF tree as alternatives of conjuncts; raises on a node that is none of and, or, not, pred, compare."""
-    if "and" in node or "or" in node:
-        parts = [_bodies(n, negated) for n in node.get("and") or node.get("or")]
-        if ("and" in node) != negated:
-            return [sum(choice, []) for choice in product(*parts)]
-        return sum(parts, [])
-    if "not" in node:
-        return _bodies(node["not"], not negated)
-    if "compare" in node:
-        c = node["compare"]
-        if isinstance(c.get("right"), dict) and not isinstance(c.get("left"), dict):
-            c = {"left": c["right"], "op": TURNED[c["op"]], "right": c["left"]}
-        return [[{"compare": c, "negated": bool(node.get("negated")) != negated}]]
-    if "pred" in node:
-        return [[node | {"negated": bool(node.get("negated")) != negated}]]
-    raise ValueError(f"unsupported IF node: {sorted(node)}")
-
-
-def read_rules(rules: DataFrame) -> tuple[list[dict], list[dict]]:
-    """Rules as (head, body) plans, one for each alternative of an OR, and rows for those that can't be read."""
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} rules, more than {MAX_RULES}")
-    good, bad = [], []
-    for r in rules.select("set_id", "rule", "rule_json").orderBy("set_id", "rule").collect():
-        try:
-            t = json.loads(r["rule_json"])
-            good += [{"rule": r["rule"], "body": body, "head": t["then"]} for body in _bodies({"and": t["if"]})]
-        except (ValueError, KeyError, TypeError) as e:
-            bad.append({"set_id": r["set_id"], "rule": r["rule"], "reason": str(e)})
-    return good, bad
-
-
-def _bind(facts: DataFrame, args: list[str], extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """Facts as variable columns."""
-    own = facts.filter(F.size("args") == len(args))
-    return own.select("case_id", *[F.col("args")[i].alias(a) for i, a in enumerate(args)], *extra).distinct()
-
-
-def _fire(rule: dict, facts: DataFrame, closed: set[str]) -> DataFrame:
-    """Head atoms of one rule over the facts, positive conjuncts first."""
-    plan = None
-    order = sorted(rule["body"], key=lambda n: (bool(n.get("negated")), "compare" in n))
-    for n in order:
-        if "compare" in n:
-            c = n["compare"]
-            t = _bind(facts.filter((F.col("symbol") == c["left"]["func"]) & F.col("value").isNotNull()), c["left"]["args"], ["value"])
-            ops = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=<": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
-            test = ops[c["op"]](F.col("value").try_cast("double"), F.lit(float(c["right"])))
-            t = t.filter(~test if n.get("negated") else test).drop("value")
-        else:
-            own = facts.filter(F.col("symbol") == n["pred"])
-            held = _bind(own.filter("polarity"), n["args"])
-            if not n.get("negated"):
-                t = held
-            else:
-                denied = _bind(own.filter("not polarity"), n["args"])
-                if n["pred"] in closed and plan is not None:
-                    # closed: what isn't held is denied
-                    keys = ["case_id", *n["args"]]
-                    plan = plan.join(held.join(denied, keys, "left_anti"), keys, "left_anti")
-                    continue
-                t = denied
-        plan = t if plan is None else plan.join(t, sorted(set(plan.columns) & set(t.columns)))
-    out = [plan.select("case_id", F.lit(h["pred"]).alias("symbol"), F.array(*[F.col(a) for a in h["args"]]).alias("args"), F.lit(not h.get("negated", False)).alias("polarity"), F.lit(None).cast("string").alias("value"), F.lit(rule["rule"]).alias("rule")) for h in rule["head"]]
-    return reduce(DataFrame.unionByName, out)
-
-
-def apply_rules(facts: DataFrame, rules: DataFrame, closed: set[str] = frozenset()) -> DataFrame:
-    """Facts and everything the rules conclude: case_id, symbol, args, polarity, value, rule, round.
-
-    Each rule is one join plan on case and variables; a round adds what no earlier one had and is written
-    to the shared folder. Rules whose bodies didn't change in the last round are not run again. Negated
-    conjuncts of ``closed`` symbols hold where no fact does; others need a denial, so that rounds only add and end.
-    Rules that can't be read raise.
+from casemill.operators import chain
+
+
+def with_sets(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Facts with the set of rules that holds for them: facts without a set_id belong to the only set there is."""
+    if "set_id" in facts.columns:
+        return facts
+    sets = rules.select("set_id").distinct().limit(2).collect()
+    if len(sets) > 1:
+        raise ValueError("rules of several sets: facts need a set_id")
+    return facts.withColumn("set_id", F.lit(sets[0][0] if sets else None).cast(rules.schema["set_id"].dataType))
+
+
+def derive(facts: DataFrame, rules: DataFrame, closed: Iterable[str] = ()) -> tuple[chain.Program, chain.Closure]:
+    """The program of a rule table, and for each case what the rules of its set conclude, with every derivation.
+
+    facts(set_id, case_id, symbol, args, polarity, value); rules(set_id, rule, rule_json). Negated conjuncts of ``closed`` symbols hold where
+    no fact does, once the symbol is finished; others need a denial. Rules that can't be read, variables that nothing binds and
+    closed negations in a cycle raise.
+    """
+    program = chain.Program(rules, closed)
+    return program, program.run(with_sets(facts, rules))
+
+
+def atoms_of(closure: chain.Closure) -> DataFrame:
+    """set_id, case_id, symbol, args, polarity, value, rule, round, without the symbols that stand for alternatives."""
+    return closure.atoms.filter("symbol not like '#%'").drop("world")
+
+
+def apply_rules(facts: DataFrame, rules: DataFrame, closed: Iterable[str] = ()) -> DataFrame:
+    """Facts and everything the rules of their set conclude: set_id, case_id, symbol, args, polarity, value, rule, round."""
+    return atoms_of(derive(facts, rules, closed)[1])
+
+
+def _case(*tables: DataFrame) -> list[str]:
+    """What names a case in all of the tables: set_id too, if all have it."""
+    return [c for c in ("set_id", "case_id") if all(c in t.columns for t in tables)]
+
+
+def _text(symbol: Column, args: Column, polarity: Column, value: Column) -> Column:
+    """An atom as a line: p(a,b), not p(a), f(a) = 3."""
+    atom = F.concat(symbol, F.lit("("), F.array_join(args, ","), F.lit(")"))
+    return F.when(value.isNotNull(), F.concat(atom, F.lit(" = "), value)).when(polarity, atom).otherwise(F.concat(F.lit("not "), atom))
+
+
+def _supported(closure: chain.Closure, roots: DataFrame) -> DataFrame:
+    """roots(root, LITERAL) -> root, set_id, case_id, round, source, atom: the facts and rules that the roots rest on, in all proofs; source is
+    fact, rule and number, or closed for what nothing holds."""
+    found = chain.support(closure.derivations, roots).filter("symbol not like '#%'")
+    known = closure.atoms.select(*chain.LITERAL, "value", "round", (F.col("round") == 0).alias("stated"))
+    by = closure.derivations.groupBy(*chain.LITERAL).agg(F.collect_set("rule").alias("rules"))
+    k = known.select(*(F.col(c).alias(f"k_{c}") for c in known.columns))
+    same = [found[c] == k[f"k_{c}"] for c in ("set_id", "case_id", "symbol", "args")] + [found[c].eqNullSafe(k[f"k_{c}"]) for c in ("polarity", "value")]
+    x = found.join(k, same, "left").join(by, chain.LITERAL, "left")
+    sources = F.concat(F.when(F.col("k_stated"), F.array(F.lit("fact"))).otherwise(F.array().cast("array<string>")), F.coalesce(F.transform("rules", lambda r: F.concat(F.lit("rule "), r.cast("string"))), F.array().cast("array<string>")))
+    sources = F.when(F.col("k_round").isNull(), F.array(F.lit("closed"))).otherwise(sources)
+    return x.select("root", "set_id", "case_id", F.col("k_round").alias("round"), F.explode(sources).alias("source"), _text(F.col("symbol"), F.col("args"), F.col("polarity"), F.col("value")).alias("atom")).distinct()
+
+
+def conflict_support(closure: chain.Closure) -> DataFrame:
+    """For each atom that is held and denied, and each function with two values, the facts and rules behind it in the order of
+    rounds: set_id, case_id, conflict, step, round, source, atom."""
+    atoms = closure.atoms.filter("symbol not like '#%'")
+    both = atoms.filter("value is null").groupBy("set_id", "case_id", "symbol", "args").agg(F.count_distinct("polarity").alias("n")).filter("n > 1").drop("n")
+    name = F.concat("symbol", F.lit("("), F.array_join("args", ","), F.lit(")"))
+    signs = both.withColumn("polarity", F.explode(F.array(F.lit(True), F.lit(False))))
+    found = _supported(closure, signs.withColumn("root", name)).withColumnRenamed("root", "conflict")
+    values = atoms.filter("value is not null").groupBy("set_id", "case_id", "symbol", "args").agg(F.collect_set("value").alias("values")).filter("size(values) > 1")
+    stated = values.select("set_id", "case_id", name.alias("conflict"), F.explode("values").alias("value"), "symbol", "args").select("conflict", "set_id", "case_id", F.lit(0).alias("round"), F.lit("fact").alias("source"), _text(F.col("symbol"), F.col("args"), F.lit(None).cast("boolean"), F.col("value")).alias("atom"))
+    step = F.row_number().over(Window.partitionBy("set_id", "case_id", "conflict").orderBy(F.coalesce("round", F.lit(0)), "atom", "source"))
+    return found.unionByName(stated).withColumn("step", step)
+
+
+def answer_support(closure: chain.Closure, queries: DataFrame) -> DataFrame:
+    """For each query(q_id, set_id, case_id, symbol, args) that is held or denied the facts and rules of all its proofs, in the order of
+    rounds: q_id, step, round, source, atom."""
+    signs = queries.select(F.col("q_id").alias("root"), "set_id", "case_id", "symbol", "args").join(closure.atoms.filter("value is null").select(*chain.LITERAL), ["set_id", "case_id", "symbol", "args"])
+    step = F.row_number().over(Window.partitionBy("root").orderBy(F.coalesce("round", F.lit(0)), "atom", "source"))
+    return _supported(closure, signs).select(F.col("root").alias("q_id"), step.alias("step"), "round", "source", "atom")
+
+
+def entail_assumed(program: chain.Program, closure: chain.Closure, queries: DataFrame) -> DataFrame:
+    """queries(q_id, set_id, case_id, symbol, args) answered by two assumptions each: q_id, set_id, case_id, possible, certain, label.
+
+    An atom is possible unless assuming it leads to a contradiction, and certain if it is possible and assuming its denial does. All
+    assumptions are closed at once, each in a world of its own over the shared closure of its case; a world adds only what its
+    assumption entails. Closed symbols are decided by the closure, and a world that adds to one contradicts it. Cases that are
+    inconsistent without an assumption are told so.
     """
-    plans, bad = read_rules(rules)
-    if bad:
-        raise ValueError(f"rules that can't be read: {bad[:10]}")
-    known = settle(facts.select("case_id", "symbol", "args", "polarity", "value").distinct().withColumns({"rule": F.lit(None).cast("int"), "round": F.lit(0)}))
-    fresh: set[str] | None = None
-    for k in count(1):
-        live = [r for r in plans if fresh is None or fresh & {n.get("pred") or n["compare"]["left"]["func"] for n in r["body"]}]
-        if not live:
-            break
-        found = reduce(DataFrame.unionByName, [_fire(r, known, closed) for r in live])
-        found = found.groupBy("case_id", "symbol", "args", "polarity").agg(F.min("rule").alias("rule"))
-        new = settle(found.join(known, ["case_id", "symbol", "args", "polarity"], "left_anti").select("case_id", "symbol", "args", "polarity", F.lit(None).cast("string").alias("value"), "rule", F.lit(k).alias("round")))
-        fresh = {r["symbol"] for r in new.select("symbol").distinct().collect()}
-        if not fresh:
-            break
-        known = known.unionByName(new)
-    return known
+    q = queries.select("q_id", "set_id", "case_id", "symbol", "args")
+    closed = F.col("symbol").isin(*program.closed) if program.closed else F.lit(False)
+    worlds = q.filter(~closed).withColumn("polarity", F.explode(F.array(F.lit(True), F.lit(False))))
+    worlds = worlds.withColumn("world", F.concat(F.col("q_id").cast("string"), F.when(F.col("polarity"), "+").otherwise("-")))
+    added = program.assume(closure, worlds).atoms
+    base = closure.atoms.filter("value is null")
+    opposite = lambda t, *c: t.select(*c, "set_id", "case_id", "symbol", "args", (~F.col("polarity")).alias("polarity"))
+    clash = added.join(opposite(base), chain.LITERAL, "left_semi").select("world")
+    clash = clash.union(added.join(opposite(added, "world"), ["world", *chain.LITERAL], "left_semi").select("world"))
+    clash = clash.union(added.filter(closed & F.col("polarity")).select("world")).distinct().withColumn("clash", F.lit(True))
+    of = lambda sign: clash.filter(F.col("world").endswith(sign)).select(F.expr("substring(world, 1, length(world) - 1)").alias("q"), F.col("clash").alias(f"clash{sign}"))
+    held = base.groupBy("set_id", "case_id", "symbol", "args").agg(F.bool_or("polarity").alias("held"))
+    x = q.withColumn("q", F.col("q_id").cast("string")).join(of("+"), "q", "left").join(of("-"), "q", "left").join(held, ["set_id", "case_id", "symbol", "args"], "left")
+    x = x.join(consistency(closure.atoms).select("set_id", "case_id", "status"), ["set_id", "case_id"], "left")
+    yes, no = F.coalesce("`clash-`", F.lit(False)), F.coalesce("`clash+`", F.lit(False))
+    no = F.when(closed, ~F.coalesce("held", F.lit(False))).otherwise(no)
+    yes = F.when(closed, F.coalesce("held", F.lit(False))).otherwise(yes)
+    label = F.when(F.col("status") == "unsat", "inconsistent").when(no, "contradicted").when(yes, "entailed").otherwise("unknown")
+    return x.select("q_id", "set_id", "case_id", (label != "contradicted").alias("possible"), (label == "entailed").alias("certain"), label.alias("label"))
 
 
 def consistency(closure: DataFrame) -> DataFrame:
     """Cases with an atom and its denial, or two values of one function: status and their number."""
-    atoms = closure.filter("value is null").groupBy("case_id", "symbol", "args").agg((F.bool_or("polarity") & F.bool_or(~F.col("polarity"))).alias("clash"))
-    values = closure.filter("value is not null").groupBy("case_id", "symbol", "args").agg((F.count_distinct("value") > 1).alias("clash"))
-    n = atoms.unionByName(values).groupBy("case_id").agg(F.count_if("clash").alias("n_conflicts"))
+    case = _case(closure)
+    atoms = closure.filter("value is null").groupBy(*case, "symbol", "args").agg((F.bool_or("polarity") & F.bool_or(~F.col("polarity"))).alias("clash"))
+    values = closure.filter("value is not null").groupBy(*case, "symbol", "args").agg((F.count_distinct("value") > 1).alias("clash"))
+    n = atoms.unionByName(values).groupBy(*case).agg(F.count_if("clash").alias("n_conflicts"))
     return n.withColumn("status", F.when(F.col("n_conflicts") > 0, "unsat").otherwise("ok"))
 
 
@@ -132,8 +136,9 @@ def explain_conflict(closure: DataFrame) -> DataFrame:
 
 def entail_boolean(closure: DataFrame, queries: DataFrame) -> DataFrame:
     """queries(q_id, case_id, symbol, args) with possible, certain and label; inconsistent cases come first."""
-    held = closure.filter("value is null").groupBy("case_id", "symbol", "args").agg(F.bool_or("polarity").alias("p"), F.bool_or(~F.col("polarity")).alias("n"))
-    x = queries.join(held, ["case_id", "symbol", "args"], "left").join(consistency(closure).select("case_id", "status"), "case_id", "left")
+    case = _case(closure, queries)
+    held = closure.filter("value is null").groupBy(*case, "symbol", "args").agg(F.bool_or("polarity").alias("p"), F.bool_or(~F.col("polarity")).alias("n"))
+    x = queries.join(held, [*case, "symbol", "args"], "left").join(consistency(closure).select(*case, "status"), case, "left")
     label = F.when(F.col("status") == "unsat", "inconsistent").when(F.coalesce("p", F.lit(False)), "entailed").when(F.coalesce("n", F.lit(False)), "contradicted").otherwise("unknown")
     return x.select("q_id", "case_id", "symbol", (label != "contradicted").alias("possible"), (label == "entailed").alias("certain"), label.alias("label"))
 
@@ -174,43 +179,6 @@ def possible_outputs(ground: DataFrame, closure: DataFrame, n: int = 3) -> DataF
     return left.withColumn("rank", r).filter(F.col("rank") <= n).select("case_id", "symbol", F.array_join("args", ",").alias("args"), "rank")
 
 
-def antecedent_coverage(queries: DataFrame, atoms: DataFrame, facts: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Per query and rule that concludes it the IF atoms: present, missing, helper_defined, helper_floating.
-
-    An atom is present if the case holds a fact of its symbol, or its denial, that mentions the query's argument where they
-    share a variable, or any of the symbol otherwise; it is satisfied if one of them has the sign that the rule asks for.
-    """
-    heads = atoms.filter("side = 'then'").select("rule", F.col("symbol").alias("q_symbol"), F.col("args").alias("head_args"))
-    body = atoms.filter("side = 'if'").select("rule", "path", "symbol", F.col("args").alias("atom_args"), F.coalesce("negated", F.lit(False)).alias("negated"))
-    q = queries.select("q_id", "case_id", F.col("symbol").alias("q_symbol"), F.col("args").alias("q_args"))
-    need = q.join(heads, "q_symbol").join(body, "rule")
-    at = F.array_position("atom_args", F.get("head_args", F.lit(0)))
-    bound = F.when(at > 0, F.get("q_args", F.lit(0)))
-    need = need.withColumns({"at": at, "bound": bound})
-    have = facts.filter("value is null").select("case_id", "symbol", F.col("args").alias("f_args"), "polarity").distinct()
-    hit = need.join(have, ["case_id", "symbol"]).filter(F.col("bound").isNull() | (F.get("f_args", (F.col("at") - 1).cast("int")) == F.col("bound"))).groupBy("q_id", "rule", "path").agg(F.lit(True).alias("present"), F.max(F.col("polarity") != F.col("negated")).alias("satisfied"))
-    kinds = symbols.select(F.col("name").alias("symbol"), "kind")
-    defined = atoms.filter("side = 'then'").select("symbol").distinct().withColumn("defined", F.lit(True))
-    x = need.join(hit, ["q_id", "rule", "path"], "left").join(kinds, "symbol", "left").join(defined, "symbol", "left")
-    status = F.when(F.col("present"), "present").when(F.col("defined"), "helper_defined").when(F.col("kind") == "helper", "helper_floating").when(F.col("kind").isNull(), "unknown").otherwise("missing")
-    return x.select("q_id", "rule", "path", "symbol", status.alias("status"), F.coalesce("satisfied", F.lit(False)).alias("satisfied"))
-
-
-def downgrade_alternatives(coverage: DataFrame, results: DataFrame) -> DataFrame:
-    """Misses in other rules don't block where the target is proved and one rule is complete."""
-    w = Window.partitionBy("q_id", "rule")
-    x = coverage.withColumn("complete", F.min(F.col("status").isin("present", "helper_defined").cast("int")).over(w))
-    x = x.withColumn("any_complete", F.max("complete").over(Window.partitionBy("q_id"))).join(results.select("q_id", "label"), "q_id", "left")
-    free = (F.col("label") == "entailed") & (F.col("any_complete") == 1) & (F.col("complete") == 0)
-    return x.select("q_id", "rule", "path", "symbol", "status", (~F.col("status").isin("present", "helper_defined") & ~F.coalesce(free, F.lit(False))).alias("blocking"))
-
-
-def missing_observables(coverage: DataFrame) -> DataFrame:
-    """Per query the missing symbols in first-seen order."""
-    first = coverage.filter("status = 'missing'").groupBy("q_id", "symbol").agg(F.min(F.struct("rule", "path")).alias("at"))
-    return first.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]), ",").alias("missing"))
-
-
 def criteria_count(values: DataFrame, thresholds: dict[str, float], max_exceeded: int = 1) -> DataFrame:
     """How many thresholds a row exceeds; the class holds at ``max_exceeded`` and below."""
     n = reduce(lambda a, b: a + b, [F.coalesce((F.col(c) > t).cast("int"), F.lit(0)) for c, t in thresholds.items()])

@@ -149,20 +149,6 @@ def output_coverage(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     return need.join(have, "set_id", "left").filter(~F.coalesce("effect", F.lit(False))).select("set_id", "n_cues", F.coalesce("n_derived", F.lit(0)).cast("long").alias("n_derived"))
 
 
-def proof_gap_rows(coverage: DataFrame, queries: DataFrame, symbols: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per query and antecedent where its proof stands: directly_present, derivable_from_rules, blocked_by_rule_linkage,
-    missing_entirely; and for every observable function of the query's rule set directly_present or blocked_by_missing_numeric."""
-    kinds = symbols.select(F.col("name").alias("symbol"), "kind").distinct()
-    status = F.when(F.col("status") == "present", "directly_present").when(F.col("status") == "helper_defined", "derivable_from_rules").when(F.col("status") == "helper_floating", "blocked_by_rule_linkage").when(F.col("kind") == "observable", "missing_entirely").otherwise("derivable_from_rules")
-    atoms = coverage.join(kinds, "symbol", "left").withColumn("gap_status", status)
-    atoms = atoms.groupBy("q_id", "symbol").agg(F.min_by("gap_status", F.struct("rule", "path")).alias("gap_status"), F.array_join(F.transform(F.array_sort(F.collect_set("rule")), lambda r: r.cast("string")), ",").alias("rules"))
-    functions = symbols.filter("kind = 'observable' and returns <> 'Bool'").select("set_id", F.col("name").alias("symbol")).distinct()
-    told = facts.filter("value is not null").select("case_id", "symbol").distinct().withColumn("told", F.lit(True))
-    wanted = queries.select("q_id", "case_id", "set_id").join(functions, "set_id")
-    numeric = wanted.join(told, ["case_id", "symbol"], "left").select("q_id", "symbol", F.when(F.col("told"), "directly_present").otherwise("blocked_by_missing_numeric").alias("gap_status"), F.lit("").alias("rules"))
-    return atoms.unionByName(numeric)
-
-
 def classify_gap(rows: DataFrame, period_issues: DataFrame, results: DataFrame) -> DataFrame:
     """Primary and secondary cause per query; results(q_id, status, label, certain, has_numbers)."""
     has = lambda s: F.max(F.col("gap_status") == s).alias(s)

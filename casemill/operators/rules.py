@@ -108,10 +108,54 @@ def floating_helpers(atoms: DataFrame, symbols: DataFrame, kinds: tuple[str, ...
     return used.join(own, ["set_id", "symbol"], "left_semi").join(atoms.filter("side = 'then'").select("set_id", "symbol"), ["set_id", "symbol"], "left_anti")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) -> node, component: strongly connected components by trimming and colouring; components are named by a node of theirs.
+
+    Nodes without an edge in or out among those left are components of their own and leave, until none does. Then the least name spreads
+    forwards; what reaches its namesake backwards within one colour is that node's component, and leaves. Each round joins edges with one row
+    a node, and is written to the shared folder; no pairs of nodes that reach each other are made.
+    """
+    left = settle(edges.select("src", "dst").distinct())
+    found: list[DataFrame] = [left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("component", F.col("node"))]
+    parts: list[DataFrame] = []
+    left = left.filter("src <> dst")
+    while True:
+        while True:
+            kept = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            if kept.count() == left.count():
+                break
+            left = kept
+        if kept.isEmpty():
+            break
+        left = kept
+        colour = settle(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        fresh = colour
+        while not fresh.isEmpty():
+            offered = left.join(fresh.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
+            better = settle(colour.join(offered, "node").filter("least < colour").select("node", F.col("least").alias("colour")))
+            colour = settle(colour.join(better.withColumnRenamed("colour", "least"), "node", "left").select("node", F.coalesce("least", "colour").alias("colour")))
+            fresh = better
+        inside = left.join(colour.withColumnsRenamed({"node": "src", "colour": "c1"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "c2"}), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
+        inside = settle(inside)
+        reached = fresh = settle(colour.filter("node = colour"))
+        while not fresh.isEmpty():
+            back = inside.join(fresh.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            fresh = settle(back.join(reached, ["node", "colour"], "left_anti"))
+            reached = settle(reached.unionByName(fresh))
+        parts.append(reached.withColumnRenamed("colour", "component"))
+        gone = reached.select("node")
+        left = settle(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    if not parts:
+        return found[0]
+    large = reduce(DataFrame.unionByName, parts)
+    return found[0].join(large.withColumnRenamed("component", "larger"), "node", "left").select("node", F.coalesce("larger", "component").alias("component"))
+
+
 def definition_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes of edges(src, dst) that reach themselves."""
-    reach = closure(edges.select("src", "dst"), edges.select(F.col("src").alias("target")).distinct())
-    return reach.join(edges, reach.node == edges.src).filter("dst = target").select("target").distinct()
+    """Nodes of edges(src, dst) that reach themselves: those of components with several nodes, and those with an edge to themselves."""
+    of = settle(strong_components(edges))
+    many = of.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    return of.join(many, "component", "left_semi").select(F.col("node").alias("target")).union(edges.filter("src = dst").select("src")).distinct()
 
 
 def unsafe_negative_rules(atoms: DataFrame, symbols: DataFrame) -> DataFrame:

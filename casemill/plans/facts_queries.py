@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions.lineage import settle
+from casemill.operators import coverage as K
 from casemill.operators import facts as C
 from casemill.operators import infer as E
 from casemill.operators import rules as D
@@ -151,8 +152,10 @@ def d5_undefined_derived(spark, d):
 
 
 def d6_definition_cycles(spark, d):
-    e = table(spark, d, "part").filter("p_partkey % 10 < 3").select(F.concat(F.floor(F.col("p_partkey") / 10), F.lit("-"), F.col("p_partkey") % 10).alias("src"), F.concat(F.floor(F.col("p_partkey") / 10), F.lit("-"), F.when(F.floor(F.col("p_partkey") / 10) % 2 == 0, (F.col("p_partkey") % 10 + 1) % 3).otherwise(F.col("p_partkey") % 10 + 1)).alias("dst"))
-    return D.definition_cycles(e)
+    """Ten parts in a row use one another: in a ring if the tens are even, else in a chain."""
+    ten, one = F.floor(F.col("p_partkey") / 10), F.col("p_partkey") % 10
+    name = lambda i: F.concat(ten, F.lit("-"), i)
+    return D.definition_cycles(table(spark, d, "part").select(name(one).alias("src"), name(F.when(ten % 2 == 0, (one + 1) % 10).otherwise(one + 1)).alias("dst")))
 
 
 def d9_threshold_provenance(spark, d):
@@ -178,7 +181,7 @@ def d19_quarantine_rules(spark, d):
 
 
 def _closure(spark, d):
-    return E.apply_rules(_facts(spark, d), table(spark, d, "fx_rules"), CLOSED)
+    return E.apply_rules(_facts(spark, d), table(spark, d, "fx_rules"), CLOSED).drop("set_id")
 
 
 def e1_apply_rules(spark, d):
@@ -219,20 +222,81 @@ def e12_possible_outputs(spark, d):
     return E.possible_outputs(g, _closure(spark, d))
 
 
+def _one_set(df):
+    return df.withColumn("set_id", F.lit(1))
+
+
 def _coverage(spark, d):
-    return E.antecedent_coverage(_queries(spark, d), D.rule_atoms(table(spark, d, "fx_rules")), _facts(spark, d), _schema(spark, d))
+    rules = table(spark, d, "fx_rules")
+    return settle(K.antecedent_coverage(_one_set(_queries(spark, d)), D.rule_atoms(rules), _one_set(_facts(spark, d)), _schema(spark, d), K.quantified(rules)))
 
 
 def e13_antecedent_coverage(spark, d):
-    return _coverage(spark, d)
+    return _coverage(spark, d).select("q_id", "rule", "path", "symbol", "atom", "status", "satisfied")
 
 
 def e14_downgrade_alternatives(spark, d):
-    return E.downgrade_alternatives(_coverage(spark, d), e2_entail_boolean(spark, d))
+    return K.downgrade_alternatives(_coverage(spark, d), e2_entail_boolean(spark, d)).select("q_id", "rule", "path", "symbol", "status")
 
 
 def e15_missing_observables(spark, d):
-    return E.missing_observables(_coverage(spark, d))
+    return K.missing_observables(_coverage(spark, d)).select("q_id", "missing")
+
+
+def _docket(spark, d):
+    """Facts of each case under each of its rule sets."""
+    return _facts(spark, d).join(table(spark, d, "fx_docket"), "case_id")
+
+
+def _ruled(spark, d):
+    return E.derive(_docket(spark, d), table(spark, d, "fx_rulebook"), {"placed_by", "urgent", "key_customer"})
+
+
+def _set_queries(spark, d):
+    """Key and ordinary customers are asked for in set 1; prime ones, and whether their least order by name is served, in set 2."""
+    x = table(spark, d, "fx_docket").withColumn("c", F.concat(F.lit("c"), F.col("case_id")))
+    least = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.min(F.concat(F.lit("o"), F.col("o_orderkey"))).alias("o"))
+    q = lambda t, name, n, *args: t.filter(F.col("set_id") == n).select(F.concat(F.lit(name[0]), F.col("case_id")).alias("q_id"), "set_id", "case_id", F.lit(name).alias("symbol"), F.array(*args).alias("args"))
+    return q(x, "key_customer", 1, "c").unionByName(q(x, "ordinary", 1, "c")).unionByName(q(x, "prime_customer", 2, "c")).unionByName(q(x.join(least, "case_id"), "served", 2, "o", "c"))
+
+
+def e1_rule_sets(spark, d):
+    return _joined(E.atoms_of(_ruled(spark, d)[1]).filter("round > 0")).select("set_id", "case_id", "symbol", "args", "polarity", "rule")
+
+
+def e2_under_assumption(spark, d):
+    program, closure = _ruled(spark, d)
+    return E.entail_assumed(program, closure, _set_queries(spark, d).filter("symbol in ('key_customer', 'prime_customer')"))
+
+
+def e7_conflict_support(spark, d):
+    return E.conflict_support(_ruled(spark, d)[1]).select("set_id", "case_id", "conflict", "source", "atom")
+
+
+def e11_answer_support(spark, d):
+    return E.answer_support(_ruled(spark, d)[1], _set_queries(spark, d).filter("symbol = 'key_customer'")).select("q_id", "source", "atom")
+
+
+def _terms(spark, d):
+    return table(spark, d, "fx_terms").withColumn("args", F.split("args_csv", ",")).drop("args_csv")
+
+
+def _set_coverage(spark, d):
+    rules = table(spark, d, "fx_rulebook")
+    return settle(K.antecedent_coverage(_set_queries(spark, d), D.rule_atoms(rules), _docket(spark, d), _terms(spark, d), K.quantified(rules)))
+
+
+def e13_bound_coverage(spark, d):
+    return _set_coverage(spark, d).select("q_id", "set_id", "rule", "path", "symbol", "atom", "status", "satisfied")
+
+
+def e14_rule_sets(spark, d):
+    results = _set_queries(spark, d).select("q_id", F.when(F.col("case_id") % 2 == 0, "entailed").otherwise("unknown").alias("label"), (F.col("case_id") % 7 == 0).alias("certain"))
+    return K.downgrade_alternatives(_set_coverage(spark, d), results).select("q_id", "set_id", "rule", "path", "atom", "status")
+
+
+def e15_described(spark, d):
+    return K.missing_observables(_set_coverage(spark, d), _terms(spark, d))
 
 
 def e18_credence(spark, d):
@@ -293,7 +357,6 @@ def e22_unify_results(spark, d):
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "cde" and k[1:2].isdigit()}
-del settle
 
 _F = """SELECT DISTINCT o_custkey AS case_id, * FROM (
  SELECT o_custkey, 'placed_by' AS symbol, concat('o', o_orderkey, ',c', o_custkey) AS args, true AS polarity, NULL AS value FROM orders
@@ -316,11 +379,21 @@ _ATOMS = f"""SELECT set_id, a.* FROM {_SETS}, (VALUES (0, 'then', '0', 'big_orde
  (2, 'if', '0.0', 'placed_by', 'o,c', false), (2, 'if', '0.1', 'is_priority_customer', 'c', false), (2, 'if', '0.2', 'open', 'o', true), (2, 'then', '0', 'right_to_discount', 'c', false)) a(rule, side, path, symbol, args, negated)"""
 _ARITY = f"SELECT set_id, 1 AS rule, '0.2' AS path, 'urgent' AS symbol, 'undeclared' AS code FROM {_SETS} WHERE set_id % 3 = 0"
 _YEARS = "SELECT entity, period, CAST(turnover > 200000 AS INT) + CAST(n_orders > 2 AS INT) + CAST(largest > 150000 AS INT) AS n_exceeded FROM fx_years"
-_CITED = f"""SELECT concat('p', c_custkey) AS q_id, c_custkey, 1 AS rule, x.* FROM customer, (VALUES ('0.0', 'placed_by'), ('0.1', 'big_order'), ('0.2', 'urgent')) x(path, symbol)
- UNION ALL SELECT concat('d', c_custkey), c_custkey, 2, x.* FROM customer, (VALUES ('0.0', 'placed_by'), ('0.1', 'is_priority_customer'), ('0.2', 'open')) x(path, symbol)"""
-_COV = f"""SELECT q_id, rule, path, symbol, CASE WHEN symbol IN ('big_order', 'is_priority_customer') THEN 'helper_defined' WHEN symbol = 'urgent' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'missing'
- WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'missing' ELSE 'present' END AS status,
- CASE WHEN symbol IN ('big_order', 'is_priority_customer') THEN false WHEN symbol = 'urgent' THEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') WHEN symbol = 'open' THEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') ELSE c_custkey IN (SELECT o_custkey FROM orders) END AS satisfied FROM ({_CITED})"""
+_FIRST = "SELECT o_custkey AS c, min(concat('o', o_orderkey)) AS o1, arg_min(o_orderpriority = '1-URGENT', concat('o', o_orderkey)) AS u1, arg_min(o_orderstatus = 'F', concat('o', o_orderkey)) AS f1 FROM orders GROUP BY o_custkey"
+_ATOM = "CASE WHEN args = '?' OR o1 IS NULL AND args LIKE '%O%' THEN symbol ELSE concat(symbol, '(', replace(replace(args, 'O', coalesce(o1, '')), 'C', concat('c', c_custkey)), ')') END"
+_COV = f"""SELECT concat(k, c_custkey) AS q_id, c_custkey, o1, rule, path, symbol, {_ATOM} AS atom, CASE WHEN symbol = 'is_priority_customer' OR o1 IS NULL THEN 'unknown' WHEN symbol = 'big_order' THEN 'helper_defined' WHEN symbol = 'urgent' AND NOT u1 THEN 'missing' ELSE 'present' END AS status,
+ CASE WHEN o1 IS NULL OR symbol IN ('is_priority_customer', 'big_order') THEN false WHEN symbol = 'urgent' THEN u1 WHEN symbol = 'open' THEN f1 ELSE true END AS satisfied
+ FROM customer LEFT JOIN ({_FIRST}) f ON c = c_custkey, (VALUES ('p', 1, '0.0', 'placed_by', 'O,C'), ('p', 1, '0.1', 'big_order', 'O'), ('p', 1, '0.2', 'urgent', 'O'), ('d', 2, '0.0', 'placed_by', 'O,C'), ('d', 2, '0.1', 'is_priority_customer', 'C'), ('d', 2, '0.2', 'open', 'O')) x(k, rule, path, symbol, args)"""
+_RULED = """o AS (SELECT set_id AS s, o_custkey AS c, concat('o', o_orderkey) AS o, concat('c', o_custkey) AS k, CAST(floor(o_totalprice) AS BIGINT) AS v, o_orderpriority = '1-URGENT' AS u, o_orderstatus = 'F' AS f, o_orderstatus <> 'F' OR o_orderkey % 97 = 0 AS op FROM orders JOIN fx_docket ON o_custkey = case_id),
+ notable AS (SELECT * FROM o WHERE u OR (s = 1 AND v > 250000)),
+ ordinary AS (SELECT DISTINCT c, k FROM o WHERE s = 1 AND c NOT IN (SELECT c FROM notable WHERE s = 1)),
+ torn AS (SELECT * FROM ordinary WHERE c IN (SELECT c FROM o WHERE v > 200000)),
+ prime AS (SELECT DISTINCT c, k FROM notable WHERE s = 2),
+ refused AS (SELECT DISTINCT c, k FROM o WHERE s = 2 AND v > 300000)"""
+_SETCOV = f"""SELECT concat(q, c_custkey) AS q_id, set_id, c_custkey, rule, path, symbol, {_ATOM} AS atom, CASE WHEN symbol = 'notable' OR symbol NOT IN ('placed_by', 'urgent') OR o1 IS NULL THEN 'unknown' WHEN symbol = 'urgent' AND NOT u1 THEN 'missing' ELSE 'present' END AS status,
+ symbol = 'placed_by' AND o1 IS NOT NULL OR symbol = 'urgent' AND coalesce(u1, false) AS satisfied
+ FROM fx_docket JOIN customer ON case_id = c_custkey LEFT JOIN ({_FIRST}) f ON c = c_custkey JOIN (VALUES ('k', 1, 2, '0', 'notable', 'O,C'), ('k', 1, 2, '1', 'placed_by', 'O,C'), ('o', 1, 3, '0', 'placed_by', 'O,C'), ('o', 1, 3, '1.0', 'key_customer', 'C'), ('o', 1, 4, '0', 'ordinary', 'C'), ('o', 1, 4, '1', 'placed_by', 'O,C'),
+  ('p', 2, 2, '0', 'notable', '?'), ('p', 2, 3, '1', 'placed_by', 'O,C'), ('s', 2, 4, '0', 'prime_customer', 'C'), ('s', 2, 4, '1', 'placed_by', 'O,C'), ('s', 2, 6, '0', 'urgent', 'O'), ('s', 2, 6, '1', 'placed_by', 'O,C')) x(q, s, rule, path, symbol, args) ON s = set_id WHERE (q <> 's' OR o1 IS NOT NULL)"""
 
 SQL = {
     "c1_parse_facts": f"""SELECT o_custkey AS case_id, concat('placed_by(o', o_orderkey, ',c', o_custkey, ').') AS line, 'atom' AS form, 'placed_by' AS symbol, concat('o', o_orderkey, ',c', o_custkey) AS args, true AS polarity, NULL AS value, NULL AS reason FROM orders
@@ -352,7 +425,7 @@ SQL = {
     "d3_derivation_closure": """WITH RECURSIVE c AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT target, node // 2, depth + 1 FROM c WHERE node // 2 > 0) SELECT * FROM c""",
     "d4_floating_helpers": f"SELECT set_id, 'big_order' AS symbol, 1 AS n_rules FROM {_SETS} WHERE set_id % 5 = 0",
     "d5_undefined_derived": f"SELECT set_id, 'is_priority_customer' AS symbol, 1 AS n_rules FROM {_SETS} WHERE set_id % 7 = 0",
-    "d6_definition_cycles": "SELECT DISTINCT concat(p_partkey // 10, '-', p_partkey % 10) AS target FROM part WHERE p_partkey % 10 < 3 AND p_partkey // 10 % 2 = 0 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part WHERE p_partkey % 10 < 3 GROUP BY 1 HAVING count(*) = 3)",
+    "d6_definition_cycles": "SELECT concat(p_partkey // 10, '-', p_partkey % 10) AS target FROM part WHERE p_partkey // 10 % 2 = 0 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 10)",
     "d9_threshold_provenance": f"SELECT set_id, 0 AS rule, 250000.0 AS literal FROM {_SETS} WHERE set_id % 4 IN (2, 3)",
     "d13_rule_arity": _ARITY,
     "d13_rule_types": f"""WITH leaf AS (SELECT * FROM (VALUES (0, 'if', '0', 'total_price', ['o']), (0, 'then', '0', 'big_order', ['o']), (1, 'if', '0.0', 'placed_by', ['o', 'c']), (1, 'if', '0.1', 'big_order', ['o']), (1, 'if', '0.2', 'urgent', ['o']),
@@ -374,8 +447,8 @@ SQL = {
     "e9_optimum": """WITH v AS (SELECT o_custkey AS case_id, concat('o', o_orderkey) AS e, floor(o_totalprice) AS v FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY v, e) AS lo, row_number() OVER (PARTITION BY case_id ORDER BY v DESC, e) AS hi FROM v)
  SELECT case_id, max(e) FILTER (lo = 1) AS min_entity, max(v) FILTER (lo = 1) AS min_value, max(e) FILTER (hi = 1) AS max_entity, max(v) FILTER (hi = 1) AS max_value FROM r GROUP BY case_id""",
     "e12_possible_outputs": "SELECT case_id, 'open' AS symbol, args, rank FROM (SELECT o_custkey AS case_id, concat('o', o_orderkey) AS args, row_number() OVER (PARTITION BY o_custkey ORDER BY concat('o', o_orderkey)) AS rank FROM orders WHERE o_orderstatus <> 'F') WHERE rank <= 3",
-    "e13_antecedent_coverage": _COV,
-    "e14_downgrade_alternatives": f"SELECT q_id, rule, path, symbol, status, status = 'missing' AS blocking FROM ({_COV})",
+    "e13_antecedent_coverage": f"SELECT q_id, rule, path, symbol, atom, status, satisfied FROM ({_COV})",
+    "e14_downgrade_alternatives": f"SELECT q_id, rule, path, symbol, status FROM ({_COV})",
     "e15_missing_observables": f"SELECT q_id, string_agg(symbol, ',' ORDER BY path) AS missing FROM ({_COV}) WHERE status = 'missing' GROUP BY q_id",
     "e18_credence": f"""SELECT q_id, label, CASE label WHEN 'entailed' THEN 1.0 WHEN 'contradicted' THEN 0.0 ELSE 0.7 END AS p_yes, CASE WHEN status <> 'ok' THEN 0 WHEN label = 'unknown' THEN 40 ELSE 100 END AS verdict_strength_pct, CASE label WHEN 'entailed' THEN 100 WHEN 'contradicted' THEN 0 ELSE 70 END AS credence_yes_pct, label = 'unknown' AS symbolic_inconclusive FROM (SELECT *, {_LAB} AS label FROM fx_answers)""",
     "e19_criteria_count": f"SELECT entity, period, n_exceeded, n_exceeded <= 1 AS class_holds FROM ({_YEARS})",
@@ -397,4 +470,36 @@ SQL = {
     "e22_unify_results": f"""WITH s AS (SELECT *, CASE WHEN label = 'inconsistent' THEN 'inconsistent' WHEN case_id % 7 = 0 THEN 'unsupported' WHEN case_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM ({_E2}))
  SELECT q_id, 'deduction' AS intent, status, CASE WHEN status = 'ok' THEN label END AS label, CASE WHEN status <> 'ok' THEN CASE WHEN case_id % 11 = 0 THEN 'timeout' ELSE status END END AS warning FROM s""",
     "e21_answer_text": f"SELECT q_id, CASE label WHEN 'entailed' THEN concat('Yes: ', symbol, ' holds.') WHEN 'inconsistent' THEN 'The case contradicts itself.' ELSE concat('Open: ', symbol, ' cannot be decided.') END AS answer FROM ({_E2})",
+    "e1_rule_sets": f"""WITH {_RULED}
+ SELECT s AS set_id, c AS case_id, 'big_order' AS symbol, o AS args, true AS polarity, 0 AS rule FROM o WHERE CASE WHEN s = 1 THEN v > 250000 ELSE u END
+ UNION ALL SELECT s, c, 'notable', concat(o, ',', k), true, 1 FROM notable
+ UNION ALL SELECT DISTINCT 1, c, 'key_customer', k, true, 2 FROM notable WHERE s = 1
+ UNION ALL SELECT 1, c, 'ordinary', k, true, 3 FROM ordinary UNION ALL SELECT 1, c, 'ordinary', k, false, 4 FROM torn
+ UNION ALL SELECT 2, c, 'prime_customer', k, true, 2 FROM prime UNION ALL SELECT 2, c, 'prime_customer', k, false, 3 FROM refused
+ UNION ALL SELECT 2, c, 'served', concat(o, ',', k), true, CASE WHEN u THEN 6 ELSE 4 END FROM o WHERE s = 2 AND c IN (SELECT c FROM prime)
+ UNION ALL SELECT 2, c, 'open', o, true, 5 FROM o WHERE s = 2 AND NOT op AND c IN (SELECT c FROM refused)""",
+    "e2_under_assumption": f"""WITH {_RULED}, x AS (SELECT set_id, case_id, coalesce(bool_or(f AND op), false) AS clash, coalesce(bool_or(u), false) AS u, coalesce(bool_or(v > 300000), false) AS p, coalesce(bool_or(f), false) AS f FROM fx_docket LEFT JOIN o ON s = set_id AND c = case_id GROUP BY set_id, case_id),
+ l AS (SELECT set_id, case_id, CASE WHEN clash OR (set_id = 1 AND case_id IN (SELECT c FROM torn)) OR (set_id = 2 AND p AND (u OR f)) THEN 'inconsistent' WHEN set_id = 1 AND case_id IN (SELECT c FROM notable WHERE s = 1) THEN 'entailed' WHEN set_id = 1 THEN 'contradicted'
+  WHEN u THEN 'entailed' WHEN p THEN 'contradicted' WHEN f THEN 'entailed' ELSE 'unknown' END AS label FROM x)
+ SELECT concat(CASE set_id WHEN 1 THEN 'k' ELSE 'p' END, case_id) AS q_id, set_id, case_id, label <> 'contradicted' AS possible, label = 'entailed' AS certain, label FROM l""",
+    "e7_conflict_support": f"""WITH {_RULED}, w AS (SELECT o.s, o.c, concat('open(', o.o, ')') AS conflict, o.o, o.k, o.op FROM o WHERE s = 2 AND f AND c IN (SELECT c FROM refused)),
+ z AS (SELECT c, k FROM prime WHERE c IN (SELECT c FROM refused))
+ SELECT DISTINCT s AS set_id, c AS case_id, conflict, source, atom FROM (
+ SELECT s, c, concat('open(', o, ')') AS conflict, 'fact' AS source, concat(n, 'open(', o, ')') AS atom FROM o, (VALUES (''), ('not ')) t(n) WHERE f AND op
+ UNION ALL SELECT 1, c, concat('ordinary(', k, ')'), source, concat(atom, '(', k, ')') FROM torn, (VALUES ('rule 3', 'ordinary'), ('rule 4', 'not ordinary'), ('closed', 'not key_customer')) t(source, atom)
+ UNION ALL SELECT 1, c, concat('ordinary(', k, ')'), 'fact', concat('placed_by(', o, ',', k, ')') FROM o WHERE s = 1 AND c IN (SELECT c FROM torn)
+ UNION ALL SELECT 1, c, concat('ordinary(', k, ')'), 'fact', concat('total_price(', o, ') = ', v) FROM o WHERE s = 1 AND v > 200000 AND c IN (SELECT c FROM torn)
+ UNION ALL SELECT 2, c, concat('prime_customer(', k, ')'), source, concat(atom, '(', k, ')') FROM z, (VALUES ('rule 2', 'prime_customer'), ('rule 3', 'not prime_customer')) t(source, atom)
+ UNION ALL SELECT 2, c, concat('prime_customer(', k, ')'), source, concat(atom, '(', o, tail, ')') FROM (SELECT c, k, o, concat(',', k) AS ck FROM o WHERE s = 2 AND u AND c IN (SELECT c FROM z)), (VALUES ('rule 1', 'notable', true), ('fact', 'placed_by', true), ('rule 0', 'big_order', false), ('fact', 'urgent', false)) t(source, atom, wide), LATERAL (SELECT CASE WHEN wide THEN ck ELSE '' END AS tail)
+ UNION ALL SELECT 2, c, concat('prime_customer(', k, ')'), 'fact', unnest([concat('total_price(', o, ') = ', v), concat('placed_by(', o, ',', k, ')')]) FROM o WHERE s = 2 AND v > 300000 AND c IN (SELECT c FROM z)
+ UNION ALL SELECT s, c, conflict, 'fact', unnest([concat('not open(', o, ')'), concat('placed_by(', o, ',', k, ')')]) FROM w
+ UNION ALL SELECT s, c, conflict, 'fact', conflict FROM w WHERE op
+ UNION ALL SELECT s, c, conflict, 'rule 5', conflict FROM w UNION ALL SELECT s, c, conflict, 'rule 3', concat('not prime_customer(', k, ')') FROM w
+ UNION ALL SELECT w.s, w.c, conflict, 'fact', unnest([concat('total_price(', o.o, ') = ', o.v), concat('placed_by(', o.o, ',', o.k, ')')]) FROM w JOIN o ON o.s = 2 AND o.c = w.c AND o.v > 300000)""",
+    "e11_answer_support": f"""WITH {_RULED}, n AS (SELECT * FROM notable WHERE s = 1)
+ SELECT DISTINCT concat('k', c) AS q_id, source, atom FROM (SELECT c, 'rule 2' AS source, concat('key_customer(', k, ')') AS atom FROM n UNION ALL SELECT c, 'rule 1', concat('notable(', o, ',', k, ')') FROM n UNION ALL SELECT c, 'fact', concat('placed_by(', o, ',', k, ')') FROM n
+ UNION ALL SELECT c, 'fact', concat('urgent(', o, ')') FROM n WHERE u UNION ALL SELECT c, 'rule 0', concat('big_order(', o, ')') FROM n WHERE v > 250000 UNION ALL SELECT c, 'fact', concat('total_price(', o, ') = ', v) FROM n WHERE v > 250000)""",
+    "e13_bound_coverage": f"SELECT q_id, set_id, rule, path, symbol, atom, status, satisfied FROM ({_SETCOV})",
+    "e14_rule_sets": f"""SELECT q_id, set_id, rule, path, atom, CASE WHEN status = 'missing' AND (c_custkey % 2 = 0 OR c_custkey % 7 = 0) THEN 'missing_non_blocking' ELSE status END AS status FROM ({_SETCOV})""",
+    "e15_described": f"SELECT q_id, 'urgent' AS missing, 'urgent: has to be quick' AS described FROM ({_SETCOV}) WHERE status = 'missing'",
 }

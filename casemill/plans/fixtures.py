@@ -85,6 +85,31 @@ SELECT * FROM (VALUES
  (1, 1, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"and":[{"pred":"placed_by","args":["o","c"]},{"pred":"big_order","args":["o"]},{"pred":"urgent","args":["o"]}]}],"then":[{"pred":"is_priority_customer","args":["c"]}]}'),
  (1, 2, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"and":[{"pred":"placed_by","args":["o","c"]},{"pred":"is_priority_customer","args":["c"]},{"pred":"open","args":["o"],"negated":true}]}],"then":[{"pred":"right_to_discount","args":["c"]}]}')
 ) AS t(set_id, rule, rule_json)""",
+    "fx_rulebook": """
+SELECT * FROM (VALUES
+ (1, 0, '{"forall":[{"var":"o","type":"Order"}],"if":[{"compare":{"left":{"func":"total_price","args":["o"]},"op":">","right":250000}}],"then":[{"pred":"big_order","args":["o"]}]}'),
+ (1, 1, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"placed_by","args":["o","c"]},{"or":[{"pred":"big_order","args":["o"]},{"pred":"urgent","args":["o"]}]}],"then":[{"pred":"notable","args":["o","c"]}]}'),
+ (1, 2, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"notable","args":["o","c"]},{"pred":"placed_by","args":["o","c"]}],"then":[{"pred":"key_customer","args":["c"]}]}'),
+ (1, 3, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"placed_by","args":["o","c"]},{"not":{"pred":"key_customer","args":["c"]}}],"then":[{"pred":"ordinary","args":["c"]}]}'),
+ (1, 4, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"ordinary","args":["c"]},{"pred":"placed_by","args":["o","c"]},{"compare":{"left":200000,"op":"<","right":{"func":"total_price","args":["o"]}}}],"then":[{"not":{"pred":"ordinary","args":["c"]}}]}'),
+ (2, 0, '{"forall":[{"var":"o","type":"Order"}],"if":[{"pred":"urgent","args":["o"]}],"then":[{"pred":"big_order","args":["o"]}]}'),
+ (2, 1, '{"forall":[{"var":"x","type":"Order"},{"var":"y","type":"Customer"}],"if":[{"pred":"placed_by","args":["x","y"]},{"pred":"big_order","args":["x"]}],"then":[{"pred":"notable","args":["x","y"]}]}'),
+ (2, 2, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"notable","args":["o","c"]}],"then":[{"pred":"prime_customer","args":["c"]}]}'),
+ (2, 3, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"compare":{"left":{"func":"total_price","args":["o"]},"op":">","right":300000}},{"pred":"placed_by","args":["o","c"]}],"then":[{"pred":"prime_customer","args":["c"],"negated":true}]}'),
+ (2, 4, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"prime_customer","args":["c"]},{"pred":"placed_by","args":["o","c"]}],"then":[{"pred":"served","args":["o","c"]}]}'),
+ (2, 5, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"prime_customer","args":["c"],"negated":true},{"pred":"placed_by","args":["o","c"]}],"then":[{"pred":"open","args":["o"]}]}'),
+ (2, 6, '{"forall":[{"var":"o","type":"Order"},{"var":"c","type":"Customer"}],"if":[{"pred":"urgent","args":["o"]},{"pred":"placed_by","args":["o","c"]}],"then":[{"pred":"served","args":["o","c"]}]}')
+) AS t(set_id, rule, rule_json)""",
+    "fx_docket": """
+SELECT c_custkey AS case_id, 1 AS set_id FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 5 = 0
+UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0""",
+    "fx_terms": """
+SELECT * FROM (VALUES (1, 'placed_by', 'Order,Customer', 'Bool', 'observable', 'who placed the order'), (1, 'urgent', 'Order', 'Bool', 'observable', ''),
+ (1, 'total_price', 'Order', 'Int', 'observable', 'price'), (1, 'big_order', 'Order', 'Bool', 'helper', ''), (1, 'notable', 'Order,Customer', 'Bool', 'derived', ''),
+ (1, 'key_customer', 'Customer', 'Bool', 'derived', ''), (1, 'ordinary', 'Customer', 'Bool', 'conclusion', ''),
+ (2, 'placed_by', 'Order,Customer', 'Bool', 'observable', 'whose order it is'), (2, 'urgent', 'Order', 'Bool', 'observable', 'has to be quick'), (2, 'big_order', 'Order', 'Bool', 'helper', ''),
+ (2, 'notable', 'Order,Customer', 'Bool', 'helper', ''), (2, 'prime_customer', 'Customer', 'Bool', 'derived', ''), (2, 'served', 'Order,Customer', 'Bool', 'conclusion', '')
+) AS t(set_id, name, args_csv, returns, kind, description)""",
     "fx_named": """
 SELECT p_partkey % 50 AS set_id, p_partkey,
  concat(CASE CAST(p_partkey % 13 AS INT) WHEN 0 THEN 'exceeds_limit' WHEN 1 THEN 'has_valid_passport' WHEN 2 THEN 'legal_effect_of' WHEN 3 THEN 'is_member'

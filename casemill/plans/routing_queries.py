@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions.text import CLASS_CATEGORIES, EFFECT_CATEGORIES, EFFECT_PATTERNS, EFFECT_TOKENS, STEP_MARKERS
+from casemill.operators import coverage as K
 from casemill.operators import routing as R
 from casemill.operators import rules as D
 from casemill.plans.facts_queries import _COV, _coverage, _facts, _queries, _schema
@@ -81,7 +82,9 @@ def d17_output_coverage(spark, d):
 
 
 def _gap_rows(spark, d):
-    return R.proof_gap_rows(_coverage(spark, d), _queries(spark, d).withColumn("set_id", F.lit(1)), _schema(spark, d), _facts(spark, d))
+    rules = table(spark, d, "fx_rules")
+    one = lambda df: df.withColumn("set_id", F.lit(1))
+    return K.proof_gap_rows(_coverage(spark, d), one(_queries(spark, d)), _schema(spark, d), one(_facts(spark, d)), D.rule_atoms(rules), D.rule_compares(rules)).drop("set_id")
 
 
 def e16_proof_gap_rows(spark, d):
@@ -124,8 +127,8 @@ _ASSERT = f"""SELECT *, CASE WHEN asked THEN 'query_predicate' WHEN directly_obs
  WHEN output = 'effect' THEN 'legal_output' WHEN output = 'classification' THEN 'classification_output' WHEN kind IN ('helper', 'derived', 'conclusion') THEN CASE WHEN NOT stated THEN 'derived_or_helper' END
  WHEN symbol_class IN ('conclusion', 'threshold') THEN CASE WHEN NOT stated THEN 'computed_composite' END ELSE 'unsupported_kind' END AS code FROM ({_CLASSED})"""
 _USES = "SELECT set_id, l_orderkey AS rule, name AS symbol, CASE WHEN p_partkey % 6 = 0 THEN 'then' ELSE 'if' END AS side, l_linenumber % 2 = 0 AS negated, concat('v', l_suppkey % 3) AS arg FROM lineitem JOIN fx_named ON l_partkey = p_partkey"
-_GAPS = f"""SELECT q_id, symbol, arg_min(CASE status WHEN 'present' THEN 'directly_present' WHEN 'helper_defined' THEN 'derivable_from_rules' ELSE 'missing_entirely' END, (rule, path)) AS gap_status, string_agg(DISTINCT CAST(rule AS VARCHAR), ',' ORDER BY CAST(rule AS VARCHAR)) AS rules FROM ({_COV}) GROUP BY q_id, symbol
- UNION ALL SELECT concat(k, c_custkey), 'total_price', CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'directly_present' ELSE 'blocked_by_missing_numeric' END, '' FROM customer, (VALUES ('p'), ('d')) AS t(k)"""
+_GAPS = f"""SELECT q_id, symbol, atom, CASE WHEN status = 'present' THEN 'directly_present' WHEN status = 'helper_defined' OR symbol IN ('big_order', 'is_priority_customer') THEN 'derivable_from_rules' ELSE 'missing_entirely' END AS gap_status, CASE symbol WHEN 'big_order' THEN '0' WHEN 'is_priority_customer' THEN '1' ELSE '' END AS rules FROM ({_COV})
+ UNION ALL SELECT concat(k, c_custkey), 'total_price', 'total_price(...)', CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'directly_present' ELSE 'blocked_by_missing_numeric' END, '0' FROM customer, (VALUES ('p'), ('d')) AS t(k)"""
 
 SQL = {
     "b14_route_question": _ROUTE,
