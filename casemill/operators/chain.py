@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions.lineage import settle
@@ -168,54 +168,58 @@ def compile_rules(rules: DataFrame, closed: Iterable[str] = ()) -> tuple[DataFra
     return x.select("set_id", "rule", F.inline("c.clauses")), x.filter("c.error is not null").select("set_id", "rule", F.col("c.error").alias("reason"))
 
 
-def strata(clauses: DataFrame) -> DataFrame:
-    """clauses -> set_id, symbol, stratum of every concluded symbol; raises where a closed negation is part of a cycle."""
+def _check_cycles(edges: DataFrame) -> None:
+    """Raises where a negative edge joins two symbols of one strong component."""
+    node = lambda c: F.struct("set_id", F.col(c).alias("symbol"))
+    of = strong_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
+    a, b = (of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("src", "dst"))
+    bad = edges.filter("neg = 1").select("set_id", node("src").alias("src"), node("dst").alias("dst")).join(a, "src").join(b, "dst").filter("c_src = c_dst").select("set_id", "src.symbol").first()
+    if bad:
+        raise ValueError(f"closed negation of {bad['symbol']} depends on itself in set {bad['set_id']}")
+
+
+def strata(clauses: DataFrame) -> DataFrame | None:
+    """clauses -> set_id, symbol, stratum of every concluded symbol, None where all are of stratum 0; raises where a closed negation
+    is part of a cycle. Only negations of symbols that some rule concludes count."""
+    heads = clauses.select("set_id", F.col("head").alias("symbol")).distinct()
     body = clauses.filter("variant = 0").select("set_id", F.col("head").alias("dst"), F.explode("steps").alias("s"))
-    edges = settle(body.select("set_id", "dst", F.col("s.symbol").alias("src"), F.col("s.closed").cast("int").alias("neg")).groupBy("set_id", "src", "dst").agg(F.max("neg").alias("neg")))
-    negative = edges.filter("neg = 1")
-    if not negative.isEmpty():
-        node = lambda c: F.struct("set_id", F.col(c).alias("symbol"))
-        of = strong_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
-        a, b = (of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("src", "dst"))
-        bad = negative.select("set_id", node("src").alias("src"), node("dst").alias("dst")).join(a, "src").join(b, "dst").filter("c_src = c_dst").select("set_id", "src.symbol").first()
-        if bad:
-            raise ValueError(f"closed negation of {bad['symbol']} depends on itself in set {bad['set_id']}")
-    level = settle(edges.select("set_id", F.col("dst").alias("symbol")).distinct().withColumn("stratum", F.lit(0)))
-    while not negative.isEmpty():
-        up = edges.join(level.select("set_id", F.col("symbol").alias("src"), "stratum"), ["set_id", "src"], "left").groupBy("set_id", F.col("dst").alias("symbol")).agg(F.max(F.coalesce("stratum", F.lit(0)) + F.when(F.col("stratum").isNull(), 0).otherwise(F.col("neg"))).alias("up"))
+    edges = body.select("set_id", "dst", F.col("s.symbol").alias("src"), F.col("s.closed").cast("int").alias("neg")).groupBy("set_id", "src", "dst").agg(F.max("neg").alias("neg"))
+    edges = settle(edges.join(heads.withColumnRenamed("symbol", "src"), ["set_id", "src"], "left_semi"))
+    if edges.filter("neg = 1").isEmpty():
+        return None
+    level = settle(heads.withColumn("stratum", F.lit(0)))
+    for k in count(1):
+        if k == 8:  # deep, or endless
+            _check_cycles(edges)
+        up = edges.join(level.withColumnRenamed("symbol", "src"), ["set_id", "src"]).groupBy("set_id", F.col("dst").alias("symbol")).agg(F.max(F.col("stratum") + F.col("neg")).alias("up"))
         new = settle(level.join(up, ["set_id", "symbol"], "left").select("set_id", "symbol", F.greatest("stratum", F.coalesce("up", F.lit(0))).alias("stratum")))
         if new.agg(F.sum("stratum")).first() == level.agg(F.sum("stratum")).first():
-            break
+            return new
         level = new
-    return level
-
-
-def _resolved(args: Column) -> Column:
-    return F.transform(args, lambda a: F.coalesce(F.try_element_at("b", a), a))
 
 
 def _keyed(known: DataFrame, patterns: DataFrame) -> DataFrame:
     """Facts once for each way in which clauses look their symbol up: on, the looked-up arguments as one text."""
     x = known.withColumn("n", F.size("args")).join(patterns, ["set_id", "symbol", "n"])
-    return x.select("set_id", "case_id", "world", "symbol", "n", "bound", F.array_join(F.transform("bound", lambda i: F.get("args", i)), SEP).alias("on"), F.col("args").alias("f_args"), F.col("polarity").alias("f_polarity"), "value")
+    return x.selectExpr("set_id", "case_id", "world", "symbol", "n", "bound", f"array_join(transform(bound, i -> get(args, i)), '{SEP}') as on", "args as f_args", "polarity as f_polarity", "value")
 
 
-def _holds(step: Column) -> Column:
-    """What else is asked of a matched fact: its sign, or its value compared."""
-    v, x = F.col("value").try_cast("double"), step["literal"].try_cast("double")
-    numbers = F.when(step["op"] == ">", v > x).when(step["op"] == ">=", v >= x).when(step["op"] == "<", v < x).when(step["op"] == "<=", v <= x).when(step["op"] == "=", v == x).otherwise(v != x)
-    texts = F.when(step["op"] == "=", F.col("value") == step["literal"]).when(step["op"] == "!=", F.col("value") != step["literal"])
-    test = F.when(x.isNull(), texts).otherwise(numbers)
-    repeated = F.forall(step["same"], lambda s: F.get("f_args", s["pos"]) == F.get("f_args", s["first"]))
-    return repeated & F.coalesce(F.when(step["op"].isNull(), F.col("value").isNull() & (F.col("f_polarity") == step["polarity"])).otherwise(test == step["polarity"]), F.lit(False))
+#: What else is asked of a matched fact: equal arguments where the literal repeats a variable, and its sign, or its value compared.
+HOLDS = """forall(step.same, s -> get(f_args, s.pos) = get(f_args, s.first)) and coalesce(
+ case when step.op is null then value is null and f_polarity = step.polarity
+ else case when try_cast(step.literal as double) is null then case step.op when '=' then value = step.literal when '!=' then value <> step.literal end
+  else case step.op when '>' then try_cast(value as double) > try_cast(step.literal as double) when '>=' then try_cast(value as double) >= try_cast(step.literal as double)
+   when '<' then try_cast(value as double) < try_cast(step.literal as double) when '<=' then try_cast(value as double) <= try_cast(step.literal as double)
+   when '=' then try_cast(value as double) = try_cast(step.literal as double) else try_cast(value as double) <> try_cast(step.literal as double) end end = step.polarity end, false)"""
+BOUND = "map_concat(b, map_from_arrays(transform(step.new, p -> p.var), transform(step.new, p -> get(f_args, p.pos)))) as b"
+PREMISES = "concat(premises, array(struct(step.symbol as symbol, f_args as args, f_polarity as polarity, value))) as premises"
+RESOLVED = "transform({}, a -> coalesce(try_element_at(b, a), a))"
+LOOKED_UP = f"array_join(transform(step.bound, i -> get({RESOLVED.format('step.args')}, i)), '{SEP}')"
 
 
 def _matched(x: DataFrame) -> DataFrame:
     """Bindings and premises with the matched fact of the current step; the step is done."""
-    step = F.col("step")
-    new = F.map_from_arrays(F.transform(step["new"], lambda p: p["var"]), F.transform(step["new"], lambda p: F.get("f_args", p["pos"])))
-    fact = F.struct(step["symbol"].alias("symbol"), F.col("f_args").alias("args"), F.col("f_polarity").alias("polarity"), F.col("value"))
-    return x.filter(_holds(step)).select(*STATE, "world", "steps", F.map_concat("b", new).alias("b"), F.concat("premises", F.array(fact)).alias("premises"))
+    return x.filter(HOLDS).selectExpr(*STATE, "world", "steps", BOUND, PREMISES)
 
 
 STATE = ["set_id", "case_id", "rule", "clause", "head", "head_args", "head_polarity"]
@@ -227,31 +231,28 @@ def fire(clauses: DataFrame, delta: DataFrame, stores: list[DataFrame], held: Da
     Facts of world "" belong to all worlds; ``held`` are the closed atoms that a negation meets, for all worlds. Each of ``shapes``, the
     numbers of open and closed literals that clauses have, is one chain of joins.
     """
-    facts = delta.select("set_id", "case_id", "world", "symbol", F.size("args").alias("n"), F.col("args").alias("f_args"), F.col("polarity").alias("f_polarity"), "value")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    constant = F.forall("step.bound", lambda i: F.get("f_args", i) == F.get("step.args", i))
+    facts = delta.selectExpr("set_id", "case_id", "world", "symbol", "size(args) as n", "args as f_args", "polarity as f_polarity", "value")
+    nothing = ("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>)) as b", f"cast(array() as array<{PREMISE}>) as premises")
     out = []
     for n_open, n_closed in sorted(shapes):
-        own = clauses.filter((F.col("n_open") == n_open) & (F.col("n_closed") == n_closed)).withColumn("step", F.get("steps", F.lit(0)))
-        own = own.select("set_id", *STATE[2:], "steps", "step", F.col("step.symbol").alias("symbol"), F.size("step.args").alias("n"))
-        x = facts.join(own, ["set_id", "symbol", "n"]).withColumns({"b": empty, "premises": F.array().cast(f"array<{PREMISE}>")})
-        live = _matched(x.filter(constant))
+        own = clauses.filter(f"n_open = {n_open} and n_closed = {n_closed}").withColumn("step", F.expr("get(steps, 0)"))
+        own = own.selectExpr("set_id", *STATE[2:], "steps", "step", "step.symbol as symbol", "size(step.args) as n")
+        x = facts.join(own, ["set_id", "symbol", "n"]).filter("forall(step.bound, i -> get(f_args, i) = get(step.args, i))")
+        live = _matched(x.selectExpr("*", *nothing))
         for k in range(1, n_open + n_closed):
-            live = live.withColumn("step", F.get("steps", F.lit(k)))
-            args = _resolved(F.col("step.args"))
+            live = live.withColumn("step", F.expr(f"get(steps, {k})"))
             if k < n_open:
-                keyed = live.withColumns({"symbol": F.col("step.symbol"), "n": F.size("step.args"), "bound": F.col("step.bound"), "on": F.array_join(F.transform("step.bound", lambda i: F.get(args, i)), SEP)})
+                keyed = live.selectExpr("*", "step.symbol as symbol", "size(step.args) as n", "step.bound as bound", f"{LOOKED_UP} as on")
                 fits = [_matched(keyed.join(s.withColumnRenamed("world", "f_world"), ["set_id", "case_id", "symbol", "n", "bound", "on"]).filter("f_world = '' or f_world = world")) for s in stores]
                 live = reduce(DataFrame.unionByName, fits)
             else:
-                free = live.withColumns({"symbol": F.col("step.symbol"), "args": args}).join(held, ["set_id", "case_id", "symbol", "args"], "left_anti")
-                fact = F.struct("symbol", "args", F.lit(False).alias("polarity"), F.lit(None).cast("string").alias("value"))
-                live = free.withColumn("premises", F.concat("premises", F.array(fact))).select(*STATE, "world", "steps", "b", "premises")
+                free = live.selectExpr("*", "step.symbol as symbol", f"{RESOLVED.format('step.args')} as args").join(held, ["set_id", "case_id", "symbol", "args"], "left_anti")
+                live = free.selectExpr(*STATE, "world", "steps", "b", "concat(premises, array(struct(symbol, args, false as polarity, cast(null as string) as value))) as premises")
             if k % 5 == 0:  # else plans would grow with the rules
                 live = settle(live)
         out.append(live)
     done = reduce(DataFrame.unionByName, out)
-    return done.select("set_id", "case_id", "world", F.col("head").alias("symbol"), _resolved(F.col("head_args")).alias("args"), F.col("head_polarity").alias("polarity"), "rule", "clause", F.array_sort("premises").alias("premises")).distinct()
+    return done.selectExpr("set_id", "case_id", "world", "head as symbol", f"{RESOLVED.format('head_args')} as args", "head_polarity as polarity", "rule", "clause", "array_sort(premises) as premises").distinct()
 
 
 @dataclass
@@ -276,8 +277,9 @@ class Program:
         shapes = clauses.select(F.lit(0).alias("stratum"), "n_open", "n_closed").distinct().collect()
         self.negates = any(r["n_closed"] for r in shapes)
         self.clauses = clauses.withColumn("stratum", F.lit(0))
-        if self.negates:
-            self.clauses = settle(clauses.join(strata(clauses).withColumnRenamed("symbol", "head"), ["set_id", "head"]))
+        level = strata(clauses) if self.negates else None
+        if level is not None:
+            self.clauses = settle(clauses.join(level.withColumnRenamed("symbol", "head"), ["set_id", "head"]))
             shapes = self.clauses.select("stratum", "n_open", "n_closed").distinct().collect()
         self.shapes = {s: {(r["n_open"], r["n_closed"]) for r in shapes if r["stratum"] == s} for s in sorted({r["stratum"] for r in shapes})}
         step = self.clauses.select("set_id", F.explode("steps").alias("s")).filter("not s.closed")

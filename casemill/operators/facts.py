@@ -118,19 +118,26 @@ def validate_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame)
     return unknown.unionByName(missing)
 
 
-def ground_atoms(schema: DataFrame, domains: DataFrame, symbol: str, cap: int = 200) -> DataFrame:
-    """Argument tuples of a unary or binary symbol over a case's domains, ``cap`` at most, with a flag.
+def ground_atoms(schema: DataFrame, domains: DataFrame, cap: int = 200) -> DataFrame:
+    """Argument tuples of symbols of any arity over the domains of each case, the first ``cap`` in the order of entities, with a flag.
 
-    The product stays inside a case and is cut while it is ranked.
+    schema(name, args), domains(case_id, type, entity). A case's entities of a type are numbered, and tuple n is read off its number, digit by
+    digit with the domains' sizes as bases: only the tuples that stay are ever made. A case without entities of some
+    argument's type has no tuples. Returns case_id, symbol, args, cut.
     """
-    s = schema.filter(F.col("name") == symbol).select(F.get("args", F.lit(0)).alias("t0"), F.get("args", F.lit(1)).alias("t1"))
-    a = domains.join(s.select(F.col("t0").alias("type")), "type").select("case_id", F.col("entity").alias("x"))
-    binary = s.filter("t1 is not null")
-    b = domains.join(binary.select(F.col("t1").alias("type")), "type").select("case_id", F.col("entity").alias("y"))
-    both = a.join(b, "case_id", "left").select("case_id", "x", "y")
-    w = Window.partitionBy("case_id")
-    ranked = both.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("x", "y")))
-    return ranked.filter(F.col("r") <= cap).select("case_id", F.lit(symbol).alias("symbol"), "x", "y", (F.col("n") > cap).alias("cut"))
+    w = Window.partitionBy("case_id", "type").orderBy("entity")
+    own = domains.select("case_id", "type", "entity").distinct()
+    first = own.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cap).groupBy("case_id", "type").agg(F.array_sort(F.collect_list("entity")).alias("pool"))
+    pools = first.join(own.groupBy("case_id", "type").agg(F.count("*").alias("size")), ["case_id", "type"])
+    asked = schema.filter(F.size("args") > 0).select(F.col("name").alias("symbol"), F.size("args").alias("arity"), F.posexplode("args").alias("pos", "type")).distinct()
+    x = asked.join(pools, "type").groupBy("case_id", "symbol", "arity").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "pool"))).alias("digits")).filter(F.size("digits") == F.col("arity"))
+    # as large as it needs to be told from cap
+    total = F.aggregate("digits", F.lit(1).cast("long"), lambda n, d: F.least(n * F.least(d["size"], F.lit(cap + 1)), F.lit(cap + 1).cast("long")))
+    x = x.withColumn("total", total).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("total", F.lit(cap)) - 1)))
+    start = F.struct(F.col("n").alias("rest"), F.array().cast("array<string>").alias("args"))
+    step = lambda s, d: F.struct(F.call_function("div", s["rest"], d["size"]).alias("rest"), F.concat(F.array(F.get(d["pool"], (s["rest"] % d["size"]).cast("int"))), s["args"]).alias("args"))
+    args = F.aggregate(F.reverse("digits"), start, step, lambda s: s["args"])
+    return x.select("case_id", "symbol", args.alias("args"), (F.col("total") > cap).alias("cut"))
 
 
 def fill_singletons(queries: DataFrame, domains: DataFrame) -> DataFrame:

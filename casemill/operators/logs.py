@@ -87,19 +87,29 @@ def run_strategy_usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("run_id", "strategy").agg(F.count("*").alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 
 
-def budget_guard(calls: DataFrame, cell_limit: int, eval_limit: int) -> DataFrame:
-    """Per cell the calls allowed and refused, and the first call refused.
+def places(calls: DataFrame, key: list[str], order: str, out: str, width: int = 10_000) -> DataFrame:
+    """calls with the place (from 1) of each among those of its key by a unique whole number ``order``.
 
-    A cell is a run and strategy. The evaluation's limit needs a call's place among all calls: as call
-    indexes are unique, that place is found by counting per index range first (ranges of fixed width), not in
-    one ordered task.
+    Blocks of ``width`` numbers are counted, and blocks of blocks; a place is what stands before the block of blocks, before the block in it,
+    and in the block. No window is wider than a block, but for one over blocks of blocks, a row for each width * width numbers.
     """
-    width = 10_000
-    own = calls.select("run_id", "strategy", "call_index").withColumn("range", F.floor(F.col("call_index") / width))
-    before = own.groupBy("range").count().withColumn("before", F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = own.join(before.select("range", F.coalesce("before", F.lit(0)).alias("before")), "range")
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("call_index")) + F.col("before"))
-    placed = placed.withColumn("own_place", F.row_number().over(Window.partitionBy("run_id", "strategy").orderBy("call_index")))
+    block, large = F.floor(F.col(order) / width), F.floor(F.col(order) / (width * width))
+    x = calls.withColumns({"_block": block, "_large": large})
+    blocks = x.groupBy(*key, "_large", "_block").agg(F.count("*").alias("_n"))
+    whole = blocks.groupBy(*key, "_large").agg(F.sum("_n").alias("_n"))
+    before = lambda keys, by: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = whole.select(*key, "_large", before(key, "_large").alias("_before"))
+    inside = blocks.select(*key, "_large", "_block", before([*key, "_large"], "_block").alias("_inside"))
+    at = inside.join(whole, [*key, "_large"]).select(*key, "_block", (F.col("_before") + F.col("_inside")).alias("_at"))
+    own = F.row_number().over(Window.partitionBy(*key, "_block").orderBy(order))
+    return x.drop("_large").join(at, [*key, "_block"]).withColumn(out, own + F.col("_at")).drop("_block", "_at")
+
+
+def budget_guard(calls: DataFrame, cell_limit: int, eval_limit: int, width: int = 10_000) -> DataFrame:
+    """Per cell the calls allowed and refused, and the first call refused: those after ``cell_limit`` calls of the cell, or
+    after ``eval_limit`` calls of all. A cell is a run and strategy; calls come in the order of their unique call_index."""
+    own = calls.select("run_id", "strategy", "call_index")
+    placed = places(places(own, [], "call_index", "place", width), ["run_id", "strategy"], "call_index", "own_place", width)
     refused = (F.col("own_place") > cell_limit) | (F.col("place") > eval_limit)
     return placed.groupBy("run_id", "strategy").agg(F.count_if(~refused).alias("allowed"), F.count_if(refused).alias("refused"), F.min(F.when(refused, F.col("call_index"))).alias("first_refused"))
 

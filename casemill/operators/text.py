@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.functions.grams import contained
 from casemill.functions.text import NO_ENTITY, evidence_form, normalize_article, numbers, symbol_tokens
 
 #: Ordinals before "lid", in two languages.
@@ -112,10 +113,12 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, text: str =
     part of a longer one, too. Chunks without any word are left out; ``scope_text`` then takes the whole text.
     """
     said = F.concat_ws(" ", text, "case_text") if "case_text" in queries.columns else F.col(text)
-    q = queries.select("q_id", "law_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(said, F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0)).alias("words"))
-    c = chunks.select("law_id", "chunk_id", "start", F.length("text").alias("n"), F.lower("text").alias("body"))
-    score = F.size(F.filter("words", lambda w: F.col("body").contains(w))).cast("long")
-    hits = q.join(c, "law_id").select("q_id", "chunk_id", "start", "n", score.alias("score")).filter("score > 0")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0))
+    q = queries.select("q_id", "law_id", F.explode(words(said)).alias("w"))
+    own = chunks.select("law_id", "chunk_id", F.explode(words(F.col("text"))).alias("word"))
+    found = q.join(contained(q, own, ["law_id"]), ["law_id", "w"]).join(own, ["law_id", "word"])
+    score = found.groupBy("q_id", "law_id", "chunk_id").agg(F.count_distinct("w").alias("score"))
+    hits = score.join(chunks.select("law_id", "chunk_id", "start", F.length("text").alias("n")), ["law_id", "chunk_id"])
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("n"), "start"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "rank", "chunk_id", "score")
 
@@ -151,17 +154,28 @@ def seed_entities(df: DataFrame, col: str = "text", key: str = "doc_id") -> Data
     return out.filter(~F.col("entity").isin(*NO_ENTITY)).groupBy(key, "entity").agg(F.min("pos").alias("first_pos"))
 
 
-def evidence_snippets(cases: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
-    """Sentences of a case that hold a word of a symbol's name (four letters and more), the first k.
+def evidence_snippets(cases: DataFrame, symbols: DataFrame, k: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """Sentences of a case that hold a keyword of a symbol, also inside a longer word: the first k.
 
-    cases(doc_id, text), symbols(symbol); words meet by equality after both sides are cut into words.
+    cases(doc_id, text), symbols(symbol, description if there is one). Keywords are the name's tokens of four letters and more and the
+    description's words of five and more, where letters, digits and _ make a word. ``pairs``(doc_id, symbol) are the ones asked for: without
+    any such sentence they get the case's sentences with a year instead. Returns doc_id, symbol, rank, pos, by (keyword or year).
     """
-    s = symbols.select("symbol", F.explode(F.array_distinct(F.filter(symbol_tokens(F.col("symbol")), lambda x: F.length(x) >= 4))).alias("w"))
-    sent = cases.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
-    words = sent.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[^a-z0-9_]+"))).alias("w"))
-    hit = words.join(s, "w").select("doc_id", "symbol", "pos", "sentence").distinct()
+    cut = lambda c, n: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_]+"), lambda w: F.length(w) >= n)
+    told = cut(F.col("description"), 5) if "description" in symbols.columns else F.array().cast("array<string>")
+    s = symbols.select("symbol", F.explode(F.array_distinct(F.concat(F.filter(symbol_tokens(F.col("symbol")), lambda x: F.length(x) >= 4), told))).alias("w")).distinct()
+    sent = cases.select("doc_id", F.posexplode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("pos", "sentence"))
+    words = sent.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[a-z0-9_]{4,}"), 0))).alias("word"))
+    hit = words.join(contained(s, words), "word").join(s, "w")
+    if pairs is not None:
+        hit = hit.join(pairs.select("doc_id", "symbol").distinct(), ["doc_id", "symbol"], "left_semi")
+    hit = hit.select("doc_id", "symbol", "pos", F.lit("keyword").alias("by")).distinct()
+    if pairs is not None:
+        rest = pairs.select("doc_id", "symbol").distinct().join(hit.select("doc_id", "symbol"), ["doc_id", "symbol"], "left_anti")
+        dated = sent.filter(F.col("sentence").rlike(r"\b(?:19|20)\d{2}\b")).select("doc_id", "pos")
+        hit = hit.unionByName(rest.join(dated, "doc_id").select("doc_id", "symbol", "pos", F.lit("year").alias("by")))
     rank = F.row_number().over(Window.partitionBy("doc_id", "symbol").orderBy("pos"))
-    return hit.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "symbol", "rank", "pos")
+    return hit.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "symbol", "rank", "pos", "by")
 
 
 def lexical_match(hints: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -86,7 +86,10 @@ def c11_validate_queries(spark, d):
 
 
 def c16_ground_atoms(spark, d):
-    return C.ground_atoms(_schema(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d)), "placed_by", 5)
+    """Symbols of one, two and three arguments."""
+    pair = _schema(spark, d).filter("name in ('placed_by', 'urgent')").select("name", "args")
+    triple = pair.filter("name = 'placed_by'").select(F.lit("moved").alias("name"), F.concat("args", F.array(F.lit("Order"))).alias("args"))
+    return _joined(C.ground_atoms(pair.unionByName(triple), C.typed_domains(_facts(spark, d), _schema(spark, d))))
 
 
 def c17_fill_singletons(spark, d):
@@ -414,7 +417,9 @@ SQL = {
     "c10_validate_signatures": """SELECT o_custkey AS case_id, CASE o_orderkey % 4 WHEN 0 THEN 'urgnt' WHEN 1 THEN 'total_price' ELSE 'urgent' END AS symbol, CASE o_orderkey % 4 WHEN 0 THEN 'unknown_symbol' WHEN 1 THEN 'truth_for_function' WHEN 2 THEN 'wrong_arity' ELSE 'value_for_predicate' END AS code,
  CASE WHEN o_orderkey % 4 = 2 THEN 'a,b' ELSE concat('o', o_orderkey) END AS args FROM orders""",
     "c11_validate_queries": "SELECT concat(k, c_custkey) AS q_id, CASE WHEN c_custkey % 13 = 0 THEN 'unknown_symbol' ELSE 'not_in_domain' END AS code, CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE 0 END AS pos FROM customer, (VALUES ('p'), ('d')) t(k) WHERE c_custkey % 13 = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "c16_ground_atoms": """SELECT o_custkey AS case_id, 'placed_by' AS symbol, x, concat('c', o_custkey) AS y, n > 5 AS cut FROM (SELECT o_custkey, concat('o', o_orderkey) AS x, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY concat('o', o_orderkey)) AS r FROM orders) WHERE r <= 5""",
+    "c16_ground_atoms": """WITH o AS (SELECT o_custkey AS c, concat('o', o_orderkey) AS x FROM orders), t AS (SELECT c, 'urgent' AS symbol, x AS args, x AS a, '' AS b FROM o UNION ALL SELECT c, 'placed_by', concat(x, ',c', c), x, '' FROM o
+ UNION ALL SELECT o.c, 'moved', concat(o.x, ',c', o.c, ',', p.x), o.x, p.x FROM o JOIN o p ON o.c = p.c), r AS (SELECT *, count(*) OVER (PARTITION BY c, symbol) AS n, row_number() OVER (PARTITION BY c, symbol ORDER BY a, b) AS r FROM t)
+ SELECT c AS case_id, symbol, args, n > 200 AS cut FROM r WHERE r <= 200""",
     "c17_fill_singletons": """SELECT c_custkey AS q_id, c_custkey AS case_id, e AS arg, true AS was_empty FROM customer LEFT JOIN (SELECT o_custkey, min(concat('o', o_orderkey)) AS e FROM orders GROUP BY o_custkey HAVING count(*) = 1) o ON c_custkey = o_custkey""",
     "c20_self_relations": "SELECT o_custkey AS case_id, 'knows' AS symbol, CAST(o_custkey % 7 AS VARCHAR) AS entity FROM orders WHERE o_orderkey % 7 = o_custkey % 7",
     "c21_signature_conflicts": "SELECT p_partkey % 50 AS set_id, string_split(p_name, ' ')[1] AS name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1",

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from casemill.functions.lineage import shared_dir
 from casemill.plans.fixtures import table
 from casemill.sources import readers as R
 from casemill.streaming import budget
@@ -43,17 +44,35 @@ def a10_message_text(spark, d):
 
 
 def g7_budget_guard_stream(spark, d):
-    """The stream run to its end over the given file, into a table in memory; the batch counterpart is SQL."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    """The guard over the given call log as a stream, run to its end into files of the shared folder."""
+    given = table(spark, d, "events")
+    stream = spark.readStream.schema(given.schema).parquet(f"{d}/events.parquet*")
+    cell = (F.concat(F.lit("run_"), F.col("user_id") % 37).alias("run_id"), F.concat(F.lit("strategy_"), F.col("user_id") % 4).alias("strategy"))
+    calls = stream.select(*cell, F.col("event_id").alias("call_index"), "ts")
+    at, key = f"{shared_dir(spark)}/guard-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        refused = budget.guard(calls, 20, idle_ms=400 * 86_400_000)
+        refused.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(refused.schema).parquet(f"{at}/out").select("run_id", "strategy", "first_refused")
+
+
+def g7_running_usage(spark, d):
+    """Running counts over the given call log, as files: each cell's last count."""
+    given = table(spark, d, "events")
+    stream = spark.readStream.schema(given.schema).parquet(f"{d}/events.parquet*")
     calls = stream.select(F.concat(F.lit("run_"), F.col("user_id") % 37).alias("run_id"), F.concat(F.lit("strategy_"), F.col("user_id") % 4).alias("strategy"))
-    name = f"usage_{uuid.uuid4().hex}"
-    q = budget.running_usage(calls, 80).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/{n}")
+    budget.running_usage(calls, 80).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return rows.groupBy("run_id", "strategy").agg(F.max_by("n_calls", "batch").alias("n_calls"), F.max_by("over_limit", "batch").alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (a2_resolve_law_text, a4_flatten_json, a5_parse_model_json, a6_call_stages, a9_to_prompt_corpus, a10_message_text, g7_budget_guard_stream)}
+QUERIES = {f.__name__: f for f in (a2_resolve_law_text, a4_flatten_json, a5_parse_model_json, a6_call_stages, a9_to_prompt_corpus, a10_message_text, g7_budget_guard_stream, g7_running_usage)}
 
 SQL = {
     "a2_resolve_law_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN text ELSE html END AS law_text,
@@ -63,5 +82,6 @@ SQL = {
     "a6_call_stages": "SELECT call_index, CASE WHEN stage = 'other' THEN 'unknown' ELSE stage END AS stage FROM fx_calls",
     "a9_to_prompt_corpus": """SELECT conv_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) FILTER (role <> 'assistant'), '') AS kb_text, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS expected FROM conversations GROUP BY conv_id""",
     "a10_message_text": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN 'refused' ELSE '' END AS text FROM conversations",
-    "g7_budget_guard_stream": "SELECT concat('run_', user_id % 37) AS run_id, concat('strategy_', user_id % 4) AS strategy, count(*) AS n_calls, count(*) > 80 AS over_limit FROM events GROUP BY 1, 2",
+    "g7_running_usage": "SELECT concat('run_', user_id % 37) AS run_id, concat('strategy_', user_id % 4) AS strategy, count(*) AS n_calls, count(*) > 80 AS over_limit FROM events GROUP BY 1, 2",
+    "g7_budget_guard_stream": "SELECT run_id, strategy, first_refused FROM (SELECT concat('run_', user_id % 37) AS run_id, concat('strategy_', user_id % 4) AS strategy, event_id AS first_refused, row_number() OVER (PARTITION BY user_id % 37, user_id % 4 ORDER BY event_id) AS k FROM events) WHERE k = 21",
 }

@@ -85,7 +85,9 @@ def b13_cardinality_language(spark, d):
 
 def b15_evidence_snippets(spark, d):
     symbols = table(spark, d, "labels").select(F.lit("worthless_clown").alias("symbol")).union(table(spark, d, "labels").select(F.lit("thatIdiotWith"))).distinct()
-    return T.evidence_snippets(_docs(spark, d), symbols)
+    docs = _docs(spark, d)
+    pairs = docs.select("doc_id", F.explode(F.array(F.lit("worthless_clown"), F.lit("thatIdiotWith"))).alias("symbol"))
+    return T.evidence_snippets(docs, symbols, pairs=pairs)
 
 
 def b16_evidence_supported(spark, d):
