@@ -80,6 +80,7 @@ def antecedent_coverage(queries: DataFrame, atoms: DataFrame, facts: DataFrame,
     part = atoms.select(*key, "side", "path", "symbol", F.coalesce("args", F.array().cast("array<string>")).alias("args"), F.coalesce("negated", F.lit(False)).alias("negated"))
     given = variables if variables is not None else part.select(*key).distinct().withColumn("vars", F.lit(None).cast("array<string>"))
     item = F.struct((F.col("side") == "then").alias("then"), _order("path").alias("o"), "path", "symbol", "args", "negated")
+    part = settle(part)
     body = part.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("body")).join(given, key)
     kinds = symbols.groupBy("set_id", F.col("name").alias("symbol")).agg(F.min("kind").alias("kind"))
     q = queries.filter("size(args) > 0").join(kinds.filter(F.col("kind").isin("derived", "conclusion")), ["set_id", "symbol"], "left_semi")
@@ -93,7 +94,7 @@ def antecedent_coverage(queries: DataFrame, atoms: DataFrame, facts: DataFrame,
     x = x.filter(fits).withColumn("entries", own)
     x = x.groupBy("q_id", "set_id", "case_id", "rule", "head", "q_args").agg(F.min_by("entries", "o").alias("entries")).withColumn("b", F.map_from_entries("entries")).drop("entries", "head", "q_args")
     need = settle(x.join(body, key))
-    f = facts.filter("value is null").select("set_id", "case_id", _low("symbol").alias("symbol"), F.transform("args", lambda a: F.lower(F.trim(a))).alias("args"), "polarity").distinct()
+    f = settle(facts.filter("value is null").select("set_id", "case_id", _low("symbol").alias("symbol"), F.transform("args", lambda a: F.lower(F.trim(a))).alias("args"), "polarity").distinct())
     longest = need.agg(F.max(F.size("body")).alias("n")).first()["n"] or 0
     done = []
     for k in range(longest):  # as many as the longest rule has atoms

@@ -10,32 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_NAME = r"([A-Za-z_][A-Za-z0-9_]*)"
-#: Forms of a fact line in the order they are tried: (form, pattern).
-FORMS = (
-    ("bool_assign", rf"^{_NAME}\s*\(([^()]*)\)\s*=\s*(true|false)\s*\.$"),
-    ("bool_is", rf"^{_NAME}\s*\(([^()]*)\)\s+is\s+(true|false)\s*\.$"),
-    ("value", rf"^{_NAME}\s*\(([^()]*)\)\s*=\s*(.+?)\s*\.$"),
-    ("denial", rf"^not\s+{_NAME}\s*\(([^()]*)\)()\s*\.$"),
-    ("atom", rf"^{_NAME}\s*\(([^()]*)\)()\s*\.$"),
-)
+#: A fact line in one pattern: a sign, a name, arguments, and a value or a truth.
+LINE = r"(?i)^(?:(not)\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^()]*)\)(?:\s*=\s*(.+?)|\s+(is)\s+(true|false))?\s*\.$"
+SEP = "\x01"
 
 
 def parse_facts(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Fact lines to rows; lines of no form keep a null symbol and get a reason."""
+    """Fact lines to rows; lines of no form keep a null symbol and get a reason.
+
+    Forms, as they are tried: bool_assign (p(a) = true.), bool_is (p(a) is false.), value (f(a) = 3.), denial (not p(a).), atom (p(a).). Each line
+    is matched once.
+    """
     s = F.trim(F.coalesce(F.col(line), F.lit("")))
-    flag = "(?i)"
-    form, sym, args, val = (F.lit(None).cast("string") for _ in range(4))
-    for name, pattern in reversed(FORMS):
-        hit = s.rlike(flag + pattern)
-        form = F.when(hit, name).otherwise(form)
-        sym = F.when(hit, F.regexp_extract(s, flag + pattern, 1)).otherwise(sym)
-        args = F.when(hit, F.regexp_extract(s, flag + pattern, 2)).otherwise(args)
-        val = F.when(hit, F.regexp_extract(s, flag + pattern, 3)).otherwise(val)
-    out = lines.withColumns({"form": form, "symbol": sym, "args": F.transform(F.split(args, ","), lambda x: F.trim(x)), "_v": val})
-    truth = F.when(F.col("form").isin("bool_assign", "bool_is"), F.lower("_v") == "true").when(F.col("form") == "denial", False).when(F.col("form") == "atom", True)
-    reason = F.when(F.col("form").isNotNull(), None).when(s == "", "empty").when(~s.endswith("."), "no_final_dot").when(s.contains("*"), "star_in_symbol").otherwise("unreadable")
-    return out.withColumns({"polarity": truth, "value": F.when(F.col("form") == "value", F.col("_v")), "reason": reason}).drop("_v")
+    cut = F.regexp_replace(s, LINE, SEP.join(f"${k}" for k in range(1, 7)))
+    x = lines.withColumn("_p", F.when(cut != s, F.split(cut, SEP)))
+    part = lambda k: F.get("_p", F.lit(k))
+    plain, said = part(0) == "", part(3) != ""
+    form = F.when(part(4) != "", F.when(plain, "bool_is")).when(said & F.lower(part(3)).isin("true", "false"), F.when(plain, "bool_assign")).when(said, F.when(plain, "value")).when(~plain, "denial").when(plain, "atom")
+    x = x.withColumn("form", form)
+    read = F.col("form").isNotNull()
+    truth = F.when(F.col("form") == "bool_assign", F.lower(part(3)) == "true").when(F.col("form") == "bool_is", F.lower(part(5)) == "true").when(F.col("form") == "denial", False).when(F.col("form") == "atom", True)
+    reason = F.when(read, None).when(s == "", "empty").when(~s.endswith("."), "no_final_dot").when(s.contains("*"), "star_in_symbol").otherwise("unreadable")
+    return x.withColumns({
+        "symbol": F.when(read, part(1)),
+        "args": F.when(read, F.transform(F.split(part(2), ","), lambda a: F.trim(a))),
+        "polarity": truth,
+        "value": F.when(F.col("form") == "value", part(3)),
+        "reason": reason,
+    }).drop("_p")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

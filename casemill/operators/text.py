@@ -116,8 +116,10 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 3, text: str =
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9]{4,}"), 0))
     q = queries.select("q_id", "law_id", F.explode(words(said)).alias("w"))
     own = chunks.select("law_id", "chunk_id", F.explode(words(F.col("text"))).alias("word"))
-    found = q.join(contained(q, own, ["law_id"]), ["law_id", "w"]).join(own, ["law_id", "word"])
-    score = found.groupBy("q_id", "law_id", "chunk_id").agg(F.count_distinct("w").alias("score"))
+    # a word's chunks travel with it, a token's chunks are counted once
+    where = contained(q, own, ["law_id"]).join(own.groupBy("law_id", "word").agg(F.collect_list("chunk_id").alias("at")), ["law_id", "word"])
+    where = where.groupBy("law_id", "w").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    score = q.join(where, ["law_id", "w"]).select("q_id", "law_id", F.explode("at").alias("chunk_id")).groupBy("q_id", "law_id", "chunk_id").agg(F.count("*").alias("score"))
     hits = score.join(chunks.select("law_id", "chunk_id", "start", F.length("text").alias("n")), ["law_id", "chunk_id"])
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("n"), "start"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("q_id", "rank", "chunk_id", "score")
