@@ -282,8 +282,9 @@ class Program:
             self.clauses = settle(clauses.join(level.withColumnRenamed("symbol", "head"), ["set_id", "head"]))
             shapes = self.clauses.select("stratum", "n_open", "n_closed").distinct().collect()
         self.shapes = {s: {(r["n_open"], r["n_closed"]) for r in shapes if r["stratum"] == s} for s in sorted({r["stratum"] for r in shapes})}
-        step = self.clauses.select("set_id", F.explode("steps").alias("s")).filter("not s.closed")
-        self.patterns = settle(step.select("set_id", "s.symbol", F.size("s.args").alias("n"), "s.bound").distinct())
+        # the first literal of a clause is matched by what is new; only the others are looked up
+        step = self.clauses.select("set_id", "variant", F.explode(F.expr("slice(steps, 2, size(steps))")).alias("s")).filter("not s.closed")
+        self.patterns = settle(step.groupBy("set_id", "s.symbol", F.size("s.args").alias("n"), "s.bound").agg((F.min("variant") == 0).alias("whole")))
 
     def held(self, atoms: DataFrame) -> DataFrame | None:
         """Atoms of closed symbols that are held and not denied: their negations fail."""
@@ -316,9 +317,10 @@ class Program:
             held = self.held(known if base is None else base)
             # everything is new to a stratum: one order of matching is enough
             delta, variants = known, clauses if s is None else clauses.filter("variant = 0")
+            patterns = self.patterns if s is None else self.patterns.filter("whole")
             while True:
                 k = next(rounds)
-                found = settle(fire(variants, delta, [*shared, _keyed(known, self.patterns)], held, shapes))
+                found = settle(fire(variants, delta, [*shared, _keyed(known, patterns)], held, shapes))
                 new = found.groupBy(*ATOM).agg(F.min("rule").alias("rule")).join(known.filter("value is null").select(*ATOM), ATOM, "left_anti")
                 if base is not None:
                     new = new.join(base.filter("value is null").select(*LITERAL), LITERAL, "left_anti")
@@ -329,7 +331,7 @@ class Program:
                 known = known.unionByName(new)
                 if k % 8 == 0:  # else plans would grow with the rounds
                     known, derived = settle(known), [settle(reduce(DataFrame.unionByName, derived).distinct())]
-                delta, variants = new, clauses
+                delta, variants, patterns = new, clauses, self.patterns
         if not derived:
             derived = [known.limit(0).select(*ATOM, F.col("rule"), F.lit("").alias("clause"), F.array().cast(f"array<{PREMISE}>").alias("premises"))]
         return Closure(known, reduce(DataFrame.unionByName, derived).distinct())

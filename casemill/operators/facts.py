@@ -23,7 +23,9 @@ def parse_facts(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     s = F.trim(F.coalesce(F.col(line), F.lit("")))
     cut = F.regexp_replace(s, LINE, SEP.join(f"${k}" for k in range(1, 7)))
-    x = lines.withColumn("_p", F.when(cut != s, F.split(cut, SEP)))
+    # a generator keeps the planner from copying the match into every column that reads it
+    x = lines.select("*", F.explode(F.array(cut)).alias("_cut"))
+    x = x.select(*lines.columns, F.explode(F.array(F.when(F.col("_cut") != s, F.split("_cut", SEP)))).alias("_p"))
     part = lambda k: F.get("_p", F.lit(k))
     plain, said = part(0) == "", part(3) != ""
     form = F.when(part(4) != "", F.when(plain, "bool_is")).when(said & F.lower(part(3)).isin("true", "false"), F.when(plain, "bool_assign")).when(said, F.when(plain, "value")).when(~plain, "denial").when(plain, "atom")
