@@ -7,6 +7,8 @@ size estimate; facts are only ever hashed by case.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,9 +152,33 @@ def fill_singletons(queries: DataFrame, domains: DataFrame) -> DataFrame:
     return queries.join(one, ["case_id", "type"], "left").select("q_id", "case_id", F.coalesce(F.when(F.col("arg") != "", F.col("arg")), F.col("only")).alias("arg"), (F.coalesce(F.col("arg"), F.lit("")) == "").alias("was_empty"))
 
 
-def self_relations(facts: DataFrame) -> DataFrame:
-    """C20: facts R(x, x)."""
-    return facts.filter((F.size("args") == 2) & (F.col("args")[0] == F.col("args")[1])).select("case_id", "symbol", F.col("args")[0].alias("entity"))
+#: What tells a relation between two entities by its name or description, or by its name alone.
+BETWEEN_MARKERS = ("affiliated", "associated", "related", "connected", "belongs_to", "member_of", "forms_consortium", "consortium", "controls", "owns", "participates", "partner", "parent", "subsidiary", "daughter", "child_company", "linked_to", "group_with", "with_other", "with_another", "between", "spouse", "married", "successor", "predecessor")
+BETWEEN_NAME = r"(?i)(?:_with$|_to$|_of$|related|affiliat|consortium|subsidiary|parent)"
+#: What tells a relation that an entity may have to itself.
+REFLEXIVE_MARKERS = ("same", "identical", "equal", "equals", "self", "itself", "is_same", "identity", "reflexive", "symmetric_identity")
+
+
+def self_relations(facts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """C20: facts R(x, x) of a relation between entities that isn't reflexive.
+
+    symbols(name, and where there are such columns set_id, description, reflexive_allowed, non_reflexive): a mark wins over words, which are
+    sought in name and description with other characters than letters and digits as spaces. Without symbols, names alone decide.
+    """
+    own = facts.filter((F.size("args") == 2) & (F.col("args")[0] == F.col("args")[1]))
+    told = {"description": F.lit(""), "reflexive_allowed": F.lit(False), "non_reflexive": F.lit(False)}
+    if symbols is None:
+        x = own.withColumns(told)
+    else:
+        key = [c for c in ("set_id",) if c in symbols.columns and c in facts.columns] + ["symbol"]
+        s = symbols.withColumn("symbol", F.col("name")).groupBy(*key).agg(*(F.max(c if c in symbols.columns else told[c]).alias(c) for c in told))
+        x = own.join(s, key, "left")
+    words = F.regexp_replace(F.lower(F.concat_ws(" ", "symbol", F.coalesce("description", F.lit("")))), "[^a-z0-9]+", " ")
+    some = lambda marks: F.lit(False) if not marks else reduce(lambda a, b: a | b, [words.contains(m) for m in marks])
+    between = some(BETWEEN_MARKERS) | F.col("symbol").rlike(BETWEEN_NAME)
+    free = F.coalesce("reflexive_allowed", F.lit(False)) | some(REFLEXIVE_MARKERS)
+    odd = between & (F.coalesce("non_reflexive", F.lit(False)) | ~free)
+    return x.filter(odd).select("case_id", "symbol", F.col("args")[0].alias("entity"))
 
 
 def signature_conflicts(symbols: DataFrame) -> DataFrame:

@@ -133,14 +133,60 @@ def _any(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+#: Marks of messages on the design of symbols and of rules.
+SYMBOL_TAG, RULE_TAG = "json_ir_schema_design_error", "json_ir_rule_design_error"
+#: Signatures in the order in which they are tried: mark, phrases (all of them; of a group any), name, and what is named
+#: after it (a pattern with one group), if anything.
+SIGNATURES = (
+    (SYMBOL_TAG, (("observable predicate",), ("consequent",)), "schema::observable_in_then", r"observable predicate\s+'([^']+)'"),
+    (SYMBOL_TAG, (("no derived legal outputs",),), "schema::missing_legal_effect", None),
+    (SYMBOL_TAG, (("no observable case-input",),), "schema::no_observable", None),
+    (SYMBOL_TAG, (("boolean predicate atom",),), "schema::fn_as_pred", r"function\s+'([^']+)'"),
+    (SYMBOL_TAG, (("predicate",), ("function term",)), "schema::pred_as_fn", r"predicate\s+'([^']+)'"),
+    (SYMBOL_TAG, (("computed-looking observable",),), "schema::computed_observable", r"observable predicate\s+'([^']+)'"),
+    (SYMBOL_TAG, (("looks computed/composite",),), "schema::computed_observable_decl", r"predicate\s+'([^']+)'"),
+    (SYMBOL_TAG, (("as a bool predicate atom",), ("only under functions",)), "schema::predicate_used_as_function", r"Rules use '([^']+)'"),
+    (SYMBOL_TAG, (("as a bool predicate atom",), ("lists it only under predicates",)), "schema::function_used_as_predicate", r"Rules use '([^']+)'"),
+    (SYMBOL_TAG, (("legal-effect or timing language", "no derived legal-output"),), "schema::missing_legal_effect", None),
+    (SYMBOL_TAG, (("semantically identical to the status",),), "schema::status_as_type", None),
+    (SYMBOL_TAG, (("at-most-one", "simple or over individual"),), "schema::threshold_cardinality", None),
+    (SYMBOL_TAG, (("inverse/de morgan negative rules",),), "rule::unsafe_inverse_negative", None),
+    (SYMBOL_TAG, (("helper predicate",), ("never defined",)), "schema::floating_helper_pred", r"helper predicate\s+'([^']+)'"),
+    (SYMBOL_TAG, (("helper function",), ("never defined",)), "schema::floating_helper_fun", r"helper function\s+'([^']+)'"),
+    (RULE_TAG, (("at-most-one", "simple or over individual"),), "rule::threshold_cardinality", None),
+    (RULE_TAG, (("defining rule",),), "rule::missing_helper", r"helper predicate\s+'([^']+)'"),
+    (RULE_TAG, (("never appear in any rule then",),), "rule::derived_undefined", r"derived predicate\(s\)\s+([^\s]+)"),
+    (RULE_TAG, (), "rule::circular", r"derived predicate\s+'([^']+)'"),
+)
+#: Fixed value: an argument's type in a message, of a predicate or another symbol.
+MISMATCH = r"(?i)argument\s+([0-9]+)\s+to\s+(?:predicate\s+)?'([^']+)'\s+expects\s+type\s+([^,]+),\s+got\s+([^.\s]+)"
+
+
+def _all(low: Column, needs: tuple[tuple[str, ...], ...]) -> Column:
+    out = F.lit(True)
+    for any_of in needs:
+        out = out & _any(low, any_of)
+    return out
+
+
 def error_signature(msg: Column) -> Column:
     """Key of a message for repeats: indices removed, symbols kept."""
-    low = F.lower(F.trim(F.coalesce(msg, F.lit(""))))
     text = F.trim(F.coalesce(msg, F.lit("")))
-    kind = r"argument ([0-9]+) to predicate '([^']+)' expects type ([A-Za-z0-9_]+), got ([A-Za-z0-9_]+)"
-    part = lambda k: F.regexp_extract(text, kind, k)
-    mismatch = F.concat(F.lit("type_mismatch::"), part(2), F.lit("::arg"), part(1), F.lit("::"), part(3), F.lit("::"), part(4))
-    out = F.when(part(2) != "", mismatch).when(low.contains("unknown predicate") | low.contains("undeclared symbol"), F.concat(F.lit("unknown_symbol::"), F.substring(low, 1, 100)))
+    low = F.lower(text)
+    out = F.when(F.lit(False), F.lit(""))
+    tail = lambda p: F.concat(F.lit("::"), F.coalesce(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")), F.lit("?")))
+    for tag, needs, name, pattern in SIGNATURES:
+        if tag == RULE_TAG:  # what no signature of symbols fits keeps its words
+            out = out.when(low.contains(SYMBOL_TAG), F.concat(F.lit("schema::"), F.substring(low, 1, 120)))
+        out = out.when(low.contains(tag) & _all(low, needs), F.concat(F.lit(name), tail(pattern)) if pattern else F.lit(name))
+    part = lambda k: F.trim(F.regexp_extract(text, MISMATCH, k))
+    out = out.when(part(2) != "", F.concat(F.lit("type_mismatch::"), part(2), F.lit("::arg"), part(1), F.lit("::"), part(3), F.lit("::"), part(4)))
+    unbound = F.regexp_extract(text, r"(?i)unbound identifier\s+'([^']+)'", 1)
+    out = out.when(unbound != "", F.concat(F.lit("unbound::"), unbound))
+    short = lambda name: F.concat(F.lit(name), F.substring(low, 1, 100))
+    out = out.when(_any(low, ("unknown predicate", "undeclared symbol")), short("unknown_symbol::"))
+    out = out.when(_any(low, ("non-empty consequent", "empty then")), "rule_shape::empty_then").when(low.contains("unsupported expression"), "rule_shape::bad_expr")
+    out = out.when(low.contains("arity mismatch") | (low.contains("expects ") & low.contains(" got ")), short("arity::"))
     return out.otherwise(F.concat(F.lit("other::"), F.substring(F.regexp_replace(low, r"rules\[[0-9]+\]", "rules[N]"), 1, 120)))
 
 
@@ -184,3 +230,55 @@ def route_repair(events: DataFrame, tries: int = 3) -> DataFrame:
         base = F.when(F.col("error_code") == code, layer).otherwise(base)
     layer = F.when(F.col("nth") > 2 * tries, "stop").when((F.col("nth") > tries) & (F.col("base") == "rules"), "symbols").when((F.col("nth") > tries) & (F.col("base") == "parse"), "rules").otherwise(F.col("base"))
     return events.withColumn("nth", nth).withColumn("base", base).select("run_id", "event_index", "error_code", layer.alias("layer"))
+
+
+#: Which layer repairs a message, in the order in which they are tried: mark (None: any), phrases, layer.
+ROUTES = (
+    (SYMBOL_TAG, (("never appear in any rule then",),), "rules"),
+    (SYMBOL_TAG, (), "symbols"),
+    (RULE_TAG, (("circular",),), "rules"),
+    (RULE_TAG, (("incompatible unary subject roles",),), "symbols"),
+    (RULE_TAG, (("does not appear in the scoped law text", "do not invent or alter legal thresholds", "cannot prove disqualification", "exclusion rule such as", "at-most-one", "more-than-one criteria", "simple or over individual"),), "rules"),
+    (RULE_TAG, (("threshold comparisons",), ("favorable derived",)), "rules"),
+    (RULE_TAG, (("repair layer: rules", "has no defining rule"),), "rules"),
+    (RULE_TAG, (("helper predicate",), ("defining rule",)), "rules"),
+    (RULE_TAG, (), "symbols"),
+    (None, (("observable predicate",), ("consequent", "then")), "symbols"),
+    (None, (("used as a boolean predicate atom", "bool predicate atom"), ("only under functions", "lists it only under predicates")), "rules"),
+    (None, (("used as a boolean predicate atom", "bool predicate atom"),), "symbols"),
+    (None, (("used as a function term",), ("predicate",)), "rules"),
+    (None, (("no derived legal outputs", "no observable case-input", "computed-looking observable", "looks computed/composite", "repair layer: symbols"),), "symbols"),
+    (None, (("helper predicate",), ("never defined", "defining rule")), "rules"),
+    (None, (("helper function",), ("never defined",)), "rules"),
+    (None, (("conflicting signatures for symbol",),), "symbols"),
+)
+#: What goes to the symbols once the rules were tried often enough; what the rules repair else; what only symbols do.
+ESCALATED = ("expects type", "unknown predicate", "undeclared symbol", "arity mismatch", "lists it only under functions")
+RULE_REPAIRED = (("expects type",), ("got",)), (("unknown predicate", "unknown function", "unknown type", "undeclared symbol", "arity mismatch", "unbound identifier"),)
+SYMBOL_REPAIRED = ("types cannot be empty", "predicates must be", "functions must be")
+
+
+def route_messages(events: DataFrame, max_rules: int = 2) -> DataFrame:
+    """events(run_id, event_index, message, error_signature) -> run_id, event_index, layer (rules or symbols) by what a message says and what
+    the run has seen before.
+
+    Messages of ``ROUTES`` have one layer. Of the others, those of ``ESCALATED`` go to the symbols once the run has had ``max_rules`` events
+    before (rules_attempts, where there is such a column); so do mismatched types and designs of symbols whose signature the run had before, and
+    unknown symbols after any unknown symbol. The rest is for the rules, but for empty or malformed declarations.
+    """
+    low = F.lower(F.trim(F.coalesce("message", F.lit(""))))
+    sig = F.col("error_signature")
+    unknown = sig.startswith("unknown")
+    same = events.groupBy("run_id", "error_signature").agg(F.min("event_index").alias("_same"))
+    like = events.filter(unknown).groupBy("run_id").agg(F.min("event_index").alias("_like"))
+    x = events if "rules_attempts" in events.columns else places(events, ["run_id"], "event_index", "_place").withColumn("rules_attempts", F.col("_place") - 1)
+    x = x.join(same, ["run_id", "error_signature"]).join(like, "run_id", "left")
+    out = F.when(F.lit(False), F.lit(""))
+    for tag, needs, layer in ROUTES:
+        out = out.when((low.contains(tag) if tag else F.lit(True)) & _all(low, needs), layer)
+    out = out.when((F.col("rules_attempts") >= max_rules) & _any(low, ESCALATED), "symbols")
+    again = F.col("_same") < F.col("event_index")
+    out = out.when(again & (sig.startswith("type_mismatch::") | sig.startswith("schema::") | unknown), "symbols")
+    out = out.when((sig.startswith("unknown_symbol::") | low.contains("undeclared")) & (again | (unknown & (F.col("_like") < F.col("event_index")))), "symbols")
+    out = out.when(_all(low, RULE_REPAIRED[0]) | _all(low, RULE_REPAIRED[1]), "rules").when(_any(low, SYMBOL_REPAIRED), "symbols")
+    return x.select("run_id", "event_index", out.otherwise("rules").alias("layer"))

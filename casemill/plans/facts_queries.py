@@ -98,8 +98,11 @@ def c17_fill_singletons(spark, d):
 
 
 def c20_self_relations(spark, d):
-    r = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.lit("knows").alias("symbol"), F.array((F.col("o_orderkey") % 7).cast("string"), (F.col("o_custkey") % 7).cast("string")).alias("args"))
-    return C.self_relations(r)
+    k = F.col("o_orderkey") % 6
+    name = F.when(k == 0, "affiliated_with").when(k == 1, "same_group_as").when(k == 2, "owns").when(k == 3, "knows").when(k == 4, "linked_same").otherwise("heir_of")
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), name.alias("symbol"), F.array((F.col("o_orderkey") % 7).cast("string"), (F.col("o_custkey") % 7).cast("string")).alias("args"))
+    marks = spark.createDataFrame([("affiliated_with", "", False, False), ("knows", "a link between persons", False, False), ("linked_same", "related", False, True), ("heir_of", "", True, False)], "name string, description string, reflexive_allowed boolean, non_reflexive boolean")
+    return C.self_relations(r, marks)
 
 
 def c21_signature_conflicts(spark, d):
@@ -421,7 +424,7 @@ SQL = {
  UNION ALL SELECT o.c, 'moved', concat(o.x, ',c', o.c, ',', p.x), o.x, p.x FROM o JOIN o p ON o.c = p.c), r AS (SELECT *, count(*) OVER (PARTITION BY c, symbol) AS n, row_number() OVER (PARTITION BY c, symbol ORDER BY a, b) AS r FROM t)
  SELECT c AS case_id, symbol, args, n > 200 AS cut FROM r WHERE r <= 200""",
     "c17_fill_singletons": """SELECT c_custkey AS q_id, c_custkey AS case_id, e AS arg, true AS was_empty FROM customer LEFT JOIN (SELECT o_custkey, min(concat('o', o_orderkey)) AS e FROM orders GROUP BY o_custkey HAVING count(*) = 1) o ON c_custkey = o_custkey""",
-    "c20_self_relations": "SELECT o_custkey AS case_id, 'knows' AS symbol, CAST(o_custkey % 7 AS VARCHAR) AS entity FROM orders WHERE o_orderkey % 7 = o_custkey % 7",
+    "c20_self_relations": "SELECT o_custkey AS case_id, CASE o_orderkey % 6 WHEN 0 THEN 'affiliated_with' WHEN 2 THEN 'owns' WHEN 3 THEN 'knows' ELSE 'linked_same' END AS symbol, CAST(o_custkey % 7 AS VARCHAR) AS entity FROM orders WHERE o_orderkey % 7 = o_custkey % 7 AND o_orderkey % 6 IN (0, 2, 3, 4)",
     "c21_signature_conflicts": "SELECT p_partkey % 50 AS set_id, string_split(p_name, ' ')[1] AS name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1",
     "c22_undeclared_symbols": """WITH u AS (SELECT DISTINCT p_partkey % 50 AS set_id, string_split(p_name, ' ')[1] AS symbol FROM part), s AS (SELECT DISTINCT p_partkey % 50 AS set_id, string_split(p_name, ' ')[1] AS symbol FROM part WHERE p_partkey % 3 = 0),
  m AS (SELECT * FROM u EXCEPT SELECT * FROM s) SELECT set_id, symbol, n_undeclared FROM (SELECT *, count(*) OVER (PARTITION BY set_id) AS n_undeclared, row_number() OVER (PARTITION BY set_id ORDER BY symbol) AS r FROM m) WHERE r <= 3""",

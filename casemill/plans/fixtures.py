@@ -147,6 +147,23 @@ UNION ALL SELECT p_partkey, CAST(3 AS DOUBLE) FROM part""",
 SELECT o_custkey AS entity, year(o_orderdate) AS period, sum(o_totalprice) AS turnover,
  count(*) AS n_orders, max(o_totalprice) AS largest
 FROM orders GROUP BY o_custkey, year(o_orderdate)""",
+    "fx_messages": """
+SELECT concat('run_', CAST(user_id % 37 AS STRING)) AS run_id, event_id AS event_index, event_id % 13 AS kind,
+ CASE CAST(event_id % 13 AS INT)
+  WHEN 0 THEN 'JSON_IR_SCHEMA_DESIGN_ERROR: helper predicate ''h1'' is never defined'
+  WHEN 1 THEN 'JSON_IR_SCHEMA_DESIGN_ERROR: derived predicates never appear in any rule THEN'
+  WHEN 2 THEN 'JSON_IR_RULE_DESIGN_ERROR: derived predicate ''d'' is circular'
+  WHEN 3 THEN 'JSON_IR_RULE_DESIGN_ERROR: helper predicate ''h2'' has no defining rule'
+  WHEN 4 THEN 'JSON_IR_RULE_DESIGN_ERROR: incompatible unary subject roles'
+  WHEN 5 THEN concat('rules[', CAST(event_id % 4 AS STRING), '].if: argument 1 to ''f'' expects type Company, got Year.')
+  WHEN 6 THEN concat('rules[', CAST(event_id % 4 AS STRING), '].if: unbound identifier ''x'' here')
+  WHEN 7 THEN concat('unknown predicate p', CAST(event_id % 3 AS STRING))
+  WHEN 8 THEN 'types cannot be empty'
+  WHEN 9 THEN 'non-empty consequent needed'
+  WHEN 10 THEN 'arity mismatch of q'
+  WHEN 11 THEN concat('rules[', CAST(event_id % 4 AS STRING), '] is tautological')
+  ELSE 'used as a Boolean predicate atom but only under functions' END AS message
+FROM events""",
     "fx_errors": """
 SELECT concat('run_', CAST(user_id % 37 AS STRING)) AS run_id, event_id AS event_index,
  CASE CAST(event_id % 5 AS INT)

@@ -117,8 +117,10 @@ def b22_canonical_ids(spark, d):
 
 
 def b23_ascii_fold(spark, d):
+    # every third text begins with letters of mathematics and a ligature
+    docs = _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("𝐀𝔹𝒞②ﬁ"), "text")).otherwise(F.col("text")))
     f = C.ascii_fold(F.col("text"))
-    return _docs(spark, d).groupBy("source").agg(F.count_if(f != F.col("text")).alias("changed"), F.sum(F.length(F.regexp_replace(f, r"[^?]", ""))).alias("marks"))
+    return docs.groupBy("source").agg(F.count_if(f != F.col("text")).alias("changed"), F.sum(F.length(F.regexp_replace(f, r"[^?]", ""))).alias("marks"))
 
 
 def b25_lexical_match(spark, d):
@@ -155,7 +157,7 @@ _NUMBERS = f"""SELECT DISTINCT doc_id, CAST(p AS DOUBLE) AS value FROM (SELECT d
   || regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(x, '{_P1}', ' ', 'g'), '{_P2}', ' ', 'g'), '{_P3}', ' ', 'g'), '\\b[0-9]{{2,3}}\\b')) AS t
  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\b[0-9]+(?:[:/][0-9]+)+\\b', ' ', 'g') AS x FROM documents))) WHERE regexp_matches(p, '^[0-9]+(\\.[0-9]+)?$')"""
 _CIT = """SELECT q_id, concat('1:', q_id % 40 + 1) AS article, CASE q_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS paragraph, CASE WHEN q_id % 4 = 1 THEN 2 END AS point FROM fx_questions WHERE q_id % 4 <> 3"""
-_FOLD = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+_FOLD = [x.replace("'", "''") for x in C.fold_table()]
 
 SQL = {
     "b26_output_category": """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'effect' WHEN p_partkey % 10 = 1 THEN 'classification' WHEN p_partkey % 7 = 0 THEN 'effect' WHEN p_partkey % 7 = 1 THEN 'classification' WHEN p_partkey % 3 = 1 THEN 'intermediate'
@@ -185,7 +187,7 @@ SQL = {
  SELECT doc_id, len(l) AS n, array_to_string(list_sort(l)[1:5], ' ') AS first_five FROM t""",
     "b22_canonical_ids": """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)
  SELECT page_id, CASE WHEN regexp_matches(s, '^[0-9]') THEN 'e_' || s ELSE s END AS entity, CAST(page_id AS VARCHAR) AS value FROM s""",
-    "b23_ascii_fold": f"""WITH f AS (SELECT source, text, regexp_replace(translate(text, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS f FROM documents)
+    "b23_ascii_fold": f"""WITH d AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN concat('𝐀𝔹𝒞②ﬁ', text) ELSE text END AS text FROM documents), f AS (SELECT source, text, regexp_replace(translate(text, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS f FROM d)
  SELECT source, count(*) FILTER (f <> text) AS changed, CAST(sum(length(regexp_replace(f, '[^?]', '', 'g'))) AS BIGINT) AS marks FROM f GROUP BY source""",
     "b25_lexical_match": """WITH h AS (SELECT p_partkey AS hint_id, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part), s AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
  x AS (SELECT hint_id, len(t) AS nh, unnest(t) AS w FROM h), y AS (SELECT name, len(t) AS ns, unnest(t) AS w FROM s),

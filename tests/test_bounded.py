@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from casemill.functions.grams import contained
 from casemill.operators import facts as C
@@ -94,3 +95,28 @@ def test_empty_tables(spark):
     assert L.budget_guard(spark.createDataFrame([], "run_id string, strategy string, call_index long"), 1, 1).isEmpty()
     assert C.ground_atoms(spark.createDataFrame([], "name string, args array<string>"), spark.createDataFrame([], "case_id int, type string, entity string")).isEmpty()
     assert contained(spark.createDataFrame([], "w string"), spark.createDataFrame([("word",)], "word string")).isEmpty()
+
+
+@pytest.mark.parametrize(("name", "description", "free", "bound", "odd"), [
+    ("affiliated_with", "Affiliation between companies", False, False, True),
+    ("forms_consortium_with", "", False, False, True),
+    ("same_economic_group", "", True, False, False),
+    ("same_as", "related", False, False, False),
+    ("same_as", "related", False, True, True),
+    ("likes", "", False, False, False),
+])
+def test_self_relations(spark, name, description, free, bound, odd):
+    facts = spark.createDataFrame([(1, name, ["c", "c"]), (1, name, ["c", "d"]), (1, "legal_person", ["c"])], "case_id int, symbol string, args array<string>")
+    symbols = spark.createDataFrame([(name, description, free, bound)], "name string, description string, reflexive_allowed boolean, non_reflexive boolean")
+    assert C.self_relations(facts, symbols).count() == odd
+
+
+def test_folded_characters(spark):
+    import unicodedata
+
+    from casemill.functions.text import ascii_fold
+
+    text = "aé𝐀𝔹𝟘𝒞ﬁ②Ａ ß漢"
+    single = lambda c: c if c.isascii() else n if len(n := unicodedata.normalize("NFKD", c)) == 1 and n.isascii() else "?"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(ascii_fold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in got] == ["".join(map(single, text)), None]
