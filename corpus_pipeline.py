@@ -31,12 +31,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (5-word shingles, Jaccard of at least 0.8)."""
     del spark, sf_dir
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = op08_minhash.near_duplicates(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")))
+    texts = rows.select("key", F.col("row.text").alias("text"))
+    groups = op08_minhash.near_duplicates(texts, id_col="key", width=5, percent=80).select(F.col("doc_id").alias("key"), "component_id")
     # the least id stays; rows without one come last, and the text decides before the place in the table does
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    kept = groups.join(rows.select("_row", order.alias("order")), "_row").groupBy("component_id").agg(F.min_by("_row", "order").alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "key")
+    kept = groups.join(rows.select("key", order.alias("order")), "key").groupBy("component_id").agg(F.min_by("key", "order").alias("key")).select("key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
