@@ -75,9 +75,10 @@ def exclusive_classes(facts: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def net_extension(facts: DataFrame) -> DataFrame:
-    """Per case and symbol the number of true atoms minus denied ones; only denials: an empty set."""
+    """Per case and symbol the true atoms that aren't denied, in order, as tuples (arrays of arguments); only denials: an empty set."""
     own = facts.filter("polarity is not null").groupBy("case_id", "symbol", "args").agg(F.bool_and("polarity").alias("held"))
-    return own.groupBy("case_id", "symbol").agg(F.count_if("held").alias("n_tuples"), F.count_if(~F.col("held")).alias("n_denied"))
+    tuples = F.array_sort(F.collect_list(F.when(F.col("held"), F.col("args"))))
+    return own.groupBy("case_id", "symbol").agg(F.count_if("held").alias("n_tuples"), F.count_if(~F.col("held")).alias("n_denied"), tuples.alias("tuples"))
 
 
 def close_world(facts: DataFrame, schema: DataFrame) -> DataFrame:

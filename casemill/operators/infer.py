@@ -144,11 +144,12 @@ def entail_boolean(closure: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def entail_set(closure: DataFrame, domains: DataFrame, symbol: str, type_: str) -> DataFrame:
-    """Per case the entities of a unary symbol that are entailed, contradicted or unknown (counts)."""
+    """Per case the entities of a type for which a unary symbol is entailed, contradicted (denied only) and unknown, each in order."""
     held = closure.filter((F.col("symbol") == symbol) & F.col("value").isNull()).select("case_id", F.col("args")[0].alias("entity"), "polarity")
     x = domains.filter(F.col("type") == type_).select("case_id", "entity").distinct().join(held, ["case_id", "entity"], "left")
-    per = x.groupBy("case_id", "entity").agg(F.bool_or("polarity").alias("p"), F.bool_or(~F.col("polarity")).alias("n"))
-    return per.groupBy("case_id").agg(F.count_if("p").alias("entailed"), F.count_if(F.col("n") & ~F.coalesce("p", F.lit(False))).alias("contradicted"), F.count_if(F.col("p").isNull()).alias("unknown"))
+    per = x.groupBy("case_id", "entity").agg(F.bool_or("polarity").alias("p"))
+    those = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("entity"))))
+    return per.groupBy("case_id").agg(those(F.col("p")).alias("entailed"), those(~F.col("p")).alias("contradicted"), those(F.col("p").isNull()).alias("unknown"))
 
 
 def wildcard_query(closure: DataFrame, queries: DataFrame) -> DataFrame:
@@ -159,10 +160,14 @@ def wildcard_query(closure: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("q_id").join(yes, "q_id", "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
 
 
-def value_range(facts: DataFrame, symbol: str) -> DataFrame:
-    """Number of values, least and greatest of a function per case."""
-    v = facts.filter((F.col("symbol") == symbol) & F.col("value").isNotNull()).withColumn("v", F.col("value").try_cast("double"))
-    return v.groupBy("case_id").agg(F.count_distinct("v").alias("n_values"), F.min("v").alias("low"), F.max("v").alias("high"))
+def value_range(facts: DataFrame, symbol: str, domains: DataFrame | None = None) -> DataFrame:
+    """Per case and entity the values of a function: their set, least and greatest; entities of domains(case_id, entity) without a
+    value are unknown. Values that are no numbers count in the set alone."""
+    v = facts.filter((F.col("symbol") == symbol) & F.col("value").isNotNull()).select("case_id", F.array_join("args", ",").alias("entity"), "value", F.col("value").try_cast("double").alias("v"))
+    out = v.groupBy("case_id", "entity").agg(F.array_sort(F.collect_set("value")).alias("values"), F.min("v").alias("low"), F.max("v").alias("high"))
+    if domains is not None:
+        out = domains.select("case_id", "entity").distinct().join(out, ["case_id", "entity"], "left")
+    return out.withColumn("status", F.when(F.col("values").isNull(), "unknown").otherwise("known"))
 
 
 def optimum(facts: DataFrame, symbol: str) -> DataFrame:

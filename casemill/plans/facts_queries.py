@@ -52,7 +52,8 @@ def c5_exclusive_classes(spark, d):
 
 
 def c6_net_extension(spark, d):
-    return C.net_extension(_facts(spark, d))
+    lines = F.array_join(F.transform("tuples", lambda t: F.array_join(t, ",")), ";")
+    return C.net_extension(_facts(spark, d)).withColumn("tuples", lines)
 
 
 def c7_close_world(spark, d):
@@ -199,7 +200,8 @@ def e2_entail_boolean(spark, d):
 
 
 def e3_entail_set(spark, d):
-    return E.entail_set(_closure(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d)), "open", "Order")
+    found = E.entail_set(_closure(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d)), "open", "Order")
+    return found.select("case_id", *(F.array_join(c, ",").alias(c) for c in ("entailed", "contradicted", "unknown")))
 
 
 def e4_wildcard_query(spark, d):
@@ -216,7 +218,8 @@ def e7_explain_conflict(spark, d):
 
 
 def e8_value_range(spark, d):
-    return E.value_range(_facts(spark, d), "total_price")
+    orders = C.typed_domains(_facts(spark, d), _schema(spark, d)).filter("type in ('Order', 'Customer')")
+    return E.value_range(_facts(spark, d), "total_price", orders).withColumn("values", F.array_join("values", ","))
 
 
 def e9_optimum(spark, d):
@@ -413,7 +416,7 @@ SQL = {
     "c3_canonical_symbols": f"SELECT CASE WHEN case_id % 2 = 0 THEN symbol ELSE concat(symbol, '_x') END AS symbol, case_id % 2 = 0 AS known, count(*) AS n FROM ({_F}) GROUP BY 1, 2",
     "c4_contradictions": "SELECT o_custkey AS case_id, 'open' AS symbol, concat('o', o_orderkey) AS args FROM orders WHERE o_orderkey % 97 = 0 AND o_orderstatus = 'F'",
     "c5_exclusive_classes": "SELECT o_custkey AS case_id, concat('o', o_orderkey) AS entity, 'open,urgent' AS classes, 2 AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND (o_orderstatus <> 'F' OR o_orderkey % 97 = 0)",
-    "c6_net_extension": f"SELECT case_id, symbol, count(*) FILTER (held) AS n_tuples, count(*) FILTER (NOT held) AS n_denied FROM (SELECT case_id, symbol, args, bool_and(polarity) AS held FROM ({_F}) WHERE polarity IS NOT NULL GROUP BY case_id, symbol, args) GROUP BY case_id, symbol",
+    "c6_net_extension": f"SELECT case_id, symbol, count(*) FILTER (held) AS n_tuples, count(*) FILTER (NOT held) AS n_denied, coalesce(string_agg(args, ';' ORDER BY string_split(args, ',')) FILTER (held), '') AS tuples FROM (SELECT case_id, symbol, args, bool_and(polarity) AS held FROM ({_F}) WHERE polarity IS NOT NULL GROUP BY case_id, symbol, args) GROUP BY case_id, symbol",
     "c7_close_world": "SELECT DISTINCT o_custkey AS case_id, 'urgent' AS symbol FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "c8_typed_domains": _DOM,
     "c9_resolve_entity_types": f"""SELECT case_id, entity, string_agg(type, ',' ORDER BY type) AS types, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'conflict' END AS status FROM (SELECT * FROM ({_DOM}) UNION SELECT o_custkey, 'Order', concat('c', o_custkey) FROM orders WHERE o_orderkey % 10 = 0) GROUP BY case_id, entity""",
@@ -447,11 +450,11 @@ SQL = {
     "e1_apply_rules": f"""SELECT o_custkey AS case_id, 'big_order' AS symbol, concat('o', o_orderkey) AS args, true AS polarity, 0 AS rule FROM orders WHERE {_BIG}
  UNION ALL SELECT o_custkey, 'is_priority_customer', concat('c', o_custkey), true, 1 FROM ({_PRI}) UNION ALL SELECT o_custkey, 'right_to_discount', concat('c', o_custkey), true, 2 FROM ({_DIS})""",
     "e2_entail_boolean": f"SELECT q_id, case_id, symbol, true AS possible, label = 'entailed' AS certain, label FROM ({_E2})",
-    "e3_entail_set": "SELECT o_custkey AS case_id, count(*) FILTER (o_orderstatus <> 'F' OR o_orderkey % 97 = 0) AS entailed, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 97 <> 0) AS contradicted, 0 AS unknown FROM orders GROUP BY o_custkey",
+    "e3_entail_set": """WITH o AS (SELECT o_custkey, concat('o', o_orderkey) AS e, o_orderstatus <> 'F' OR o_orderkey % 97 = 0 AS yes FROM orders) SELECT o_custkey AS case_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (yes), '') AS entailed, coalesce(string_agg(e, ',' ORDER BY e) FILTER (NOT yes), '') AS contradicted, '' AS unknown FROM o GROUP BY o_custkey""",
     "e4_wildcard_query": "SELECT c_custkey AS q_id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS holds FROM customer",
     "e6_consistency": "SELECT o_custkey AS case_id, count(*) FILTER (o_orderkey % 97 = 0 AND o_orderstatus = 'F') AS n_conflicts, CASE WHEN count(*) FILTER (o_orderkey % 97 = 0 AND o_orderstatus = 'F') > 0 THEN 'unsat' ELSE 'ok' END AS status FROM orders GROUP BY o_custkey",
     "e7_explain_conflict": "SELECT o_custkey AS case_id, 'open' AS symbol, concat('o', o_orderkey) AS args, p AS polarity, 'fact' AS source FROM orders, (VALUES (true), (false)) t(p) WHERE o_orderkey % 97 = 0 AND o_orderstatus = 'F'",
-    "e8_value_range": "SELECT o_custkey AS case_id, count(DISTINCT floor(o_totalprice)) AS n_values, min(floor(o_totalprice)) AS low, max(floor(o_totalprice)) AS high FROM orders GROUP BY o_custkey",
+    "e8_value_range": """SELECT o_custkey AS case_id, concat('o', o_orderkey) AS entity, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS values, floor(o_totalprice) AS low, floor(o_totalprice) AS high, 'known' AS status FROM orders UNION ALL SELECT DISTINCT o_custkey, concat('c', o_custkey), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'unknown' FROM orders""",
     "e9_optimum": """WITH v AS (SELECT o_custkey AS case_id, concat('o', o_orderkey) AS e, floor(o_totalprice) AS v FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY v, e) AS lo, row_number() OVER (PARTITION BY case_id ORDER BY v DESC, e) AS hi FROM v)
  SELECT case_id, max(e) FILTER (lo = 1) AS min_entity, max(v) FILTER (lo = 1) AS min_value, max(e) FILTER (hi = 1) AS max_entity, max(v) FILTER (hi = 1) AS max_value FROM r GROUP BY case_id""",
     "e12_possible_outputs": "SELECT case_id, 'open' AS symbol, args, rank FROM (SELECT o_custkey AS case_id, concat('o', o_orderkey) AS args, row_number() OVER (PARTITION BY o_custkey ORDER BY concat('o', o_orderkey)) AS rank FROM orders WHERE o_orderstatus <> 'F') WHERE rank <= 3",
