@@ -237,8 +237,8 @@ def periodic_runs(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 
 
 def planted(doc_id: str, text: str) -> Column:
-    """The text, or for ids whose crc32 is divisible by ten its words with a repetition from some word to the end."""
-    h = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    """The text, or for ids whose crc32 is divisible by ten its words with a repetition from some word to the end (without an id: the text)."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     g = F.floor(h / 10)
     words = F.when(h % 10 == 0, F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     n = F.nullif(F.size(words), F.lit(0))

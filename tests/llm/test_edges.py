@@ -13,7 +13,7 @@ from casemill.llm import op08_minhash as minhash
 from casemill.llm import op09_toxicity as tox
 from casemill.llm import op10_mixing as mixing
 
-OWN = ["row", "key", "block", "h", "o", "rest", "edge", "stop", "epochs", "epoch", "score", "known", "lang_pred", "cls", "kept", "spans", "weight", "n_tokens", "bin", "_row", "component_id", "k", "place", "key", "order"]
+OWN = ["row", "key", "block", "h", "o", "rest", "edge", "stop", "epochs", "epoch", "score", "known", "lang_pred", "cls", "kept", "spans", "weight", "n_tokens", "bin", "_row", "component_id", "k", "place", "order"]
 RUNS = {
     "op5": lambda d: lang.identify(d, lang.train(d)),
     "op6": lambda d: suffix.remove_repeats(d),

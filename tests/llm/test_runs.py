@@ -80,6 +80,8 @@ def test_planted_repetition(spark):
 
     texts = {i: [f"w{j}" for j in range(i % 37)] for i in range(200)}
     docs = spark.createDataFrame([(i, "  ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bare = spark.createDataFrame([(None, "a  b"), (0, None)], docs.schema).select(R.planted("doc_id", "text").alias("got")).collect()
+    assert [r.got for r in bare] == ["a  b", None]
     for r in docs.select("doc_id", R.planted("doc_id", "text").alias("got")).collect():
         h, w = zlib.crc32(str(r.doc_id).encode()), texts[r.doc_id]
         n, g = len(w), h // 10
