@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.functions.text import safe_entity
+
 #: A fact line in one pattern: a sign, a name, arguments, and a value or a truth.
 LINE = r"(?i)^(?:(not)\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^()]*)\)(?:\s*=\s*(.+?)|\s+(is)\s+(true|false))?\s*\.$"
 SEP = "\x01"
@@ -95,34 +97,103 @@ def typed_positions(facts: DataFrame, schema: DataFrame) -> DataFrame:
     return facts.select("case_id", "symbol", F.posexplode("args").alias("pos", "entity")).join(types, ["symbol", "pos"])
 
 
-def typed_domains(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    """Constants of each type in a case."""
-    return typed_positions(facts, schema).select("case_id", "type", "entity").distinct()
-
+def typed_domains(facts: DataFrame, schema: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Constants of each type in a case: those at typed positions and, where given, the declared(case_id, entity, type)
+    of types that the schema names."""
+    own = typed_positions(facts, schema).select("case_id", "type", "entity")
+    if declared is not None:
+        own = own.unionByName(declared.join(_types(schema), "type", "left_semi").select("case_id", "type", "entity"))
+    return own.distinct()
 
-def resolve_entity_types(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    """One type resolves an entity, several conflict."""
-    t = typed_domains(facts, schema).groupBy("case_id", "entity").agg(F.array_sort(F.collect_set("type")).alias("t"))
-    return t.select("case_id", "entity", F.array_join("t", ",").alias("types"), F.when(F.size("t") == 1, "resolved").otherwise("conflict").alias("status"))
 
+def _types(schema: DataFrame) -> DataFrame:
+    """Types that some argument has."""
+    return schema.select(F.explode("args").alias("type")).distinct()
 
-def validate_signatures(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    """One row per violation: unknown_symbol, wrong_arity, value_for_predicate, truth_for_function."""
-    s = schema.select(F.col("name").alias("symbol"), F.size("args").alias("arity"), "returns")
-    x = facts.join(s, "symbol", "left")
-    code = F.when(F.col("arity").isNull(), "unknown_symbol").when(F.size("args") != F.col("arity"), "wrong_arity").when((F.col("returns") == "Bool") & F.col("value").isNotNull(), "value_for_predicate").when((F.col("returns") != "Bool") & F.col("value").isNull(), "truth_for_function")
-    return x.withColumn("code", code).filter("code is not null").select("case_id", "symbol", "code", F.array_join("args", ",").alias("args"))
 
+def resolve_entity_types(facts: DataFrame, schema: DataFrame, queries: DataFrame | None = None, declared: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """One type for each entity of a case, from the positions it has in facts and queries, then from its declaration.
 
-def validate_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame) -> DataFrame:
-    """C11: queries(q_id, case_id, symbol, args) whose symbol is unknown or whose argument is no entity of
-    its type in the case."""
+    queries(case_id, symbol, args), declared(case_id, entity, type), types(type) are the types there are (those of arguments
+    unless given). A value is evidence for functions, an atom for predicates. Several types, or one that differs from a declared type
+    there is, are a conflict; without evidence a declared type there is counts; the rest are unmapped. Of several declared types the last by
+    name counts. Returns case_id, entity, types (of the evidence), declared, resolved, source, status.
+    """
+    flag = F.col("returns") == "Bool"
+    sig = schema.select(F.col("name").alias("symbol"), flag.alias("truth"), F.posexplode("args").alias("pos", "type"))
+    seen = facts.select("case_id", "symbol", F.col("value").isNull().alias("truth"), F.posexplode("args").alias("pos", "entity"), F.lit("fact_argument").alias("source"))
+    if queries is not None:
+        seen = seen.unionByName(queries.select("case_id", "symbol", F.lit(True).alias("truth"), F.posexplode("args").alias("pos", "entity"), F.lit("query_argument").alias("source")))
+    rows = seen.join(sig, ["symbol", "truth", "pos"]).select("case_id", "entity", "type", "source", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("boolean").alias("there"))
+    if declared is not None:
+        there = (_types(schema) if types is None else types.select("type").distinct()).withColumn("there", F.lit(True))
+        told = declared.join(there, "type", "left").select("case_id", "entity", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("source"), F.col("type").alias("declared"), F.coalesce("there", F.lit(False)).alias("there"))
+        rows = rows.unionByName(told)
+    last = F.max(F.when(F.col("there").isNotNull(), F.struct("declared", "there")))
+    x = rows.filter("entity <> ''").groupBy("case_id", "entity").agg(F.array_sort(F.collect_set("type")).alias("t"), F.array_sort(F.collect_set("source")).alias("s"), last.alias("d"))
+    known = F.coalesce(F.col("d.there"), F.lit(False))
+    clash = (F.size("t") > 1) | ((F.size("t") == 1) & known & (F.col("d.declared") != F.get("t", F.lit(0))))
+    resolved = F.when(clash, None).when(F.size("t") == 1, F.get("t", F.lit(0))).when(known, F.col("d.declared"))
+    source = F.when(resolved.isNull(), None).when(F.size("t") == 1, F.array_join("s", "+")).otherwise("declared")
+    status = F.when(clash, "conflict").when(resolved.isNull(), "unmapped").otherwise("resolved")
+    return x.select("case_id", "entity", F.array_join("t", ",").alias("types"), F.col("d.declared").alias("declared"), resolved.alias("resolved"), source.alias("source"), status.alias("status"))
+
+
+def resolved_domains(resolved: DataFrame) -> DataFrame:
+    """The entities of each type of a case, as resolved."""
+    return resolved.filter("resolved is not null").select("case_id", F.col("resolved").alias("type"), "entity")
+
+
+def validate_signatures(facts: DataFrame, schema: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """One row per violation. A fact has the first that applies of unknown_symbol, value_for_predicate, truth_for_function,
+    not_assertable (where the schema has a column assertable) and wrong_arity; a fact without any has wrong_argument_type
+    for each argument that types(case_id, entity, resolved) give another type or none.
+
+    Returns case_id, symbol, code, args, pos (from 0, -1 for the whole fact), expected, found.
+    """
+    may = F.coalesce("assertable", F.lit(False)) if "assertable" in schema.columns else F.lit(True)
+    s = schema.select(F.col("name").alias("symbol"), F.col("args").alias("want"), "returns", may.alias("may"))
+    x = facts.join(s, "symbol", "left")
+    truth = F.col("returns") == "Bool"
+    code = F.when(F.col("want").isNull(), "unknown_symbol").when(truth & F.col("value").isNotNull(), "value_for_predicate").when(~truth & F.col("value").isNull(), "truth_for_function")
+    x = x.withColumn("code", code.when(~F.col("may"), "not_assertable").when(F.size("args") != F.size("want"), "wrong_arity"))
+    said = F.array_join("args", ",").alias("args")
+    arity = lambda c: F.when(F.col("code") == "wrong_arity", F.size(c).cast("string"))
+    out = x.filter("code is not null").select("case_id", "symbol", "code", said, F.lit(-1).alias("pos"), arity("want").alias("expected"), arity("args").alias("found"))
+    if types is None:
+        return out
+    own = x.filter("code is null").select("case_id", "symbol", said, "want", F.posexplode("args").alias("pos", "entity")).withColumn("expected", F.get("want", "pos"))
+    own = own.join(types.select("case_id", "entity", F.col("resolved").alias("found")), ["case_id", "entity"], "left").filter(~F.col("expected").eqNullSafe(F.col("found")))
+    return out.unionByName(own.select("case_id", "symbol", F.lit("wrong_argument_type").alias("code"), "args", "pos", "expected", "found"))
+
+
+#: Arguments that stand for no entity.
+PLACEHOLDERS = (
+    "", "?", "unknown", "none", "null", "this", "this_company", "the_company", "this_entity", "this_person", "this_year", "company", "person",
+    "financialyear", "financial_year", "fy", "estate", "decision",
+)
+
+
+def validate_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame, strict: bool = True) -> DataFrame:
+    """C11: violations of queries(q_id, case_id, symbol, args): unknown_symbol, wrong_arity (pos -1), and for each argument placeholder (a
+    word that names nothing, or the type itself) or not_in_domain: no entity of its type in domains(case_id, type, entity).
+
+    With ``strict`` off a type of which the case has no entity takes any argument. A null argument is a placeholder.
+    """
     known = schema.select(F.col("name").alias("symbol"), F.col("args").alias("types"))
     x = queries.join(known, "symbol", "left")
-    unknown = x.filter("types is null").select("q_id", F.lit("unknown_symbol").alias("code"), F.lit(-1).alias("pos"))
-    args = x.filter("types is not null").select("q_id", "case_id", "types", F.posexplode("args").alias("pos", "entity")).withColumn("type", F.get("types", "pos"))
-    missing = args.join(domains, ["case_id", "type", "entity"], "left_anti").select("q_id", F.lit("not_in_domain").alias("code"), "pos")
-    return unknown.unionByName(missing)
+    code = F.when(F.col("types").isNull(), "unknown_symbol").when(F.coalesce(F.size("args"), F.lit(0)) != F.size("types"), "wrong_arity")
+    x = x.withColumn("code", code)
+    args = x.filter("code is null").select("q_id", "case_id", "types", F.posexplode("args").alias("pos", "entity")).withColumn("type", F.get("types", "pos"))
+    entity = safe_entity(F.col("entity"))
+    empty = entity.isin(*PLACEHOLDERS) | (entity == safe_entity(F.col("type"))) | F.trim(F.coalesce("entity", F.lit(""))).isin(*PLACEHOLDERS)
+    args = args.withColumn("empty", F.coalesce(empty, F.lit(True)))
+    missing = args.filter("not empty").join(domains, ["case_id", "type", "entity"], "left_anti")
+    if not strict:
+        missing = missing.join(domains.select("case_id", "type").distinct(), ["case_id", "type"], "left_semi")
+    out = x.filter("code is not null").select("q_id", "code", F.lit(-1).alias("pos"))
+    out = out.unionByName(args.filter("empty").select("q_id", F.lit("placeholder").alias("code"), "pos"))
+    return out.unionByName(missing.select("q_id", F.lit("not_in_domain").alias("code"), "pos"))
 
 
 def ground_atoms(schema: DataFrame, domains: DataFrame, cap: int = 200) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +70,47 @@ def credence(results: DataFrame, prior: float = 0.5) -> DataFrame:
     return results.withColumns({"label": label, "p_yes": p, "p_no": 1 - p, "verdict_strength_pct": strength, "credence_yes_pct": F.bround(p * 100).cast("int"), "symbolic_inconclusive": open_})
 
 
+#: Intents whose answers aren't truth values.
+OPEN_INTENTS = ("model_expansion", "get_range", "optimization", "explain", "relevance", "propagation")
+
+
+def _known_atom(atoms: str) -> Column:
+    """Is the target among the atoms (array of predicate and args), without regard to case and outer blanks of arguments?"""
+    plain = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    same = lambda t: (t["predicate"] == F.col("target_predicate")) & (plain(t["args"]) == plain(F.col("target_args")))
+    return F.coalesce(F.exists(atoms, same), F.lit(False))
+
+
+def score_membership(results: DataFrame, expected: str = "expected_value") -> DataFrame:
+    """outcome of results of propagation: is target_predicate(target_args) among certain_true or certain_false (arrays of structs of
+    predicate and args)? In neither, or without a target: inconclusive; in both: correct; no expected value: not_scored."""
+    exp, yes, no = F.col(expected), _known_atom("certain_true"), _known_atom("certain_false")
+    out = F.when(exp.isNull(), "not_scored").when((exp & yes) | (~exp & no), "correct").when(yes | no, "incorrect")
+    return results.withColumn("outcome", out.otherwise("inconclusive"))
+
+
 def score_boolean(labelled: DataFrame, expected: str = "expected_value", threshold: float | None = None) -> DataFrame:
     """outcome of a labelled answer against a boolean; open answers count by belief only if a
-    threshold is given."""
-    exp = F.col(expected)
-    bad = ~F.lower(F.coalesce("status", F.lit(""))).isin("ok", "success", "")
-    out = F.when(exp.isNull(), "not_scored").when(bad, F.concat(F.lit("status_"), F.col("status")))
+    threshold is given.
+
+    Read where the table has them: intent (answers of intents without truth values are unscored_intent; propagation is
+    scored as in F6 if the table has certain_true, certain_false, target_predicate and target_args), and target with expected_target
+    (target_mismatch if both are there and differ but for case). A failed status comes before both.
+    """
+    exp, has = F.col(expected), set(labelled.columns)
+    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    out = F.when(exp.isNull(), "not_scored").when(~status.isin("ok", "success", ""), F.concat(F.lit("status_"), status))
+    if "intent" in has:
+        intent = F.lower(F.trim(F.coalesce("intent", F.lit(""))))
+        if {"certain_true", "certain_false", "target_predicate", "target_args"} <= has:
+            yes, no = _known_atom("certain_true"), _known_atom("certain_false")
+            named = (intent == "propagation") & (F.coalesce("target_predicate", F.lit("")) != "")
+            out = out.when(named & ((exp & yes) | (~exp & no)), "correct").when(named & (yes | no), "incorrect").when(named, "inconclusive")
+        out = out.when(intent.isin(*OPEN_INTENTS), "unscored_intent")
+    if {"target", "expected_target"} <= has:
+        asked, got = (F.lower(F.coalesce(c, F.lit(""))) for c in ("expected_target", "target"))
+        decided = F.col("label").isin("entailed", "contradicted") if "symbolic_inconclusive" not in has else ~F.col("symbolic_inconclusive")
+        out = out.when(decided & (asked != "") & (got != "") & (asked != got), "target_mismatch")
     out = out.when((F.col("label") == "entailed") & exp, "correct").when((F.col("label") == "contradicted") & ~exp, "correct")
     out = out.when(F.col("label").isin("entailed", "contradicted"), "incorrect")
     if threshold is not None:
@@ -253,11 +290,103 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
     return one.unionByName(tags.select(F.lit("phenomenon").alias("dimension"), "value", "n"))
 
 
-def validate_runs(runs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """error rows: duplicate ids, listed but absent, absent but listed, missing tags."""
-    err = lambda d, e: d.select("run_id", F.lit(e).alias("error"))
-    twice = runs.groupBy("run_id").count().filter("count > 1")
-    return err(twice, "duplicate_id").unionByName(err(manifest.join(runs, "run_id", "left_anti"), "listed_but_missing")).unionByName(err(runs.join(manifest, "run_id", "left_anti"), "not_in_manifest")).unionByName(err(manifest.filter(F.coalesce("phenomena", F.lit("")) == ""), "no_phenomena"))
+#: The words a test set may use, and what a run leaves behind.
+VOCABULARY = {
+    "law_domain": ("inheritance", "immigration", "company"),
+    "evaluation_group": ("core", "challenge", "stress", "external_verus_lm"),
+    "difficulty": ("basic", "intermediate", "hard"),
+    "phenomena": ("classification", "definition", "legal_effect", "temporal", "numeric_threshold", "negative_exclusion", "structural_exclusion", "case_given_criteria", "open_world"),
+    "mode": ("boolean", "set", "range", "explanation"),
+}
+VALUED_MODES = ("boolean", "set", "range")
+GENERATED_FILES = (
+    "results.json", "score.json", "run_trace.txt", "effective_config.json", "schema_environment.json", "case_entity_type_mapping.json",
+    "pre_solver_domain_validation.json", "symbolic_proof_gap.json", "factual_criteria_mode_diagnostics.json", "case_factual_input_diagnostics.json",
+    "case_extraction_repair.json", "threshold_exclusion_gap.json", "threshold_numeric_helper_gap.json", "llm_calls.jsonl", "llm_call_summary.json", "kb.fo", "kb_schema.json",
+)
+GENERATED_FOLDERS = ("translated", "json_ir_compile", "kb_strategy_compare", "work")
+
+
+def _faults(df: DataFrame, checks: list[tuple[Column, str | Column, Column]]) -> DataFrame:
+    """A row (run_id, error, detail) for each check whose condition holds, in one pass over the rows."""
+    name = lambda e: F.lit(e) if isinstance(e, str) else e
+    found = F.array_compact(F.array(*[F.when(cond, F.struct(name(e).alias("error"), detail.cast("string").alias("detail"))) for cond, e, detail in checks]))
+    return df.select("run_id", F.explode(found).alias("f")).select("run_id", "f.error", "f.detail")
+
+
+def question_faults(questions: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """faults of questions(run_id, q_id, q_text, expected struct of mode, value and reason), as A1 reads them.
+
+    A row without id, text and expected value is a run without questions. Without an expected value no more is checked of it.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    e, none = F.col("expected"), F.col("expected").isNull()
+    empty = F.col("q_id").isNull() & F.col("q_text").isNull() & none
+    known = F.coalesce(e["mode"].isin(*vocabulary["mode"]), F.lit(False))
+    q = F.col("q_id")
+    return _faults(questions, [
+        (empty, "no_questions", F.lit(None)),
+        (~empty & blank("q_id"), "missing_question_id", q),
+        (~empty & blank("q_text"), "missing_question_text", q),
+        (~empty & none, "missing_expected", q),
+        (~none & ~known, "unknown_mode", e["mode"]),
+        (~none & e["mode"].isin(*VALUED_MODES) & e["value"].isNull(), "missing_value", q),
+        (~none & blank(e["reason"]), "missing_reason", q),
+    ])
+
+
+def listing_faults(manifest: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """faults of the entries of a manifest(run_id, law_domain, evaluation_group, difficulty, phenomena), each checked by itself.
+
+    phenomena is an array or a text with commas; a column that the table lacks is missing in every entry. An entry without an
+    id has that fault only.
+    """
+    col = lambda c: F.col(c) if c in manifest.columns else F.lit(None).cast("string")
+    tags = col("phenomena")
+    if "phenomena" not in manifest.columns or manifest.schema["phenomena"].dataType.simpleString() == "string":
+        tags = F.when(F.trim(tags) != "", F.split(tags, ","))
+    own = F.trim(F.coalesce("run_id", F.lit(""))) != ""
+    checks = [(~own, "missing_id", F.lit(None))]
+    for c in ("law_domain", "evaluation_group", "difficulty"):
+        checks += [(own & col(c).isNull(), f"missing_{c}", F.lit(None)), (own & ~col(c).isin(*vocabulary[c]), f"unknown_{c}", col(c))]
+    checks.append((own & (F.coalesce(F.size(tags), F.lit(0)) <= 0), "no_phenomena", F.lit(None)))
+    one = _faults(manifest, checks)
+    strange = manifest.filter(own).select("run_id", F.explode(tags).alias("detail")).filter(~F.coalesce(F.col("detail").isin(*vocabulary["phenomena"]), F.lit(False)))
+    return one.unionByName(strange.select("run_id", F.lit("unknown_phenomenon").alias("error"), "detail"))
+
+
+def file_faults(runs: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """of files(path, below the test set): listed files that aren't there, and files and folders that a run generated in a run's folder."""
+    path = F.col("path") if "path" in manifest.columns else F.lit(None).cast("string")
+    listed = manifest.filter("trim(run_id) <> ''").select("run_id", F.regexp_replace(F.coalesce(path, F.concat("run_id", F.lit("/run.json"))), r"\\", "/").alias("path"))
+    lost = listed.join(files.select("path").distinct(), "path", "left_anti").select("run_id", F.lit("missing_file").alias("error"), F.col("path").alias("detail"))
+    part = F.split("path", "/")
+    own = files.select(F.get(part, F.lit(0)).alias("run_id"), F.array_join(F.slice(part, 2, F.greatest(F.size(part), F.lit(1))), "/").alias("rest"), F.element_at(part, -1).alias("name"), F.when(F.size(part) > 2, F.get(part, F.lit(1))).alias("folder"))
+    made = _faults(own, [(F.col("name").isin(*GENERATED_FILES) & (F.col("rest") != ""), "generated_file", F.col("rest")), (F.col("folder").isin(*GENERATED_FOLDERS), "generated_folder", F.col("folder"))])
+    return lost.unionByName(made.join(runs.select("run_id").distinct(), "run_id", "left_semi").distinct())
+
+
+def validate_runs(runs: DataFrame, manifest: DataFrame, questions: DataFrame | None = None, files: DataFrame | None = None, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """rows (run_id, error, detail), one for each fault of a test set.
+
+    Of runs(run_id) and manifest(run_id, ...): duplicate_id, duplicate_listing, listed_but_missing, not_in_manifest, and the faults
+    of entries; of questions and files, where given, theirs.
+    """
+    err = lambda d, e: d.select("run_id", F.lit(e).alias("error"), F.lit(None).cast("string").alias("detail"))
+    twice = lambda d: d.groupBy("run_id").count().filter("count > 1")
+    listed = manifest.filter("trim(run_id) <> ''")
+    out = [
+        err(twice(runs), "duplicate_id"),
+        err(twice(listed), "duplicate_listing"),
+        err(listed.select("run_id").distinct().join(runs, "run_id", "left_anti"), "listed_but_missing"),
+        err(runs.join(listed, "run_id", "left_anti"), "not_in_manifest"),
+        listing_faults(manifest, vocabulary),
+    ]
+    if questions is not None:
+        out.append(question_faults(questions, vocabulary))
+    if files is not None:
+        out.append(file_faults(runs, manifest, files))
+    return reduce(DataFrame.unionByName, out)
 
 
 def compare_profiles(cells: DataFrame, profiles: list[str]) -> DataFrame:
@@ -273,18 +402,39 @@ def dedupe_models(df: DataFrame, line: str = "line", pos: str = "pos") -> DataFr
     return out.withColumn("safe_name", F.regexp_replace("model", "[^A-Za-z0-9_.-]+", "_"))
 
 
-def build_cells(runs: DataFrame, scores: DataFrame, calls: DataFrame) -> DataFrame:
-    """one row per run and strategy: counts of its scores, its calls, tokens and whether it is scored.
+def build_cells(runs: DataFrame, scores: DataFrame, calls: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """one row per run and strategy: counts of its scores, its calls, tokens and cost, how it ended, whether it is scored and ok.
 
-    runs(run_id, strategy), scores(run_id, strategy, outcome), calls(run_id, strategy, prompt_tokens, ...).
+    runs(run_id, strategy), scores(run_id, strategy, outcome), calls(run_id, strategy, prompt_tokens, ...), logs(run_id, strategy,
+    exit_code, log, duration_sec, budget_guard), one row each; a run without a log has ended well. Read where the tables have them: cost_usd
+    of calls, error and symbolic_status of scores. A run that the call budget stopped, or that failed, isn't scored: its counts are
+    null and its category is that of F10.
     """
     keys = ["run_id", "strategy"]
     n = lambda x: F.count_if(F.col("outcome") == x)
-    s = scores.groupBy(*keys).agg(F.count("*").alias("total"), n("correct").alias("correct_decisive"), n("incorrect").alias("incorrect_decisive"), n("inconclusive").alias("inconclusive"))
-    u = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("total_tokens"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+    flag = lambda c, test: F.coalesce(F.bool_or(test), F.lit(False)) if c in scores.columns else F.first(F.lit(False))
+    s = scores.groupBy(*keys).agg(
+        F.count("*").alias("total"), n("correct").alias("correct_decisive"), n("incorrect").alias("incorrect_decisive"), n("inconclusive").alias("inconclusive"),
+        flag("error", F.col("error").isNotNull()).alias("_error"), flag("symbolic_status", F.lower("symbolic_status") == "error").alias("_symbolic"),
+    )
+    cost = F.round(F.sum("cost_usd"), 6) if "cost_usd" in calls.columns else F.first(F.lit(None).cast("double"))
+    u = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("total_tokens"), cost.alias("cost_usd"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
     x = runs.select(*keys).distinct().join(s, keys, "left").join(u, keys, "left")
-    category = F.when(F.col("total").isNull(), "evaluation_no_score").when(F.col("n_errors") > 0, "completed_with_errors").otherwise("completed")
-    return x.withColumns({"scored": F.col("total").isNotNull(), "failure_category": category, "n_calls": F.coalesce("n_calls", F.lit(0)), "total_tokens": F.coalesce("total_tokens", F.lit(0))}).drop("n_errors")
+    if logs is None:
+        x = x.withColumns({"exit_code": F.lit(0), "duration_sec": F.lit(None).cast("double"), "_guard": F.lit(False), "_failure": F.lit("completed")})
+    else:
+        guard = F.coalesce("budget_guard", F.lit(False)) if "budget_guard" in logs.columns else F.lit(False)
+        ended = classify_log(logs.select(*keys, "log", "duration_sec", F.coalesce("exit_code", F.lit(0)).alias("exit_code"), guard.alias("budget_guard")))
+        x = x.join(ended.select(*keys, "exit_code", "duration_sec", F.col("budget_guard").alias("_guard"), F.col("failure_category").alias("_failure")), keys, "left")
+        x = x.withColumns({"exit_code": F.coalesce("exit_code", F.lit(0)), "_guard": F.coalesce("_guard", F.lit(False))})
+    failed = F.col("_guard") | (F.col("exit_code") != 0)
+    category = F.when(F.col("_guard"), "llm_budget_guard").when(failed, F.col("_failure")).when(F.col("total").isNull(), "evaluation_no_score")
+    category = category.when(F.col("_error") | (F.col("n_errors") > 0), "completed_with_errors").when(F.col("_symbolic"), "completed_with_symbolic_errors").otherwise("completed")
+    scored = ~failed & F.col("total").isNotNull()
+    counts = {c: F.when(scored, F.col(c)) for c in ("total", "correct_decisive", "incorrect_decisive", "inconclusive")}
+    x = x.withColumns({"scored": scored, "failure_category": category, "n_calls": F.coalesce("n_calls", F.lit(0)), "total_tokens": F.coalesce("total_tokens", F.lit(0))})
+    x = x.withColumns({**counts, "ok": F.col("scored") & (F.col("failure_category") == "completed"), "exit_code": F.when(F.col("_guard") & (F.col("exit_code") == 0), 1).otherwise(F.col("exit_code"))})
+    return x.drop("n_errors", "_error", "_symbolic", "_guard", "_failure")
 
 
 def review_table(results: DataFrame, gold: DataFrame) -> DataFrame:

@@ -61,12 +61,19 @@ def c7_close_world(spark, d):
 
 
 def c8_typed_domains(spark, d):
-    return C.typed_domains(_facts(spark, d), _schema(spark, d))
+    """Every ninth customer is declared in its case, every tenth of them as something the schema doesn't know."""
+    k = F.col("c_custkey")
+    declared = table(spark, d, "customer").filter(k % 9 == 0).select(k.alias("case_id"), F.concat(F.lit("c"), k).alias("entity"), F.when(k % 10 == 0, "Court").otherwise("Customer").alias("type"))
+    return C.typed_domains(_facts(spark, d), _schema(spark, d), declared)
 
 
 def c9_resolve_entity_types(spark, d):
     odd = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("case_id"), F.lit("urgent").alias("symbol"), F.array(F.concat(F.lit("c"), F.col("o_custkey"))).alias("args"), F.lit(True).alias("polarity"), F.lit(None).cast("string").alias("value"))
-    return C.resolve_entity_types(_facts(spark, d).unionByName(odd), _schema(spark, d))
+    k = F.col("c_custkey")
+    name = F.when(k % 7 < 2, "c").when(k % 7 == 2, "x").otherwise("y")
+    declared = table(spark, d, "customer").filter(k % 7 < 4).select(k.alias("case_id"), F.concat(name, k).alias("entity"), F.when(k % 7 == 0, "Order").when(k % 7 == 2, "Customer").otherwise("Court").alias("type"))
+    asked = _queries(spark, d).select("case_id", "symbol", "args")
+    return C.resolve_entity_types(_facts(spark, d).unionByName(odd), _schema(spark, d), asked, declared)
 
 
 def c10_validate_signatures(spark, d):
@@ -75,6 +82,18 @@ def c10_validate_signatures(spark, d):
     return C.validate_signatures(odd, _schema(spark, d))
 
 
+def c10_argument_types(spark, d):
+    """Arguments of every third order in the wrong order, an answer given as a fact, an entity that no other fact names."""
+    k, o, c = F.col("o_orderkey"), F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")
+    pair = F.struct(F.lit("placed_by").alias("symbol"), F.when(k % 3 == 0, F.array(c, o)).otherwise(F.array(o, c)).alias("args"), F.lit(None).cast("string").alias("value"))
+    given = F.when(k % 5 == 0, F.struct(F.lit("is_priority_customer").alias("symbol"), F.array(c).alias("args"), F.lit(None).cast("string").alias("value")))
+    lost = F.when(k % 7 == 0, F.struct(F.lit("total_price").alias("symbol"), F.array(F.concat(F.lit("z"), k)).alias("args"), F.lit("5").alias("value")))
+    facts = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.explode(F.array_compact(F.array(pair, given, lost))).alias("f")).select("case_id", "f.*")
+    schema = _schema(spark, d)
+    may = schema.withColumn("assertable", F.col("kind") == "observable")
+    return C.validate_signatures(facts, may, C.resolve_entity_types(_facts(spark, d), schema))
+
+
 def _queries(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.array(F.concat(F.lit("c"), F.col("c_custkey"))).alias("args"))
     one = c.select(F.concat(F.lit("p"), F.col("case_id")).alias("q_id"), "case_id", F.lit("is_priority_customer").alias("symbol"), "args")
@@ -83,6 +102,8 @@ def _queries(spark, d):
 
 def c11_validate_queries(spark, d):
     q = _queries(spark, d).withColumn("symbol", F.when(F.col("case_id") % 13 == 0, "no_such").otherwise(F.col("symbol")))
+    k = F.col("case_id")
+    q = q.withColumn("args", F.when(k % 17 == 0, F.concat("args", "args")).when(k % 11 == 0, F.array(F.lit("The company"))).when(k % 19 == 0, F.array(F.lit("customer"))).when(k % 23 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("args")))
     return C.validate_queries(q, _schema(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d)))
 
 
@@ -418,11 +439,22 @@ SQL = {
     "c5_exclusive_classes": "SELECT o_custkey AS case_id, concat('o', o_orderkey) AS entity, 'open,urgent' AS classes, 2 AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND (o_orderstatus <> 'F' OR o_orderkey % 97 = 0)",
     "c6_net_extension": f"SELECT case_id, symbol, count(*) FILTER (held) AS n_tuples, count(*) FILTER (NOT held) AS n_denied, coalesce(string_agg(args, ';' ORDER BY string_split(args, ',')) FILTER (held), '') AS tuples FROM (SELECT case_id, symbol, args, bool_and(polarity) AS held FROM ({_F}) WHERE polarity IS NOT NULL GROUP BY case_id, symbol, args) GROUP BY case_id, symbol",
     "c7_close_world": "SELECT DISTINCT o_custkey AS case_id, 'urgent' AS symbol FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "c8_typed_domains": _DOM,
-    "c9_resolve_entity_types": f"""SELECT case_id, entity, string_agg(type, ',' ORDER BY type) AS types, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'conflict' END AS status FROM (SELECT * FROM ({_DOM}) UNION SELECT o_custkey, 'Order', concat('c', o_custkey) FROM orders WHERE o_orderkey % 10 = 0) GROUP BY case_id, entity""",
+    "c8_typed_domains": f"{_DOM} UNION SELECT c_custkey, 'Customer', concat('c', c_custkey) FROM customer WHERE c_custkey % 9 = 0 AND c_custkey % 10 <> 0",
+    "c9_resolve_entity_types": f"""WITH e AS (SELECT case_id, type, entity, 'fact_argument' AS source FROM ({_DOM}) UNION SELECT o_custkey, 'Order', concat('c', o_custkey), 'fact_argument' FROM orders WHERE o_orderkey % 10 = 0
+  UNION SELECT c_custkey, 'Customer', concat('c', c_custkey), 'query_argument' FROM customer),
+ g AS (SELECT case_id, entity, list_sort(list_distinct(list(type))) AS t, array_to_string(list_sort(list_distinct(list(source))), '+') AS s FROM e GROUP BY case_id, entity),
+ dc AS (SELECT c_custkey AS case_id, concat(CASE WHEN c_custkey % 7 < 2 THEN 'c' WHEN c_custkey % 7 = 2 THEN 'x' ELSE 'y' END, c_custkey) AS entity, CASE c_custkey % 7 WHEN 0 THEN 'Order' WHEN 2 THEN 'Customer' ELSE 'Court' END AS declared FROM customer WHERE c_custkey % 7 < 4),
+ j AS (SELECT case_id, entity, coalesce(t, []) AS t, s, declared, coalesce(declared <> 'Court', false) AS known FROM g FULL JOIN dc USING (case_id, entity)),
+ k AS (SELECT *, len(t) > 1 OR (len(t) = 1 AND known AND declared <> t[1]) AS clash FROM j)
+ SELECT case_id, entity, array_to_string(t, ',') AS types, declared, CASE WHEN clash THEN NULL WHEN len(t) = 1 THEN t[1] WHEN known THEN declared END AS resolved,
+  CASE WHEN clash THEN NULL WHEN len(t) = 1 THEN s WHEN known THEN 'declared' END AS source, CASE WHEN clash THEN 'conflict' WHEN len(t) = 1 OR known THEN 'resolved' ELSE 'unmapped' END AS status FROM k""",
     "c10_validate_signatures": """SELECT o_custkey AS case_id, CASE o_orderkey % 4 WHEN 0 THEN 'urgnt' WHEN 1 THEN 'total_price' ELSE 'urgent' END AS symbol, CASE o_orderkey % 4 WHEN 0 THEN 'unknown_symbol' WHEN 1 THEN 'truth_for_function' WHEN 2 THEN 'wrong_arity' ELSE 'value_for_predicate' END AS code,
- CASE WHEN o_orderkey % 4 = 2 THEN 'a,b' ELSE concat('o', o_orderkey) END AS args FROM orders""",
-    "c11_validate_queries": "SELECT concat(k, c_custkey) AS q_id, CASE WHEN c_custkey % 13 = 0 THEN 'unknown_symbol' ELSE 'not_in_domain' END AS code, CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE 0 END AS pos FROM customer, (VALUES ('p'), ('d')) t(k) WHERE c_custkey % 13 = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)",
+ CASE WHEN o_orderkey % 4 = 2 THEN 'a,b' ELSE concat('o', o_orderkey) END AS args, -1 AS pos, CASE WHEN o_orderkey % 4 = 2 THEN '1' END AS expected, CASE WHEN o_orderkey % 4 = 2 THEN '2' END AS found FROM orders""",
+    "c10_argument_types": """SELECT o_custkey AS case_id, 'placed_by' AS symbol, 'wrong_argument_type' AS code, concat('c', o_custkey, ',o', o_orderkey) AS args, pos, CASE pos WHEN 0 THEN 'Order' ELSE 'Customer' END AS expected, CASE pos WHEN 0 THEN 'Customer' ELSE 'Order' END AS found FROM orders, (VALUES (0), (1)) t(pos) WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT o_custkey, 'is_priority_customer', 'not_assertable', concat('c', o_custkey), -1, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0
+ UNION ALL SELECT o_custkey, 'total_price', 'wrong_argument_type', concat('z', o_orderkey), 0, 'Order', NULL FROM orders WHERE o_orderkey % 7 = 0""",
+    "c11_validate_queries": """SELECT q_id, code, CASE WHEN code IN ('unknown_symbol', 'wrong_arity') THEN -1 ELSE 0 END AS pos FROM (SELECT concat(k, c_custkey) AS q_id, CASE WHEN c_custkey % 13 = 0 THEN 'unknown_symbol' WHEN c_custkey % 17 = 0 THEN 'wrong_arity'
+ WHEN c_custkey % 11 = 0 OR c_custkey % 19 = 0 OR c_custkey % 23 = 0 THEN 'placeholder' WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'not_in_domain' END AS code FROM customer, (VALUES ('p'), ('d')) t(k)) WHERE code IS NOT NULL""",
     "c16_ground_atoms": """WITH o AS (SELECT o_custkey AS c, concat('o', o_orderkey) AS x FROM orders), t AS (SELECT c, 'urgent' AS symbol, x AS args, x AS a, '' AS b FROM o UNION ALL SELECT c, 'placed_by', concat(x, ',c', c), x, '' FROM o
  UNION ALL SELECT o.c, 'moved', concat(o.x, ',c', o.c, ',', p.x), o.x, p.x FROM o JOIN o p ON o.c = p.c), r AS (SELECT *, count(*) OVER (PARTITION BY c, symbol) AS n, row_number() OVER (PARTITION BY c, symbol ORDER BY a, b) AS r FROM t)
  SELECT c AS case_id, symbol, args, n > 200 AS cut FROM r WHERE r <= 200""",

@@ -63,6 +63,31 @@ def f4_score_boolean(spark, d):
     return _outcomes(spark, d).select("q_id", "label", "outcome")
 
 
+def _intents(spark, d):
+    """Answers with intents, targets and propagated atoms; some of sets of rules that contradict, some that aren't supported."""
+    q = F.col("q_id")
+    x = table(spark, d, "fx_answers").withColumn("status", F.when(q % 15 == 0, "Inconsistent").when(q % 16 == 0, " unsupported ").otherwise(F.col("status")))
+    atom = lambda p: F.array(F.struct(F.lit(p).alias("predicate"), F.array(F.lit(" Anna"), q.cast("string")).alias("args")))
+    x = S.credence(x).withColumns({
+        "intent": F.when(q % 6 == 0, "get_range").when(q % 6 < 3, "propagation").otherwise("deduction"),
+        "target_predicate": F.when(q % 6 == 2, "owes"),
+        "target_args": F.array(F.lit("anna"), q.cast("string")),
+        "certain_true": F.when(q % 4 == 0, atom("owes")).otherwise(atom("owned")),
+        "certain_false": F.when(q % 4 == 2, atom("owes")),
+        "target": F.when(q % 7 < 3, "Tax_due"),
+        "expected_target": F.when(q % 7 == 0, "tax_due").when(q % 7 < 4, "right"),
+    })
+    return x
+
+
+def f4_score_intents(spark, d):
+    return S.score_boolean(_intents(spark, d)).select("q_id", "outcome")
+
+
+def f6_score_membership(spark, d):
+    return S.score_membership(_intents(spark, d)).select("q_id", "outcome")
+
+
 def f5_score_range(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.floor("o_totalprice").cast("string"), F.lit(" euro")).alias("value"), F.concat(F.floor(F.col("o_totalprice") + F.col("o_orderkey") % 9).cast("string"), F.lit("")).alias("expected"))
     return S.score_range(o, "value", "expected").select("o_orderkey", "match")
@@ -137,8 +162,33 @@ def f20_timing_summary(spark, d):
 
 def f21_validate_runs(spark, d):
     runs = table(spark, d, "orders").filter("o_orderkey % 50 <> 0").select(F.concat(F.lit("run_"), F.col("o_custkey")).alias("run_id"))
-    listed = table(spark, d, "customer").select(F.concat(F.lit("run_"), F.col("c_custkey")).alias("run_id"), F.when(F.col("c_nationkey") % 4 == 3, None).otherwise(F.lit("x")).alias("phenomena"))
-    return S.validate_runs(runs, listed)
+    fixed = {"law_domain": F.lit("company"), "evaluation_group": F.lit("core"), "difficulty": F.lit("basic")}
+    listed = table(spark, d, "customer").select(F.concat(F.lit("run_"), F.col("c_custkey")).alias("run_id"), F.when(F.col("c_nationkey") % 4 == 3, None).otherwise(F.lit("temporal")).alias("phenomena")).withColumns(fixed)
+    return S.validate_runs(runs, listed).select("run_id", "error")
+
+
+def f21_test_set(spark, d):
+    """All checks: every order is a question of its customer's run, every customer is listed."""
+    run = lambda c: F.concat(F.lit("run_"), F.col(c))
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    orders = table(spark, d, "orders")
+    runs = orders.select(run("o_custkey").alias("run_id")).distinct()
+    listed = table(spark, d, "customer").select(
+        F.when(c % 17 == 0, " ").otherwise(run("c_custkey")).alias("run_id"),
+        F.when(c % 13 == 0, F.concat(run("c_custkey"), F.lit("\\case.json"))).alias("path"),
+        F.when(c % 5 == 1, "tax").when(c % 5 > 1, "company").alias("law_domain"),
+        F.when(c % 7 == 0, "odd").otherwise("core").alias("evaluation_group"),
+        F.when(c % 11 == 0, "extreme").otherwise("hard").alias("difficulty"),
+        F.when(c % 4 == 3, None).when(c % 3 == 0, F.array(F.lit("temporal"), F.lit("noise"))).otherwise(F.array(F.lit("temporal"))).alias("phenomena"),
+    )
+    mode = F.when(k % 4 == 0, "boolean").when(k % 4 == 1, "explanation").when(k % 4 == 2, "essay").otherwise("range")
+    expected = F.struct(mode.alias("mode"), F.when(k % 8 < 4, "true").alias("value"), F.when(k % 9 == 0, " ").otherwise("because").alias("reason"))
+    questions = orders.select(run("o_custkey").alias("run_id"), F.when(k % 10 == 0, " ").otherwise(k.cast("string")).alias("q_id"), F.when(k % 14 != 0, F.col("o_orderpriority")).alias("q_text"), F.when(k % 6 != 0, expected).alias("expected"))
+    n = F.col("o_custkey")
+    at = lambda p: F.concat(run("o_custkey"), F.lit(p))
+    paths = F.array(at("/run.json"), F.when(n % 5 == 0, at("/score.json")), F.when(n % 7 == 0, at("/deep/kb.fo")), F.when(n % 9 == 0, at("/work/a.txt")), F.when(n % 9 == 0, at("/work/b.txt")), F.when(n % 26 == 0, at("/case.json")))
+    files = orders.select(F.explode(F.array_compact(paths)).alias("path"))
+    return S.validate_runs(runs, listed, questions, files)
 
 
 def f22_manifest_counts(spark, d):
@@ -158,7 +208,17 @@ def f25_dedupe_models(spark, d):
 def f12_build_cells(spark, d):
     runs = table(spark, d, "fx_calls").select("run_id", "strategy")
     scores = _outcomes(spark, d).select(F.concat(F.lit("run_"), F.lpad((F.col("q_id") % 37).cast("string"), 3, "0")).alias("run_id"), F.concat(F.lit("strategy_"), F.col("q_id") % 4).alias("strategy"), "outcome")
-    return S.build_cells(runs, scores, table(spark, d, "fx_calls"))
+    return S.build_cells(runs, scores, table(spark, d, "fx_calls")).drop("cost_usd", "exit_code", "duration_sec", "ok")
+
+
+def f12_cells_of_logs(spark, d):
+    """Cells with logs: a seventh of the runs failed, the call budget stopped some, some scores report symbolic errors."""
+    calls = table(spark, d, "fx_calls").withColumns({"cost_usd": F.col("prompt_tokens") * 2 / 1_000_000, "error": F.lit(None).cast("string")})
+    q = F.col("q_id")
+    scores = _outcomes(spark, d).filter(q % 37 != 5).select(F.concat(F.lit("run_"), F.lpad((q % 37).cast("string"), 3, "0")).alias("run_id"), F.concat(F.lit("strategy_"), q % 4).alias("strategy"), "outcome", F.when(q % 37 == 8, "Error").alias("symbolic_status"), F.when(q % 37 == 9, "timeout").alias("error"))
+    n = F.substring("run_id", 5, 3).cast("int")
+    logs = calls.groupBy("run_id", "strategy").agg(F.round(F.sum(F.col("call_index") % 100) / 10, 1).alias("duration_sec")).withColumns({"exit_code": F.when(n % 7 == 0, 2).otherwise(0), "log": F.when(n % 2 == 0, "Case extraction failed").otherwise(""), "budget_guard": n % 11 == 3})
+    return S.build_cells(calls, scores, calls, logs.filter(n != 20))
 
 
 def f23_review_table(spark, d):
@@ -174,7 +234,7 @@ def f11_missing_score_reason(spark, d):
     return S.missing_score_reason(cells).select("page_id", "reason")
 
 
-QUERIES = {f.__name__: f for f in (f11_missing_score_reason, f12_build_cells, f23_review_table, f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
+QUERIES = {f.__name__: f for f in (f11_missing_score_reason, f12_build_cells, f12_cells_of_logs, f4_score_intents, f6_score_membership, f21_test_set, f23_review_table, f1_normalize_label, f2_parse_answer, f3_score_answer, f4_score_boolean, f5_score_range, f6_score_set, f7_score_belief, f8_run_score, f9_warning_counts, f10_classify_log, f13_status_summary, f14_grouped_metrics, f15_phenomenon_metrics, f16_model_ranking, f17_baseline_summary, f18_system_summary, f19_accuracy_matrix, f20_timing_summary, f21_validate_runs, f22_manifest_counts, f24_compare_profiles, f25_dedupe_models)}
 
 _SAID = "upper(trim(said, chr(32) || chr(9) || chr(10) || chr(13)))"
 
@@ -184,6 +244,12 @@ SQL = {
     "f12_build_cells": f"""WITH r AS (SELECT DISTINCT run_id, strategy FROM fx_calls), s AS (SELECT concat('run_', lpad(CAST(q_id % 37 AS VARCHAR), 3, '0')) AS run_id, concat('strategy_', q_id % 4) AS strategy, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct_decisive, count(*) FILTER (outcome = 'incorrect') AS incorrect_decisive, count(*) FILTER (outcome = 'inconclusive') AS inconclusive FROM ({_OUTCOME}) GROUP BY 1, 2),
  u AS (SELECT run_id, strategy, count(*) AS n_calls, CAST(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens, count(error) AS n_errors FROM fx_calls GROUP BY 1, 2)
  SELECT r.run_id, r.strategy, total, correct_decisive, incorrect_decisive, inconclusive, n_calls, total_tokens, total IS NOT NULL AS scored, CASE WHEN total IS NULL THEN 'evaluation_no_score' WHEN n_errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS failure_category FROM r LEFT JOIN s ON r.run_id = s.run_id AND r.strategy = s.strategy LEFT JOIN u ON r.run_id = u.run_id AND r.strategy = u.strategy""",
+    "f12_cells_of_logs": f"""WITH s AS (SELECT concat('run_', lpad(CAST(q_id % 37 AS VARCHAR), 3, '0')) AS run_id, concat('strategy_', q_id % 4) AS strategy, count(*) AS t, count(*) FILTER (outcome = 'correct') AS c, count(*) FILTER (outcome = 'incorrect') AS i, count(*) FILTER (outcome = 'inconclusive') AS o FROM ({_OUTCOME}) WHERE q_id % 37 <> 5 GROUP BY 1, 2),
+ u AS (SELECT run_id, strategy, CAST(substr(run_id, 5, 3) AS INT) AS n, count(*) AS n_calls, CAST(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS BIGINT) AS total_tokens, round(CAST(sum(prompt_tokens) AS BIGINT) * 2 / 1000000, 6) AS cost_usd, round(CAST(sum(call_index % 100) AS BIGINT) / 10, 1) AS secs FROM fx_calls GROUP BY 1, 2),
+ x AS (SELECT u.*, t, c, i, o, n <> 20 AND n % 11 = 3 AS guard, n <> 20 AND n % 7 = 0 AS broke FROM u LEFT JOIN s ON u.run_id = s.run_id AND u.strategy = s.strategy),
+ y AS (SELECT *, NOT guard AND NOT broke AND t IS NOT NULL AS scored, CASE WHEN guard THEN 'llm_budget_guard' WHEN broke AND n % 2 = 0 THEN 'case_extraction' WHEN broke THEN 'process_error' WHEN t IS NULL THEN 'evaluation_no_score' WHEN n = 9 THEN 'completed_with_errors' WHEN n = 8 THEN 'completed_with_symbolic_errors' ELSE 'completed' END AS failure_category FROM x)
+ SELECT run_id, strategy, CASE WHEN scored THEN t END AS total, CASE WHEN scored THEN c END AS correct_decisive, CASE WHEN scored THEN i END AS incorrect_decisive, CASE WHEN scored THEN o END AS inconclusive, n_calls, total_tokens, cost_usd, CASE WHEN broke THEN 2 WHEN guard THEN 1 ELSE 0 END AS exit_code,
+  CASE WHEN n <> 20 THEN secs END AS duration_sec, scored, failure_category, scored AND failure_category = 'completed' AS ok FROM y""",
     "f23_review_table": """SELECT d.doc_id AS id, CASE WHEN d.doc_id % 6 = 0 THEN ' ' ELSE source END AS answer, CAST(quality AS VARCHAR) AS gold, CASE WHEN d.doc_id % 6 = 0 THEN 'no_answer' WHEN quality IS NULL THEN 'no_gold' ELSE 'to_review' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "f1_normalize_label": f"SELECT doc_id, {_NORM} AS label FROM ({_WORDS})",
     "f2_parse_answer": f"""WITH c AS (SELECT conv_id, max(turn) AS turn, min(text) AS text FROM conversations GROUP BY conv_id),
@@ -193,6 +259,10 @@ SQL = {
  SELECT conv_id, CASE WHEN t IN ('TRUE','FALSE','UNKNOWN') THEN t WHEN stated <> '' THEN stated WHEN len(named) = 1 AND length(t) <= 80 THEN named[1] END AS label FROM v""",
     "f3_score_answer": f"SELECT doc_id, CASE WHEN p IS NULL OR p = 'UNKNOWN' THEN 'inconclusive' WHEN p = gold THEN 'correct' ELSE 'wrong' END AS outcome FROM (SELECT doc_id, gold, {_NORM} AS p FROM ({_WORDS}))",
     "f4_score_boolean": f"SELECT q_id, label, outcome FROM ({_OUTCOME})",
+    "f4_score_intents": f"""SELECT q_id, CASE WHEN q_id % 15 = 0 THEN 'status_inconsistent' WHEN q_id % 16 = 0 THEN 'status_unsupported' WHEN status <> 'ok' THEN 'status_' || status
+ WHEN q_id % 6 = 2 THEN CASE WHEN q_id % 4 = 0 THEN CASE WHEN expected_value THEN 'correct' ELSE 'incorrect' END WHEN q_id % 4 = 2 THEN CASE WHEN expected_value THEN 'incorrect' ELSE 'correct' END ELSE 'inconclusive' END
+ WHEN q_id % 6 < 2 THEN 'unscored_intent' WHEN label <> 'unknown' AND q_id % 7 IN (1, 2) THEN 'target_mismatch' ELSE outcome END AS outcome FROM ({_OUTCOME})""",
+    "f6_score_membership": """SELECT q_id, CASE WHEN q_id % 6 <> 2 OR q_id % 4 NOT IN (0, 2) THEN 'inconclusive' WHEN (q_id % 4 = 0) = expected_value THEN 'correct' ELSE 'incorrect' END AS outcome FROM fx_answers""",
     "f5_score_range": "SELECT o_orderkey, abs(floor(o_totalprice) - floor(o_totalprice + o_orderkey % 9)) <= 5 AS match FROM orders",
     "f6_score_set": """SELECT p_partkey, list_sort(list_distinct(list_transform(v, lambda x: lower(x)))) = list_sort(list_distinct(list_transform(e, lambda x: lower(x)))) AS match
  FROM (SELECT p_partkey, v, CASE WHEN p_partkey % 2 = 0 THEN list_transform(v, lambda x: upper(x)) ELSE v[1:1] END AS e FROM (SELECT p_partkey, string_split(p_name, ' ') AS v FROM part))""",
@@ -226,6 +296,16 @@ SQL = {
     "f21_validate_runs": """WITH r AS (SELECT concat('run_', o_custkey) AS run_id FROM orders WHERE o_orderkey % 50 <> 0), m AS (SELECT concat('run_', c_custkey) AS run_id, c_nationkey % 4 = 3 AS untagged FROM customer)
  SELECT run_id, 'duplicate_id' AS error FROM r GROUP BY run_id HAVING count(*) > 1 UNION ALL SELECT run_id, 'listed_but_missing' FROM m WHERE run_id NOT IN (SELECT run_id FROM r)
  UNION ALL SELECT run_id, 'not_in_manifest' FROM r WHERE run_id NOT IN (SELECT run_id FROM m) UNION ALL SELECT run_id, 'no_phenomena' FROM m WHERE untagged""",
+    "f21_test_set": """WITH m AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE concat('run_', c_custkey) END AS run_id, c_custkey % 17 <> 0 AS own FROM customer), r AS (SELECT DISTINCT o_custkey AS n, concat('run_', o_custkey) AS run_id FROM orders),
+ q AS (SELECT concat('run_', o_custkey) AS run_id, o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS q_id FROM orders)
+ SELECT run_id, 'listed_but_missing' AS error, NULL AS detail FROM m WHERE own AND run_id NOT IN (SELECT run_id FROM r) UNION ALL SELECT run_id, 'not_in_manifest', NULL FROM r WHERE run_id NOT IN (SELECT run_id FROM m)
+ UNION ALL SELECT run_id, 'missing_id', NULL FROM m WHERE NOT own UNION ALL SELECT run_id, 'missing_law_domain', NULL FROM m WHERE own AND c % 5 = 0 UNION ALL SELECT run_id, 'unknown_law_domain', 'tax' FROM m WHERE own AND c % 5 = 1
+ UNION ALL SELECT run_id, 'unknown_evaluation_group', 'odd' FROM m WHERE own AND c % 7 = 0 UNION ALL SELECT run_id, 'unknown_difficulty', 'extreme' FROM m WHERE own AND c % 11 = 0
+ UNION ALL SELECT run_id, 'no_phenomena', NULL FROM m WHERE own AND c % 4 = 3 UNION ALL SELECT run_id, 'unknown_phenomenon', 'noise' FROM m WHERE own AND c % 4 <> 3 AND c % 3 = 0
+ UNION ALL SELECT run_id, 'missing_question_id', q_id FROM q WHERE k % 10 = 0 UNION ALL SELECT run_id, 'missing_question_text', q_id FROM q WHERE k % 14 = 0 UNION ALL SELECT run_id, 'missing_expected', q_id FROM q WHERE k % 6 = 0
+ UNION ALL SELECT run_id, 'unknown_mode', 'essay' FROM q WHERE k % 6 <> 0 AND k % 4 = 2 UNION ALL SELECT run_id, 'missing_value', q_id FROM q WHERE k % 6 <> 0 AND k % 4 IN (0, 3) AND k % 8 >= 4 UNION ALL SELECT run_id, 'missing_reason', q_id FROM q WHERE k % 6 <> 0 AND k % 9 = 0
+ UNION ALL SELECT m.run_id, 'missing_file', m.run_id || CASE WHEN c % 13 = 0 THEN '/case.json' ELSE '/run.json' END FROM m LEFT JOIN r ON m.run_id = r.run_id WHERE own AND (r.run_id IS NULL OR c % 26 = 13)
+ UNION ALL SELECT run_id, 'generated_file', 'score.json' FROM r WHERE n % 5 = 0 UNION ALL SELECT run_id, 'generated_file', 'deep/kb.fo' FROM r WHERE n % 7 = 0 UNION ALL SELECT run_id, 'generated_folder', 'work' FROM r WHERE n % 9 = 0""",
     "f22_manifest_counts": """SELECT 'evaluation_group' AS dimension, evaluation_group AS value, count(*) AS n FROM fx_manifest GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, count(*) FROM fx_manifest GROUP BY 2
  UNION ALL SELECT 'law_domain', law_domain, count(*) FROM fx_manifest GROUP BY 2 UNION ALL SELECT 'phenomenon', p, count(*) FROM (SELECT unnest(string_split(phenomena, ',')) AS p FROM fx_manifest) GROUP BY 2""",
     "f24_compare_profiles": """SELECT o_custkey AS run_key, CAST(coalesce(sum(correct_decisive) FILTER (strategy < '3'), 0) AS BIGINT) AS cheap_correct, count(*) FILTER (strategy < '3') AS cheap_cells,
