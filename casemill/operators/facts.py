@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.text import safe_entity
+from casemill.functions.text import output_category, question_tokens, safe_entity, symbol_tokens
+from casemill.operators.routing import assertable
 
 #: A fact line in one pattern: a sign, a name, arguments, and a value or a truth.
 LINE = r"(?i)^(?:(not)\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^()]*)\)(?:\s*=\s*(.+?)|\s+(is)\s+(true|false))?\s*\.$"
@@ -266,17 +267,68 @@ def undeclared_symbols(usages: DataFrame, symbols: DataFrame, limit: int = 20) -
     return names.withColumn("n_undeclared", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("symbol"))).filter(F.col("r") <= limit).drop("r")
 
 
-def suggest_replacements(rejected: DataFrame, symbols: DataFrame, k: int = 12, least: float = 0.04) -> DataFrame:
-    """For rejected(set_id, name) the observable symbols(set_id, name) of the set ranked by 2.5 times the Jaccard
-    similarity of the names' tokens; scores below ``least`` and all but the first k are left out."""
-    from casemill.functions.text import symbol_tokens
-
-    tokens = lambda c: F.array_distinct(symbol_tokens(F.col(c)))
-    r = rejected.select("set_id", F.col("name").alias("rejected"), tokens("name").alias("t")).distinct()
-    s = symbols.select("set_id", F.col("name").alias("suggested"), tokens("name").alias("u")).distinct()
-    a = r.select("set_id", "rejected", F.size("t").alias("nt"), F.explode("t").alias("w"))
-    b = s.select("set_id", "suggested", F.size("u").alias("nu"), F.explode("u").alias("w"))
-    both = a.join(b, ["set_id", "w"]).groupBy("set_id", "rejected", "suggested", "nt", "nu").agg(F.count("*").alias("n"))
-    score = F.round(2.5 * F.col("n") / (F.col("nt") + F.col("nu") - F.col("n")), 6)
-    rank = F.row_number().over(Window.partitionBy("set_id", "rejected").orderBy(F.desc("score"), "suggested"))
-    return both.withColumn("score", score).filter((F.col("score") >= least) & (F.col("rejected") != F.col("suggested"))).withColumn("rank", rank).filter(F.col("rank") <= k).select("set_id", "rejected", "rank", "suggested", "score")
+#: Codes of rejections that call for a decomposition.
+COMPOSITE_CODES = ("derived_or_helper", "computed_composite", "classification_output")
+
+
+def replacement_roles(symbols: DataFrame) -> DataFrame:
+    """Symbols as C12 reads them, with returns: those a case may state instead of a rejected one, by role: function (a
+    number that isn't derived), predicate (an atomic observable one), threshold (a composite one marked as observable)."""
+    low = lambda c, other="": F.lower(F.trim(F.coalesce(F.col(c), F.lit(other))))
+    direct = F.coalesce("directly_observable", F.lit(False))
+    x = assertable(symbols).withColumn("_output", output_category(F.col("name"), F.col("kind"), F.col("legal_output"), F.col("category")))
+    exempt = direct | F.coalesce("case_input", F.lit(False)) | low("kind").isin("background", "case_input")
+    stated = exempt | (low("kind").isin("observable", "input", "function") & ~(F.col("computed") & (low("kind") != "observable")))
+    function = F.trim("returns").isin("Int", "Real", "Float") & ~low("kind").isin("helper", "derived") & stated
+    truth = low("returns", "Bool") == "bool"
+    composite = F.col("symbol_class").isin("conclusion", "threshold")
+    atomic = low("kind").isin("observable", "input") & ~F.coalesce("legal_output", F.lit(False)) & ~F.col("_output").isin("effect", "classification") & ~composite
+    role = F.when(function, "function").when(truth & F.col("allowed") & atomic, "predicate").when(truth & F.col("allowed") & direct & composite, "threshold")
+    return x.withColumn("role", role).filter("role is not null").select(*symbols.columns, "role")
+
+
+def suggest_replacements(rejected: DataFrame, symbols: DataFrame, k: int = 12, least: float = 0.04, cases: DataFrame | None = None) -> DataFrame:
+    """For rejected(set_id, name, with description, code and case_id where there are any) the symbols(set_id, name, with description,
+    role and directly_observable) of the set that a case may state instead, at most k, by falling score, then name.
+
+    The score is 2.5 times the Jaccard similarity of the tokens of names and descriptions, 1.8 times that of the
+    symbol's and the text's of cases(case_id, text), 0.45 for a function and 0.25 for an observable symbol where the code calls for a
+    decomposition, and 0.4 for thresholds. Scores below ``least`` are left out. Symbols without a role count as predicates.
+    """
+    tokens = lambda df: F.array_distinct(F.concat(symbol_tokens(F.col("name")), symbol_tokens(F.col("description") if "description" in df.columns else F.lit(""))))
+    opt = lambda df, c, t: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)
+    case_type = cases.schema["case_id"].dataType.simpleString() if cases is not None else "string"
+    composite = F.coalesce(opt(rejected, "code", "string").isin(*COMPOSITE_CODES), F.lit(False)).cast("int")
+    r = rejected.select("set_id", opt(rejected, "case_id", case_type).alias("case_id"), F.col("name").alias("rejected"), composite.alias("comp"), tokens(rejected).alias("t")).distinct()
+    role = F.coalesce(opt(symbols, "role", "string"), F.lit("predicate"))
+    seen = (F.coalesce(opt(symbols, "directly_observable", "boolean"), F.lit(False)) | (role == "threshold")).cast("int")
+    function, threshold = (role == "function").cast("int"), (role == "threshold").cast("int")
+    s = symbols.select("set_id", F.col("name").alias("suggested"), function.alias("function"), threshold.alias("threshold"), seen.alias("seen"), tokens(symbols).alias("u"), F.explode(F.array(F.lit(0), F.lit(1))).alias("comp"))
+    extra = F.col("comp") * (0.45 * F.col("function") + 0.25 * F.col("seen")) + F.col("threshold") * F.when(F.col("comp") == 1, 0.15).otherwise(0.4)
+    s = s.withColumn("extra", F.round(extra, 6)).distinct()
+    keys = ["set_id", "case_id", "rejected", "comp"]
+    # words bring names together; of what shares none only the best of a set can be among the first k
+    words = s.select("set_id", "comp", "suggested", F.explode("u").alias("w"))
+    near = r.select(*keys, F.explode("t").alias("w")).join(words, ["set_id", "comp", "w"]).select(*keys, "suggested")
+    if cases is not None:
+        texts = cases.select("case_id", F.array_union(question_tokens(F.col("text")), F.array_distinct(symbol_tokens(F.col("text")))).alias("c")).withColumn("c", F.when(F.size("c") > 0, F.col("c")))
+        r = r.join(texts, "case_id", "left")
+        told = r.select("set_id", "case_id", "comp", "c").distinct().select("set_id", "case_id", "comp", F.explode("c").alias("w")).join(words, ["set_id", "comp", "w"]).select("set_id", "case_id", "comp", "suggested").distinct()
+        near = near.unionByName(r.select(*keys).join(told, ["set_id", "case_id", "comp"]))
+    else:
+        r = r.withColumn("c", F.lit(None).cast("array<string>"))
+    best = F.row_number().over(Window.partitionBy("set_id", "comp").orderBy(F.desc("extra"), "suggested"))
+    plain = s.filter("extra > 0").withColumn("r", best).filter(F.col("r") <= k + 1).select("set_id", "comp", "suggested")
+    pairs = near.unionByName(r.select(*keys).join(plain, ["set_id", "comp"])).distinct().filter(F.col("rejected") != F.col("suggested"))
+    like = pairs.columns
+    joined = pairs.alias("p").join(r.alias("r"), (F.col("p.set_id") == F.col("r.set_id")) & F.col("p.case_id").eqNullSafe(F.col("r.case_id")) & (F.col("p.rejected") == F.col("r.rejected")) & (F.col("p.comp") == F.col("r.comp")))
+    x = joined.select(*[F.col(f"p.{c}").alias(c) for c in like], "t", "c").join(s, ["set_id", "comp", "suggested"])
+    share = lambda v: F.coalesce(F.try_divide(F.size(F.array_intersect(v, "u")), F.size(F.array_union(v, "u"))), F.lit(0.0))
+    name, text = share(F.col("t")), F.when(F.col("c").isNull(), 0.0).otherwise(share(F.col("c")))
+    x = x.withColumns({"score": F.round(2.5 * name + 1.8 * text + F.col("extra"), 6), "_name": name > 0, "_text": text > 0})
+    on = lambda c: F.col(c) == 1
+    reasons = F.array_compact(F.array(F.when(F.col("_name"), "name"), F.when(F.col("_text"), "case_text"), F.when(on("comp") & on("function"), "numeric_function"), F.when(on("seen") & (on("comp") | on("threshold")), "observable")))
+    x = x.filter((F.col("score") >= least) | (on("comp") & on("function")))
+    rank = F.row_number().over(Window.partitionBy("set_id", "case_id", "rejected", "comp").orderBy(F.desc("score"), "suggested"))
+    out = x.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.select("set_id", "case_id", "rejected", "rank", "suggested", "score", F.array_join(reasons, ",").alias("reasons"))

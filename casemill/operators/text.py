@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.grams import contained
-from casemill.functions.text import NO_ENTITY, evidence_form, normalize_article, numbers, symbol_tokens
+from casemill.functions.text import NO_ENTITY, cue, evidence_form, normalize_article, numbers, question_tokens, symbol_tokens
 
 #: Ordinals before "lid", in two languages.
 ORDINALS = {"eerste": 1, "tweede": 2, "derde": 3, "vierde": 4, "vijfde": 5, "zesde": 6, "zevende": 7, "achtste": 8, "negende": 9, "tiende": 10, "first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5}
@@ -180,18 +180,37 @@ def evidence_snippets(cases: DataFrame, symbols: DataFrame, k: int = 5, pairs: D
     return hit.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "symbol", "rank", "pos", "by")
 
 
-def lexical_match(hints: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Best symbol for a hint by shared tokens: 2 * shared / (size + size), ties by name.
+def lexical_match(hints: DataFrame, symbols: DataFrame, prefer_derived: bool = False) -> DataFrame:
+    """Best symbol for a hint: one of the same name but for case, dashes and underscores (score 1), else the highest score
+    above 0; ties by name.
 
-    hints(hint_id, hint), symbols(name).
+    hints(hint_id, hint, with question where there is one), symbols(name, with kind, background and effect). The score is 2 * shared / (size +
+    size) of the hint's and the name's tokens and 0.7 of the share of the name's tokens that the question has; with ``prefer_derived`` 0.25
+    for derived symbols, -0.15 for observable ones; where the question asks for an effect -2 for background, else 0.35 for effects.
     """
-    h = hints.select("hint_id", F.array_distinct(symbol_tokens(F.col("hint"))).alias("t"))
-    s = symbols.select("name", F.array_distinct(symbol_tokens(F.col("name"))).alias("t")).distinct()
-    x = h.select("hint_id", F.size("t").alias("nh"), F.explode("t").alias("w"))
-    y = s.select("name", F.size("t").alias("ns"), F.explode("t").alias("w"))
-    score = x.join(y, "w").groupBy("hint_id", "name", "nh", "ns").agg(F.count("*").alias("shared")).withColumn("score", F.round(2 * F.col("shared") / (F.col("nh") + F.col("ns")), 6))
-    rank = F.row_number().over(Window.partitionBy("hint_id").orderBy(F.desc("score"), "name"))
-    return score.withColumn("rank", rank).filter("rank = 1").select("hint_id", "name", "score")
+    has, low = set(symbols.columns), lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in has else F.lit(False)
+    kind = low("kind") if "kind" in has else F.lit("")
+    own = F.when(kind.isin("derived", "conclusion"), 0.25).when(kind.isin("observable", "input"), -0.15).otherwise(0.0) if prefer_derived else F.lit(0.0)
+    asked = F.when(flag("background"), -2.0).when(flag("effect"), 0.35).otherwise(0.0)
+    plain = lambda c: F.regexp_replace(low(c), "[_-]", "")
+    question = F.col("question") if "question" in hints.columns else F.lit(None).cast("string")
+    h = hints.select("hint_id", "hint", F.array_distinct(symbol_tokens(F.col("hint"))).alias("t"), question_tokens(question).alias("q"), (cue(question, "effect") > 0).cast("int").alias("asks"))
+    s = symbols.select("name", F.array_distinct(symbol_tokens(F.col("name"))).alias("t"), own.alias("own"), asked.alias("asked")).filter(F.size("t") > 0).distinct()
+    keys = ["hint_id", "asks", "nh", "name", "ns", "own", "asked"]
+    side = lambda w: F.struct(w.alias("w"), F.array_contains("t", w).cast("int").alias("in_hint"), F.array_contains("q", w).cast("int").alias("in_question"))
+    x = h.select("hint_id", "asks", F.size("t").alias("nh"), F.explode(F.transform(F.array_union("t", "q"), side)).alias("x")).select("hint_id", "asks", "nh", "x.*")
+    y = s.select("name", "own", "asked", F.size("t").alias("ns"), F.explode("t").alias("w"))
+    both = x.join(y, "w").groupBy(*keys).agg(F.sum("in_hint").alias("a"), F.sum("in_question").alias("b"))
+    score = F.when(F.col("nh") > 0, 2 * F.col("a") / (F.col("nh") + F.col("ns"))).otherwise(0.0) + 0.7 * F.col("b") / F.col("ns") + F.col("own") + F.col("asks") * F.col("asked")
+    rank = lambda exact, v: F.struct(F.lit(exact).alias("other"), (-v).alias("minus"), F.col("name"))
+    found = both.select("hint_id", rank(1, F.round(score, 6)).alias("m"))
+    # of what shares no word only the best of all can win: one symbol for each of the two kinds of questions
+    bonus = s.select("name", F.explode(F.array(F.lit(0), F.lit(1))).alias("asks"), "own", "asked").select("asks", rank(1, F.round(F.col("own") + F.col("asks") * F.col("asked"), 6)).alias("m"))
+    found = found.unionByName(h.select("hint_id", "asks").join(F.broadcast(bonus.groupBy("asks").agg(F.min("m").alias("m"))), "asks").select("hint_id", "m"))
+    same = h.select("hint_id", plain("hint").alias("p")).filter("p <> ''").join(s.groupBy(plain("name").alias("p")).agg(F.min("name").alias("name")), "p")
+    found = found.unionByName(same.select("hint_id", rank(0, F.lit(1.0)).alias("m")))
+    return found.filter("m.minus < 0").groupBy("hint_id").agg(F.min("m").alias("m")).select("hint_id", "m.name", (-F.col("m.minus")).alias("score"))
 
 
 def scope_text(cited: DataFrame, retrieved: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:

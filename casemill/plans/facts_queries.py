@@ -353,7 +353,18 @@ def e21_answer_text(spark, d):
 
 def c13_suggest_replacements(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") % 20).alias("set_id"), F.regexp_replace("p_name", " ", "_").alias("name"), "p_partkey")
-    return C.suggest_replacements(p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 3 <> 0"), 4)
+    return C.suggest_replacements(p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 3 <> 0"), 4).drop("case_id", "reasons")
+
+
+def c13_case_replacements(spark, d):
+    """The names of each set, some rejected with a code and the set's own case; roles and descriptions of the others."""
+    k = F.col("k")
+    p = table(spark, d, "part").groupBy((F.col("p_partkey") % 20).alias("set_id"), F.regexp_replace("p_name", " ", "_").alias("name")).agg(F.min("p_partkey").alias("k"), F.lower(F.min_by("p_type", "p_partkey")).alias("description"))
+    cases = p.groupBy(F.col("set_id").alias("case_id")).agg(F.concat(F.lit("A "), F.regexp_replace(F.min("name"), "_", " "), F.lit(" costs 50.000")).alias("text"))
+    rejected = p.filter(k % 3 == 0).select("set_id", F.when(k % 5 != 0, F.col("set_id")).alias("case_id"), "name", "description", F.when(k % 2 == 0, "computed_composite").otherwise("legal_output").alias("code"))
+    role = F.when(k % 3 == 1, "function").when(k % 5 == 0, "threshold").otherwise("predicate")
+    symbols = p.filter(k % 3 != 0).select("set_id", "name", "description", role.alias("role"), (k % 4 == 0).alias("directly_observable"))
+    return C.suggest_replacements(rejected, symbols, cases=cases)
 
 
 def c19_bind_period(spark, d):
@@ -496,6 +507,15 @@ SQL = {
     "e18_credence": f"""SELECT q_id, label, CASE label WHEN 'entailed' THEN 1.0 WHEN 'contradicted' THEN 0.0 ELSE 0.7 END AS p_yes, CASE WHEN status <> 'ok' THEN 0 WHEN label = 'unknown' THEN 40 ELSE 100 END AS verdict_strength_pct, CASE label WHEN 'entailed' THEN 100 WHEN 'contradicted' THEN 0 ELSE 70 END AS credence_yes_pct, label = 'unknown' AS symbolic_inconclusive FROM (SELECT *, {_LAB} AS label FROM fx_answers)""",
     "e19_criteria_count": f"SELECT entity, period, n_exceeded, n_exceeded <= 1 AS class_holds FROM ({_YEARS})",
     "e20_consecutive_effect": f"""WITH y AS (SELECT entity, period FROM ({_YEARS}) WHERE n_exceeded > 1) SELECT b.entity, b.period + 1 AS effect_period FROM y a JOIN y b ON a.entity = b.entity AND b.period = a.period + 1""",
+    "c13_case_replacements": """WITH g AS (SELECT p_partkey % 20 AS set_id, replace(p_name, ' ', '_') AS name, min(p_partkey) AS k, lower(arg_min(p_type, p_partkey)) AS d FROM part GROUP BY 1, 2),
+ t AS (SELECT *, list_distinct(string_split(lower(name), '_') || [d]) AS t FROM g), w AS (SELECT set_id, string_split(lower(min(name)), '_') AS w FROM g GROUP BY set_id),
+ cs AS (SELECT set_id, list_distinct(['a', 'costs', '50.000', 'cost', '000'] || w || list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: CASE WHEN suffix(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END)) AS c FROM w),
+ r AS (SELECT t.set_id, CASE WHEN k % 5 <> 0 THEN t.set_id END AS case_id, name AS rejected, t, k % 2 = 0 AS comp, CASE WHEN k % 5 <> 0 THEN c END AS c FROM t JOIN cs ON t.set_id = cs.set_id WHERE k % 3 = 0),
+ s AS (SELECT set_id, name AS suggested, t AS u, k % 3 = 1 AS func, k % 3 = 2 AND k % 5 = 0 AS thr, k % 4 = 0 OR (k % 3 = 2 AND k % 5 = 0) AS seen FROM t WHERE k % 3 <> 0),
+ j AS (SELECT r.set_id, case_id, rejected, suggested, comp, func, seen, thr, len(list_intersect(t, u)) AS a, coalesce(len(list_intersect(c, u)), 0) AS b, len(t) AS nt, coalesce(len(c), 0) AS nc, len(u) AS nu FROM r JOIN s ON r.set_id = s.set_id),
+ x AS (SELECT *, round(2.5 * a / (nt + nu - a) + 1.8 * b / (nc + nu - b) + CASE WHEN comp AND func THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CASE WHEN comp AND seen THEN CAST(0.25 AS DOUBLE) ELSE 0 END + CASE WHEN thr THEN CASE WHEN comp THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END ELSE 0 END, 6) AS score FROM j)
+ SELECT set_id, case_id, rejected, rank, suggested, score, concat_ws(',', CASE WHEN a > 0 THEN 'name' END, CASE WHEN b > 0 THEN 'case_text' END, CASE WHEN comp AND func THEN 'numeric_function' END, CASE WHEN seen AND (comp OR thr) THEN 'observable' END) AS reasons
+ FROM (SELECT *, row_number() OVER (PARTITION BY set_id, rejected ORDER BY score DESC, suggested) AS rank FROM x WHERE score >= 0.04) WHERE rank <= 12""",
     "c13_suggest_replacements": """WITH p AS (SELECT DISTINCT p_partkey % 20 AS set_id, p_partkey % 3 = 0 AS bad, replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part),
  j AS (SELECT a.set_id, a.name AS rejected, b.name AS suggested, len(list_intersect(a.t, b.t)) AS n, len(a.t) + len(b.t) AS m FROM p a JOIN p b ON a.set_id = b.set_id AND a.bad AND NOT b.bad AND a.name <> b.name),
  s AS (SELECT *, round(2.5 * n / (m - n), 6) AS score FROM j WHERE n > 0)
