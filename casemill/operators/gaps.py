@@ -6,11 +6,13 @@ word, and of the others only the best of a set can be among the first k, so that
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.text import CLASS_CATEGORIES, cue, evidence_form, output_category, question_tokens, safe_entity, symbol_tokens
-from casemill.operators.facts import typed_positions
+from casemill.operators.facts import PLACEHOLDERS, typed_positions
 from casemill.operators.routing import assertable, classify_symbols
 from casemill.operators.text import lexical_match
 
@@ -225,8 +227,12 @@ def _resolved(rows: DataFrame, schema: DataFrame, key: str, hint: str) -> DataFr
     """The schema's best name for each hint (B25), with its signature; null where nothing shares a word."""
     wanted = rows.select(F.col(hint).alias("hint_id"), F.col(hint).alias("hint")).distinct()
     best = lexical_match(wanted, schema.select("name")).select(F.col("hint_id").alias(hint), F.col("name").alias("resolved"))
+    return _signed(rows.join(best, hint, "left"), schema)
+
+
+def _signed(rows: DataFrame, schema: DataFrame) -> DataFrame:
     sig = schema.select(F.col("name").alias("resolved"), F.col("args").alias("types"), F.col("kind").alias("sig_kind"), "returns")
-    return rows.join(best, hint, "left").join(sig, "resolved", "left")
+    return rows.join(sig, "resolved", "left")
 
 
 def normalize_cases(assertions: DataFrame, schema: DataFrame, declared: DataFrame) -> DataFrame:
@@ -254,8 +260,90 @@ def normalize_cases(assertions: DataFrame, schema: DataFrame, declared: DataFram
     return facts.unionByName(entities).unionByName(rejects).distinct()
 
 
+def _orders(n: int) -> Column:
+    return F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(n))])
+
+
+def assign_arguments(queries: DataFrame, domains: DataFrame) -> DataFrame:
+    """Arguments of queries(q_id, case_id, args, types, ...), one row for each q_id, in the order that fits most of the types.
+
+    domains(case_id, type, entity) say what an argument is; of orders that fit equally well the one that moves fewest arguments is
+    taken, then the first. Words that name nothing, and the type itself, become empty arguments, as do missing ones. Symbols of one
+    argument or of more than five, and queries with too many arguments, keep their order.
+    """
+    own = queries.select("q_id", "case_id", "types", F.posexplode("args").alias("i", "entity"))
+    blank = F.coalesce(F.col("entity").isin(*PLACEHOLDERS) | F.array_contains(F.transform("types", safe_entity), F.col("entity")), F.lit(True))
+    own = own.select("q_id", "case_id", "i", F.when(blank, "").otherwise(F.col("entity")).alias("entity"))
+    kinds = domains.groupBy("case_id", "entity").agg(F.collect_set("type").alias("kinds"))
+    none = F.array().cast("array<string>")
+    given = own.join(kinds, ["case_id", "entity"], "left").select("q_id", F.struct("i", "entity", F.coalesce("kinds", none).alias("kinds")).alias("a")).groupBy("q_id").agg(F.array_sort(F.collect_list("a")).alias("_given"))
+    x = queries.join(given, "q_id", "left")
+    n = F.coalesce(F.size("types"), F.lit(0))
+    pad = F.struct(F.lit(0).alias("i"), F.lit("").alias("entity"), none.alias("kinds"))
+    x = x.withColumn("_full", F.concat("_given", F.array_repeat(pad, F.greatest(n - F.size("_given"), F.lit(0)))))
+    x = x.withColumn("_orders", F.when(F.size("_full") == n, F.when(n == 2, _orders(2)).when(n == 3, _orders(3)).when(n == 4, _orders(4)).when(n == 5, _orders(5))))
+    fits = lambda p: F.size(F.filter(p, lambda e, j: F.array_contains(F.get(F.col("_full"), e)["kinds"], F.get(F.col("types"), j))))
+    stays = lambda p: F.size(F.filter(p, lambda e, j: e == j))
+    best = F.array_max(F.transform("_orders", lambda p, k: F.struct(fits(p).alias("fits"), stays(p).alias("stays"), (-k).alias("k"), p.alias("p"))))["p"]
+    placed = F.transform(F.coalesce(best, F.sequence(F.lit(0), F.size("_full") - 1)), lambda j: F.get(F.col("_full"), j)["entity"])
+    return x.withColumn("args", F.when(F.col("_full").isNotNull() & (F.size("_full") > 0), placed).otherwise(F.col("args"))).drop("_given", "_full", "_orders")
+
+
+#: Arguments that stand for any entity; types of numbers; most models asked for.
+WILDCARDS = ("?", "_", "*", "any")
+NUMERIC = ("int", "real", "float", "money", "percentage")
+MOST_MODELS = 5
+
+
+def finalize_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame) -> DataFrame:
+    """The last check of queries(q_id, case_id, type, intent, mode, symbol, args, option), one row for each q_id, before they are answered.
+
+    Returns q_id, internal (the intent that answers it), symbol as the schema has it, args and code: unknown_type, unsupported_intent,
+    unknown_function, unknown_predicate, not_numeric, not_unary, concrete_args, wrong_arity, bad_direction, bad_max_models, not_in_domain (the case
+    has entities of the type, and no entity of that name at all). Function and predicate names are found but for case, dashes and underscores.
+    """
+    plain = lambda c: F.regexp_replace(_low(c), "[_-]", "")
+    sig = schema.groupBy(plain("name").alias("_plain"), (F.col("returns") == "Bool").alias("_truth")).agg(F.min_by(F.struct("name", F.col("args").alias("types"), F.lower(F.trim("returns")).alias("returns")), "name").alias("s"))
+    kind, intent, mode = _low("type"), _low("intent"), F.when(_low("mode") == "", "boolean").otherwise(_low("mode"))
+    asks_function = (kind == "intent") & intent.isin("get_range", "optimization")
+    asks_truth = (kind == "predicate") | ((kind == "intent") & (intent == "explain") & (F.coalesce("symbol", F.lit("")) != ""))
+    x = queries.select("q_id", "case_id", kind.alias("type"), intent.alias("intent"), mode.alias("mode"), "symbol", F.coalesce("args", F.array().cast("array<string>")).alias("args"), _low("option").alias("option"), F.when(asks_function, False).when(asks_truth, True).alias("_truth"), plain("symbol").alias("_plain"))
+    x = x.join(sig, ["_plain", "_truth"], "left").select("q_id", "case_id", "type", "intent", "mode", "option", "args", "_truth", F.col("symbol").alias("asked"), "s.*")
+    args = F.transform("args", lambda a: F.lower(F.trim(a)))
+    x = x.withColumn("args", args)
+    some = domains.select("case_id", F.col("type").alias("want")).distinct().withColumn("some", F.lit(True))
+    known = domains.select("case_id", F.lower("entity").alias("arg")).distinct().withColumn("known", F.lit(True))
+    places = x.filter("types is not null").select("q_id", "case_id", "types", F.posexplode("args").alias("pos", "arg")).withColumn("want", F.get("types", "pos")).filter(~F.col("arg").isin(*WILDCARDS))
+    strange = places.join(some, ["case_id", "want"]).join(known, ["case_id", "arg"], "left_anti").select("q_id").distinct().withColumn("_strange", F.lit(True))
+    x = x.join(strange, "q_id", "left")
+    i, free = F.col("intent"), F.exists("args", lambda a: ~a.isin(*WILDCARDS))
+    number = F.col("option").try_cast("int")
+    is_set = (F.col("type") == "predicate") & (F.col("mode") == "set")
+    arity = F.col("types").isNotNull() & (F.size("args") != F.size("types"))
+    code = (
+        F.when(~F.col("type").isin("predicate", "intent"), "unknown_type")
+        .when((F.col("type") == "intent") & ~i.isin(*INTENTS), "unsupported_intent")
+        .when((F.col("type") == "predicate") & ~F.col("mode").isin("boolean", "set"), "unknown_mode")
+        .when((i == "optimization") & ~F.col("option").isin("min", "max"), "bad_direction")
+        .when(F.col("_truth") & F.col("name").isNull(), "unknown_predicate")
+        .when(~F.col("_truth") & F.col("name").isNull(), "unknown_function")
+        .when(is_set & (F.size("types") != 1), "not_unary")
+        .when(is_set & free, "concrete_args")
+        .when(~is_set & arity, "wrong_arity")
+        .when((i == "optimization") & ~F.col("returns").isin(*NUMERIC), "not_numeric")
+        .when((i == "model_expansion") & (F.col("option") != "") & ~F.coalesce(number.between(1, MOST_MODELS), F.lit(False)), "bad_max_models")
+        .when(~is_set & F.coalesce("_strange", F.lit(False)), "not_in_domain")
+    )
+    internal = F.when(is_set, "deduction_set").when(F.col("type") == "predicate", "deduction").otherwise(i)
+    x = x.withColumn("code", code)
+    said = F.when(is_set, F.array(F.lit("?"))).otherwise(F.col("args"))
+    return x.select("q_id", F.when(F.col("code").isNull(), internal).alias("internal"), F.coalesce("name", "asked").alias("symbol"), said.alias("args"), "code")
+
+
 def normalize_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame) -> DataFrame:
-    """queries(q_id, case_id, kind, intent, hint, mode, args, direction, max_models) to their predicate or intent form.
+    """queries(q_id, case_id, kind, intent, hint, mode, args, direction, max_models, with question if there is one) to their predicate or intent form.
+
+    Hints and questions are matched as in B25, derived symbols first; arguments take the order that fits their types (``assign_arguments``).
 
     The intents deduction and deduction_set with a hint become predicate queries. Modes other than set are boolean. Missing
     arguments take the case's only entity of their type; set queries have none. ``code`` says what is wrong: empty_intent,
@@ -266,16 +354,20 @@ def normalize_queries(queries: DataFrame, schema: DataFrame, domains: DataFrame)
     old_set = (_low("kind") == "intent") & (_low("intent") == "deduction_set")
     args = F.filter(F.transform(F.coalesce("args", F.array().cast("array<string>")), safe_entity), lambda a: a != "")
     mode = F.when(old_set | (_low("mode") == "set"), "set").otherwise("boolean")
-    x = queries.select("q_id", "case_id", F.when(intent, "intent").otherwise("predicate").alias("type"), F.when(intent, _low("intent")).alias("intent"), F.coalesce("hint", F.lit("")).alias("hint"), F.when(~intent, mode).alias("mode"), args.alias("args"), F.when(_low("direction") == "", "min").otherwise(_low("direction")).alias("direction"), F.coalesce("max_models", F.lit(1)).alias("max_models"))
+    question = F.col("question") if "question" in queries.columns else F.lit(None).cast("string")
+    x = queries.select("q_id", "case_id", question.alias("question"), F.when(intent, "intent").otherwise("predicate").alias("type"), F.when(intent, _low("intent")).alias("intent"), F.coalesce("hint", F.lit("")).alias("hint"), F.when(~intent, mode).alias("mode"), args.alias("args"), F.when(_low("direction") == "", "min").otherwise(_low("direction")).alias("direction"), F.coalesce("max_models", F.lit(1)).alias("max_models"))
     i = F.col("intent")
     asked = x.filter("type = 'intent'")
     code = F.when(i == "", "empty_intent").when(i.isin("deduction", "deduction_set"), "internal_intent").when(~i.isin(*INTENTS), "unsupported_intent").when((i == "explain") & ~has_hint, "no_target")
     option = F.when(i == "optimization", F.col("direction")).when(i == "model_expansion", F.col("max_models").cast("string"))
     asked = asked.select("q_id", "type", "intent", F.when(i.isin("get_range", "optimization", "explain"), F.col("hint")).alias("symbol"), "mode", F.when(i.isin("get_range", "optimization", "explain"), F.array_join("args", ",")).otherwise("").alias("args"), option.alias("option"), code.alias("code"))
-    p = _resolved(x.filter("type = 'predicate'"), schema.filter("returns = 'Bool'"), "q_id", "hint")
+    truths = schema.filter("returns = 'Bool'")
+    p = x.filter("type = 'predicate'")
+    best = lexical_match(p.select(F.col("q_id").alias("hint_id"), "hint", "question"), truths, prefer_derived=True).select(F.col("hint_id").alias("q_id"), F.col("name").alias("resolved"))
+    p = assign_arguments(_signed(p.join(best, "q_id", "left"), truths), domains)
     one = domains.groupBy("case_id", "type").agg(F.count("*").alias("n"), F.min("entity").alias("only")).filter("n = 1").select("case_id", F.col("type").alias("want"), "only")
     places = p.filter("mode = 'boolean' and resolved is not null").select("q_id", "case_id", "args", F.posexplode("types").alias("pos", "want"))
-    places = places.join(one, ["case_id", "want"], "left").withColumn("entity", F.coalesce(F.get("args", "pos"), "only"))
+    places = places.join(one, ["case_id", "want"], "left").withColumn("entity", F.coalesce(F.when(F.get("args", "pos") != "", F.get("args", "pos")), "only"))
     present = domains.select("case_id", F.col("type").alias("want"), "entity").distinct().withColumn("present", F.lit(True))
     places = places.join(present, ["case_id", "want", "entity"], "left")
     filled = places.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda e: e["entity"]).alias("filled"), F.count_if(F.col("entity").isNull()).alias("n_empty"), F.count_if(F.col("entity").isNotNull() & F.col("present").isNull()).alias("n_strange"))

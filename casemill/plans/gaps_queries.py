@@ -100,6 +100,29 @@ def c24_normalize_queries(spark, d):
     return G.normalize_queries(q, _schema(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d)))
 
 
+def c24_assigned_arguments(spark, d):
+    """Who placed an order: arguments in the wrong order, missing, named by their type or unknown."""
+    k, o, c = F.col("o_orderkey"), F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")
+    args = F.when(k % 5 == 0, F.array(c, o)).when(k % 5 == 1, F.array(o, c)).when(k % 5 == 2, F.array(c)).when(k % 5 == 3, F.array(F.lit("Customer"), o)).otherwise(F.array(F.lit("unknown"), F.lit("nobody")))
+    none = F.lit(None).cast("string")
+    q = table(spark, d, "orders").select(k.alias("q_id"), F.col("o_custkey").alias("case_id"), F.lit("predicate").alias("kind"), none.alias("intent"), F.lit("Placed-By").alias("hint"), none.alias("mode"), args.alias("args"), none.alias("direction"), F.lit(None).cast("int").alias("max_models"), F.lit("Who placed it?").alias("question"))
+    return G.normalize_queries(q, _schema(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d))).select("q_id", "symbol", "args", "code")
+
+
+def c24_finalize_queries(spark, d):
+    """Ten kinds of queries about an order, right and wrong ones."""
+    k, o, c = F.col("o_orderkey"), F.concat(F.lit("O"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")
+    n = k % 10
+    text = lambda *pairs: F.coalesce(*[F.when(n == i, v) for i, v in pairs])
+    args = F.when(n.isin(0, 1, 3), F.array(o)).when(n == 2, F.array(o, o)).when(n == 7, F.array(F.lit("nobody"))).when(n == 8, F.array(o, F.lit("?")))
+    q = table(spark, d, "orders").select(
+        k.alias("q_id"), F.col("o_custkey").alias("case_id"), F.when(n.isin(5, 6, 7, 8), "predicate").otherwise("intent").alias("type"),
+        text((0, "get_range"), (1, "get_range"), (2, "optimization"), (3, "optimization"), (4, "model_expansion"), (9, "explain")).alias("intent"), F.when(n.isin(5, 6), "set").alias("mode"),
+        text((0, "total_price"), (1, "nothing"), (2, "TotalPrice"), (3, "total_price"), (5, "is_priority_customer"), (6, "placed_by"), (7, "urgent"), (8, "PlacedBy"), (9, "urgent")).alias("symbol"), args.alias("args"), text((2, "min"), (3, "up"), (4, "9")).alias("option"),
+    )
+    return G.finalize_queries(q, _schema(spark, d), C.typed_domains(_facts(spark, d), _schema(spark, d))).withColumn("args", F.array_join("args", ","))
+
+
 def c26_asserted_criteria(spark, d):
     names = ("has_valid_passport", "owns", "failed_to_comply_with_order")
     docs = table(spark, d, "documents")
@@ -109,7 +132,7 @@ def c26_asserted_criteria(spark, d):
     return G.asserted_criteria(facts, symbols, docs.select(F.col("doc_id").alias("case_id"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (b27_temporal_symbols, c15_case_given_bridge, c18_select_target, c23_normalize_cases, c24_normalize_queries, c26_asserted_criteria, d10_threshold_or_shape, d11_threshold_negative_support, d12_suggest_thresholds, d15_status_as_type, d18_missing_helper_evidence)}
+QUERIES = {f.__name__: f for f in (b27_temporal_symbols, c15_case_given_bridge, c18_select_target, c23_normalize_cases, c24_normalize_queries, c24_assigned_arguments, c24_finalize_queries, c26_asserted_criteria, d10_threshold_or_shape, d11_threshold_negative_support, d12_suggest_thresholds, d15_status_as_type, d18_missing_helper_evidence)}
 
 
 def _case(key: str, names: tuple[str, ...]) -> str:
@@ -150,9 +173,14 @@ SQL = {
  UNION SELECT c, 'reject', 'nothing', 'unresolved' FROM n WHERE m = 3 UNION SELECT c, 'reject', 'big_order', 'derived_or_helper' FROM n WHERE k % 16 = 12 UNION SELECT c, 'reject', 'right_to_discount', 'legal_output' FROM n WHERE m = 5 UNION SELECT c, 'reject', 'urgent', 'wrong_arity' FROM n WHERE m = 7""",
     "c24_normalize_queries": """WITH c AS (SELECT c_custkey AS q_id, c_custkey % 12 AS k, c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer)
  SELECT q_id, CASE WHEN k IN (3, 8, 9, 10, 11) THEN 'predicate' ELSE 'intent' END AS type, CASE k WHEN 0 THEN 'satisfiable' WHEN 1 THEN '' WHEN 2 THEN 'deduction' WHEN 4 THEN 'no_such' WHEN 5 THEN 'optimization' WHEN 6 THEN 'explain' WHEN 7 THEN 'model_expansion' END AS intent,
-  CASE k WHEN 3 THEN 'is_priority_customer' WHEN 5 THEN 'total_price' WHEN 6 THEN '' WHEN 8 THEN 'is_priority_customer' WHEN 9 THEN 'big_order' WHEN 10 THEN 'right_to_discount' END AS symbol, CASE WHEN k = 3 THEN 'set' WHEN k >= 8 THEN 'boolean' END AS mode,
-  CASE WHEN k = 5 THEN 'o_5' WHEN k = 8 AND known THEN concat('c', q_id) WHEN k = 10 THEN 'nobody' ELSE '' END AS args, CASE k WHEN 5 THEN 'min' WHEN 7 THEN '1' END AS option,
-  CASE WHEN k = 1 THEN 'empty_intent' WHEN k = 2 THEN 'internal_intent' WHEN k = 4 THEN 'unsupported_intent' WHEN k = 6 THEN 'no_target' WHEN k = 8 AND NOT known THEN 'wrong_arity' WHEN k = 9 THEN 'helper' WHEN k = 10 THEN 'not_in_domain' WHEN k = 11 THEN 'unresolved' END AS code FROM c""",
+  CASE k WHEN 3 THEN 'is_priority_customer' WHEN 5 THEN 'total_price' WHEN 6 THEN '' WHEN 8 THEN 'is_priority_customer' WHEN 9 THEN 'big_order' WHEN 10 THEN 'right_to_discount' WHEN 11 THEN 'is_priority_customer' END AS symbol, CASE WHEN k = 3 THEN 'set' WHEN k >= 8 THEN 'boolean' END AS mode,
+  CASE WHEN k = 5 THEN 'o_5' WHEN k IN (8, 11) AND known THEN concat('c', q_id) WHEN k = 10 THEN 'nobody' ELSE '' END AS args, CASE k WHEN 5 THEN 'min' WHEN 7 THEN '1' END AS option,
+  CASE WHEN k = 1 THEN 'empty_intent' WHEN k = 2 THEN 'internal_intent' WHEN k = 4 THEN 'unsupported_intent' WHEN k = 6 THEN 'no_target' WHEN k IN (8, 11) AND NOT known THEN 'wrong_arity' WHEN k = 9 THEN 'helper' WHEN k = 10 THEN 'not_in_domain' END AS code FROM c""",
+    "c24_assigned_arguments": """SELECT q_id, 'placed_by' AS symbol, CASE WHEN k IN (0, 1, 3) OR (k = 2 AND one) THEN concat('o', q_id, ',c', c) WHEN k = 2 THEN concat('c', c) WHEN one THEN concat('o', q_id, ',nobody') ELSE 'nobody' END AS args,
+ CASE WHEN k IN (2, 4) AND NOT one THEN 'wrong_arity' WHEN k = 4 THEN 'not_in_domain' END AS code FROM (SELECT o_orderkey AS q_id, o_custkey AS c, o_orderkey % 5 AS k, count(*) OVER (PARTITION BY o_custkey) = 1 AS one FROM orders)""",
+    "c24_finalize_queries": """SELECT o_orderkey AS q_id, CASE n WHEN 0 THEN 'get_range' WHEN 5 THEN 'deduction_set' WHEN 8 THEN 'deduction' END AS internal, CASE WHEN n IN (0, 2, 3) THEN 'total_price' WHEN n = 1 THEN 'nothing' WHEN n = 5 THEN 'is_priority_customer' WHEN n IN (6, 8) THEN 'placed_by' WHEN n IN (7, 9) THEN 'urgent' END AS symbol,
+ CASE WHEN n IN (0, 1, 3) THEN concat('o', o_orderkey) WHEN n = 2 THEN concat('o', o_orderkey, ',o', o_orderkey) WHEN n IN (5, 6) THEN '?' WHEN n = 7 THEN 'nobody' WHEN n = 8 THEN concat('o', o_orderkey, ',?') ELSE '' END AS args,
+ CASE n WHEN 1 THEN 'unknown_function' WHEN 2 THEN 'wrong_arity' WHEN 3 THEN 'bad_direction' WHEN 4 THEN 'bad_max_models' WHEN 6 THEN 'not_unary' WHEN 7 THEN 'not_in_domain' WHEN 9 THEN 'wrong_arity' END AS code FROM (SELECT *, o_orderkey % 10 AS n FROM orders)""",
     "c26_asserted_criteria": f"""WITH q AS (SELECT doc_id, {_case('doc_id', ('has_valid_passport', 'owns', 'failed_to_comply_with_order'))} AS symbol, lower(text) AS t, CASE WHEN doc_id % 2 = 0 THEN replace(substr(text, 5, 40), ' ', '- ') ELSE substr(text, 5, 20) || ' zz' END AS quote FROM documents),
  f AS (SELECT *, {_FOLDED.format('t')} AS ft, {_FOLDED.format('lower(quote)')} AS fq FROM q), r AS (SELECT *, CASE WHEN symbol = 'owns' THEN 'not_factual_criteria_candidate' WHEN NOT (fq <> '' AND contains(ft, fq)) THEN 'unsupported_by_case_text' END AS reason FROM f)
  SELECT doc_id AS case_id, symbol, concat('d', doc_id) AS args, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, CASE WHEN reason IS NULL THEN quote END AS evidence FROM r""",
