@@ -148,7 +148,7 @@ def resolved_domains(resolved: DataFrame) -> DataFrame:
 def validate_signatures(facts: DataFrame, schema: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """One row per violation. A fact has the first that applies of unknown_symbol, value_for_predicate, truth_for_function,
     not_assertable (where the schema has a column assertable) and wrong_arity; a fact without any has wrong_argument_type
-    for each argument that types(case_id, entity, resolved) give another type or none.
+    for each argument that types(case_id, entity, resolved) give another type or none. Null arguments are none.
 
     Returns case_id, symbol, code, args, pos (from 0, -1 for the whole fact), expected, found.
     """
@@ -157,7 +157,7 @@ def validate_signatures(facts: DataFrame, schema: DataFrame, types: DataFrame |
     x = facts.join(s, "symbol", "left")
     truth = F.col("returns") == "Bool"
     code = F.when(F.col("want").isNull(), "unknown_symbol").when(truth & F.col("value").isNotNull(), "value_for_predicate").when(~truth & F.col("value").isNull(), "truth_for_function")
-    x = x.withColumn("code", code.when(~F.col("may"), "not_assertable").when(F.size("args") != F.size("want"), "wrong_arity"))
+    x = x.withColumn("code", code.when(~F.col("may"), "not_assertable").when(F.coalesce(F.size("args"), F.lit(0)) != F.size("want"), "wrong_arity"))
     said = F.array_join("args", ",").alias("args")
     arity = lambda c: F.when(F.col("code") == "wrong_arity", F.size(c).cast("string"))
     out = x.filter("code is not null").select("case_id", "symbol", "code", said, F.lit(-1).alias("pos"), arity("want").alias("expected"), arity("args").alias("found"))

@@ -272,7 +272,7 @@ def assign_arguments(queries: DataFrame, domains: DataFrame) -> DataFrame:
     argument or of more than five, and queries with too many arguments, keep their order.
     """
     own = queries.select("q_id", "case_id", "types", F.posexplode("args").alias("i", "entity"))
-    blank = F.coalesce(F.col("entity").isin(*PLACEHOLDERS) | F.array_contains(F.transform("types", safe_entity), F.col("entity")), F.lit(True))
+    blank = F.coalesce(F.col("entity").isin(*PLACEHOLDERS), F.lit(True)) | F.coalesce(F.array_contains(F.transform("types", safe_entity), F.col("entity")), F.lit(False))
     own = own.select("q_id", "case_id", "i", F.when(blank, "").otherwise(F.col("entity")).alias("entity"))
     kinds = domains.groupBy("case_id", "entity").agg(F.collect_set("type").alias("kinds"))
     none = F.array().cast("array<string>")

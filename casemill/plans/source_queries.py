@@ -12,6 +12,48 @@ from casemill.sources import readers as R
 from casemill.streaming import budget
 
 
+def _files(spark, rows, bucket, name, wrap="{}"):
+    """Rows as JSON files of the shared folder, an array (in ``wrap``) for each bucket of some hundred rows."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    many = rows.groupBy(bucket.alias("bucket")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    head, tail = wrap.split("{}")
+    many.withColumn("value", F.concat(F.lit(head), "value", F.lit(tail))).repartition("bucket").write.partitionBy("bucket").text(at)
+    return at
+
+
+def a1_read_runs(spark, d):
+    """Documents as case files with two questions each, none for every eleventh; written, and read back."""
+    k = F.col("doc_id")
+    expected = F.struct(F.lit("boolean").alias("mode"), (k % 2 == 0).cast("string").alias("value"), F.concat(F.lit("because of "), "source").alias("reason"))
+    ask = lambda i, e: F.struct(F.concat(F.lit(f"q{i}_"), k).alias("id"), F.concat(F.lit("Does "), F.coalesce("lang", F.lit("it")), F.lit(f" apply {i}?")).alias("text"), e.alias("expected"))
+    questions = F.when(k % 11 != 0, F.array(ask(1, expected), ask(2, F.when(k % 3 == 0, expected))))
+    law = F.struct(F.concat(F.lit("page_"), k % 400).alias("path"), F.when(k % 4 == 0, F.col("source")).alias("text"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("run_"), k).alias("id"), law.alias("law"), F.struct("text").alias("case"), questions.alias("questions"))
+    at = _files(spark, rows, F.expr("int(substring(id, 5)) div 200"), "runs")
+    x = R.read_runs(spark, f"{at}/*/*")
+    return x.select("run_id", "law_text", "law_path", F.md5(F.coalesce("case_text", F.lit(""))).alias("case_md5"), "q_id", "q_text", "expected.mode", "expected.value", "expected.reason")
+
+
+def a7_read_manifest(spark, d):
+    """The list of runs as files, read back."""
+    tags = F.split("phenomena", ",")
+    rows = table(spark, d, "fx_manifest").select(F.col("run_id").alias("id"), F.concat("run_id", F.lit("/run.json")).alias("path"), "law_domain", "evaluation_group", "difficulty", tags.alias("phenomena"))
+    at = _files(spark, rows, F.expr("int(substring(id, 5)) div 500"), "manifest", '{"runs":{}}')
+    return R.read_manifest(spark, f"{at}/*/*").withColumn("phenomena", F.array_join("phenomena", "+"))
+
+
+def a8_write_reports(spark, d):
+    """Matrix, timings and cells written as reports and read back, as rows of (report, key, value)."""
+    cells = table(spark, d, "fx_cells")
+    matrix = cells.groupBy("strategy").pivot("failure_category", ["completed", "law_compilation"]).agg(F.count(F.lit(1)))
+    timings = cells.groupBy("strategy").agg(F.round(F.sum("duration_sec"), 2).cast("decimal(18,2)").alias("elapsed_sec"))
+    at = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    R.write_reports(matrix, timings, cells, at)
+    csv = lambda name, value: spark.read.option("header", True).csv(f"{at}/{name}").select(F.lit(name).alias("report"), F.col("strategy").alias("key"), F.col(value).alias("value"))
+    kept = spark.read.schema("run_id string, strategy string, total long").json(f"{at}/cells").groupBy("strategy").agg(F.concat(F.count("*"), F.lit("/"), F.coalesce(F.sum("total"), F.lit(0))).alias("n"))
+    return csv("matrix", "completed").unionByName(csv("timings", "elapsed_sec")).unionByName(kept.select(F.lit("cells").alias("report"), F.col("strategy").alias("key"), F.col("n").alias("value")))
+
+
 def a2_resolve_law_text(spark, d):
     runs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(" ").alias("law_text"), F.concat(F.lit("page_"), F.col("doc_id") % 400).alias("law_path"))
     laws = table(spark, d, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.col("html").cast("string").alias("text"))
@@ -72,9 +114,15 @@ def g7_running_usage(spark, d):
     return rows.groupBy("run_id", "strategy").agg(F.max_by("n_calls", "batch").alias("n_calls"), F.max_by("over_limit", "batch").alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (a2_resolve_law_text, a4_flatten_json, a5_parse_model_json, a6_call_stages, a9_to_prompt_corpus, a10_message_text, g7_budget_guard_stream, g7_running_usage)}
+QUERIES = {f.__name__: f for f in (a1_read_runs, a7_read_manifest, a8_write_reports, a2_resolve_law_text, a4_flatten_json, a5_parse_model_json, a6_call_stages, a9_to_prompt_corpus, a10_message_text, g7_budget_guard_stream, g7_running_usage)}
 
 SQL = {
+    "a1_read_runs": """WITH q AS (SELECT *, unnest([1, 2]) AS i FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT *, NULL FROM documents WHERE doc_id % 11 = 0), x AS (SELECT *, i = 1 OR (i = 2 AND doc_id % 3 = 0) AS answered FROM q)
+ SELECT concat('run_', doc_id) AS run_id, CASE WHEN doc_id % 4 = 0 THEN source END AS law_text, concat('page_', doc_id % 400) AS law_path, md5(coalesce(text, '')) AS case_md5, 'q' || i || '_' || doc_id AS q_id, 'Does ' || coalesce(lang, 'it') || ' apply ' || i || '?' AS q_text,
+  CASE WHEN answered THEN 'boolean' END AS mode, CASE WHEN answered THEN CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END END AS value, CASE WHEN answered THEN 'because of ' || source END AS reason FROM x""",
+    "a7_read_manifest": "SELECT run_id, run_id || '/run.json' AS path, law_domain, evaluation_group, difficulty, replace(phenomena, ',', '+') AS phenomena FROM fx_manifest",
+    "a8_write_reports": """SELECT 'matrix' AS report, strategy AS key, CAST(count(*) AS VARCHAR) AS value FROM fx_cells WHERE failure_category = 'completed' GROUP BY 2
+ UNION ALL SELECT 'timings', strategy, CAST(CAST(round(sum(duration_sec), 2) AS DECIMAL(18, 2)) AS VARCHAR) FROM fx_cells GROUP BY 2 UNION ALL SELECT 'cells', strategy, concat(count(*), '/', CAST(coalesce(sum(total), 0) AS BIGINT)) FROM fx_cells GROUP BY 2""",
     "a2_resolve_law_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN text ELSE html END AS law_text,
  CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN 'embedded' WHEN page_id IS NOT NULL THEN 'path' ELSE 'missing' END AS law_source FROM documents LEFT JOIN pages ON page_id = doc_id % 400""",
     "a4_flatten_json": """SELECT event_id, k AS path, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
