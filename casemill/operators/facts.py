@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.text import output_category, question_tokens, safe_entity, symbol_tokens
@@ -219,10 +219,24 @@ def ground_atoms(schema: DataFrame, domains: DataFrame, cap: int = 200) -> DataF
     return x.select("case_id", "symbol", args.alias("args"), (F.col("total") > cap).alias("cut"))
 
 
+#: Where a question names someone.
+NAMED = (r"\b(?:Is|Are|Does|Did|Was|Were)\s+([A-Z][a-zA-Z]+)\b", r"\b(?:for|about)\s+([A-Z][a-zA-Z]+)\b", r"^\s*(?:Heeft|Verkrijgt|Krijgt|Is|Kan|Moet)\s+([A-Z][a-zA-Z]+)\b")
+
+
+def named_in_question(question: Column) -> Column:
+    """C17: the name, lower-case, that a question gives; null if it names no one."""
+    text = F.trim(F.coalesce(question, F.lit("")))
+    found = [F.lower(F.regexp_extract(text, p, 1)) for p in NAMED]
+    return F.coalesce(*[F.when(F.length(n) >= 2, n) for n in found])
+
+
 def fill_singletons(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    """C17: an empty argument (queries(q_id, case_id, type, arg)) takes the case's only entity of the type."""
+    """C17: an empty argument (queries(q_id, case_id, type, arg, with question if there is one)) takes the case's only entity of the
+    type, unless the question names someone."""
     one = domains.groupBy("case_id", "type").agg(F.count("*").alias("n"), F.min("entity").alias("only")).filter("n = 1")
-    return queries.join(one, ["case_id", "type"], "left").select("q_id", "case_id", F.coalesce(F.when(F.col("arg") != "", F.col("arg")), F.col("only")).alias("arg"), (F.coalesce(F.col("arg"), F.lit("")) == "").alias("was_empty"))
+    free = named_in_question(F.col("question")).isNull() if "question" in queries.columns else F.lit(True)
+    own = F.when(F.col("arg") != "", F.col("arg"))
+    return queries.join(one, ["case_id", "type"], "left").select("q_id", "case_id", F.coalesce(own, F.when(free, F.col("only"))).alias("arg"), (F.coalesce(F.col("arg"), F.lit("")) == "").alias("was_empty"))
 
 
 #: What tells a relation between two entities by its name or description, or by its name alone.

@@ -136,6 +136,40 @@ def temporal_phrases(df: DataFrame, col: str = "text", key: str = "doc_id") -> D
     return df.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(pattern), 0)).alias("pos", "phrase")).groupBy(key, "phrase").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
 
 
+#: Phrases of periods, in the order they are looked for.
+PERIOD_PHRASES = (
+    r"\bfollowing\s+period\b", r"\bnext\s+period\b", r"\bfollowing\s+year\b", r"\bnext\s+year\b", r"\bfollowing\s+financial\s+year\b", r"\bnext\s+financial\s+year\b",
+    r"\bprevious\s+period\b", r"\bpreceding\s+period\b", r"\bprevious\s+year\b", r"\bpreceding\s+year\b", r"\bprior\s+year\b", r"\bconsecutive\s+periods?\b", r"\bconsecutive\s+years?\b",
+    r"\btwo\s+consecutive\s+periods?\b", r"\btwo\s+consecutive\s+years?\b", r"\bsecond\s+consecutive\b", r"\bsecond\s+time\b", r"\bimmediately\s+following\b", r"\bimmediately\s+preceding\b",
+    r"\bfrom\s+the\s+following\b", r"\bfrom\s+the\s+next\b", r"\bafter\s+the\s+second\b", r"\bduring\s+the\s+previous\b", r"\bduring\s+the\s+preceding\b",
+    r"\bvolgend\s+tijdvak\b", r"\bvolgende\s+periode\b", r"\bvolgend\s+jaar\b", r"\bvolgende\s+boekjaar\b", r"\bdaaropvolgend\s+boekjaar\b", r"\bdaaropvolgende\s+boekjaar\b",
+    r"\bvoorafgaand\s+tijdvak\b", r"\bvoorafgaande\s+periode\b", r"\bvorig\s+jaar\b", r"\bvoorgaand\s+jaar\b", r"\bvoorafgaand\s+jaar\b", r"\bopeenvolgende\s+tijdvakken\b", r"\bopeenvolgende\s+jaren\b", r"\bopeenvolgende\s+boekjaren\b",
+    r"\btwee\s+opeenvolgende\b", r"\btweede\s+opeenvolgende\b", r"\btweede\s+achtereenvolgende\b", r"\bachtereenvolgende\b", r"\bonmiddellijk\s+volgend\b", r"\bonmiddellijk\s+voorafgaand\b",
+    r"\bvanaf\s+het\s+volgende\b", r"\bvanaf\s+het\s+daaropvolgende\b", r"\bna\s+de\s+tweede\b", r"\bgedurende\s+het\s+voorafgaande\b",
+)
+
+
+def temporal_support(df: DataFrame, law: str = "law_text", question: str = "question") -> DataFrame:
+    """Terms (lower-case period phrases of the law's text, then of the question's, each once, in the order of ``PERIOD_PHRASES``, then of
+    their places), legal_effect (the scope says so, or the text does) and needs_support (both).
+
+    Read where the table has them: asks_effect and has_effect, which win over the text where either is true or both are false. Null texts have no terms.
+    """
+    any_phrase = "|".join(PERIOD_PHRASES)
+
+    def found(c: str) -> Column:
+        text = F.lower(F.coalesce(F.col(c), F.lit("")))
+        each = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 0) for p in PERIOD_PHRASES]))
+        return F.when(text.rlike(any_phrase), each).otherwise(F.array().cast("array<string>"))
+
+    terms = F.array_distinct(F.concat(found(law), found(question)) if question in df.columns else found(law))
+    flag = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("boolean")
+    asks, has = flag("asks_effect"), flag("has_effect")
+    effect = F.when(~asks & ~has, False).when(asks | has, True).otherwise(cue(F.col(law), "effect") > 0)
+    x = df.withColumns({"terms": terms, "legal_effect": effect})
+    return x.withColumn("needs_support", (F.size("terms") > 0) & F.col("legal_effect"))
+
+
 def evidence_supported(claims: DataFrame, cases: DataFrame, on: str, quote: str, text: str) -> DataFrame:
     """Is a claim's quote part of its case's text, both folded?"""
     c = cases.select(on, evidence_form(F.col(text)).alias("_t"))

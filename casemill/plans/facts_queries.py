@@ -119,6 +119,14 @@ def c17_fill_singletons(spark, d):
     return C.fill_singletons(q, C.typed_domains(_facts(spark, d), _schema(spark, d)))
 
 
+def c17_named_questions(spark, d):
+    """Empty arguments of questions of which some name someone."""
+    k = F.col("c_custkey")
+    question = F.when(k % 5 == 0, "Does Anna have the right?").when(k % 5 == 1, "does it hold for Els").when(k % 5 == 2, "Heeft Filip recht?").when(k % 5 == 3, "Does the order count?")
+    q = table(spark, d, "customer").select(k.alias("q_id"), k.alias("case_id"), F.lit("Order").alias("type"), F.when(k % 7 == 0, "o1").alias("arg"), question.alias("question"))
+    return C.fill_singletons(q, C.typed_domains(_facts(spark, d), _schema(spark, d)))
+
+
 def c20_self_relations(spark, d):
     k = F.col("o_orderkey") % 6
     name = F.when(k == 0, "affiliated_with").when(k == 1, "same_group_as").when(k == 2, "owns").when(k == 3, "knows").when(k == 4, "linked_same").otherwise("heir_of")
@@ -469,6 +477,7 @@ SQL = {
     "c16_ground_atoms": """WITH o AS (SELECT o_custkey AS c, concat('o', o_orderkey) AS x FROM orders), t AS (SELECT c, 'urgent' AS symbol, x AS args, x AS a, '' AS b FROM o UNION ALL SELECT c, 'placed_by', concat(x, ',c', c), x, '' FROM o
  UNION ALL SELECT o.c, 'moved', concat(o.x, ',c', o.c, ',', p.x), o.x, p.x FROM o JOIN o p ON o.c = p.c), r AS (SELECT *, count(*) OVER (PARTITION BY c, symbol) AS n, row_number() OVER (PARTITION BY c, symbol ORDER BY a, b) AS r FROM t)
  SELECT c AS case_id, symbol, args, n > 200 AS cut FROM r WHERE r <= 200""",
+    "c17_named_questions": """SELECT c_custkey AS q_id, c_custkey AS case_id, CASE WHEN c_custkey % 7 = 0 THEN 'o1' WHEN c_custkey % 5 > 2 THEN e END AS arg, c_custkey % 7 <> 0 AS was_empty FROM customer LEFT JOIN (SELECT o_custkey, min(concat('o', o_orderkey)) AS e FROM orders GROUP BY o_custkey HAVING count(*) = 1) o ON c_custkey = o_custkey""",
     "c17_fill_singletons": """SELECT c_custkey AS q_id, c_custkey AS case_id, e AS arg, true AS was_empty FROM customer LEFT JOIN (SELECT o_custkey, min(concat('o', o_orderkey)) AS e FROM orders GROUP BY o_custkey HAVING count(*) = 1) o ON c_custkey = o_custkey""",
     "c20_self_relations": "SELECT o_custkey AS case_id, CASE o_orderkey % 6 WHEN 0 THEN 'affiliated_with' WHEN 2 THEN 'owns' WHEN 3 THEN 'knows' ELSE 'linked_same' END AS symbol, CAST(o_custkey % 7 AS VARCHAR) AS entity FROM orders WHERE o_orderkey % 7 = o_custkey % 7 AND o_orderkey % 6 IN (0, 2, 3, 4)",
     "c21_signature_conflicts": "SELECT p_partkey % 50 AS set_id, string_split(p_name, ' ')[1] AS name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1",

@@ -78,6 +78,14 @@ def b12_temporal_phrases(spark, d):
     return T.temporal_phrases(table(spark, d, "fx_laws"), "law_text", "law_id")
 
 
+def b12_temporal_support(spark, d):
+    """Laws with their questions; where every third law's scope says that nothing asks for an effect."""
+    laws = table(spark, d, "fx_laws").join(table(spark, d, "fx_questions").select("law_id", F.col("q_text").alias("question")), "law_id")
+    none = F.when(F.col("law_id") % 3 == 0, F.lit(False))
+    x = T.temporal_support(laws.withColumns({"asks_effect": none, "has_effect": none}))
+    return x.select("law_id", F.array_join(F.array_sort("terms"), "|").alias("terms"), "legal_effect", "needs_support")
+
+
 def b13_cardinality_language(spark, d):
     t = F.col("law_text")
     return table(spark, d, "fx_laws").select("law_id", C.at_most_one(t).alias("at_most_one"), C.any_one(t).alias("any_one"))
@@ -156,7 +164,7 @@ def b26_output_category(spark, d):
     return table(spark, d, "part").select("p_partkey", C.output_category(F.concat(head, F.regexp_replace("p_name", " ", "_")), kind, flag, category).alias("category"))
 
 
-QUERIES = {f.__name__: f for f in (b26_output_category, b8_scope_text, b17_evidence_overlap, b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match, b25_symbol_match)}
+QUERIES = {f.__name__: f for f in (b26_output_category, b8_scope_text, b17_evidence_overlap, b1_chunk_documents, b2_normalize_article, b3_extract_citations, b4_primary_citation, b5_cite_join, b6_expand_cross_refs, b7_keyword_topk, b9_extract_numbers, b10_numbers_summary, b11_tag_cues, b12_temporal_phrases, b12_temporal_support, b13_cardinality_language, b15_evidence_snippets, b16_evidence_supported, b18_has_numeric_evidence, b19_invented_values, b20_seed_entities, b21_question_tokens, b22_canonical_ids, b23_ascii_fold, b25_lexical_match, b25_symbol_match)}
 
 _PARSED = """CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN regexp_extract(t, '([.,])[0-9]*$', 1) = ',' THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
  WHEN contains(t, ',') THEN CASE WHEN regexp_matches(t, '^[0-9]+(,[0-9]{3})+$') THEN replace(t, ',', '') ELSE replace(t, ',', '.') END
@@ -184,6 +192,9 @@ SQL = {
     "b10_numbers_summary": f"""WITH n AS ({_NUMBERS}), w AS (SELECT doc_id, list_sort(list(CAST(value AS BIGINT))) AS l FROM n WHERE value = floor(value) GROUP BY doc_id)
  SELECT d.doc_id, CASE WHEN l IS NULL THEN '(none found)' WHEN len(l) > 12 THEN concat(array_to_string(l[1:12], ', '), ', ...') ELSE array_to_string(l, ', ') END AS summary FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id""",
     "b11_tag_cues": "SELECT law_id, " + ", ".join(f"len(regexp_extract_all(lower(law_text), '{p}')) AS {c}" for c, p in C.CUES.items()) + " FROM fx_laws",
+    "b12_temporal_support": f"""WITH q AS (SELECT l.law_id, lower(law_text) AS t, lower(q_text) AS q FROM fx_laws l JOIN fx_questions f ON l.law_id = f.law_id),
+ x AS (SELECT law_id, list_sort(list_distinct(flatten([{', '.join(f"regexp_extract_all(t, '{p}') || regexp_extract_all(q, '{p}')" for p in T.PERIOD_PHRASES)}]))) AS terms, law_id % 3 <> 0 AND regexp_matches(t, '{C.CUES["effect"]}') AS e FROM q)
+ SELECT law_id, array_to_string(terms, '|') AS terms, e AS legal_effect, e AND len(terms) > 0 AS needs_support FROM x""",
     "b13_cardinality_language": f"""SELECT law_id, a AS at_most_one, b AND NOT a AS any_one FROM (SELECT law_id, {_sql_any("t", C.AT_MOST_ONE)} AS a, {_sql_any("t", C.ANY_ONE)} AS b FROM (SELECT law_id, regexp_replace(lower(law_text), '\\s+', ' ', 'g') AS t FROM fx_laws))""",
     "b16_evidence_supported": """WITH n AS (SELECT doc_id, lower(text) AS t, CASE WHEN doc_id % 2 = 0 THEN lower(replace(substr(text, 5, 40), ' ', '- ')) ELSE lower(substr(text, 5, 20) || ' zz') END AS q FROM documents),
  f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[\\s_–—-]+', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(regexp_replace(regexp_replace(q, '[\\s_–—-]+', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS q FROM n)

@@ -136,3 +136,16 @@ def test_scores_of_intents_and_atoms(spark):
     assert [got[k] for k in (2, 3, 4)] == ["correct", "incorrect", "inconclusive"]
     member = {r.q_id: r.outcome for r in S.score_membership(x).collect()}
     assert [member[k] for k in (2, 3, 4, 8)] == ["correct", "incorrect", "inconclusive", "not_scored"]
+
+
+def test_period_phrases_and_support(spark):
+    rows = [(1, "Effects apply from the following year. In the NEXT  year, the following year.", "Two consecutive years?", None, None), (2, "the following year", None, True, None), (3, "consequences apply", "", None, None), (4, "consequences apply next year", None, False, False), (5, None, None, True, True), (6, "consequences apply next year", None, False, None)]
+    got = {r.id: (r.terms, r.legal_effect, r.needs_support) for r in T.temporal_support(spark.createDataFrame(rows, "id int, law_text string, question string, asks_effect boolean, has_effect boolean")).collect()}
+    assert got[1][0] == ["following year", "next  year", "from the following", "consecutive years", "two consecutive years"]
+    assert {k: v[1:] for k, v in got.items() if k > 1} == {2: (True, True), 3: (True, False), 4: (False, False), 5: (True, False), 6: (True, True)}
+
+
+def test_names_in_questions(spark):
+    asked = ["Is Anna an heir?", "  Krijgt Els iets?", "what applies to it", None, "Does A pay?", "about Filip and for Jan"]
+    x = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "id int, q string")
+    assert [r.n for r in x.orderBy("id").select(C.named_in_question(x.q).alias("n")).collect()] == ["anna", "els", None, None, None, "filip"]
