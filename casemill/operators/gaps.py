@@ -11,7 +11,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.text import CLASS_CATEGORIES, cue, evidence_form, output_category, question_tokens, safe_entity, symbol_tokens
+from casemill.functions.text import CLASS_CATEGORIES, asks_effect, cue, evidence_form, output_category, question_tokens, safe_entity, symbol_tokens
 from casemill.operators.facts import PLACEHOLDERS, typed_positions
 from casemill.operators.routing import assertable, classify_symbols
 from casemill.operators.text import lexical_match
@@ -199,7 +199,7 @@ def select_target(questions: DataFrame, symbols: DataFrame, k: int = 3) -> DataF
     questions(q_id, set_id, text, hint), symbols(set_id, name, kind, description, legal_output, category, case_input), one row for each name of a set.
     """
     text = F.coalesce("text", F.lit(""))
-    effect_q, defines = cue(F.col("text"), "effect") > 0, cue(F.col("text"), "definition") > 0
+    effect_q, defines = asks_effect(F.col("text")), cue(F.col("text"), "definition") > 0
     q = questions.select("q_id", "set_id", "hint", question_tokens(F.col("text")).alias("qt"), effect_q.alias("effect_q"), (~effect_q & (defines | text.rlike(CLASS_QUESTION))).alias("class_q"), defines.alias("def_q"))
     out = _output()
     s = symbols.join(rejected_targets(symbols), ["set_id", "name"], "left_anti")

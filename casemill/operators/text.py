@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.grams import contained
-from casemill.functions.text import NO_ENTITY, cue, evidence_form, normalize_article, numbers, question_tokens, symbol_tokens
+from casemill.functions.text import NO_ENTITY, asks_effect, cue, evidence_form, normalize_article, numbers, question_tokens, symbol_tokens
 
 #: Ordinals before "lid", in two languages.
 ORDINALS = {"eerste": 1, "tweede": 2, "derde": 3, "vierde": 4, "vijfde": 5, "zesde": 6, "zevende": 7, "achtste": 8, "negende": 9, "tiende": 10, "first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5}
@@ -229,7 +229,7 @@ def lexical_match(hints: DataFrame, symbols: DataFrame, prefer_derived: bool = F
     asked = F.when(flag("background"), -2.0).when(flag("effect"), 0.35).otherwise(0.0)
     plain = lambda c: F.regexp_replace(low(c), "[_-]", "")
     question = F.col("question") if "question" in hints.columns else F.lit(None).cast("string")
-    h = hints.select("hint_id", "hint", F.array_distinct(symbol_tokens(F.col("hint"))).alias("t"), question_tokens(question).alias("q"), (cue(question, "effect") > 0).cast("int").alias("asks"))
+    h = hints.select("hint_id", "hint", F.array_distinct(symbol_tokens(F.col("hint"))).alias("t"), question_tokens(question).alias("q"), asks_effect(question).cast("int").alias("asks"))
     s = symbols.select("name", F.array_distinct(symbol_tokens(F.col("name"))).alias("t"), own.alias("own"), asked.alias("asked")).filter(F.size("t") > 0).distinct()
     keys = ["hint_id", "asks", "nh", "name", "ns", "own", "asked"]
     side = lambda w: F.struct(w.alias("w"), F.array_contains("t", w).cast("int").alias("in_hint"), F.array_contains("q", w).cast("int").alias("in_question"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.functions.text import CUES, EFFECT_PATTERNS, QUESTION_STOP
+from casemill.functions.text import CUES, QUESTION_EFFECT_PATTERNS, QUESTION_STOP
 from casemill.operators import facts as C
 from casemill.operators import gaps as G
 from casemill.operators import rules as D
@@ -70,7 +70,7 @@ def c15_case_given_bridge(spark, d):
 
 def c18_select_target(spark, d):
     q = table(spark, d, "fx_questions").join(table(spark, d, "fx_periods").filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("q_id"), F.col("name").alias("hint")), "q_id", "left")
-    more = F.when(F.col("q_id") % 4 == 0, " Is it a valid passport status?").when(F.col("q_id") % 4 == 1, " What means surviving spouse turnover?").when(F.col("q_id") % 4 == 2, " Does the right to claim take effect next year?").otherwise(" owns member")
+    more = F.when(F.col("q_id") % 4 == 0, " Is it a valid passport status?").when(F.col("q_id") % 4 == 1, " What means surviving spouse turnover?").when(F.col("q_id") % 4 == 2, " Does the right to claim apply from next year?").otherwise(" owns member")
     return G.select_target(q.select("q_id", (F.col("q_id") % 50).alias("set_id"), F.concat("q_text", more).alias("text"), "hint"), table(spark, d, "fx_periods"))
 
 
@@ -160,8 +160,8 @@ SQL = {
  UNION SELECT o_custkey, 'open', concat('o', o_orderkey), o_orderstatus <> 'F' FROM orders UNION SELECT o_custkey, 'open', concat('o', o_orderkey), true FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT o_custkey, 'total_price', concat('o', o_orderkey), NULL FROM orders)
  SELECT case_id, symbol, args, polarity, CASE WHEN symbol NOT IN ('urgent', 'open') THEN 'fact' WHEN case_id % 3 = 0 THEN 'leak' ELSE 'implied' END AS role FROM f UNION ALL SELECT case_id, concat('case_given_', symbol), args, polarity, 'given' FROM f WHERE symbol IN ('urgent', 'open') AND case_id % 3 <> 0""",
     "c18_select_target": f"""WITH p AS (SELECT *, {_SPLIT.format('name')} AS nt, {_SPLIT.format('description')} AS dt FROM ({_PERIODS}) WHERE NOT ({_RELATION} AND NOT {_DEFINED}) AND kind <> 'background' AND NOT case_input),
- t AS (SELECT q_id, q_id % 50 AS set_id, concat(q_text, CASE q_id % 4 WHEN 0 THEN ' Is it a valid passport status?' WHEN 1 THEN ' What means surviving spouse turnover?' WHEN 2 THEN ' Does the right to claim take effect next year?' ELSE ' owns member' END) AS text, name AS hint FROM fx_questions LEFT JOIN (SELECT p_partkey, name FROM fx_periods WHERE p_partkey % 5 = 0) ON p_partkey = q_id),
- q AS (SELECT *, {_ASKED} AS qt, regexp_matches(lower(text), '{'|'.join(f'(?:{e})' for e in EFFECT_PATTERNS)}') AS effect_q, regexp_matches(lower(text), '{CUES['definition']}') AS def_q, regexp_matches(text, '{G.CLASS_QUESTION}') AS class_like FROM t),
+ t AS (SELECT q_id, q_id % 50 AS set_id, concat(q_text, CASE q_id % 4 WHEN 0 THEN ' Is it a valid passport status?' WHEN 1 THEN ' What means surviving spouse turnover?' WHEN 2 THEN ' Does the right to claim apply from next year?' ELSE ' owns member' END) AS text, name AS hint FROM fx_questions LEFT JOIN (SELECT p_partkey, name FROM fx_periods WHERE p_partkey % 5 = 0) ON p_partkey = q_id),
+ q AS (SELECT *, {_ASKED} AS qt, regexp_matches(lower(text), '{'|'.join(f'(?:{e})' for e in QUESTION_EFFECT_PATTERNS)}') AS effect_q, regexp_matches(lower(text), '{CUES['definition']}') AS def_q, regexp_matches(text, '{G.CLASS_QUESTION}') AS class_like FROM t),
  x AS (SELECT q_id, name, output, category, effect_q, def_q, NOT effect_q AND (def_q OR class_like) AS class_q, len(nt) AS n, len(dt) AS m, len(qt) AS k, len(list_intersect(qt, nt)) AS h, len(list_intersect(qt, dt)) AS g, hint FROM q JOIN p ON q.set_id = p.set_id),
  s AS (SELECT q_id, name, round(1.12 * h / n + 0.5 * g / m + CASE WHEN k > 0 THEN 0.35 * h / k ELSE 0 END + 0.035 * least(n, 14) + CASE WHEN output = 'effect' THEN 0.4 ELSE 0 END + CASE WHEN effect_q AND output = 'effect' THEN 0.8 WHEN effect_q AND output = 'classification' THEN -0.65 ELSE 0 END
   - CASE WHEN def_q AND output = 'classification' THEN 0.25 ELSE 0 END + CASE WHEN NOT class_q THEN 0 WHEN output = 'classification' OR coalesce(category, '') IN ('classification', 'status') THEN 1 WHEN output = 'effect' THEN -1 ELSE 0 END + CASE WHEN hint = name THEN 0.15 ELSE 0 END, 6) AS score FROM x)

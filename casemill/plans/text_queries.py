@@ -138,9 +138,9 @@ def b25_lexical_match(spark, d):
 
 
 def b25_symbol_match(spark, d):
-    """Hints of one word of a name and a word of its type, questions with the other word, every second for a legal effect."""
+    """Hints of one word of a name and a word of its type, questions with the other word, every second for consequences."""
     k, w = F.col("p_partkey"), F.split("p_name", " ")
-    asked = F.concat(F.lit("Which "), F.element_at(w, -1), F.when(k % 2 == 0, " has legal effect?").otherwise(" is it?"))
+    asked = F.concat(F.lit("Which "), F.element_at(w, -1), F.when(k % 2 == 0, " if consequences apply?").otherwise(" is it?"))
     hints = table(spark, d, "part").select(k.alias("hint_id"), F.when(k % 9 == 0, "").otherwise(F.concat(w[0], F.lit("_"), F.lower("p_type"))).alias("hint"), F.when(k % 7 != 0, asked).alias("question"))
     n = F.length("p_name")
     names = table(spark, d, "part").select(F.regexp_replace("p_name", " ", "_").alias("name"), F.when(n % 3 == 0, "derived").when(n % 3 == 1, "observable").otherwise("helper").alias("kind"), (n % 5 == 0).alias("background"), (n % 4 == 0).alias("effect")).distinct()
@@ -211,7 +211,7 @@ SQL = {
     "b23_ascii_fold": f"""WITH d AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN concat('𝐀𝔹𝒞②ﬁ', text) ELSE text END AS text FROM documents), f AS (SELECT source, text, regexp_replace(translate(text, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS f FROM d)
  SELECT source, count(*) FILTER (f <> text) AS changed, CAST(sum(length(regexp_replace(f, '[^?]', '', 'g'))) AS BIGINT) AS marks FROM f GROUP BY source""",
     "b25_symbol_match": f"""WITH h0 AS (SELECT p_partkey AS hint_id, string_split(p_name, ' ') AS w, CASE WHEN p_partkey % 9 = 0 THEN [] ELSE list_distinct([string_split(lower(p_name), ' ')[1], lower(p_type)]) END AS t FROM part),
- h AS (SELECT hint_id, t, hint_id % 2 = 0 AND hint_id % 7 <> 0 AS asks, CASE WHEN hint_id % 7 = 0 THEN [] ELSE list_transform(list_filter(list_distinct([lower(w[-1])] || CASE WHEN hint_id % 2 = 0 THEN ['legal', 'effect'] ELSE [] END), lambda x: length(x) >= 3 AND x NOT IN ({_sql_in(C.QUESTION_STOP)})), lambda x: CASE WHEN suffix(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END) END AS q FROM h0),
+ h AS (SELECT hint_id, t, hint_id % 2 = 0 AND hint_id % 7 <> 0 AS asks, CASE WHEN hint_id % 7 = 0 THEN [] ELSE list_transform(list_filter(list_distinct([lower(w[-1])] || CASE WHEN hint_id % 2 = 0 THEN ['consequences', 'apply'] ELSE [] END), lambda x: length(x) >= 3 AND x NOT IN ({_sql_in(C.QUESTION_STOP)})), lambda x: CASE WHEN suffix(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END) END AS q FROM h0),
  s AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name, list_distinct(string_split(lower(p_name), ' ')) AS t, CASE length(p_name) % 3 WHEN 0 THEN 0.25 WHEN 1 THEN -0.15 ELSE 0 END AS own, CASE WHEN length(p_name) % 5 = 0 THEN -2 WHEN length(p_name) % 4 = 0 THEN 0.35 ELSE 0 END AS asked FROM part),
  c AS (SELECT hint_id, name, round(CASE WHEN len(h.t) > 0 THEN 2.0 * len(list_intersect(h.t, s.t)) / (len(h.t) + len(s.t)) ELSE 0 END + CAST(0.7 AS DOUBLE) * len(list_intersect(h.q, s.t)) / len(s.t) + CAST(own AS DOUBLE) + CASE WHEN asks THEN CAST(asked AS DOUBLE) ELSE 0 END, 6) AS score FROM h, s)
  SELECT hint_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY hint_id ORDER BY score DESC, name) AS r FROM c WHERE score > 0) WHERE r = 1""",

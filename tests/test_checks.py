@@ -79,7 +79,7 @@ def test_order_of_arguments_against_all_permutations(spark):
 
 def test_match_by_name_question_and_kind(spark):
     symbols = spark.createDataFrame([("has_right", "derived", False, True), ("prior_year", "observable", True, False), ("owns_land", "observable", False, False), ("landOwner", "helper", False, False), (None, "derived", False, False), ("", "derived", False, False)], "name string, kind string, background boolean, effect boolean")
-    hints = spark.createDataFrame([(1, "OWNS-land", None), (2, "land", "Who owns it?"), (3, None, None), (4, "prior year", "Does a legal effect follow in the prior year?"), (5, "", "the right of way"), (6, "zz", "what land?")], "hint_id long, hint string, question string")
+    hints = spark.createDataFrame([(1, "OWNS-land", None), (2, "land", "Who owns it?"), (3, None, None), (4, "prior year", "Do consequences apply in the prior year?"), (5, "", "the right of way"), (6, "zz", "what land?")], "hint_id long, hint string, question string")
     got = {r.hint_id: (r.name, r.score) for r in T.lexical_match(hints, symbols).collect()}
     # a question token loses its final s, a name token keeps it
     assert got == {1: ("owns_land", 1.0), 2: ("landOwner", 0.666667), 4: ("has_right", 0.35), 5: ("has_right", 0.35), 6: ("landOwner", 0.35)}
