@@ -20,13 +20,13 @@ token is unknown; repeated rows train and are scored as often as they occur.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +46,20 @@ FREQUENT = 3e-6
 ADD = 0.1
 #: Hash that stands for the end token among words (which never contain white space).
 END = xxhash.xxh3_64_intdigest(b" end ")
-#: Tokens scored and trained on at once.
-BATCH, STEP = 4096, 4096
+#: Tokens that share a gradient step; rows of classes that are worked on at once, so that they stay in the cache; bytes of text split at once.
+STEP, BLOCK, PIECE = 4096, 512, 1 << 20
+#: Logits within these bounds need no shift before exponentials are summed in single precision.
+SAFE = 60
 
 
-def suffix_class(word: bytes) -> int:
-    """Class of a word that isn't a class of its own."""
-    return SINGLE + xxhash.xxh3_64_intdigest(word[-3:]) % SUFFIX
+def suffix_classes(words: pa.Array) -> np.ndarray:
+    """Classes of words that aren't classes of their own."""
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    return (SINGLE + word_hashes(ends.dictionary) % U64(SUFFIX)).astype(np.int64)[ends.indices.to_numpy()]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False).tolist()), U64, len(words))
 
 
 @dataclass
@@ -76,6 +83,25 @@ class Vocabulary:
         return np.where(self.h[at] == h, at, -1)
 
 
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``size`` bytes together; a longer text stays whole."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield texts.slice(a, b - a)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text (bytes; null: none), and all words in order, A-Z as a-z."""
+    # Arrow's ASCII functions take strings; the bytes are not decoded
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words = lists.flatten().view(pa.binary())
+    whole = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    before = np.concatenate([[0], np.cumsum(whole)])
+    return np.diff(before[lists.offsets.to_numpy()]), words.filter(pa.array(whole))
+
+
 class Codes(dict):
     """What scoring needs to know of a word, as one number met words are looked up for: place among the
     frequent words (from 1; 0: not frequent), hash bucket, class. When full, only new words are worked out."""
@@ -86,25 +112,32 @@ class Codes(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def tokens(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, place or -1, bucket, class) of a text's words and its end."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words and ends of all texts: tokens of each text, number of each token's word (an end has the last);
+        of each number: the word, place or -1, bucket, class."""
         v = self.vocabulary
-        words = text.lower().split() if text else []
+        n, met = split_words(texts)
+        met = met.dictionary_encode()
+        words = met.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         code = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
         off = np.flatnonzero(code < 0)
         if len(off):
-            new = [words[i] for i in off.tolist()]
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), U64, len(new))
+            new = met.dictionary.take(pa.array(off))
+            h = word_hashes(new)
             at = v.look_up(h)
-            cls = np.fromiter(map(suffix_class, new), np.int64, len(new))
+            cls = suffix_classes(new)
             if len(v.h):
                 cls = np.where(at >= 0, v.cls[at], cls)
             code[off] = (at + 1) << 20 | _bucket(h) << 7 | cls
             if len(self) < self.LIMIT:
-                self.update(zip(new, code[off].tolist(), strict=True))
+                self.update(zip((words[i] for i in off.tolist()), code[off].tolist(), strict=True))
         end = np.array([END], U64)
         code = np.append(code, (v.look_up(end) + 1) << 20 | _bucket(end) << 7 | END_CLASS)
-        return words, (code >> 20) - 1, (code >> 7) & (BUCKETS - 1), code & 127
+        number = np.full(len(met) + len(n), len(words), np.int32)
+        inner = np.ones(len(number), bool)
+        inner[np.cumsum(n + 1) - 1] = False
+        number[inner] = met.indices.to_numpy()
+        return n + 1, number, words, (code >> 20) - 1, (code >> 7) & (BUCKETS - 1), code & 127
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -132,70 +165,95 @@ def history(word: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out + OFFSETS[:, None]
 
 
-def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Logits of all classes, less the greatest of each token."""
-    z = w[rows[0]]
+def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, z: np.ndarray, part: np.ndarray) -> None:
+    """Logits of all classes into ``z``, less the greatest of each token where exponentials could leave their range."""
+    np.take(w, rows[0], axis=0, out=z, mode="clip")
     for k in range(1, FEATURES):
-        z += w[rows[k]]
+        np.take(w, rows[k], axis=0, out=part, mode="clip")
+        z += part
     z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+    if z.max() > SAFE or z.min() < -SAFE:
+        z -= z.max(1, keepdims=True)
 
 
 def class_log_probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Natural log of P(class | history) of each token's own class."""
-    z = _logits(w, bias, rows)
-    own = z[np.arange(len(cls)), cls]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    out, ones = np.empty(len(cls), np.float32), np.ones(CLASSES, np.float32)
+    both = np.empty((2, BLOCK, CLASSES), np.float32)
+    for s in range(0, len(cls), BLOCK):
+        c = cls[s : s + BLOCK]
+        z, part = both[:, : len(c)]
+        _logits(w, bias, rows[:, s : s + BLOCK], z, part)
+        own = z[np.arange(len(c)), c]
+        out[s : s + BLOCK] = own - np.log(np.exp(z, out=z) @ ones)
+    return out
 
 
-def log_class(w: np.ndarray, bias: np.ndarray, met: list[tuple]) -> list[float]:
-    """For each text (as met by Codes.tokens) the sum of the natural logs of its classes' probabilities; short texts share batches."""
-    out: list[float] = []
-    held: list[tuple] = []
+def as_items(table: np.ndarray) -> np.ndarray:
+    """Each row of ``table`` as one item, so that rows are moved whole."""
+    return table.view(np.dtype((np.void, table.itemsize * table.shape[1])))[:, 0]
 
-    def settle() -> None:
-        word, cls = (np.concatenate([m[i] for m in held]) for i in (2, 3))
-        rows = history(word, cls, cls == END_CLASS)
-        p = np.concatenate([class_log_probabilities(w, bias, rows[:, s : s + BATCH], cls[s : s + BATCH]) for s in range(0, len(cls), BATCH)])
-        out.extend(np.add.reduceat(p.astype(np.float64), np.cumsum([0, *(len(m[3]) for m in held)])[:-1]).tolist())
-        held.clear()
 
-    n = 0
-    for m in met:
-        held.append(m)
-        n += len(m[3])
-        if n >= 8 * BATCH:
-            settle()
-            n = 0
-    if held:
-        settle()
-    return out
+def sum_rows(g: np.ndarray, ids: np.ndarray, out: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct ids (below 65,536), and for each the sum of its rows of ``g`` (fewer than 32,768), as many at a time as ``out``
+    has room for; ``out`` holds the sums, until the next are asked for, ``part`` has as many rows as ``g``.
+
+    Most ids are rare: the first rows of all are taken at once, then the second rows of those that have one, and so on,
+    until few ids are left, which are summed one by one. (``np.add.reduceat`` along rows takes several times as long.)
+    """
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    ids = ids[order]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    size = np.diff(start, append=len(ids))
+    falling = np.argsort((-size).astype(np.int16), kind="stable")
+    start, size = start[falling], size[falling]
+    ids = ids[start]
+    longer = (len(size) - np.cumsum(np.bincount(size))).tolist()  # ids with more than j rows
+    for a in range(0, len(ids), len(out)):
+        at = start[a : a + len(out)]
+        x = out[: len(at)]
+        np.take(g, order[at], axis=0, out=x, mode="clip")
+        j = 1
+        while (m := min(longer[j] - a, len(at))) > 16:
+            x[:m] += np.take(g, order[at[:m] + j], axis=0, out=part[:m], mode="clip")
+            j += 1
+        for i in range(m):
+            rest = order[at[i] + j : at[i] + size[a + i]]
+            x[i] += np.take(g, rest, axis=0, out=part[: len(rest)], mode="clip").sum(0)
+        yield ids[a : a + len(out)], x
 
 
 def gradient_steps(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
     """Adagrad on steps of many tokens, in place; each step touches a row of weights once."""
+    all_g, part = np.empty((2, min(STEP, len(cls)), CLASSES), np.float32)
+    sums, all_scale, all_y = np.empty((3, BLOCK, CLASSES), np.float32)
+    ones = np.ones(CLASSES, np.float32)
+    w_items, seen_items, y_items, scale_items = map(as_items, (w, seen, all_y, all_scale))
     for s in range(0, len(cls), STEP):
         r, c = rows[:, s : s + STEP], cls[s : s + STEP]
-        g = _logits(w, bias, r)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
+        g = all_g[: len(c)]
+        for a in range(0, len(c), BLOCK):
+            z = g[a : a + BLOCK]
+            _logits(w, bias, r[:, a : a + BLOCK], z, part[: len(z)])
+            np.exp(z, out=z)
+            z *= (1 / (z @ ones))[:, None]
         g[np.arange(len(c)), c] -= 1
         for k in range(FEATURES):
-            order = np.argsort((r[k] - OFFSETS[k]).astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
-            ids = r[k][order]
-            start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            total, u = np.add.reduceat(g[order], start, axis=0), ids[start]
-            scale = seen[u]
-            scale += total * total
-            seen[u] = scale
-            total *= rate
-            total /= np.sqrt(scale, out=scale)
-            w[u] -= total
+            for u, x in sum_rows(g, r[k] - OFFSETS[k], sums, part):
+                u += OFFSETS[k]
+                scale, y = all_scale[: len(u)], all_y[: len(u)]
+                np.take(seen, u, axis=0, out=scale, mode="clip")
+                scale += np.multiply(x, x, out=y)
+                np.put(seen_items, u, scale_items[: len(u)], mode="clip")
+                x *= rate
+                x /= np.sqrt(scale, out=scale)
+                np.take(w, u, axis=0, out=y, mode="clip")
+                y -= x
+                np.put(w_items, u, y_items[: len(u)], mode="clip")
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], codes: Codes, size: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(feature rows, classes) of about ``size`` tokens at a time."""
+    """(feature rows, classes) of about ``size`` tokens or more at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
@@ -204,10 +262,10 @@ def _text_batches(batches: Iterator[pa.RecordBatch], codes: Codes, size: int = 6
 
     n = 0
     for b in batches:
-        for t in b.column("text"):
-            _, _, word, c = codes.tokens(t.as_py())
-            held.append((word, c))
-            n += len(c)
+        for texts in pieces(b.column("text")):
+            _, number, _, _, word, c = codes.tokens(texts)
+            held.append((word[number], c[number]))
+            n += len(number)
             if n >= size:
                 yield joined()
                 held, n = [], 0
@@ -219,23 +277,30 @@ def count_words(texts: DataFrame) -> DataFrame:
     """texts(text) -> h, c, cls: exact counts of all words and ends, summed by task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(seen: Counter, ends: int) -> pa.RecordBatch:
-            h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in seen), U64, len(seen))
-            cls = np.fromiter(map(suffix_class, seen), np.int32, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h, U64(END)).view(np.int64)), pa.array(np.append(np.fromiter(seen.values(), np.int64, len(seen)), ends)), pa.array(np.append(cls, END_CLASS).astype(np.int32))], names=["h", "c", "cls"])
+        def rows(seen: pa.Table, ends: int) -> pa.RecordBatch:
+            words = seen["word"].combine_chunks()
+            h, cls = word_hashes(words), suffix_classes(words)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h, U64(END)).view(np.int64)), pa.array(np.append(seen["c"].to_numpy(), ends)), pa.array(np.append(cls, END_CLASS).astype(np.int32))], names=["h", "c", "cls"])
+
+        def summed(held: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
-        seen: Counter[bytes] = Counter()
-        ends = 0
+        held: list[pa.Table] = []
+        ends = kept = fresh = 0
         for b in batches:
-            for t in b.column("text"):
-                if (x := t.as_py()) is not None:
-                    seen.update(x.lower().split())
-                ends += 1
-                if len(seen) > 400_000:
-                    yield rows(seen, ends)
-                    seen, ends = Counter(), 0
+            for texts in pieces(b.column("text"), 4 * PIECE):
+                words, c = split_words(texts)[1].value_counts().flatten()
+                held.append(pa.table({"word": words, "c": c}))
+                ends += len(texts)
+                fresh += len(words)
+                if fresh > 200_000 + kept:
+                    held = [summed(held)]
+                    kept, fresh = len(held[0]), 0
+                    if kept > 400_000:
+                        yield rows(held[0], ends)
+                        held, ends, kept = [], 0, 0
         if ends:
-            yield rows(seen, ends)
+            yield rows(summed(held), ends)
 
     return texts.mapInArrow(run, "h long, c long, cls int").groupBy("h").agg(F.sum("c").alias("c"), F.max("cls").alias("cls"))
 
@@ -321,23 +386,31 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, w: n
         log_base = np.log10((v.c + ADD) / base_norm)
         ln10 = np.log(10)
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            met = [codes.tokens(text.as_py()) for text in b.column("text")]
-            score = log_class(w, bias, met)
-            for (words, at, _, cls), own in zip(met, score, strict=True):
-                hit = at[at >= 0]
-                off = np.flatnonzero(at < 0)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) if i < len(words) else END for i in off.tolist()), U64, len(off))
-                rare, first, times = np.unique(h, return_index=True, return_counts=True)
-                for o, x in zip(out, (len(cls), len(hit), float(log_base[hit].sum()), own / ln10 + float(log_word[hit].sum()), rare.view(np.int64), times, cls[off][first]), strict=True):
-                    o.append(x)
-            at = np.zeros(b.num_rows + 1, np.int32)
-            np.cumsum([len(x) for x in out[4]], out=at[1:])
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x) if x else np.empty(0, np.int64), k)) for x, k in zip(out[4:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), *lists],
-                names=["rid", "doc_id", "n_tokens", "known", "base", "score", "h", "n", "cls"],
-            )
+            at = 0
+            for texts in pieces(b.column("text")):
+                n, number, words, place, bucket, kind = codes.tokens(texts)
+                first = np.cumsum(n) - n
+                cls = kind[number]
+                class_log = class_log_probabilities(w, bias, history(bucket[number], cls, cls == END_CLASS), cls).astype(np.float64)
+                hit = place >= 0
+                base, word = np.zeros((2, len(place)))
+                base[hit], word[hit] = log_base[place[hit]], log_word[place[hit]]
+                # words that are not frequent leave once a text, to meet their counts
+                text = np.repeat(np.arange(len(n)), n)
+                off = np.flatnonzero(~hit[number])
+                key, times = np.unique(text[off] * len(place) + number[off], return_counts=True)
+                text, number_off = np.divmod(key, len(place))
+                h = np.zeros(len(place), U64)
+                rare = np.flatnonzero(~hit).tolist()
+                h[rare] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) if i < len(words) else END for i in rare), U64, len(rare))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(n)))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, k)) for x, k in ((h[number_off].view(np.int64), pa.int64()), (times, pa.int32()), (kind[number_off], pa.int32()))]
+                sums = [np.add.reduceat(x, first) for x in (hit[number].astype(np.int64), base[number], class_log / ln10 + word[number])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rid").slice(at, len(n)), b.column("doc_id").slice(at, len(n)), pa.array(n, pa.int64()), *map(pa.array, sums), *lists],
+                    names=["rid", "doc_id", "n_tokens", "known", "base", "score", "h", "n", "cls"],
+                )
+                at += len(n)
 
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     done = cut(src.mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, n array<int>, cls array<int>"))
