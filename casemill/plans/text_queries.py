@@ -53,8 +53,8 @@ def b6_expand_cross_refs(spark, d):
 
 
 def _asked(spark, d):
-    """Questions with the text of their case."""
-    return table(spark, d, "fx_questions").join(_docs(spark, d).select(F.col("doc_id").alias("q_id"), F.col("text").alias("case_text")), "q_id")
+    """Questions with the distinct words of their case in place of its text: retrieval asks for no more, and less is shuffled."""
+    return table(spark, d, "fx_questions").join(_docs(spark, d).select(F.col("doc_id").alias("q_id"), F.array_join(T.key_words(F.col("text")), " ").alias("case_text")), "q_id")
 
 
 def b7_keyword_topk(spark, d):
