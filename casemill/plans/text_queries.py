@@ -148,7 +148,10 @@ def b25_symbol_match(spark, d):
 
 
 def b8_scope_text(spark, d):
-    return T.scope_text(_cited(spark, d), b7_keyword_topk(spark, d), T.chunk_documents(table(spark, d, "fx_laws")), table(spark, d, "fx_questions"))
+    """Retrieval only for the questions that cite no chunk: ``scope_text`` asks for no others."""
+    cited, chunks = _cited(spark, d), T.chunk_documents(table(spark, d, "fx_laws"))
+    open_ = _asked(spark, d).join(cited.select("q_id").distinct(), "q_id", "left_anti")
+    return T.scope_text(cited, T.keyword_topk(open_, chunks), chunks, table(spark, d, "fx_questions"))
 
 
 def b17_evidence_overlap(spark, d):
